@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfarer.llm import simhash
+from wayfarer.llm import mixing, sharding, simhash, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op3_sharding": sharding.op3_sharding,
+    "op4_token_counts": token_counts.op4_token_counts,
+    "op6_mixing": mixing.op6_mixing,
+    "op7_warc": warc.op7_warc,
 }
 
 #: DuckDB SQL, where it can express the operator.
