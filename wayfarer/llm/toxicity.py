@@ -1,9 +1,10 @@
 """Toxicity by a weighted lexicon (operator 2).
 
-Texts are folded (case, accents, look-alike letters, digits for letters, invisible characters) and matched by one
-Aho-Corasick automaton of word-initial patterns and exception phrases; a match inside an exception phrase doesn't
-count. The weights of the matches are summed and divided by a power of the text's length; ``score = x / (x + t)``
-puts the learned cut ``t`` at 0.5.
+Texts are folded (case, look-alike letters, digits for letters, invisible characters; accents too in a second
+reading) and matched by one Aho-Corasick automaton of word-initial patterns and exception phrases; a match inside an
+exception phrase doesn't count. A pattern weighs the log of its rate among toxic words over that among clean ones.
+The weights of the matches are summed and divided by a power of the text's length; ``score = x / (x + t)`` puts the
+learned cut ``t`` at 0.5.
 
 The lexicon is learned from at most ``TRAIN_ROWS`` labelled rows (those of the lowest hash), scoring covers every
 row and every whole text.
@@ -11,6 +12,7 @@ row and every whole text.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import unicodedata
@@ -32,38 +34,51 @@ TRAIN_ROWS = 20_000
 MAX_CANDIDATES = 20_000
 MAX_PATTERNS = 5_000
 MIN_SUPPORT = 4
-MIN_PURITY = 0.97
+MIN_PURITY = 0.9
+#: Log ratio of rates from which a pattern stands on its own.
+OWN_WEIGHT = 3.5
 SHORTEST, LONGEST = 3, 9
 
 # Letters of other scripts that look like Latin ones, and the usual digit substitutions.
-LOOKALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ј": "j", "ѕ": "s", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "α": "a", "ε": "e", "ο": "o", "ρ": "p", "ι": "i", "κ": "k", "ν": "v", "τ": "t", "υ": "u", "ı": "i", "ß": "ss", "ø": "o", "æ": "ae", "œ": "oe"}
+LOOKALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ј": "j", "ѕ": "s", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "α": "a", "ε": "e", "ο": "o", "ρ": "p", "ι": "i", "κ": "k", "ν": "v", "τ": "t", "υ": "u", "ı": "i"}
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
 INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 
-_FOLD = {ord(k): v for k, v in (LOOKALIKES | DIGITS).items()} | {ord(c): None for c in INVISIBLE} | dict.fromkeys(range(0x300, 0x370))
+_FOLD = {ord(k): v for k, v in (LOOKALIKES | DIGITS).items()} | {ord(c): None for c in INVISIBLE}
 _FOLD_ASCII = {ord(k): v for k, v in DIGITS.items()}
+_ACCENTS = dict.fromkeys(range(0x300, 0x370))
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def fold(text: str) -> str:
-    """Lower-case text without accents and disguises, words apart by single spaces."""
+    """Lower-case text without disguises, words apart by single spaces."""
     if text.isascii():
         return " ".join(text.lower().translate(_FOLD_ASCII).split())
-    return " ".join(unicodedata.normalize("NFKD", text).lower().translate(_FOLD).split())
+    return " ".join(unicodedata.normalize("NFKC", text).lower().translate(_FOLD).split())
 
 
-def word_starts(folded: str) -> set[str]:
-    """The initial pieces of a text's words that may become patterns."""
-    return {w[:n] for w in set(_WORD.findall(folded)) for n in range(SHORTEST, min(len(w), LONGEST) + 1)}
+def bare(folded: str) -> str:
+    """A folded text without accents."""
+    return folded if folded.isascii() else unicodedata.normalize("NFKD", folded).translate(_ACCENTS)
+
+
+def word_starts(folded: str) -> Counter:
+    """How often each initial piece of the text's words occurs."""
+    counts: Counter = Counter()
+    for w, n in Counter(_WORD.findall(folded)).items():
+        for size in range(SHORTEST, min(len(w), LONGEST) + 1):
+            counts[w[:size]] += n
+    return counts
 
 
 @dataclass
 class Lexicon:
-    """What is learned: pattern weights, exception phrases, the exponent of the length and the cut."""
+    """What is learned: pattern weights, exception phrases, the law of the length and the cut."""
 
     weights: dict[str, float] = field(default_factory=dict)
     exceptions: list[str] = field(default_factory=list)
     exponent: float = 0.5
+    scale: float = 100.0
     cut: float = 1.0
 
     def automaton(self) -> ahocorasick.Automaton | None:
@@ -90,12 +105,15 @@ def matches(folded: str, automaton) -> list[tuple[int, int, float]]:
 
 def weight_of(folded: str, automaton) -> tuple[float, int]:
     """Sum of the weights and number of words."""
-    total = sum(w for _, _, w in matches(folded, automaton)) if automaton is not None else 0.0
+    if automaton is None:
+        return 0.0, folded.count(" ") + 1
+    readings = {folded, bare(folded)}
+    total = max(sum(w for _, _, w in matches(x, automaton)) for x in readings)
     return total, folded.count(" ") + 1
 
 
-def density(total: float, n_words: int, exponent: float) -> float:
-    return total / (1 + n_words / 100) ** exponent
+def density(total: float, n_words: int, lexicon: Lexicon) -> float:
+    return total / (1 + n_words / lexicon.scale) ** lexicon.exponent
 
 
 def held_out(doc_id: Column) -> Column:
@@ -111,15 +129,22 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     return docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("text", "toxic")
 
 
-def _starts(batch: pa.RecordBatch) -> pa.RecordBatch:
-    counts = Counter(p for t in texts(batch, "text") for p in word_starts(fold(t)))
-    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["pattern", "n"])
-
+def _starts(candidates: frozenset[str] | None):
+    """Occurrences and rows of word starts; the row without pattern counts all words."""
 
-def _known_starts(candidates: frozenset[str]):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts = Counter(p for t in texts(batch, "text") for p in word_starts(fold(t)) & candidates)
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["pattern", "n"])
+        tokens, rows = Counter(), Counter()
+        words = 0
+        for t in texts(batch, "text"):
+            folded = fold(t)
+            words += folded.count(" ") + 1
+            found = word_starts(folded)
+            if candidates is not None:
+                found = {p: found[p] for p in found.keys() & candidates}
+            tokens.update(found)
+            rows.update(found.keys())
+        names = list(tokens)
+        return pa.RecordBatch.from_arrays([pa.array([None, *names], pa.string()), pa.array([words, *(tokens[p] for p in names)], pa.int64()), pa.array([batch.num_rows, *(rows[p] for p in names)], pa.int64())], ["pattern", "tokens", "rows"])
 
     return per_batch(run)
 
@@ -160,28 +185,29 @@ def _totals(lexicon: Lexicon):
     return per_batch(run)
 
 
-def _choose(stats: dict[str, tuple[int, int]], toxic_rows: list[list[int]], names: list[str], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Greedy cover: pure patterns, widest first, each of which must reach toxic rows that no other does.
+def _choose(pure: dict[str, float], toxic_rows: list[list[int]], names: list[str]) -> dict[str, float]:
+    """Pure patterns, widest first, leaving out those that only tell copies of one toxic text apart.
 
-    Copies of one toxic text share all their words; once their real marks are chosen the rest reach nothing new.
+    All words of such a text occur in the same rows. A pattern stays if few others share its rows, or if it reaches
+    toxic rows that hardly any chosen pattern does.
     """
-    pure = {}
-    for name, (toxic, clean) in stats.items():
-        a, b = (toxic + 0.5) / (n_toxic + 1), (clean + 0.5) / (n_clean + 1)
-        if toxic >= MIN_SUPPORT and a / (a + b) >= MIN_PURITY:
-            pure[name] = math.log(a / (1 - a)) - math.log(b / (1 - b))
     holders: dict[str, set[int]] = {name: set() for name in pure}
     for row, ids in enumerate(toxic_rows):
         for i in ids:
             if names[i] in holders:
                 holders[names[i]].add(row)
+    alike = Counter(frozenset(rows) for rows in holders.values())
     chosen: dict[str, float] = {}
     covered: Counter = Counter()
-    for name in sorted(pure, key=lambda p: (-len(holders[p]), len(p), p)):
-        if any(name[:n] in chosen for n in range(SHORTEST, len(name))):
+    for name in sorted(pure, key=lambda p: (-len(holders[p]) * pure[p], len(p), p)):
+        if any(name[:n] in chosen for n in range(SHORTEST, len(name))) or any(c.startswith(name) for c in chosen):
             continue
+        # The longest start that keeps nearly all the rows says most precisely what is meant.
+        longer = [p for p in holders if p.startswith(name) and len(holders[p] & holders[name]) >= 0.9 * len(holders[name])]
+        name = max(longer, key=lambda p: (len(p), p))
         fresh = sum(covered[r] < 2 for r in holders[name])
-        if fresh >= MIN_SUPPORT and fresh >= 0.05 * len(holders[name]):
+        own = alike[frozenset(holders[name])] <= LONGEST + 3 and len(holders[name]) >= 3 * MIN_SUPPORT and pure[name] >= OWN_WEIGHT
+        if own or fresh >= MIN_SUPPORT and fresh >= 0.05 * len(holders[name]):
             chosen[name] = pure[name]
             covered.update(holders[name])
             if len(chosen) >= MAX_PATTERNS:
@@ -195,29 +221,36 @@ def fit_lexicon(train: DataFrame) -> Lexicon:
     if not n.get(1) or not n.get(0):
         return Lexicon()
     bad, good = train.where("toxic > 0"), train.where("toxic <= 0")
-    starts = bad.select("text").mapInArrow(per_batch(_starts), "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
-    frequent = {r["pattern"]: r["n"] for r in starts.where(F.col("n") >= MIN_SUPPORT).orderBy(F.desc("n"), "pattern").limit(MAX_CANDIDATES).collect()}
-    clean = good.select("text").mapInArrow(_known_starts(frozenset(frequent)), "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
-    clean_n = {r["pattern"]: r["n"] for r in clean.collect()}
-    a, b = n[1] + 1, n[0] + 1
-    likely = [p for p, k in frequent.items() if (x := (k + 0.5) / a) / (x + (clean_n.get(p, 0) + 0.5) / b) >= MIN_PURITY]
+    kind = "pattern string, tokens long, rows long"
+    summed = lambda rows: rows.groupBy("pattern").agg(F.sum("tokens").alias("tokens"), F.sum("rows").alias("rows"))
+    starts = summed(bad.select("text").mapInArrow(_starts(None), kind)).where(F.col("rows") >= MIN_SUPPORT)
+    frequent = {r["pattern"]: r["tokens"] for r in starts.orderBy(F.col("pattern").isNotNull(), F.desc("rows"), "pattern").limit(MAX_CANDIDATES).collect()}
+    toxic_words = frequent.pop(None, 1)
+    clean = {r["pattern"]: r["tokens"] for r in summed(good.select("text").mapInArrow(_starts(frozenset(frequent)), kind)).collect()}
+    clean_words = clean.pop(None, 1)
+    pure = {}
+    for pattern, tokens in frequent.items():
+        a, b = (tokens + 0.5) / toxic_words, (clean.get(pattern, 0) + 0.5) / clean_words
+        if a / (a + b) >= MIN_PURITY:
+            pure[pattern] = math.log(a / b)
+    likely = list(pure)
     rows = [r["ids"] for r in bad.select("text").mapInArrow(_which_starts({p: i for i, p in enumerate(likely)}), "ids array<int>").collect()]
-    lexicon = Lexicon(_choose({p: (frequent[p], clean_n.get(p, 0)) for p in likely}, rows, likely, n[1], n[0]))
+    lexicon = Lexicon(_choose(pure, rows, likely))
     if not lexicon.weights:
         return lexicon
     phrases = train.mapInArrow(_neighbours(lexicon), "phrase string, clean long, toxic long").groupBy("phrase").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     phrases = phrases.where((F.col("clean") >= 3) & (F.col("clean") > 4 * F.col("toxic"))).orderBy(F.desc("clean"), "phrase").limit(MAX_PATTERNS)
     lexicon.exceptions = [r["phrase"] for r in phrases.collect()]
     got = train.mapInArrow(_totals(lexicon), "toxic int, total double, words long").toPandas()
-    lexicon.exponent, lexicon.cut = _cut(got["total"].to_numpy(), got["words"].to_numpy(), got["toxic"].to_numpy() > 0)
+    _set_cut(lexicon, got["total"].to_numpy(), got["words"].to_numpy(), got["toxic"].to_numpy() > 0)
     return lexicon
 
 
-def _cut(total: np.ndarray, words: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """The length exponent and cut of the best F1 on the training rows; the cut lies midway between scores."""
-    best = (-1.0, 0.5, 1.0)
-    for exponent in (0.25, 0.5, 0.75, 1.0):
-        x = total / (1 + words / 100) ** exponent
+def _set_cut(lexicon: Lexicon, total: np.ndarray, words: np.ndarray, toxic: np.ndarray) -> None:
+    """The law of the length and the cut of the best F1 on the training rows; the cut lies midway between scores."""
+    best = -1.0
+    for scale, exponent in itertools.product((10.0, 30.0, 100.0, 300.0), (0.25, 0.5, 0.75, 1.0)):
+        x = total / (1 + words / scale) ** exponent
         order = np.argsort(-x, kind="stable")
         hits = np.cumsum(toxic[order])
         f1 = 2 * hits / (np.arange(1, len(x) + 1) + toxic.sum())
@@ -226,16 +259,16 @@ def _cut(total: np.ndarray, words: np.ndarray, toxic: np.ndarray) -> tuple[float
         if last.any():
             at = int(np.argmax(np.where(last, f1, -1)))
             below = value[at + 1] if at + 1 < len(value) else 0.0
-            if f1[at] > best[0] + 1e-9:
-                best = (float(f1[at]), exponent, float((value[at] + max(below, 0.0)) / 2) or 1.0)
-    return best[1], best[2]
+            if f1[at] > best + 1e-9:
+                best = float(f1[at])
+                lexicon.exponent, lexicon.scale, lexicon.cut = exponent, scale, float((value[at] + max(below, 0.0)) / 2) or 1.0
 
 
 def _scores(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()  # built once per task; only the lexicon is shipped
         for batch in batches:
-            x = [max(0.0, density(*weight_of(fold(t), automaton), lexicon.exponent)) for t in texts(batch, "text")]
+            x = [max(0.0, density(*weight_of(fold(t), automaton), lexicon)) for t in texts(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([v / (v + lexicon.cut) for v in x], pa.float64())], ["doc_id", "score"])
 
     return run
