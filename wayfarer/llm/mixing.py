@@ -3,9 +3,10 @@
 Every document of a source is wanted ``target / source size`` times: the whole part is taken for certain, the
 fraction is an inclusion probability. A flight moves the probabilities of three documents at a time along the
 direction that leaves both the expected number of words and of documents unchanged, until one of them is 0 or 1.
-Flights run within hashed blocks of a source; what a block leaves (two documents at most) meets in wider blocks until
-one block of a source is left, whose last two documents are the landing problem: they are rounded to the sum nearest
-to the target. Large documents fly first, so that small ones are left for the landing.
+Flights run within hashed blocks of a source's documents of like size; what a block leaves open (``LEFT`` documents at
+most) meets in wider blocks until one block is left for each source and class of sizes. The open documents of a
+source, a dozen of each size class, are the landing problem: they are rounded from large to small, each so that the
+sum of words comes nearest to the target, and smaller ones make good what larger ones missed.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from wayfarer.session import written
 
 CAP = 3
 BLOCK_ROWS = 20_000
-FAN_IN = 5_000
+FAN_IN = 1_000
+#: Documents of each size class that a flight leaves to the landing.
+LEFT = 12
 SEED = 61
 _EDGE = 1e-9
 
@@ -52,14 +55,17 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return full.select("source", "source_size", target.alias("target"))
 
 
-def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Move probabilities to 0 or 1, all but two at most, keeping their sum and their size-weighted sum."""
+def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, leave: int = LEFT) -> np.ndarray:
+    """Move probabilities to 0 or 1, all but ``leave`` at most, keeping their sum and their size-weighted sum."""
     p = p.astype(float).copy()
+    undecided = int(((p > _EDGE) & (p < 1 - _EDGE)).sum())
     live: list[int] = []
     coins = rng.random(2 * len(p) + 4)
     toss = 0
     queue = iter(range(len(p)))
     while True:
+        if undecided <= leave:
+            return p
         while len(live) < 3:
             nxt = next(queue, None)
             if nxt is None:
@@ -87,37 +93,34 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
                 p[x] = 0.0
             elif p[x] > 1 - _EDGE:
                 p[x] = 1.0
+        undecided -= sum(not 0 < p[x] < 1 for x in live)
         live = [x for x in live if 0 < p[x] < 1]
 
 
 def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Round the few open probabilities to the subset whose words, then whose number, come nearest."""
+    """Round the open probabilities, given from large to small, to stay near the sums of words and documents."""
     p = p.copy()
-    open_ = np.flatnonzero((p > 0) & (p < 1))
-    if not len(open_):
-        return p
-    want, count = float((p[open_] * size[open_]).sum()), float(p[open_].sum())
-    best = None
-    for code in range(1 << len(open_)):
-        take = [(code >> b) & 1 for b in range(len(open_))]
-        miss = (abs(float(np.dot(take, size[open_])) - want), abs(sum(take) - count), code)
-        if best is None or miss < best[0]:
-            best = (miss, take)
-    p[open_] = best[1]
+    words = count = 0.0
+    for i in np.flatnonzero((p > 0) & (p < 1)):
+        misses = [(abs(words + (x - p[i]) * size[i]), abs(count + x - p[i]), x) for x in (0, 1)]
+        x = min(misses)[2]
+        words, count, p[i] = words + (x - p[i]) * size[i], count + x - p[i], x
     return p
 
 
-def _fly(last: bool):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "order", "doc_id", "text_crc32"], ascending=[False, True, True, True], na_position="last")
-        size = rows["size"].to_numpy(np.int64).astype(float)
-        rng = np.random.default_rng([SEED, abs(hash_of(key)), len(rows)])
-        p = flight(rows["p"].to_numpy(), size, rng)
-        if last:
-            p = landing(p, size)
-        return rows.assign(p=p)
+def _ordered(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.sort_values(["size", "order", "doc_id", "text_crc32"], ascending=[False, True, True, True], na_position="last")
+
+
+def _fly(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    rows = _ordered(rows)
+    rng = np.random.default_rng([SEED, hash_of(key), len(rows)])
+    return rows.assign(p=flight(rows["p"].to_numpy(), rows["size"].to_numpy(np.int64).astype(float), rng))
 
-    return run
+
+def _land(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = _ordered(rows)
+    return rows.assign(p=landing(rows["p"].to_numpy(), rows["size"].to_numpy(np.int64).astype(float)))
 
 
 def hash_of(key: tuple) -> int:
@@ -129,7 +132,7 @@ def hash_of(key: tuple) -> int:
     return value
 
 
-_UNIT = "source string, doc_id long, text_crc32 long, size long, p double, order long, block long"
+_UNIT = "source string, doc_id long, text_crc32 long, size long, p double, order long, class int, block long"
 
 
 def mix(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -151,6 +154,8 @@ def mix(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     units = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("want", F.least(wanted, F.lit(float(CAP))))
     units = units.withColumn("whole", F.floor(F.col("want") + F.lit(_EDGE)).cast("int"))
     order = F.xxhash64(F.lit(SEED), "doc_id", "text_crc32", "size")
+    like = F.when(F.col("size") > 0, F.floor(F.log2(F.greatest("size", F.lit(1))) / 2)).otherwise(F.lit(-1)).cast("int")
+    units = units.withColumn("class", like)
     units = units.select("*", F.greatest(F.col("want") - F.col("whole"), F.lit(0.0)).alias("p"), order.alias("order"))
     blocks = F.ceil(F.col("n") / F.lit(block_rows))
     units = written(units.withColumn("block", F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id", "text_crc32", "size"), blocks)), "mix-units")
@@ -160,12 +165,13 @@ def mix(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     open_ = units.where((F.col("p") > _EDGE) & (F.col("p") < 1 - _EDGE)).select(*[c.split()[0] for c in _UNIT.split(", ")])
     decided: list[DataFrame] = []
     while True:
-        flown = written(open_.groupBy("source", "block").applyInPandas(_fly(n_blocks == 1), _UNIT), "mix-flight")
+        flown = written(open_.groupBy("source", "class", "block").applyInPandas(_fly, _UNIT), "mix-flight")
         decided.append(flown.where("p = 0 OR p = 1"))
+        open_ = flown.where("p > 0 AND p < 1").withColumn("block", F.floor(F.col("block") / F.lit(FAN_IN)))
         if n_blocks == 1:
             break
         n_blocks = -(-n_blocks // FAN_IN)
-        open_ = flown.where("p > 0 AND p < 1").withColumn("block", F.floor(F.col("block") / F.lit(FAN_IN)))
+    decided.append(written(open_.groupBy("source").applyInPandas(_land, _UNIT), "mix-landing"))
     drawn = decided[0]
     for more in decided[1:]:
         drawn = drawn.unionByName(more)
