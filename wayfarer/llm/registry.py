@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfarer.llm import mixing, sharding, simhash, token_counts, toxicity, warc
+from wayfarer.llm import embedding_dedup, mixing, sharding, simhash, token_counts, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_sharding": sharding.op3_sharding,
     "op4_token_counts": token_counts.op4_token_counts,
+    "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op7_warc": warc.op7_warc,
+    "op9_top_k": topk.op9_top_k,
 }
 
 #: DuckDB SQL, where it can express the operator.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_embedding_dedup": embedding_dedup.OP5_SQL,
+    "op9_top_k": topk.OP9_SQL,
+}
