@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfarer.llm import embedding_dedup, mixing, sharding, simhash, token_counts, topk, toxicity, warc
+from wayfarer.llm import embedding_dedup, mixing, repeats, sharding, simhash, token_counts, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": mixing.op6_mixing,
     "op7_warc": warc.op7_warc,
     "op9_top_k": topk.op9_top_k,
+    "op10_repeats": repeats.op10_repeats,
 }
 
 #: DuckDB SQL, where it can express the operator.
