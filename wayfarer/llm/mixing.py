@@ -188,16 +188,15 @@ def mix(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """``docs`` as the mix has them: each row as many times as it is taken."""
     crc = F.crc32(utf8(F.col("text")))
-    taken = mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("text_crc32").alias("_crc")).agg(F.sort_array(F.collect_list("copies")).alias("_copies"))
+    taken = mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("text_crc32").alias("_crc")).agg(F.sort_array(F.collect_list("copies")).alias("copies"))
     # Rows that agree in id, source and text share one entry; each takes its own number of copies.
-    columns = docs.columns
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_src")) & (crc == F.col("_crc"))
-    joined = docs.join(taken, on)
-    once = joined.where(F.size("_copies") == 1).withColumn("_c", F.col("_copies")[0])
-    nth = F.row_number().over(Window.partitionBy("_id", "_src", "_crc").orderBy(F.lit(0)))
-    again = joined.where(F.size("_copies") > 1).withColumn("_n", nth).where(F.col("_n") <= F.size("_copies")).withColumn("_c", F.element_at("_copies", F.col("_n"))).drop("_n")
+    whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("src"), crc.alias("crc"), F.struct("*").alias("doc"))
+    joined = whole.join(taken, F.col("id").eqNullSafe(F.col("_id")) & F.col("src").eqNullSafe(F.col("_src")) & (F.col("crc") == F.col("_crc")))
+    once = joined.where(F.size("copies") == 1).select("doc", F.col("copies")[0].alias("c"))
+    nth = F.row_number().over(Window.partitionBy("id", "src", "crc").orderBy(F.lit(0)))
+    again = joined.where(F.size("copies") > 1).withColumn("nth", nth).where(F.col("nth") <= F.size("copies")).select("doc", F.element_at("copies", F.col("nth")).alias("c"))
     both = once.unionByName(again)
-    return both.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_c")))).select(*columns)
+    return both.select("doc", F.explode(F.sequence(F.lit(1), F.col("c")))).select("doc.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

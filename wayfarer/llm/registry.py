@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfarer.llm import embedding_dedup, mixing, repeats, sharding, simhash, token_counts, topk, toxicity, warc
+from wayfarer.llm import embedding_dedup, mixing, pieces, repeats, sharding, simhash, token_counts, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op7_warc": warc.op7_warc,
+    "op8_pieces": pieces.op8_pieces,
     "op9_top_k": topk.op9_top_k,
     "op10_repeats": repeats.op10_repeats,
 }
@@ -23,5 +24,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: DuckDB SQL, where it can express the operator.
 ORACLES: dict[str, str] = {
     "op5_embedding_dedup": embedding_dedup.OP5_SQL,
+    "op8_pieces": pieces.op8_pieces,
     "op9_top_k": topk.OP9_SQL,
 }

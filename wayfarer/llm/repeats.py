@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayfarer.llm._common import bounded_batches, planes, raw_bytes, table, unplanes
 from wayfarer.session import written
@@ -322,7 +323,7 @@ def covered(text: bytes, ords: np.ndarray, masks: np.ndarray, window: int, trigg
     return np.cumsum(edge[:-1]) > 0
 
 
-def _apply(columns: list[str], window: int, trigger: int):
+def _apply(carried: bool, as_text: bool, window: int, trigger: int):
     """Over one part of the documents: their columns with the bytes kept, and what was removed."""
 
     def run(docs: pa.Table, decisions: pa.Table) -> pa.Table:
@@ -341,17 +342,18 @@ def _apply(columns: list[str], window: int, trigger: int):
                 removed.append(0)
                 spans.append(0)
             kept.append(text)
-        out = {c: docs.column(c) for c in columns}
-        out |= {"_kept": pa.array(kept, pa.binary()), "_n_bytes": pa.array(n_bytes, pa.int64()), "_n_removed": pa.array(removed, pa.int64()), "_n_spans": pa.array(spans, pa.int64())}
+        out = {"_doc": docs.column("_doc")} if carried else {}
+        left = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+        out |= {"_kept": left, "_n_bytes": pa.array(n_bytes, pa.int64()), "_n_removed": pa.array(removed, pa.int64()), "_n_spans": pa.array(spans, pa.int64())}
         out["_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())
         return pa.table(out)
 
     return run
 
 
-def without_repeats(docs: DataFrame, keep: list[str], window: int = WINDOW, trigger: int = TRIGGER) -> DataFrame:
-    """The ``keep`` columns of every row of ``docs``, with ``_kept`` (the bytes left), ``_n_bytes``, ``_n_removed``,
-    ``_n_spans`` and ``_sha256``.
+def without_repeats(docs: DataFrame, keep: list[str], window: int = WINDOW, trigger: int = TRIGGER, as_text: bool = False) -> DataFrame:
+    """The ``keep`` columns of every row of ``docs``, with ``_kept`` (the bytes left, or as text what of them
+    is valid UTF-8), ``_n_bytes``, ``_n_removed``, ``_n_spans`` and ``_sha256``.
 
     A byte goes if a string of ``window`` bytes that covers it also starts in a document of a smaller ``doc_id``;
     strings don't cross documents and are judged on the input. Null texts are empty; texts shorter than a window lose
@@ -367,17 +369,41 @@ def without_repeats(docs: DataFrame, keep: list[str], window: int = WINDOW, trig
     phrases = narrow.mapInArrow(_parse_batches(parts, window, trigger), _PHRASES)
     whole = written(phrases.groupBy("bucket").applyInArrow(_compare_parse(parts), _DECISIONS), "repeats-parse")
 
-    own = [c for c in dict.fromkeys([*keep, "text"])]
-    rows = docs.select(*own, order_id.alias("_id"), rid.alias("_rid")).withColumn("_part", F.pmod("_rid", F.lit(parts)).cast("int"))
+    # What is carried along travels in one struct, so that no name can clash.
+    carried = [c for c in keep if c != "text"]
+    doc = [F.struct(*carried).alias("_doc")] if carried else []
+    rows = docs.select(*doc, "text", order_id.alias("_id"), rid.alias("_rid"), F.pmod(rid, F.lit(parts)).cast("int").alias("_part"))
     texts = rows.select("_id", "_rid", "_part", "text")
     asked = texts.groupBy("_part").cogroup(whole.groupBy("part")).applyInArrow(_fetch_phrases(parts, window, trigger), _ENTRIES)
     some = written(asked.groupBy("bucket").applyInArrow(_compare_dictionary(parts, window), _DECISIONS), "repeats-dictionary")
 
-    schema = docs.select(*keep).schema
-    extra = "_kept binary, _n_bytes long, _n_removed long, _n_spans long, _sha256 string"
     told = whole.unionByName(some).mapInArrow(_drop_asks, _DECISIONS)
-    out_schema = type(schema)([*schema.fields, *spark.createDataFrame([], extra).schema.fields])
-    return rows.groupBy("_part").cogroup(told.groupBy("part")).applyInArrow(_apply(keep, window, trigger), out_schema)
+    kind = T.StructType([f for f in rows.schema.fields if f.name == "_doc"])
+    for name, of in (("_kept", T.StringType() if as_text else T.BinaryType()), ("_n_bytes", T.LongType()), ("_n_removed", T.LongType()), ("_n_spans", T.LongType()), ("_sha256", T.StringType())):
+        kind.add(name, of)
+    left = rows.groupBy("_part").cogroup(told.groupBy("part")).applyInArrow(_apply(bool(carried), as_text, window, trigger), kind)
+    stats = ["_kept", "_n_bytes", "_n_removed", "_n_spans", "_sha256"]
+    return left.select(*[F.col("_doc")[c].alias(c) for c in carried], *stats)
+
+
+def cleaned_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` with the repeated bytes gone from ``text`` and ``n_chars`` (where there is one) counted anew.
+
+    Of a character cut in two, what is left isn't valid UTF-8 and goes too. Documents that lost bytes and have no word
+    left go; those without words to begin with stay. Texts that lose nothing, null ones too, stay as they are.
+    """
+    left = without_repeats(docs.withColumn("_given", F.col("text").isNotNull()), [*(c for c in docs.columns if c != "text"), "_given"], window, as_text=True)
+    left = left.where((F.col("_n_removed") == 0) | F.col("_kept").rlike(r"[^\x20\x09-\x0D]"))
+    text = F.when((F.col("_n_bytes") > 0) | F.col("_given"), F.col("_kept"))
+    columns = []
+    for name, kind in docs.dtypes:
+        if name == "text":
+            columns.append(text.alias(name))
+        elif name == "n_chars":
+            columns.append(F.when(F.col("_n_removed") > 0, F.length("_kept")).otherwise(F.col(name)).cast(kind).alias(name))
+        else:
+            columns.append(F.col(name))
+    return left.select(*columns)
 
 
 def _drop_asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

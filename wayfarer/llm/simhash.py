@@ -238,12 +238,11 @@ def keep_one_per_component(docs: DataFrame, shingle: int = SHINGLE, radius: int
     ``doc_id`` is null go if their group has any numbered row; a group of such rows alone keeps one.
     """
     marked = simhash_components(docs, shingle, radius)
-    keepers = marked.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
-    keepers = keepers.withColumnRenamed("doc_id", "_keep")
-    columns = docs.columns
-    kept = docs.join(keepers, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")))
-    once = kept.where("_rows = 1").select(*columns)
-    again = kept.where("_rows > 1").select(*columns).dropDuplicates(["doc_id"])
+    keepers = marked.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("keep")).agg(F.count(F.lit(1)).alias("n"))
+    whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("doc"))  # no name can clash
+    kept = whole.join(keepers, F.col("id").eqNullSafe(F.col("keep")))
+    once = kept.where("n = 1").select("doc.*")
+    again = kept.where("n > 1").dropDuplicates(["id"]).select("doc.*")
     return once.unionByName(again)
 
 

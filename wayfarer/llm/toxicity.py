@@ -280,6 +280,19 @@ def toxicity_scores(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scores(lexicon), "doc_id long, score double")
 
 
+def clean_documents(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """The rows of ``docs``, columns as they are, that score below 0.5."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = lexicon.automaton()
+        for batch in batches:
+            x = [density(*weight_of(fold(t), automaton), lexicon) for t in texts(batch, "text")]
+            yield batch.filter(pa.array([max(v, 0.0) / (max(v, 0.0) + lexicon.cut) < 0.5 for v in x], pa.bool_()))
+
+    bounded_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fit_from_tables(docs: DataFrame, labels: DataFrame) -> Lexicon:
     bounded_batches(docs.sparkSession)
     return fit_lexicon(written(training_rows(docs, labels), "toxicity-train"))
