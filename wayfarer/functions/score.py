@@ -31,11 +31,11 @@ def rating_confidence(n: Column) -> Column:
     return F.when(value <= 0, 0.0).otherwise(F.round(F.least(value / 1000.0, F.lit(1.0)), 4))
 
 
-def weighted_rating_bayes(rating: Column, n: Column) -> Column:
+def weighted_rating_bayes(rating: Column, n: Column, digits: int = 4) -> Column:
     """Rating mixed with 3.5 by confidence; few votes cost a tenth."""
     c = rating_confidence(n)
     mixed = F.coalesce(rating, F.lit(0.0)) * c + 3.5 * (1 - c)
-    return F.round(F.when(F.coalesce(n.try_cast("double"), F.lit(0.0)) < 10, mixed * 0.9).otherwise(mixed), 4)
+    return F.round(F.when(F.coalesce(n.try_cast("double"), F.lit(0.0)) < 10, mixed * 0.9).otherwise(mixed), digits)
 
 
 def popularity(rating: Column, n: Column, visitors: Column, stored: Column | None = None) -> Column:

@@ -142,9 +142,9 @@ def r5(spark, sf_dir):
     return base(spark, sf_dir).select("place_id", S.rating_confidence(F.col("rating_count")).alias("confidence"))
 
 
-@query("r6_weighted_rating_bayes", base_sql(f"SELECT place_id, round(CASE WHEN rating_count < 10 THEN (rating * c + 3.5::DOUBLE * (1 - c)) * 0.9::DOUBLE ELSE rating * c + 3.5::DOUBLE * (1 - c) END, 4) AS weighted_rating_bayes FROM (SELECT *, {CONF} AS c FROM base)"))
+@query("r6_weighted_rating_bayes", base_sql(f"SELECT place_id, round(CASE WHEN rating_count < 10 THEN (rating * c + 3.5::DOUBLE * (1 - c)) * 0.9::DOUBLE ELSE rating * c + 3.5::DOUBLE * (1 - c) END, 9) AS weighted_rating_bayes FROM (SELECT *, {CONF} AS c FROM base)"))
 def r6(spark, sf_dir):
-    return base(spark, sf_dir).select("place_id", S.weighted_rating_bayes(F.col("rating"), F.col("rating_count")).alias("weighted_rating_bayes"))
+    return base(spark, sf_dir).select("place_id", S.weighted_rating_bayes(F.col("rating"), F.col("rating_count"), 9).alias("weighted_rating_bayes"))
 
 
 @query("r1_interest", with_views("SELECT user_id, CASE WHEN lower(trim(interest)) IN ('promo', 'large') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS interest_score FROM users", "users"))
