@@ -342,18 +342,18 @@ def _apply(carried: bool, as_text: bool, window: int, trigger: int):
                 removed.append(0)
                 spans.append(0)
             kept.append(text)
-        out = {"_doc": docs.column("_doc")} if carried else {}
+        out = {"doc": docs.column("_doc")} if carried else {}
         left = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
-        out |= {"_kept": left, "_n_bytes": pa.array(n_bytes, pa.int64()), "_n_removed": pa.array(removed, pa.int64()), "_n_spans": pa.array(spans, pa.int64())}
-        out["_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())
+        out |= {"kept": left, "given": pa.array([x.is_valid for x in body], pa.bool_()), "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64())}
+        out["sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())
         return pa.table(out)
 
     return run
 
 
 def without_repeats(docs: DataFrame, keep: list[str], window: int = WINDOW, trigger: int = TRIGGER, as_text: bool = False) -> DataFrame:
-    """The ``keep`` columns of every row of ``docs``, with ``_kept`` (the bytes left, or as text what of them
-    is valid UTF-8), ``_n_bytes``, ``_n_removed``, ``_n_spans`` and ``_sha256``.
+    """For every row of ``docs`` its ``keep`` columns in a struct ``doc``, with ``kept`` (the bytes left, or as text
+    what of them is valid UTF-8), ``given`` (the text isn't null), ``n_bytes``, ``n_removed``, ``n_spans`` and ``sha256``.
 
     A byte goes if a string of ``window`` bytes that covers it also starts in a document of a smaller ``doc_id``;
     strings don't cross documents and are judged on the input. Null texts are empty; texts shorter than a window lose
@@ -378,12 +378,10 @@ def without_repeats(docs: DataFrame, keep: list[str], window: int = WINDOW, trig
     some = written(asked.groupBy("bucket").applyInArrow(_compare_dictionary(parts, window), _DECISIONS), "repeats-dictionary")
 
     told = whole.unionByName(some).mapInArrow(_drop_asks, _DECISIONS)
-    kind = T.StructType([f for f in rows.schema.fields if f.name == "_doc"])
-    for name, of in (("_kept", T.StringType() if as_text else T.BinaryType()), ("_n_bytes", T.LongType()), ("_n_removed", T.LongType()), ("_n_spans", T.LongType()), ("_sha256", T.StringType())):
+    kind = T.StructType([T.StructField("doc", f.dataType) for f in rows.schema.fields if f.name == "_doc"])
+    for name, of in (("kept", T.StringType() if as_text else T.BinaryType()), ("given", T.BooleanType()), ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("sha256", T.StringType())):
         kind.add(name, of)
-    left = rows.groupBy("_part").cogroup(told.groupBy("part")).applyInArrow(_apply(bool(carried), as_text, window, trigger), kind)
-    stats = ["_kept", "_n_bytes", "_n_removed", "_n_spans", "_sha256"]
-    return left.select(*[F.col("_doc")[c].alias(c) for c in carried], *stats)
+    return rows.groupBy("_part").cogroup(told.groupBy("part")).applyInArrow(_apply(bool(carried), as_text, window, trigger), kind)
 
 
 def cleaned_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -392,17 +390,16 @@ def cleaned_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Of a character cut in two, what is left isn't valid UTF-8 and goes too. Documents that lost bytes and have no word
     left go; those without words to begin with stay. Texts that lose nothing, null ones too, stay as they are.
     """
-    left = without_repeats(docs.withColumn("_given", F.col("text").isNotNull()), [*(c for c in docs.columns if c != "text"), "_given"], window, as_text=True)
-    left = left.where((F.col("_n_removed") == 0) | F.col("_kept").rlike(r"[^\x20\x09-\x0D]"))
-    text = F.when((F.col("_n_bytes") > 0) | F.col("_given"), F.col("_kept"))
+    left = without_repeats(docs, [c for c in docs.columns if c != "text"], window, as_text=True)
+    left = left.where((F.col("n_removed") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
     columns = []
     for name, kind in docs.dtypes:
         if name == "text":
-            columns.append(text.alias(name))
+            columns.append(F.when(F.col("given"), F.col("kept")).alias(name))
         elif name == "n_chars":
-            columns.append(F.when(F.col("_n_removed") > 0, F.length("_kept")).otherwise(F.col(name)).cast(kind).alias(name))
+            columns.append(F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("doc")[name]).cast(kind).alias(name))
         else:
-            columns.append(F.col(name))
+            columns.append(F.col("doc")[name].alias(name))
     return left.select(*columns)
 
 
@@ -420,4 +417,4 @@ def _drop_asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = without_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
-    return left.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.col("_sha256").alias("kept_sha256"))
+    return left.select("doc.doc_id", "n_bytes", "n_removed", "n_spans", F.col("sha256").alias("kept_sha256"))

@@ -205,7 +205,7 @@ def _choose(pure: dict[str, float], toxic_rows: list[list[int]], names: list[str
         # The longest start that keeps nearly all the rows says most precisely what is meant.
         longer = [p for p in holders if p.startswith(name) and len(holders[p] & holders[name]) >= 0.9 * len(holders[name])]
         name = max(longer, key=lambda p: (len(p), p))
-        fresh = sum(covered[r] < 2 for r in holders[name])
+        fresh = sum(not covered[r] for r in holders[name])
         own = alike[frozenset(holders[name])] <= LONGEST + 3 and len(holders[name]) >= 3 * MIN_SUPPORT and pure[name] >= OWN_WEIGHT
         if own or fresh >= MIN_SUPPORT and fresh >= 0.05 * len(holders[name]):
             chosen[name] = pure[name]
