@@ -18,7 +18,8 @@ RATES = {
 
 
 def clip(c: Column, low: float, high: float) -> Column:
-    return F.least(F.lit(high), F.greatest(F.lit(low), c))
+    """Within the bounds; null stays null (``least`` and ``greatest`` alone would skip it)."""
+    return F.when(c.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), c)))
 
 
 def weighted_rating_sql(avg: Column, n: Column) -> Column:

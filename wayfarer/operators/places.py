@@ -30,11 +30,13 @@ def place_select(places: DataFrame, ratings: DataFrame, images: DataFrame) -> Da
     return joined.withColumns({"rating": F.coalesce("rating", zero), "rating_count": F.coalesce("rating_count", F.lit(0).cast("long")), "weighted_rating": F.coalesce("weighted_rating", zero)})
 
 
-PROMINENCE = [F.desc_nulls_last("popularity_score"), F.desc_nulls_last("weighted_rating"), F.asc("place_name"), F.asc("place_id")]
+def by_prominence() -> list[Column]:
+    """Popularity, then weighted rating, then name."""
+    return [F.desc_nulls_last("popularity_score"), F.desc_nulls_last("weighted_rating"), F.asc("place_name"), F.asc("place_id")]
 
 
 def prominent(df: DataFrame, n: int) -> DataFrame:
-    return df.orderBy(*PROMINENCE).limit(n)
+    return df.orderBy(*by_prominence()).limit(n)
 
 
 def top_rated(df: DataFrame, n: int) -> DataFrame:
@@ -59,7 +61,7 @@ def search_places(df: DataFrame, text: str, category: str | None, n: int) -> Dat
     found = df.where(any_contains(["place_name", "district", "category_name", "description"], text))
     if category is not None:
         found = found.where(F.col("category_name") == category)
-    return found.withColumn("tier", tier.cast("int")).orderBy("tier", *PROMINENCE).limit(n)
+    return found.withColumn("tier", tier.cast("int")).orderBy("tier", *by_prominence()).limit(n)
 
 
 def find_places(df: DataFrame, n: int = 8, district: str | None = None, category: str | None = None, name_like: str | None = None) -> DataFrame:

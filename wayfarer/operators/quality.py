@@ -27,7 +27,7 @@ def normalize(df: DataFrame) -> DataFrame:
         out = out.withColumn("rating", clip(F.coalesce(number(F.col("rating")), F.lit(0.0)), 0.0, 5.0))
     if "rating_count" in df.columns:
         out = out.withColumn("rating_count", F.greatest(F.coalesce(F.col("rating_count").try_cast("bigint"), F.lit(0)), F.lit(0)).cast("long"))
-    return out.withColumns({c: squeeze(F.col(c)) for c, t in df.dtypes if t == "string"})
+    return out.withColumns({c: squeeze(F.col(c)) for c, t in out.dtypes if t == "string"})
 
 
 def validate(df: DataFrame, required: list[str]) -> DataFrame:

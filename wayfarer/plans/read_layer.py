@@ -62,7 +62,7 @@ def f1(spark, sf_dir):
 @query("f2_by_district", base_sql(f"SELECT {SHORT_SQL}, category_name FROM base WHERE lower(district) = 'nation_7' AND lower(category_name) LIKE 'promo%' ORDER BY {PROMINENCE}"))
 def f2(spark, sf_dir):
     df = base(spark, sf_dir).where(P.equals_folded("district", "Nation_7") & F.startswith(F.lower("category_name"), F.lit("promo")))
-    return df.orderBy(*P.PROMINENCE).select(*SHORT, "category_name")
+    return df.orderBy(*P.by_prominence()).select(*SHORT, "category_name")
 
 
 @query("f3_search_places", base_sql(f"""SELECT {SHORT_SQL}, CAST(CASE WHEN lower(place_name) = 'red' THEN 0 WHEN starts_with(lower(place_name), 'red') THEN 1 WHEN contains(lower(district), 'red') THEN 2 ELSE 3 END AS INTEGER) AS tier
@@ -205,7 +205,7 @@ def s2(spark, sf_dir):
 def s5(spark, sf_dir):
     low = F.lower("category_name")
     hits = sum((F.when(F.contains(low, F.lit(t)), 1).otherwise(0) for t in ("large", "promo")), F.lit(0))
-    return base(spark, sf_dir).withColumn("hits", hits.cast("int")).orderBy(F.desc("hits"), F.desc("tourism_relevance"), *P.PROMINENCE).limit(30).select("place_id", "hits")
+    return base(spark, sf_dir).withColumn("hits", hits.cast("int")).orderBy(F.desc("hits"), F.desc("tourism_relevance"), *P.by_prominence()).limit(30).select("place_id", "hits")
 
 
 @query("s6_seeded_tie_break")
@@ -224,7 +224,7 @@ def s7(spark, sf_dir):
 def s9(spark, sf_dir):
     df = base(spark, sf_dir).where("region_id = 2")
     total = df.agg(F.count(F.lit(1)).alias("n_total"))
-    return df.orderBy(*P.PROMINENCE).limit(60).join(total, how="cross").select("place_id", "n_total")
+    return df.orderBy(*P.by_prominence()).limit(60).join(total, how="cross").select("place_id", "n_total")
 
 
 @query("w1_image_order", with_views("SELECT place_id, image_url, CAST(row_number() OVER (PARTITION BY place_id ORDER BY is_primary DESC, image_url) AS INTEGER) AS image_rank FROM images QUALIFY image_rank <= 3", "images"))
@@ -235,13 +235,13 @@ def w1(spark, sf_dir):
 @query("w3_top_per_category", base_sql(f"SELECT category_name, place_id, CAST(place_rank AS INTEGER) AS place_rank, CAST(n AS BIGINT) AS category_size FROM (SELECT *, row_number() OVER (PARTITION BY category_name ORDER BY {PROMINENCE}) AS place_rank, count(*) OVER (PARTITION BY category_name) AS n FROM base) WHERE place_rank <= 15"))
 def w3(spark, sf_dir):
     df = base(spark, sf_dir).withColumn("category_size", F.count(F.lit(1)).over(Window.partitionBy("category_name")))
-    return P.top_per(df, ["category_name"], P.PROMINENCE, 15).select("category_name", "place_id", "place_rank", "category_size")
+    return P.top_per(df, ["category_name"], P.by_prominence(), 15).select("category_name", "place_id", "place_rank", "category_size")
 
 
 @query("w4_best_photographed", base_sql(f"SELECT category_name, place_id FROM (SELECT *, row_number() OVER (PARTITION BY category_name ORDER BY {PROMINENCE}) AS nth FROM base WHERE regexp_matches(image_url, '^https?://')) WHERE nth = 1 ORDER BY category_name LIMIT 20 OFFSET 5"))
 def w4(spark, sf_dir):
     shown = base(spark, sf_dir).where(F.col("image_url").rlike("^https?://"))
-    return P.top_per(shown, ["category_name"], P.PROMINENCE, 1).orderBy("category_name").offset(5).limit(20).select("category_name", "place_id")
+    return P.top_per(shown, ["category_name"], P.by_prominence(), 1).orderBy("category_name").offset(5).limit(20).select("category_name", "place_id")
 
 
 @query("w8_next_occurrence", with_views("SELECT lower(festival_name) AS festival_key, festival_id FROM (SELECT *, row_number() OVER (PARTITION BY lower(festival_name) ORDER BY coalesce(CAST(start_date AS VARCHAR), '9999'), festival_id) AS nth FROM festivals WHERE start_date IS NULL OR start_date >= DATE '1995-06-01') WHERE nth = 1", "festivals"))

@@ -101,14 +101,14 @@ def sf18(spark, sf_dir):
     return view(spark, sf_dir, "festivals").select("festival_id", S.season(F.col("month")).alias("season"), F.coalesce(F.weekday("start_date") >= 5, F.lit(False)).alias("weekend"))
 
 
-@query("sf23_status_suitability", with_views("SELECT status_id, round(coalesce(least(greatest(suitability_score, 0), 1), CASE WHEN regexp_matches(lower(status), 'closed|closure|dry|unsafe') THEN 0.2 ELSE 1.0 END), 6) AS suitability FROM place_status", "place_status"))
+@query("sf23_status_suitability", with_views("SELECT status_id, round(coalesce(CASE WHEN suitability_score IS NOT NULL THEN least(greatest(suitability_score, 0), 1) END, CASE WHEN regexp_matches(lower(status), 'closed|closure|dry|unsafe') THEN 0.2 ELSE 1.0 END), 6) AS suitability FROM place_status", "place_status"))
 def sf23(spark, sf_dir):
     return view(spark, sf_dir, "place_status").select("status_id", F.round(S.status_suitability(F.col("suitability_score"), F.col("status")), 6).alias("suitability"))
 
 
 STATUS_SQL = f"""newest AS (SELECT place_id, status, suitability_score, expires_at FROM place_status WHERE checked_at <= TIMESTAMP '{AS_OF}' QUALIFY row_number() OVER (PARTITION BY place_id ORDER BY checked_at DESC, status_id DESC) = 1),
 stat AS (SELECT p.place_id, coalesce(n.status, 'Status not recently verified') AS status, coalesce(n.expires_at >= TIMESTAMP '{AS_OF}', FALSE) AS is_fresh,
-  CASE WHEN n.place_id IS NULL THEN 1.0::DOUBLE ELSE coalesce(least(greatest(suitability_score, 0), 1), CASE WHEN regexp_matches(lower(n.status), 'closed|closure|dry|unsafe') THEN 0.2 ELSE 1.0 END) END AS suitability
+  CASE WHEN n.place_id IS NULL THEN 1.0::DOUBLE ELSE coalesce(CASE WHEN suitability_score IS NOT NULL THEN least(greatest(suitability_score, 0), 1) END, CASE WHEN regexp_matches(lower(n.status), 'closed|closure|dry|unsafe') THEN 0.2 ELSE 1.0 END) END AS suitability
   FROM places p LEFT JOIN newest n USING (place_id))"""
 
 
