@@ -46,13 +46,13 @@ def popularity(rating: Column, n: Column, visitors: Column, stored: Column | Non
     return value if stored is None else F.greatest(value, F.coalesce(stored, zero))
 
 
-def recommendation_score(distance: Column, rating: Column, pop: Column, interest: Column, season: Column, confidence: Column, suitability: Column) -> Column:
+def recommendation_score(distance: Column, rating: Column, pop: Column, interest: Column, season: Column, confidence: Column, suitability: Column, digits: int = 2) -> Column:
     """Weighted parts, each in 0..1, times the clipped suitability, in percent."""
     zero = F.lit(0.0)
     near = F.when(distance.isNull(), 0.0).otherwise(1 / (1 + F.greatest(distance, zero) / 10))
     parts = {"distance": near, "rating": clip(F.coalesce(rating, zero) / 5, 0, 1), "popularity": clip(F.coalesce(pop, zero) / 100, 0, 1), "interest": clip(F.coalesce(interest, zero), 0, 1), "season": clip(F.coalesce(season, zero), 0, 1), "confidence": clip(F.coalesce(confidence, zero), 0, 1)}
     total = sum((WEIGHTS[k] * v for k, v in parts.items()), zero)
-    return F.round(100 * total * clip(F.coalesce(suitability, F.lit(1.0)), 0, 1), 2)
+    return F.round(100 * total * clip(F.coalesce(suitability, F.lit(1.0)), 0, 1), digits)
 
 
 def classify_crowd(level: Column) -> Column:

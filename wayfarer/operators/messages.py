@@ -33,8 +33,10 @@ def find_names(messages: DataFrame, names: DataFrame, keys: list[str]) -> DataFr
 
 def message_search(messages: DataFrame, places: DataFrame, keys: list[str], stop: list[str], n: int) -> DataFrame:
     """The ``n`` best places per message by the words of their names: an equi join on words, not on substrings."""
-    words = messages.select(*keys, F.posexplode(keywords(F.col("message"), stop)).alias("pos", "word"))
+    said = messages.select("message").distinct()  # what many say is looked up once
+    words = said.select("message", F.posexplode(keywords(F.col("message"), stop)).alias("pos", "word"))
     index = places.select("place_id", "popularity_score", F.explode(keywords(F.col("place_name"), [])).alias("word"))
-    hits = words.join(index, "word").groupBy(*keys, "place_id", "popularity_score").agg(F.min("pos").alias("pos"))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("pos", F.desc("popularity_score"), "place_id"))
-    return hits.withColumn("nth", rank.cast("int")).where(F.col("nth") <= n).select(*keys, "place_id", "nth")
+    hits = words.join(index, "word").groupBy("message", "place_id", "popularity_score").agg(F.min("pos").alias("pos"))
+    rank = F.row_number().over(Window.partitionBy("message").orderBy("pos", F.desc("popularity_score"), "place_id"))
+    best = hits.withColumn("nth", rank.cast("int")).where(F.col("nth") <= n).select("message", "place_id", "nth")
+    return messages.join(best, "message").select(*keys, "place_id", "nth")

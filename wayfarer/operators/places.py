@@ -120,11 +120,18 @@ def prominence(places: DataFrame, place_sources: DataFrame, images: DataFrame) -
 
 
 def festivals_for_places(places: DataFrame, festivals: DataFrame) -> DataFrame:
-    """Festivals of a place's district (relevance 1) and statewide ones (2): equi branches, no theta join."""
-    local = places.join(festivals.where("district IS NOT NULL"), "district").withColumn("relevance", F.lit(1))
-    statewide = festivals.where("district IS NULL").drop("district")
-    everywhere = places.join(statewide, how="cross").withColumn("relevance", F.lit(2))
-    return local.unionByName(everywhere, allowMissingColumns=True)
+    """``place_id, n_local, n_statewide, next_festival``: what a place's own district and the whole state offer.
+
+    A festival matters to a place by its district (relevance 1) or because it has none (2); the next one is the first by
+    relevance, then month (missing ones last). Both sides are reduced before they meet places, by an equi join and by a
+    single row, so no place meets every festival.
+    """
+    order = F.struct(F.coalesce("month", F.lit(13)), F.col("festival_id"))
+    side = lambda df, keys, n: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"n_{n}"), F.min_by("festival_id", order).alias(f"first_{n}"))
+    local = side(festivals.where("district IS NOT NULL"), ["district"], "local")
+    statewide = side(festivals.where("district IS NULL"), [], "statewide")
+    met = places.join(local, "district", "left").join(F.broadcast(statewide), how="cross")  # one row
+    return met.select("place_id", F.coalesce("n_local", F.lit(0)).cast("long").alias("n_local"), "n_statewide", F.coalesce("first_local", "first_statewide").alias("next_festival"))
 
 
 def next_occurrences(festivals: DataFrame, keys: list[str]) -> DataFrame:

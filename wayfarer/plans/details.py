@@ -65,12 +65,12 @@ def r3(spark, sf_dir):
     return both.select("place_id", F.greatest("similarity", R.interest_score(F.col("category_name"), F.col("preferred"))).alias("interest"))
 
 
-@query("r7_r8_score_with_maps", base_sql("SELECT place_id, round(round(100 * (0.20::DOUBLE * rating / 5 + 0.15::DOUBLE * least(greatest(pop / 100, 0), 1) + 0.20::DOUBLE * CASE WHEN place_id % 2 = 0 THEN 0.8::DOUBLE ELSE tourism_relevance END + 0.10::DOUBLE * conf), 2), 1) AS score FROM (SELECT *, greatest(round(100 * (0.4::DOUBLE * rating / 5.0::DOUBLE + 0.3::DOUBLE * least(rating_count / 1000.0::DOUBLE, 1)), 2), popularity_score) AS pop, CASE WHEN rating_count <= 0 THEN 0.0::DOUBLE ELSE round(least(rating_count / 1000.0::DOUBLE, 1.0::DOUBLE), 4) END AS conf FROM base)"))
+@query("r7_r8_score_with_maps", base_sql("SELECT place_id, round(100 * (0.20::DOUBLE * rating / 5 + 0.15::DOUBLE * least(greatest(pop / 100, 0), 1) + 0.20::DOUBLE * CASE WHEN place_id % 2 = 0 THEN 0.8::DOUBLE ELSE tourism_relevance END + 0.10::DOUBLE * conf), 8) AS score FROM (SELECT *, greatest(round(100 * (0.4::DOUBLE * rating / 5.0::DOUBLE + 0.3::DOUBLE * least(rating_count / 1000.0::DOUBLE, 1)), 2), popularity_score) AS pop, CASE WHEN rating_count <= 0 THEN 0.0::DOUBLE ELSE round(least(rating_count / 1000.0::DOUBLE, 1.0::DOUBLE), 4) END AS conf FROM base)"))
 def r78(spark, sf_dir):
     given = view(spark, sf_dir, "places").where("place_id % 2 = 0").select("place_id", F.lit(0.8).alias("given"))
     df = base(spark, sf_dir).join(given, "place_id", "left").withColumn("interest", S.clip(F.coalesce("given", "tourism_relevance"), 0, 1))
-    scored = R.score_places(df.withColumns({"distance_km": F.lit(None).cast("double"), "suitability": F.lit(1.0)}))
-    return scored.select("place_id", F.round("score", 1).alias("score"))
+    scored = R.score_places(df.withColumns({"distance_km": F.lit(None).cast("double"), "suitability": F.lit(1.0)}), digits=8)
+    return scored.select("place_id", "score")
 
 
 @query("g4_start_search")

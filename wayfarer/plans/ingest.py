@@ -15,9 +15,9 @@ from wayfarer.sources.tables import view, with_views
 from wayfarer.streaming import streams as ST
 
 
-@query("io1_io2_records_csv", with_views("SELECT place_id, place_name, district, latitude FROM places WHERE region_id = 1", "places"))
+@query("io1_io2_records_csv", with_views("SELECT place_id, place_name, district, latitude FROM places", "places"))
 def io12(spark, sf_dir):
-    df = view(spark, sf_dir, "places").where("region_id = 1").select("place_id", "place_name", "district", "latitude")
+    df = view(spark, sf_dir, "places").select("place_id", "place_name", "district", "latitude")
     path = scratch_path(spark, "records") + ".csv"
     IO.write_records(df, path)
     return IO.read_records(spark, path, df.schema)

@@ -20,10 +20,9 @@ def sf2(spark, sf_dir):
     return view(spark, sf_dir, "source_records").select("source_id", "record_key", X.name_key(F.col("place_name")).alias("name_key"))
 
 
-@query("sf3_phonetic_key", with_views(f"SELECT source_id, record_key, array_to_string(list_transform(list_filter(list_zip(string_split({PHON_SQL}, ''), range(1, 200)), lambda x: x[2] = 1 OR (x[1] IS NOT NULL AND x[1] <> string_split({PHON_SQL}, '')[CAST(x[2] - 1 AS BIGINT)])), lambda x: x[1]), '') AS phonetic_key FROM source_records WHERE record_key <= 200", "source_records"))
+@query("sf3_phonetic_key", with_views(f"SELECT source_id, record_key, array_to_string(list_transform(list_filter(list_zip(string_split({PHON_SQL}, ''), range(1, 200)), lambda x: x[2] = 1 OR (x[1] IS NOT NULL AND x[1] <> string_split({PHON_SQL}, '')[CAST(x[2] - 1 AS BIGINT)])), lambda x: x[1]), '') AS phonetic_key FROM source_records", "source_records"))
 def sf3(spark, sf_dir):
-    some = view(spark, sf_dir, "source_records").where("record_key <= 200")
-    return some.select("source_id", "record_key", X.phonetic_key(X.name_key(F.col("place_name"))).alias("phonetic_key"))
+    return view(spark, sf_dir, "source_records").select("source_id", "record_key", X.phonetic_key(X.name_key(F.col("place_name"))).alias("phonetic_key"))
 
 
 @query("sf10_clean_place_name", with_views("SELECT source_id, record_key, CASE WHEN upper(place_name) = place_name THEN array_to_string(list_transform(string_split(place_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') ELSE place_name END AS clean_name FROM source_records", "source_records"))
@@ -172,11 +171,11 @@ def m5(spark, sf_dir):
 
 @query("m6_message_search", with_views("""SELECT trip_id AS conv_id, 0::BIGINT AS turn, place_id, CAST(nth AS INTEGER) AS nth FROM (
 SELECT t.trip_id, p.place_id, row_number() OVER (PARTITION BY t.trip_id ORDER BY min(pos), popularity_score DESC, p.place_id) AS nth FROM
-(SELECT trip_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM (SELECT trip_id, string_split(CASE trip_id % 3 WHEN 0 THEN 'anvil hot' WHEN 1 THEN 'red gear' ELSE 'plate old' END, ' ') AS ws FROM trips WHERE trip_id <= 60)) t
+(SELECT trip_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM (SELECT trip_id, string_split(CASE trip_id % 3 WHEN 0 THEN 'anvil hot' WHEN 1 THEN 'red gear' ELSE 'plate old' END, ' ') AS ws FROM trips)) t
 JOIN (SELECT place_id, popularity_score, unnest(string_split(lower(place_name), ' ')) AS word FROM places) p ON p.word = t.word GROUP BY t.trip_id, p.place_id, popularity_score) WHERE nth <= 5""", "trips", "places"))
 def m6(spark, sf_dir):
     asked = F.when(F.col("trip_id") % 3 == 0, "find anvil, hot!").when(F.col("trip_id") % 3 == 1, "find red gear").otherwise("find plate? old")
-    said = view(spark, sf_dir, "trips").where("trip_id <= 60").select(F.col("trip_id").alias("conv_id"), F.lit(0).cast("long").alias("turn"), asked.alias("message"))
+    said = view(spark, sf_dir, "trips").select(F.col("trip_id").alias("conv_id"), F.lit(0).cast("long").alias("turn"), asked.alias("message"))
     return M.message_search(said, view(spark, sf_dir, "places"), ["conv_id", "turn"], ["find"], 5)
 
 
