@@ -21,7 +21,7 @@ from wayfarer.llm._common import table, utf8
 from wayfarer.session import written
 
 CAP = 3
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 2_000
 FAN_IN = 1_000
 #: Documents of each size class that a flight leaves to the landing.
 LEFT = 12
@@ -159,7 +159,7 @@ def mix(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     units = units.select("*", F.greatest(F.col("want") - F.col("whole"), F.lit(0.0)).alias("p"), order.alias("order"))
     blocks = F.ceil(F.col("n") / F.lit(block_rows))
     units = written(units.withColumn("block", F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id", "text_crc32", "size"), blocks)), "mix-units")
-    most = rows.sparkSession.range(1).join(plan.agg(F.max("n").alias("n"))).select(F.coalesce("n", F.lit(0)).alias("n")).first()["n"]
+    most = plan.agg(F.max("n")).first()[0] or 0
     n_blocks = max(1, -(-most // block_rows))
 
     open_ = units.where((F.col("p") > _EDGE) & (F.col("p") < 1 - _EDGE)).select(*[c.split()[0] for c in _UNIT.split(", ")])
