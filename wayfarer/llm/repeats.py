@@ -61,17 +61,23 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+#: Low bits of a ranked hash that hold its position within a segment.
+_PLACE = np.uint64((1 << 21) - 1)
+
+
 def _leftmost_minima(h: np.ndarray, width: int) -> np.ndarray:
-    """Position of the leftmost minimum of every ``width`` consecutive values, by doubling."""
-    at = np.arange(len(h), dtype=np.int32)
+    """Position of the leftmost minimum of every ``width`` consecutive hashes, by doubling.
+
+    The position takes the place of a hash's low bits, so one minimum settles value and place; hashes that agree in
+    their high bits tie, and the leftmost wins, which equal windows settle alike.
+    """
+    ranked = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
     size = 1
     while size < width:
         step = min(size, width - size)
-        less = h[step:] < h[: len(h) - step]
-        at = np.where(less, at[step:], at[: len(at) - step])
-        h = np.where(less, h[step:], h[: len(h) - step])
+        ranked = np.minimum(ranked[step:], ranked[:-step])
         size += step
-    return at
+    return (ranked & _PLACE).astype(np.int64)
 
 
 def parse(data: bytes, window: int = WINDOW, trigger: int = TRIGGER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -89,14 +95,14 @@ def _parse(data: bytes, offset: int, window: int, trigger: int):
     up, down = _power(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[b] * up[:n], out=sums[1:])
-    rolling = _mix((sums[trigger:] - sums[: n + 1 - trigger]) * down[: n + 1 - trigger])
+    rolling = (sums[trigger:] - sums[: n + 1 - trigger]) * down[: n + 1 - trigger]
     at = _leftmost_minima(rolling, window - trigger + 1)
     first = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
     last = np.concatenate((first[1:] - 1, [len(at) - 1]))
-    p = at[first].astype(np.int64)
+    p = at[first]
     phrase = (sums[last + window] - sums[first]) * down[first]
     shape = (p - first).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB) + (last - first).astype(np.uint64) * np.uint64(0x8EBC6AF09C88C6E3)
-    return p + offset, first + offset, last + offset, rolling[p], _mix(phrase + shape)
+    return p + offset, first + offset, last + offset, _mix(rolling[p]), _mix(phrase + shape)
 
 
 _PHRASES = "bucket int, ids binary, rids binary, counts binary, ords binary, triggers binary, phrases binary, more binary"
@@ -153,7 +159,7 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     new = np.zeros(len(keys[0]), bool)
     for k in keys:
         new[1:] |= k[1:] != k[:-1]
-    return np.cumsum(new)
+    return np.cumsum(new, dtype=np.int32)
 
 
 _DECISIONS = "part int, rids binary, ords binary, masks binary"
@@ -179,9 +185,12 @@ def _compare_parse(parts: int):
 
     def run(rows: pa.Table) -> pa.Table:
         ids, rids, ords, g, e = _unpack(rows)
+        del rows
         order = np.lexsort((ids, e, g))
-        ids, rids, ords, g, e = (x[order] for x in (ids, rids, ords, g, e))
+        g, e = g[order], e[order]
         trigger, phrase = _runs(g), _runs(g, e)
+        del g, e
+        ids, rids, ords = ids[order], rids[order], ords[order]
         first = np.concatenate(([0], np.flatnonzero(phrase[1:] != phrase[:-1]) + 1))
         low = ids[first][phrase]  # smallest document of the phrase
         repeated = ids > low
@@ -362,11 +371,14 @@ def without_repeats(docs: DataFrame, keep: list[str], window: int = WINDOW, trig
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Documents and dictionary split finer than the parse: their rows are wide, those of the parse carry ids along. Each
+    # bucket answers each part in one packed row, so neither number should be larger than memory asks for.
+    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets, parts = n, 2 * n
     rid = F.xxhash64(F.col("doc_id").cast("long"), "text")
     order_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST)))
     narrow = docs.select(order_id.alias("_id"), rid.alias("_rid"), "text")
-    phrases = narrow.mapInArrow(_parse_batches(parts, window, trigger), _PHRASES)
+    phrases = narrow.mapInArrow(_parse_batches(buckets, window, trigger), _PHRASES)
     whole = written(phrases.groupBy("bucket").applyInArrow(_compare_parse(parts), _DECISIONS), "repeats-parse")
 
     # What is carried along travels in one struct, so that no name can clash.
