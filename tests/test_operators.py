@@ -168,3 +168,11 @@ def test_records(spark, tmp_path):
     assert not IO.write_records(df.where("false"), f"{tmp_path}/e.csv")
     assert IO.read_records(spark, f"{tmp_path}/missing.csv", df.schema).count() == 0
     assert list(itertools.islice(IO.evolve(df, {"name": "string", "x": "double"}).columns, 3)) == ["id", "name", "x"]
+
+
+def test_day_spans_cover_every_day(spark):
+    lats = [10.0, 10.1, None, 11.0, 11.5, 11.2, 12.0]  # days of three: 1-3, 4-6, 7
+    df = spark.createDataFrame([(1, i + 1, y, 78.0) for i, y in enumerate(lats)] + [(2, 5, 9.0, 78.0), (2, 6, 9.0, 78.0)], "trip_id long, stop_no int, latitude double, longitude double")
+    got = {(r.trip_id, r.day): r.span_km for r in T.day_spans(df).collect()}
+    degree = EARTH_KM * 3.141592653589793 / 180
+    assert got == pytest.approx({(1, 1): 0.1 * degree, (1, 2): 0.5 * degree, (2, 2): 0.0})

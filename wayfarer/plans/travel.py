@@ -272,6 +272,7 @@ FROM (SELECT s.trip_id, s.stop_no, p.latitude, p.longitude FROM trip_stops s JOI
 JOIN (SELECT s.trip_id, s.stop_no, p.latitude, p.longitude FROM trip_stops s JOIN places p USING (place_id) WHERE s.stop_no <= 3 AND latitude IS NOT NULL) b
 ON a.trip_id = b.trip_id AND a.stop_no < b.stop_no GROUP BY a.trip_id""", "trip_stops", "places"))
 def t13(spark, sf_dir):
+    """The first day of each trip alone, as its SQL says; ``t13_day_spans`` has every day."""
     day = stops(spark, sf_dir).where("stop_no <= 3 AND latitude IS NOT NULL")
     a = day.select("trip_id", F.col("stop_no").alias("s1"), F.col("latitude").alias("y1"), F.col("longitude").alias("x1"))
     b = day.select("trip_id", F.col("stop_no").alias("s2"), F.col("latitude").alias("y2"), F.col("longitude").alias("x2"))
@@ -279,6 +280,17 @@ def t13(spark, sf_dir):
     return a.join(b, "trip_id").where("s1 < s2").groupBy("trip_id").agg(F.round(span, 6).alias("span_km"))
 
 
+def day_spans_sql() -> str:
+    located = "SELECT trip_id, stop_no, CAST((stop_no - 1) // 3 + 1 AS BIGINT) AS day, latitude, longitude FROM trip_stops JOIN places USING (place_id) WHERE latitude IS NOT NULL"
+    return with_views(f"SELECT a.trip_id, a.day, round(max({km('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')}), 6) AS span_km FROM ({located}) a JOIN ({located}) b ON a.trip_id = b.trip_id AND a.day = b.day AND a.stop_no < b.stop_no GROUP BY a.trip_id, a.day", "trip_stops", "places")
+
+
+@query("t13_day_spans", day_spans_sql())
+def t13_days(spark, sf_dir):
+    """The longest distance between two stops of each day of each trip; days are those of ``t4_day_schedule``."""
+    return T.day_spans(stops(spark, sf_dir)).withColumn("span_km", F.round("span_km", 6))
+
+
 RATE = lambda k: f"CASE budget_level WHEN 'budget' THEN {S.RATES[k]['budget']} WHEN 'premium' THEN {S.RATES[k]['premium']} ELSE {S.RATES[k]['standard']} END::DOUBLE"
 
 
