@@ -60,7 +60,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 def _fingerprints(shingle: int):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         values = np.array([fingerprint(t, shingle) for t in raw_bytes(batch.column(1))], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(values), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
     return per_batch(run)
 
@@ -234,15 +234,25 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RA
 def keep_one_per_component(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``docs`` without all but one row of each near-duplicate group: the row of the smallest ``doc_id``.
 
-    Rows that repeat that ``doc_id`` within the group count as copies too; one of them stays. Rows whose
-    ``doc_id`` is null go if their group has any numbered row; a group of such rows alone keeps one.
+    Null ids come last; within one id the text with the smallest hash stays. A keeper is chosen for each group and found
+    again by id and 128 bits of the text's hash, so groups that share an id, or have none, each keep their own row.
     """
-    marked = simhash_components(docs, shingle, radius)
-    keepers = marked.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("keep")).agg(F.count(F.lit(1)).alias("n"))
-    whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("doc"))  # no name can clash
-    kept = whole.join(keepers, F.col("id").eqNullSafe(F.col("keep")))
+    bounded_batches(docs.sparkSession)
+    h1, h2 = F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(SEED), "text").alias("h2")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", h1, h2)
+    marked = written(narrow.mapInArrow(_fingerprints(shingle), "doc_id long, fp long, h1 long, h2 long"), "simhash-fp")
+    roots = connected_components(fingerprint_links(marked, radius))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h1", "h2")).alias("low")
+    linked = marked.groupBy("fp").agg(first).join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    lows = linked.groupBy(F.coalesce("root", "fp").alias("g")).agg(F.min("low").alias("low")).select("low.doc_id", "low.h1", "low.h2")
+    # Rows that agree in id and text are in one group; only keepers that have such copies need a second look.
+    copies = marked.groupBy("doc_id", "h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").toDF("c_id", "c1", "c2", "n")
+    keepers = lows.join(copies, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left")
+    keepers = keepers.select(F.col("doc_id").alias("keep"), F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.coalesce("n", F.lit(1)).alias("n"))
+    whole = docs.select(F.col("doc_id").cast("long").alias("id"), h1, h2, F.struct("*").alias("doc"))  # no name can clash
+    kept = whole.join(keepers, F.col("id").eqNullSafe(F.col("keep")) & (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
     once = kept.where("n = 1").select("doc.*")
-    again = kept.where("n > 1").dropDuplicates(["id"]).select("doc.*")
+    again = kept.where("n > 1").dropDuplicates(["id", "h1", "h2"]).select("doc.*")
     return once.unionByName(again)
 
 
