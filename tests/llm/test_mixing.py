@@ -56,3 +56,15 @@ def test_mix_is_near_its_targets_and_repeatable(spark):
     mixed = M.mixed_documents(df)
     assert mixed.columns == df.columns and mixed.count() == sum(r.copies for r in M.mix(df).collect())
     assert M.mix(df.where("false")).count() == 0
+
+
+def test_repeated_rows_are_emitted_as_often_as_the_mix_takes_them(spark):
+    rows = [(i // 2, f"t{i // 2} " * (5 + i // 2 % 9), "a" if i // 2 % 3 else "b") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want, drawn = {}, {}
+    for r in M.mix(df).collect():
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.copies
+        drawn.setdefault(r.doc_id, []).append(r.copies)
+    assert any(0 in c and max(c) > 0 for c in drawn.values())
+    got = {r.doc_id: r["count"] for r in M.mixed_documents(df).groupBy("doc_id").count().collect()}
+    assert got == {i: n for i, n in want.items() if n}

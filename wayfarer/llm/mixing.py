@@ -188,14 +188,17 @@ def mix(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """``docs`` as the mix has them: each row as many times as it is taken."""
     crc = F.crc32(utf8(F.col("text")))
-    taken = mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("text_crc32").alias("_crc")).agg(F.sort_array(F.collect_list("copies")).alias("copies"))
-    # Rows that agree in id, source and text share one entry; each takes its own number of copies.
+    times = lambda n: F.count(F.when(F.col("copies") == n, 1)).alias(f"n{n}")
+    taken = mix(docs).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("text_crc32").alias("_crc")).agg(F.count(F.lit(1)).alias("n"), times(1), times(2), times(3))
+    taken = taken.where("n1 + n2 + n3 > 0")
+    # Rows that agree in id, source and text share one entry; they are numbered, and the first of them take most copies.
     whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("src"), crc.alias("crc"), F.struct("*").alias("doc"))
     joined = whole.join(taken, F.col("id").eqNullSafe(F.col("_id")) & F.col("src").eqNullSafe(F.col("_src")) & (F.col("crc") == F.col("_crc")))
-    once = joined.where(F.size("copies") == 1).select("doc", F.col("copies")[0].alias("c"))
+    own = F.when(F.col("nth") <= F.col("n3"), 3).when(F.col("nth") <= F.col("n3") + F.col("n2"), 2).when(F.col("nth") <= F.col("n3") + F.col("n2") + F.col("n1"), 1).otherwise(0).alias("c")
+    once = joined.where("n = 1").withColumn("nth", F.lit(1)).select("doc", own)
     nth = F.row_number().over(Window.partitionBy("id", "src", "crc").orderBy(F.lit(0)))
-    again = joined.where(F.size("copies") > 1).withColumn("nth", nth).where(F.col("nth") <= F.size("copies")).select("doc", F.element_at("copies", F.col("nth")).alias("c"))
-    both = once.unionByName(again)
+    again = joined.where("n > 1").withColumn("nth", nth).select("doc", own)
+    both = once.unionByName(again).where("c > 0")
     return both.select("doc", F.explode(F.sequence(F.lit(1), F.col("c")))).select("doc.*")
 
 
