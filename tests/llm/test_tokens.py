@@ -6,7 +6,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from wayfarer.llm import pieces as P, token_counts as C
+from wayfarer.llm import pieces as P, registry, token_counts as C
 from wayfarer.llm.piece_model import parse_model, read_model
 
 PATH = public_tokenizers.path(C.MODEL)
@@ -76,3 +76,15 @@ def test_unigram_models(text):
     data = unigram_model()
     library = sentencepiece.SentencePieceProcessor(model_proto=data)
     assert P.PieceCodec(parse_model(data)).encode([text])[0] == library.encode(text)
+
+
+def test_every_document_is_compared_with_the_library(spark):
+    rows = [(None, f"text {i}") for i in range(20)] + [(i, f"text {i}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r.parity_checked for r in P.encode_documents(docs, PATH).collect())
+    sampled = {r.parity_checked for r in P.encode_documents(docs.where("doc_id IS NULL"), PATH, parity_every=2).collect()}
+    assert sampled == {True, False}  # null ids are drawn by their texts
+
+
+def test_oracles_are_sql():
+    assert all(isinstance(sql, str) for sql in registry.ORACLES.values())

@@ -4,8 +4,8 @@ The model file's protobuf is parsed and the tokenizer rebuilt from it: normalise
 either the unigram scores or, for a BPE model such as the one at hand, the merges that its scores imply (every split of a
 piece into two pieces, in the order of the joined piece's score). Batches are encoded by the library's threads.
 
-Parity: rows of one in ``PARITY_EVERY`` by hash are encoded by the sentencepiece library as well, and a difference
-is an error. Decoding returns the text; ``round_trip`` tells whether it is the input.
+Parity: every row is encoded by the sentencepiece library as well, and a difference is an error. A caller may ask for one
+row in ``parity_every`` by hash of id and text. Decoding returns the text; ``round_trip`` tells whether it is the input.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from wayfarer.llm.piece_model import BYTE, NORMAL, SPACE, UNKNOWN, UNUSED, USER_
 MODEL = "piece_bpe_32k.model"
 #: Characters that the library gets at a time; longer texts are cut between two words.
 CALL_CHARS = 1 << 18
-PARITY_EVERY = 64
+PARITY_EVERY = 1
 THREADS = 2
 
 
@@ -155,7 +155,7 @@ def encode_documents(docs: DataFrame, path: str, threads: int = THREADS, parity_
     columns are not read. Begin, end and special tokens are never added, and their strings in a text are text.
     """
     bounded_batches(docs.sparkSession, 4 << 20)
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id").alias("h"), "text")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("h"), "text")
     return narrow.mapInArrow(_encode(path, threads, parity_every), _ENCODED)
 
 

@@ -24,6 +24,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: DuckDB SQL, where it can express the operator.
 ORACLES: dict[str, str] = {
     "op5_embedding_dedup": embedding_dedup.OP5_SQL,
-    "op8_pieces": pieces.op8_pieces,
     "op9_top_k": topk.OP9_SQL,
 }
