@@ -20,6 +20,8 @@ from wayfarer.session import cut
 
 #: Edges that one task may finish alone: 200,000 pairs of longs are 3.2 MB.
 SMALL_EDGES = 200_000
+#: Nodes that a task remembers while it thins edges.
+REMEMBERED = 1_000_000
 
 
 class UnionFind:
@@ -47,11 +49,25 @@ class UnionFind:
         return True
 
 
+class BoundedForest:
+    """Tells edges that join two sets from those within one. It forgets all when it holds too many nodes, which keeps
+    more edges than a forest needs but never loses one."""
+
+    def __init__(self, nodes: int = REMEMBERED) -> None:
+        self.nodes = nodes
+        self.sets = UnionFind()
+
+    def joins(self, a, b) -> bool:
+        if len(self.sets.parent) >= self.nodes:
+            self.sets = UnionFind()
+        return self.sets.union(a, b)
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keep the edges of a partition that join two of its sets (a spanning forest)."""
-    seen = UnionFind()
+    seen = BoundedForest()
     for batch in batches:
-        kept = [(a, b) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if seen.union(a, b)]
+        kept = [(a, b) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if seen.joins(a, b)]
         if kept:
             a, b = zip(*kept, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
