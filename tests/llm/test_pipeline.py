@@ -1,13 +1,11 @@
 """The pipeline against a plain version of every stage."""
 
-import itertools
-
 import public_tokenizers
 import sentencepiece
 
 import corpus_pipeline as P
-from wayfarer.llm import mixing, repeats, simhash, toxicity
-from wayfarer.operators.components import UnionFind
+from tests.llm.test_near_copies import groups
+from wayfarer.llm import mixing, repeats, toxicity
 
 
 def test_every_stage(spark, sf):
@@ -22,12 +20,8 @@ def test_every_stage(spark, sf):
     first = P.drop_toxic(spark, docs, sf)
     assert first.columns == docs.columns and {r.doc_id for r in first.collect()} == clean
 
-    fps = {i: simhash.fingerprint(rows[i].text.encode()) for i in clean}
-    sets = UnionFind()
-    for a, b in itertools.combinations(sorted(clean), 2):
-        if (fps[a] ^ fps[b]).bit_count() <= 4:
-            sets.union(a, b)
-    kept = {i for i in clean if sets.find(i) == i}
+    ids = sorted(clean)
+    kept = {ids[i] for i, g in enumerate(groups([(i, rows[i].text) for i in ids])) if g == i}
     second = P.drop_near_copies(spark, first, sf)
     assert second.columns == docs.columns and {r.doc_id for r in second.collect()} == kept
 

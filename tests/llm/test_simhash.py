@@ -61,9 +61,6 @@ def test_components_match_brute_force_and_edge_cases(spark):
             low[r] = min(low.get(r, i), i)
     expected = sorted((i if i is not None else -1, f, low.get(r, -1)) for (i, _), f, r in zip(rows, fps, roots, strict=True))
     assert sorted((g.doc_id if g.doc_id is not None else -1, g.fp % 2**64, g.component_id if g.component_id is not None else -1) for g in got) == expected
-    kept = S.keep_one_per_component(df)
-    assert kept.columns == df.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(low.values()))
     assert S.simhash_components(df.where("false")).count() == 0
 
 
@@ -86,15 +83,3 @@ def test_crowded_buckets_are_linked_exactly(spark):
             assert ((r.a ^ r.b) & (2**64 - 1)).bit_count() <= 4
             sets.union(r.a % 2**64, r.b % 2**64)
         assert [sets.find(x) for x in fps] == plain_components(fps)
-
-
-def test_one_row_of_every_group_stays_whatever_its_id(spark):
-    rng = random.Random(11)
-    texts = [" ".join(rng.choices([f"w{i}" for i in range(300)], k=80)) for _ in range(8)]
-    rows = [(None, t) for t in texts[:4]]  # stand alone, without an id
-    rows += [(1, texts[4]), (1, texts[5]), (1, texts[5])]  # two groups of one id
-    rows += [(2, texts[6]), (None, texts[6]), (3, texts[6]), (3, texts[7]), (None, texts[7])]  # a keeper's id in another group
-    got = S.keep_one_per_component(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    want = [(None, t) for t in texts[:4]] + [(1, texts[4]), (1, texts[5]), (2, texts[6]), (3, texts[7])]
-    key = lambda r: (r[0] is None, r[0] or 0, r[1])
-    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfarer.llm._common import bounded_batches, per_batch, raw_bytes, table
-from wayfarer.operators.components import UnionFind, connected_components
+from wayfarer.operators.components import BoundedForest, connected_components
 from wayfarer.session import written
 
 BITS = 64
@@ -83,18 +83,22 @@ def _signed(mask: int) -> int:
 
 
 def bucket_edges(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among distinct unsigned fingerprints, breadth first."""
-    edges, left = [], fps
-    while len(left) > 1:
-        front, left = [left[0]], left[1:]
-        while front and len(left):
-            x = front.pop()
-            near = np.bitwise_count(left ^ x) <= radius
-            if near.any():
-                found = left[near]
-                edges.extend((int(x), int(y)) for y in found)
-                front.extend(found)
-                left = left[~near]
+    """A spanning forest of the links among distinct unsigned fingerprints, the nearest first."""
+    if len(fps) == 2:
+        a, b = fps.tolist()
+        return [(a, b)] if (a ^ b).bit_count() <= radius else []
+    edges, left = [], fps[1:].copy()
+    away, parent = np.bitwise_count(left ^ fps[0]), np.full(len(left), fps[0])
+    while len(left):
+        i = int(away.argmin())
+        x = left[i]
+        if away[i] <= radius:
+            edges.append((int(parent[i]), int(x)))
+        left[i], away[i], parent[i] = left[-1], away[-1], parent[-1]  # the last takes its place
+        left, away, parent = left[:-1], away[:-1], parent[:-1]
+        d = np.bitwise_count(left ^ x)
+        closer = d < away
+        away[closer], parent[closer] = d[closer], x
     return edges
 
 
@@ -125,10 +129,10 @@ def _bucket_stream(masks: list[int], radius: int, bound: int):
             ends = np.concatenate((cuts, [len(t)]))
             last = len(starts) - 1
             first_key = (int(t[0]), int(key[0]))
-            for i in range(len(starts)):
+            several = ends - starts > 1  # a bucket of one needs no look, unless it may go on in another batch
+            several[[0, last]] = True
+            for i in np.flatnonzero(several).tolist():
                 a, b = int(starts[i]), int(ends[i])
-                if i and i != last and b - a == 1:
-                    continue  # a bucket of one
                 here = first_key if i == 0 else (int(t[a]), int(key[a]))
                 if here != held:
                     yield from close()
@@ -167,12 +171,12 @@ def _variant_forest(radius: int):
     """Over rows (variant, fp) sorted by variant: a spanning forest of the links that shared variants show."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, held, members = UnionFind(), None, []
+        sets, held, members = BoundedForest(), None, []
 
         def close() -> list[tuple[int, int]]:
             fps = np.array(members, np.int64).view(np.uint64)
             pairs = bucket_edges(np.unique(fps), radius) if len(members) > 1 else []
-            return [p for p in pairs if sets.union(*p)]
+            return [p for p in pairs if sets.joins(*p)]
 
         for batch in batches:
             variant, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -231,31 +235,6 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RA
     return named.select("doc_id", "fp", F.when(F.col("hit"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def keep_one_per_component(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``docs`` without all but one row of each near-duplicate group: the row of the smallest ``doc_id``.
-
-    Null ids come last; within one id the text with the smallest hash stays. A keeper is chosen for each group and found
-    again by id and 128 bits of the text's hash, so groups that share an id, or have none, each keep their own row.
-    """
-    bounded_batches(docs.sparkSession)
-    h1, h2 = F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(SEED), "text").alias("h2")
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", h1, h2)
-    marked = written(narrow.mapInArrow(_fingerprints(shingle), "doc_id long, fp long, h1 long, h2 long"), "simhash-fp")
-    roots = connected_components(fingerprint_links(marked, radius))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h1", "h2")).alias("low")
-    linked = marked.groupBy("fp").agg(first).join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    lows = linked.groupBy(F.coalesce("root", "fp").alias("g")).agg(F.min("low").alias("low")).select("low.doc_id", "low.h1", "low.h2")
-    # Rows that agree in id and text are in one group; only keepers that have such copies need a second look.
-    copies = marked.groupBy("doc_id", "h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").toDF("c_id", "c1", "c2", "n")
-    keepers = lows.join(copies, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left")
-    keepers = keepers.select(F.col("doc_id").alias("keep"), F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.coalesce("n", F.lit(1)).alias("n"))
-    whole = docs.select(F.col("doc_id").cast("long").alias("id"), h1, h2, F.struct("*").alias("doc"))  # no name can clash
-    kept = whole.join(keepers, F.col("id").eqNullSafe(F.col("keep")) & (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
-    once = kept.where("n = 1").select("doc.*")
-    again = kept.where("n > 1").dropDuplicates(["id", "h1", "h2"]).select("doc.*")
-    return once.unionByName(again)
-
-
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = simhash_components(table(spark, sf_dir, "documents"))
     return marked.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
