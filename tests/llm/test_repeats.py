@@ -27,8 +27,8 @@ def brute(rows, window=50):
     return sorted(out)
 
 
-def run(df):
-    return sorted((str(r.doc.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.sha256) for r in R.without_repeats(df, ["doc_id"]).collect())
+def run(df, **limits):
+    return sorted((str(r.doc.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.sha256) for r in R.without_repeats(df, ["doc_id"], **limits).collect())
 
 
 def corpus():
@@ -59,34 +59,32 @@ def test_matches_brute_force_and_edge_cases(spark):
     assert (106, None) in left and (107, "") in left and not any(i == 100 for i, _ in left)
 
 
-def test_parse_does_not_depend_on_segments(monkeypatch):
-    data = " ".join(t or "" for _, t in corpus()).encode()
-    whole = R.parse(data)
-    monkeypatch.setattr(R, "SEGMENT", 700)
-    cut = R.parse(data)
-    place = lambda x: np.repeat(x[0], x[2] - x[1] + 1)  # the trigger of every window
-    assert (place(whole) == place(cut)).all()
-    assert cut[1][0] == 0 and cut[2][-1] == len(data) - 50
+def test_crowded_triggers_give_the_same(spark):
+    """With tiny limits nearly every trigger is crowded and all windows are compared one by one."""
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert run(df, run_rows=1, slice_windows=1) == brute(rows)
+    assert run(df, run_rows=3, slice_windows=40) == brute(rows)
 
 
-def test_slices_of_the_dictionary(monkeypatch, spark):
-    monkeypatch.setattr(R, "SLICE_WINDOWS", 20)
+def test_many_batches_and_slices(spark):
     rows = corpus()
-    entries = []
-    for i, t in rows:
-        b = (t or "").encode()
-        for _, a, z, g, _ in zip(*R.parse(b), strict=True):
-            entries.append((i if i is not None else int(R.LAST), int(g) & 0xFFFFFFFF, int(z - a + 1), b[a : z + 50]))
-    import pyarrow as pa
-
-    ids, g, sizes, data = zip(*entries, strict=True)
-    n = len(entries)
-    table = pa.table({"bucket": pa.array([0], pa.int32()), "ids": pa.array([R.planes(np.array(ids, np.int64))]), "rids": pa.array([R.planes(np.arange(n))]), "ords": pa.array([R.planes(np.zeros(n, np.uint32))]), "triggers": pa.array([np.array(g, np.uint32).tobytes()]), "sizes": pa.array([R.planes(np.array(sizes, np.uint32))]), "data": pa.array([b"".join(data)])})
-    out = R._by_row(R._compare_dictionary(1, 50)(table))
-    first = {}
-    for i, _, s, b in entries:
-        for k in range(s):
-            first[b[k : k + 50]] = min(first.get(b[k : k + 50], i), i)
-    for k, (i, _, s, b) in enumerate(entries):
-        mask = sum(1 << x for x in range(s) if first[b[x : x + 50]] < i)
-        assert mask == (int(out[k][1][0]) if k in out else 0)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert run(df, run_rows=5, slice_windows=60) == brute(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_parse_does_not_depend_on_pieces(monkeypatch):
+    data = " ".join(t or "" for _, t in corpus()).encode()
+    whole = R.parse([data])
+    place = lambda x: np.repeat(x[3], x[2] - x[1] + 1)  # the trigger of every window
+    parts = R.parse([b"", data, b"short", data])
+    assert (parts[0][: len(whole[0])] == 1).all() and (parts[0][len(whole[0]) :] == 3).all()
+    assert all((np.concatenate((x, x)) == y).all() for x, y in zip(whole[1:], parts[1:], strict=True))
+    monkeypatch.setattr(R, "PIECE", 700)
+    cut = R.parse([data])
+    assert (place(whole) == place(cut)).all()
+    assert cut[1][0] == 0 and cut[2][-1] == len(data) - 50

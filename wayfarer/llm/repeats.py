@@ -4,16 +4,20 @@ Parse: a rolling hash of ``TRIGGER`` bytes marks trigger positions, the leftmost
 ``WINDOW`` bytes; hence each window holds the trigger it belongs to, and equal windows hold equal triggers at equal
 places. The windows of one trigger make a phrase (with the bytes up to the end of its last window), so a document is
 a sequence of overlapping phrases, and a passage that many documents share is, but for its ends, a sequence of equal
-phrases. Only (trigger, phrase, document) numbers are shuffled, about 13 bytes a phrase.
+phrases.
 
-Dictionary and parse are then combined. A phrase that is known from a smaller document is repeated as a whole, and
-the parse alone shows it. Phrases of one trigger that differ (at the ends of passages, or where the text around a
-trigger only looks alike) go into the dictionary with their bytes, from their smallest document: the dictionary's suffixes are sorted to
-the depth of a window, which brings equal windows together, and the parse tells the smallest document of each.
+The parse is sorted by trigger, phrase and document: the first document of each phrase is then at hand, and later
+ones repeat the phrase as a whole. Phrases of
+one trigger that differ (at the ends of passages, or where the text around a trigger only looks alike) go into the
+dictionary with their bytes, from their smallest document. The dictionary's suffixes are sorted to the depth of a window,
+trigger by trigger, which brings equal windows together, and the first document of each run tells which are repeated.
 
-The order of the suffixes is only needed to that depth and within triggers, so suffix arrays are built per slice of the
-dictionary and never for the corpus. Everything is exact: hashes only choose what is compared; a phrase's
-identity has 86 bits of its own and its trigger's hash.
+Both orders are cut at triggers, since equal windows share theirs, and at the depth of a window; nothing beyond is
+needed, so no suffix array of the whole corpus is built. Dictionary windows are compared byte by byte; whole phrases by 192
+bits of hashes (64 of the trigger, twice 64 of the phrase), and no bytes are fetched for those.
+
+Memory follows neither the corpus nor a hot trigger: sorted streams are cut into slices, a batch of documents sends each of
+its phrases once, and what belongs to a trigger that outgrows a slice is grouped by Spark, by phrase or by window.
 """
 
 from __future__ import annotations
@@ -23,36 +27,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfarer.llm._common import bounded_batches, planes, raw_bytes, table, unplanes
+from wayfarer.llm._common import bounded_batches, raw_bytes, table
 from wayfarer.session import written
 
 WINDOW = 50
 TRIGGER = 16
 SEED = 1050
-#: Window starts that are parsed at a time, so that memory doesn't follow a text's length.
-SEGMENT = 1 << 20
-#: Dictionary windows that are sorted at a time.
+#: Bytes that are parsed at a time, of one or of several documents, so that memory doesn't follow a text's length.
+PIECE = 1 << 18
+#: Phrases of one trigger, and dictionary windows, that a task holds at a time.
+RUN_ROWS = 250_000
 SLICE_WINDOWS = 250_000
 LAST = np.iinfo(np.int64).max
 
-_BYTE = np.random.default_rng(SEED).integers(0, 1 << 64, 256, np.uint64)
-_BASE = 0x9E3779B97F4A7C15
-_powers: dict[str, np.ndarray] = {}
+_BYTES = np.random.default_rng(SEED).integers(0, 1 << 64, (2, 256), np.uint64)
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
-    if not _powers or len(_powers["up"]) < n:
-        size = max(n, 1 << 16)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
+def _power(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo 2^64."""
+    if which not in _powers or len(_powers[which][0]) < n:
+        both = []
+        for base in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
+            steps = np.full(max(n, PIECE + 2 * WINDOW), base, np.uint64)
             steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"][:n], _powers["down"][:n]
+            both.append(np.multiply.accumulate(steps))
+        _powers[which] = (both[0], both[1])
+    return _powers[which][0][:n], _powers[which][1][:n]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -61,7 +68,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-#: Low bits of a ranked hash that hold its position within a segment.
+#: Low bits of a ranked hash that hold its position within a piece.
 _PLACE = np.uint64((1 << 21) - 1)
 
 
@@ -80,184 +87,230 @@ def _leftmost_minima(h: np.ndarray, width: int) -> np.ndarray:
     return (ranked & _PLACE).astype(np.int64)
 
 
-def parse(data: bytes, window: int = WINDOW, trigger: int = TRIGGER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Phrases of a document: trigger position, first and last window start, trigger hash, phrase hash."""
-    found = [_parse(data[at : at + SEGMENT + window - 1], at, window, trigger) for at in range(0, max(0, len(data) - window + 1), SEGMENT)]
+def _pieces(bodies: list[bytes], window: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(document, offset, bytes) in lots of about ``PIECE`` bytes; a long text is cut so that no window is lost."""
+    lot: list[tuple[int, int, bytes]] = []
+    size = 0
+    for i, data in enumerate(bodies):
+        for at in range(0, len(data) - window + 1, PIECE):
+            part = data[at : at + PIECE + window - 1]
+            lot.append((i, at, part))
+            size += len(part)
+            if size >= PIECE:
+                yield lot
+                lot, size = [], 0
+    if lot:
+        yield lot
+
+
+def parse(bodies: list[bytes], window: int = WINDOW, trigger: int = TRIGGER) -> tuple[np.ndarray, ...]:
+    """Phrases of documents: document, first and last window start, and the hashes ``g`` (trigger), ``e`` and ``f`` (phrase)."""
+    found = [_parse(lot, window, trigger) for lot in _pieces(bodies, window)]
     if not found:
         none = np.zeros(0, np.int64)
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64), none.view(np.uint64)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _parse(data: bytes, offset: int, window: int, trigger: int):
-    b = np.frombuffer(data, np.uint8)
+def _parse(lot: list[tuple[int, int, bytes]], window: int, trigger: int) -> tuple[np.ndarray, ...]:
+    lengths = np.array([len(x) for *_, x in lot])
+    begin = np.cumsum(lengths) - lengths
+    b = np.frombuffer(b"".join(x for *_, x in lot), np.uint8)
     n = len(b)
-    up, down = _power(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[b] * up[:n], out=sums[1:])
-    rolling = (sums[trigger:] - sums[: n + 1 - trigger]) * down[: n + 1 - trigger]
+    sums = []
+    for k in range(2):
+        up, _ = _power(k, n + 1)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTES[k][b] * up[:n], out=total[1:])
+        sums.append(total)
+    down = _power(0, n + 1)[1]
+    rolling = (sums[0][trigger:] - sums[0][: n + 1 - trigger]) * down[: n + 1 - trigger]
     at = _leftmost_minima(rolling, window - trigger + 1)
-    first = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
-    last = np.concatenate((first[1:] - 1, [len(at) - 1]))
-    p = at[first]
-    phrase = (sums[last + window] - sums[first]) * down[first]
+    # Windows that begin in the last bytes of a document would run into the next one.
+    inside = np.ones(len(at), bool)
+    for z in (begin + lengths)[:-1].tolist():
+        inside[z - window + 1 : z] = False
+    starts = np.flatnonzero(inside)
+    at = at[starts]
+    cut = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
+    first, last, p = starts[cut], starts[np.append(cut[1:], len(starts)) - 1], at[cut]
     shape = (p - first).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB) + (last - first).astype(np.uint64) * np.uint64(0x8EBC6AF09C88C6E3)
-    return p + offset, first + offset, last + offset, _mix(rolling[p]), _mix(phrase + shape)
+    e, f = (_mix((sums[k][last + window] - sums[k][first]) * _power(k, n + 1)[1][first] + shape) for k in range(2))
+    piece = np.searchsorted(begin, first, "right") - 1
+    who = np.array([i for i, *_ in lot])[piece]
+    shift = np.array([o for _, o, _ in lot])[piece] - begin[piece]
+    return who, first + shift, last + shift, _mix(rolling[p]), e, f
+
+
+def _columns(schema: str, *values: np.ndarray) -> pa.RecordBatch:
+    names = [c.split()[0] for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(v.view(np.int64) if v.dtype == np.uint64 else v) for v in values], names)
 
 
-_PHRASES = "bucket int, ids binary, rids binary, counts binary, ords binary, triggers binary, phrases binary, more binary"
+#: ``k`` holds the high halves of a trigger's and a phrase's hash, ``m`` the low ones: rows are sorted by the one number
+#: ``k``. Of ``kind`` 0 are phrases to be compared, of kind 1 repeats that a batch has settled by itself.
+_PHRASES = "kind int, k long, m long, f long, id long, rid long"
+_HALF, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
 
 
-def _parse_batches(buckets: int, window: int, trigger: int):
-    """Pack the phrases of each Arrow batch by bucket of the trigger's hash, grouped by document."""
-    names = [c.split()[0] for c in _PHRASES.split(", ")]
+def _interleave(g: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """High halves together and low halves together; a second call gives the two hashes back."""
+    return (g & ~_LOW) | (e >> _HALF), (g << _HALF) | (e & _LOW)
+
+
+def _parse_batches(window: int, trigger: int):
+    """One row for each phrase of a batch and its smallest document; other documents of the batch only repeat it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rids = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            who, ords, g, e = [], [], [], []
-            for i, data in enumerate(raw_bytes(batch.column(2))):
-                _, _, _, trigger_hash, phrase_hash = parse(data, window, trigger)
-                who.append(np.full(len(g_ := trigger_hash), i, np.int32))
-                ords.append(np.arange(len(g_), dtype=np.uint32))
-                g.append(g_)
-                e.append(phrase_hash)
-            if not who:
+            ids, rids = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            who, _, _, g, e, f = parse(raw_bytes(batch.column(2)), window, trigger)
+            if not len(who):
                 continue
-            who, ords, g, e = (np.concatenate(x) for x in (who, ords, g, e))
-            bucket = ((g >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")  # keeps documents and ordinals in order
-            who, ords, g, e, bucket = who[order], ords[order], g[order], e[order], bucket[order]
-            cuts = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]))
-            rows = []
-            for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if a == z:
-                    continue
-                docs, counts = np.unique(who[a:z], return_counts=True)
-                rows.append((int(bucket[a]), ids[docs].tobytes(), rids[docs].tobytes(), planes(counts.astype(np.uint32)), planes(ords[a:z]), g[a:z].astype(np.uint32).tobytes(), e[a:z].astype(np.uint32).tobytes(), (e[a:z] >> np.uint64(32)).astype(np.uint16).tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows, strict=True))], names)
+            key = g ^ (e * np.uint64(_BASES[0]))
+            order = np.argsort(key, kind="stable")
+            who, g, e, f, key = who[order], g[order], e[order], f[order], key[order]
+            id_, rid = ids[who], rids[who]
+            new = np.append(True, (key[1:] != key[:-1]) | (f[1:] != f[:-1]))
+            head = np.flatnonzero(new)
+            low = np.minimum.reduceat(id_, head)[np.cumsum(new) - 1]
+            once = new | np.append(True, rid[1:] != rid[:-1])  # a phrase that a document repeats
+            repeated = (id_ > low)[once]
+            g, e, f, id_, rid = g[once], e[once], f[once], id_[once], rid[once]
+            g = np.where(repeated, rid.view(np.uint64), g)  # settled rows are spread by document
+            yield _columns(_PHRASES, repeated.astype(np.int32), *_interleave(g, e), f, id_, rid)
 
     return run
 
 
-def _unpack(rows: pa.Table):
-    """Per phrase: document id and row, ordinal, trigger hash and phrase hash."""
-    ids, rids, ords, g, e = [], [], [], [], []
-    for r in rows.to_pylist():
-        counts = unplanes(r["counts"], np.uint32)
-        ids.append(np.repeat(np.frombuffer(r["ids"], np.int64), counts))
-        rids.append(np.repeat(np.frombuffer(r["rids"], np.int64), counts))
-        ords.append(unplanes(r["ords"], np.uint32))
-        g.append(np.frombuffer(r["triggers"], np.uint32))
-        e.append(np.frombuffer(r["phrases"], np.uint32).astype(np.uint64) | (np.frombuffer(r["more"], np.uint16).astype(np.uint64) << np.uint64(32)))
-    return tuple(np.concatenate(x) for x in (ids, rids, ords, g, e))
+_DECISIONS = "id long, rid long, e long, mask long, g long, f long"
+#: Stands for all windows of a phrase; a bit mask has at most as many bits as a phrase has windows, 35.
+ALL = np.int64(-1)
+#: Asks for the bytes of a phrase.
+ASK = np.int64(0)
+#: Leaves a phrase of a crowded trigger to Spark; ``g`` and ``f`` are only told then.
+OPEN = np.int64(1 << 62)
 
 
 def _runs(*keys: np.ndarray) -> np.ndarray:
-    """Number of the run of equal keys that each (sorted) element is in."""
+    """Which elements of sorted arrays begin a run of equal keys."""
     new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
     for k in keys:
         new[1:] |= k[1:] != k[:-1]
-    return np.cumsum(new, dtype=np.int32)
+    return new
 
 
-_DECISIONS = "part int, rids binary, ords binary, masks binary"
-#: Stands for all windows of a phrase; a bit mask never has its top bit set.
-ALL = np.uint64(1 << 63)
-#: Asks for the bytes of a phrase.
-ASK = np.uint64(0)
-
-
-def _decisions(parts: int, rids: np.ndarray, ords: np.ndarray, masks: np.ndarray) -> pa.Table:
-    """Pack per part of the documents."""
-    part = np.mod(rids, parts).astype(np.int32)
-    order = np.argsort(part, kind="stable")
-    part, rids, ords, masks = part[order], rids[order], ords[order], masks[order]
-    cuts = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)])) if len(part) else np.zeros(1, int)
-    rows = [(int(part[a]), planes(rids[a:z]), planes(ords[a:z]), planes(masks[a:z])) for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-    columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-    return pa.table({c.split()[0]: pa.array(v, pa.int32() if k == 0 else pa.binary()) for k, (c, v) in enumerate(zip(_DECISIONS.split(", "), columns, strict=True))})
-
-
-def _compare_parse(parts: int):
-    """Over the phrases of one bucket: which are repeated as a whole, and whose bytes the dictionary needs."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        ids, rids, ords, g, e = _unpack(rows)
-        del rows
-        order = np.lexsort((ids, e, g))
-        g, e = g[order], e[order]
-        trigger, phrase = _runs(g), _runs(g, e)
-        del g, e
-        ids, rids, ords = ids[order], rids[order], ords[order]
-        first = np.concatenate(([0], np.flatnonzero(phrase[1:] != phrase[:-1]) + 1))
-        low = ids[first][phrase]  # smallest document of the phrase
-        repeated = ids > low
-        head = np.concatenate(([0], np.flatnonzero(trigger[1:] != trigger[:-1]) + 1))
-        kinds = np.add.reduceat(np.isin(np.arange(len(ids)), first, assume_unique=True).astype(np.int64), head)
-        low_doc, high_doc = np.minimum.reduceat(ids, head), np.maximum.reduceat(low, head)
-        mixed = ((kinds > 1) & (low_doc < high_doc))[trigger]
-        ask = mixed & (ids == low)  # every place of the phrase in its smallest document
-        told = repeated | ask
-        return _decisions(parts, rids[told], ords[told], np.where(repeated[told], ALL, ASK))
+def _compare_parse(run_rows: int):
+    """Over phrases sorted by trigger and phrase: which are repeated as a whole, and whose bytes the dictionary needs.
+
+    A trigger is looked at as a whole: its phrases are needed if there are several and not all of one document. Those
+    of a trigger that has more than ``run_rows`` rows are left open.
+    """
+
+    def told(id_, rid, e, mask, g=None, f=None) -> pa.RecordBatch:
+        none = np.zeros(len(id_), np.int64)
+        return _columns(_DECISIONS, id_, rid, e, mask, none if g is None else g, none if f is None else f)
+
+    def judged(k, m, f, id_, rid) -> pa.RecordBatch:
+        g, e = _interleave(k, m)
+        order = np.lexsort((rid, id_, f, e, g))
+        g, e, f, id_, rid = (x[order] for x in (g, e, f, id_, rid))
+        phrase, trigger = _runs(g, e, f), _runs(g)
+        low = id_[np.flatnonzero(phrase)][np.cumsum(phrase) - 1]
+        repeated = id_ > low
+        head = np.flatnonzero(trigger)
+        kinds = np.add.reduceat(phrase.astype(np.int64), head)
+        mixed = ((kinds > 1) & (np.minimum.reduceat(id_, head) < np.maximum.reduceat(low, head)))[np.cumsum(trigger) - 1]
+        own = (repeated | mixed) & (phrase | _runs(id_, rid))
+        return told(id_[own], rid[own], e[own], np.where(repeated[own], ALL, ASK))
+
+    def left_open(k, m, f, id_, rid) -> pa.RecordBatch:
+        g, e = _interleave(k, m)
+        return told(id_, rid, e, np.full(len(e), OPEN), g, f)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        size, hot = 0, None
+        for batch in batches:
+            kind, *rows = (batch.column(c).to_numpy() for c in range(6))
+            rows = [r.view(np.uint64) if c < 3 else r for c, r in enumerate(rows)]
+            if (kind == 1).any():
+                k, m, _, id_, rid = (r[kind == 1] for r in rows)
+                yield told(id_, rid, _interleave(k, m)[1], np.full(len(k), ALL))
+            rows = [r[kind == 0] for r in rows]
+            if hot is not None and len(rows[0]):
+                n = int(np.searchsorted(rows[0] >> _HALF != hot, True))
+                if n:
+                    yield left_open(*(r[:n] for r in rows))
+                rows = [r[n:] for r in rows]
+            if not len(rows[0]):
+                continue
+            hot = None
+            held.append(rows)
+            size += len(rows[0])
+            if size < min(run_rows, 1 << 17):
+                continue
+            rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+            trigger = rows[0] >> _HALF
+            n = int(np.searchsorted(trigger == trigger[-1], True))
+            if n:
+                yield judged(*(r[:n] for r in rows))
+            rest = [r[n:] for r in rows]
+            held, size = [rest], len(rest[0])
+            if size > run_rows:
+                hot = trigger[-1]
+                yield left_open(*rest)
+                held, size = [], 0
+        if held:
+            yield judged(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
 
-_ENTRIES = "bucket int, ids binary, rids binary, ords binary, triggers binary, sizes binary, data binary"
+_ENTRIES = "g long, id long, rid long, e long, size int, data binary"
 
 
-def _by_row(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Ordinals and masks of each row id."""
-    if not rows.num_rows:
-        return {}
-    columns = [np.concatenate([unplanes(x, k) for x in rows.column(c).to_pylist()]) for c, k in (("rids", np.int64), ("ords", np.uint32), ("masks", np.uint64))]
-    order = np.argsort(columns[0], kind="stable")
-    rids, ords, masks = (c[order] for c in columns)
-    cuts = np.concatenate(([0], np.flatnonzero(rids[1:] != rids[:-1]) + 1, [len(rids)]))
-    return {int(rids[a]): (ords[a:z], masks[a:z]) for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)}
+def _told(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, phrase hash and mask of all that a batch is told."""
+    counts = np.array([0 if n is None else n for n in pc.list_value_length(column).to_pylist()], np.int64)
+    values = column.flatten()
+    return np.repeat(np.arange(len(column)), counts), values.field(0).to_numpy().view(np.uint64), values.field(1).to_numpy()
 
 
-def _fetch_phrases(buckets: int, window: int, trigger: int):
-    """Over one part of the documents: bytes of the phrases asked for, packed by bucket."""
+def _find(who: np.ndarray, e: np.ndarray, told_who: np.ndarray, told_e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (phrase, what is told about it); of equal entries the last is found."""
+    spread = lambda w, h: h ^ _mix(w.astype(np.uint64) + np.uint64(1))
+    key = spread(told_who, told_e)
+    order = np.argsort(key, kind="stable")
+    place = np.searchsorted(key[order], spread(who, e), "right") - 1
+    place = order[np.maximum(place, 0)]
+    hit = np.flatnonzero((told_who[place] == who) & (told_e[place] == e))
+    return hit, place[hit]
 
-    def run(docs: pa.Table, decisions: pa.Table) -> pa.Table:
-        wanted = _by_row(decisions)
-        ids, rids = docs.column("_id").to_pylist(), docs.column("_rid").to_pylist()
-        out: list[tuple] = []
-        chunks = {k: [] for k in ("bucket", "id", "rid", "ord", "g", "size")}
-        data: list[bytes] = []
-        body = docs.column("text")
-        done: set[int] = set()
-        for i, rid in enumerate(rids):
-            if rid not in wanted or rid in done:
-                continue
-            done.add(rid)
-            ords = np.unique(wanted[rid][0][wanted[rid][1] == ASK])
-            if not len(ords):
+
+def _fetch_phrases(window: int, trigger: int):
+    """Bytes of the phrases that are asked for, each once a document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = raw_bytes(batch.column("text"))
+            who, first, last, g, e, _ = parse(bodies, window, trigger)
+            told_who, told_e, _ = _told(batch.column("told"))
+            if not len(who) or not len(told_who):
                 continue
-            text = (body[i].as_py() or "").encode()
-            _, first, last, g, _ = parse(text, window, trigger)
-            first, last, g = first[ords], last[ords], g[ords]
-            data.extend(text[a : z + window] for a, z in zip(first.tolist(), last.tolist(), strict=True))
-            for k, v in (("bucket", ((g >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)), ("id", np.full(len(g), LAST if ids[i] is None else ids[i], np.int64)), ("rid", np.full(len(g), rid, np.int64)), ("ord", ords), ("g", g.astype(np.uint32)), ("size", (last - first + 1).astype(np.uint32))):
-                chunks[k].append(v)
-        if data:
-            c = {k: np.concatenate(v) for k, v in chunks.items()}
-            order = np.argsort(c["bucket"], kind="stable")
-            c = {k: v[order] for k, v in c.items()}
-            cuts = np.concatenate(([0], np.flatnonzero(c["bucket"][1:] != c["bucket"][:-1]) + 1, [len(order)]))
-            for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                out.append((int(c["bucket"][a]), planes(c["id"][a:z]), planes(c["rid"][a:z]), planes(c["ord"][a:z]), c["g"][a:z].tobytes(), planes(c["size"][a:z]), b"".join(data[x] for x in order[a:z].tolist())))
-        columns = list(zip(*out, strict=True)) or [[]] * 7
-        return pa.table({c.split()[0]: pa.array(list(v), pa.int32() if k == 0 else pa.binary()) for k, (c, v) in enumerate(zip(_ENTRIES.split(", "), columns, strict=True))})
+            hit, entry = _find(who, e, told_who, told_e)
+            hit = hit[np.unique(entry, return_index=True)[1]]
+            data = [bodies[w][a:z] for w, a, z in zip(who[hit].tolist(), first[hit].tolist(), (last[hit] + window).tolist(), strict=True)]
+            ids, rids = (batch.column(c).to_numpy()[who[hit]] for c in ("_id", "_rid"))
+            values = [g[hit].view(np.int64), ids, rids, e[hit].view(np.int64), (last[hit] - first[hit] + 1).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, values), pa.array(data, pa.binary())], [c.split()[0] for c in _ENTRIES.split(", ")])
 
     return run
 
 
 def suffix_order(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array of the dictionary to the depth of a window: the order, and the run of equal ones of each."""
+    """Suffix array of the dictionary to the depth of a window: the order, and where runs of equal ones begin."""
     n, size = windows.shape
     ended = np.ones((n, size + 1), np.uint8)  # a last byte of one, since numpy ignores trailing zeros
     ended[:, :size] = windows
@@ -266,134 +319,181 @@ def suffix_order(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, _runs(text[order])
 
 
-def repeated_windows(ids: np.ndarray, sizes: np.ndarray, data: np.ndarray, window: int) -> np.ndarray:
-    """Per dictionary phrase the mask of windows that a phrase of a smaller document has too."""
+def _windows(sizes: np.ndarray, data: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of phrases that lie one after the other: phrase, number within it, bytes."""
     base = np.concatenate(([0], np.cumsum(sizes + (window - 1))[:-1]))
     owner = np.repeat(np.arange(len(sizes)), sizes)
     inner = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    windows = np.lib.stride_tricks.sliding_window_view(data, window)[base[owner] + inner]
-    order, run = suffix_order(windows)
-    starts = np.concatenate(([0], np.flatnonzero(run[1:] != run[:-1]) + 1))
-    low = np.minimum.reduceat(ids[owner[order]], starts)[run]
+    return owner, inner, np.lib.stride_tricks.sliding_window_view(data, window)[base[owner] + inner]
+
+
+def repeated_windows(ids: np.ndarray, sizes: np.ndarray, data: np.ndarray, window: int) -> np.ndarray:
+    """Per dictionary phrase the mask of windows that a phrase of a smaller document has too."""
+    owner, inner, windows = _windows(sizes, data, window)
+    order, new = suffix_order(windows)
+    low = np.minimum.reduceat(ids[owner[order]], np.flatnonzero(new))[np.cumsum(new) - 1]
     hit = order[ids[owner[order]] > low]
-    masks = np.zeros(len(sizes), np.uint64)
-    np.bitwise_or.at(masks, owner[hit], np.uint64(1) << inner[hit].astype(np.uint64))
+    masks = np.zeros(len(sizes), np.int64)
+    np.bitwise_or.at(masks, owner[hit], np.int64(1) << inner[hit])
     return masks
 
 
-def _compare_dictionary(parts: int, window: int):
-    """Over the dictionary phrases of one bucket: masks of the repeated windows."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        columns: dict[str, list] = {k: [] for k in ("ids", "rids", "ords", "g", "sizes")}
-        blobs = []
-        for r in rows.to_pylist():
-            for k, v in (("ids", unplanes(r["ids"], np.int64)), ("rids", unplanes(r["rids"], np.int64)), ("ords", unplanes(r["ords"], np.uint32)), ("g", np.frombuffer(r["triggers"], np.uint32)), ("sizes", unplanes(r["sizes"], np.uint32).astype(np.int64))):
-                columns[k].append(v)
-            blobs.append(r["data"])
-        c = {k: np.concatenate(v) for k, v in columns.items()}
-        data = np.frombuffer(b"".join(blobs), np.uint8)
-        length = c["sizes"] + (window - 1)
-        at = np.cumsum(length) - length
-        order = np.argsort(c["g"], kind="stable")
-        c = {k: v[order] for k, v in c.items()}
-        at, length = at[order], length[order]
-        # Slices end between triggers: windows of different triggers are never equal.
-        ends = np.concatenate((np.flatnonzero(c["g"][1:] != c["g"][:-1]) + 1, [len(order)]))
-        done = np.cumsum(c["sizes"])[ends - 1]
-        masks = np.zeros(len(order), np.uint64)
-        a, spent = 0, 0
-        while a < len(order):
-            z = int(ends[min(max(np.searchsorted(done, spent + SLICE_WINDOWS, "right") - 1, np.searchsorted(ends, a, "right")), len(ends) - 1)])
-            take = np.repeat(at[a:z] - (np.cumsum(length[a:z]) - length[a:z]), length[a:z]) + np.arange(int(length[a:z].sum()))
-            masks[a:z] = repeated_windows(c["ids"][a:z], c["sizes"][a:z], data[take], window)
-            spent = int(np.cumsum(c["sizes"])[z - 1])
-            a = z
+#: Rows with a ``window`` are windows of a crowded trigger, still to be compared.
+_JUDGED = "id long, rid long, e long, mask long, window binary"
+
+
+def _compare_dictionary(window: int, slice_windows: int):
+    """Over dictionary phrases sorted by trigger: masks of the repeated windows."""
+
+    def entries(rows: pa.Table):
+        g, ids, rids, e, sizes = (rows.column(c).to_numpy() for c in ("g", "id", "rid", "e", "size"))
+        order = np.lexsort((e, rids, g))
+        once = order[_runs(g[order], rids[order], e[order])]
+        data = rows.column("data").take(pa.array(once)).to_pylist()
+        return ids[once], rids[once], e[once], sizes[once].astype(np.int64), np.frombuffer(b"".join(data), np.uint8)
+
+    def judged(rows: pa.Table) -> pa.RecordBatch:
+        ids, rids, e, sizes, data = entries(rows)
+        masks = repeated_windows(ids, sizes, data, window)
         told = masks != 0
-        return _decisions(parts, c["rids"][told], c["ords"][told], masks[told])
+        return pa.RecordBatch.from_arrays([pa.array(x[told]) for x in (ids, rids, e, masks)] + [pa.nulls(int(told.sum()), pa.binary())], [c.split()[0] for c in _JUDGED.split(", ")])
+
+    def crowded(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        for at in range(0, rows.num_rows, 4096):
+            ids, rids, e, sizes, data = entries(rows.slice(at, 4096))
+            owner, inner, windows = _windows(sizes, data, window)
+            yield pa.RecordBatch.from_arrays([pa.array(x[owner]) for x in (ids, rids, e)] + [pa.array(np.int64(1) << inner), pa.array([w.tobytes() for w in windows], pa.binary())], [c.split()[0] for c in _JUDGED.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size, hot = 0, None
+        for batch in batches:
+            g = batch.column(0).to_numpy()
+            if hot is not None:
+                n = int(np.searchsorted(g != hot, True)) if g[-1] != hot else len(g)
+                if n:
+                    yield from crowded(pa.Table.from_batches([batch.slice(0, n)]))
+                batch, g = batch.slice(n), g[n:]
+                if not len(g):
+                    continue
+                hot = None
+            held.append(batch)
+            size += int(batch.column(4).to_numpy().sum())
+            if size < slice_windows:
+                continue
+            rows = pa.Table.from_batches(held)
+            g = rows.column("g").to_numpy()
+            n = int(np.searchsorted(g == g[-1], True))
+            if n:
+                yield judged(rows.slice(0, n))
+            rest = rows.slice(n)
+            size = int(rest.column("size").to_numpy().sum())
+            if size >= slice_windows:
+                hot = g[-1]
+                yield from crowded(rest)
+                held, size = [], 0
+            else:
+                held = rest.to_batches()
+        if held:
+            yield judged(pa.Table.from_batches(held))
 
     return run
 
 
-def covered(text: bytes, ords: np.ndarray, masks: np.ndarray, window: int, trigger: int) -> np.ndarray:
-    """Which bytes of a document are covered by repeated windows."""
-    _, first, last, _, _ = parse(text, window, trigger)
-    edge = np.zeros(len(text) + 1, np.int64)
-    whole = np.unique(ords[masks == ALL])
+def covered(size: int, first: np.ndarray, last: np.ndarray, masks: np.ndarray, window: int) -> np.ndarray:
+    """Which bytes of a text of ``size`` bytes are covered by repeated windows of the given phrases."""
+    edge = np.zeros(size + 1, np.int64)
+    whole = masks == ALL
     np.add.at(edge, first[whole], 1)
     np.add.at(edge, last[whole] + window, -1)
-    some = masks != ALL
-    if some.any():
-        bits = np.unpackbits(masks[some].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    if not whole.all():
+        bits = np.unpackbits(masks[~whole].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         row, bit = np.nonzero(bits)
-        start = np.unique(first[ords[some][row]] + bit)
+        start = first[~whole][row] + bit
         np.add.at(edge, start, 1)
         np.add.at(edge, start + window, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
 def _apply(carried: bool, as_text: bool, window: int, trigger: int):
-    """Over one part of the documents: their columns with the bytes kept, and what was removed."""
-
-    def run(docs: pa.Table, decisions: pa.Table) -> pa.Table:
-        told = _by_row(decisions)
-        kept, n_bytes, removed, spans = [], [], [], []
-        rids, body = docs.column("_rid").to_pylist(), docs.column("text")
-        for i, rid in enumerate(rids):
-            text = (body[i].as_py() or "").encode()
-            n_bytes.append(len(text))
-            if rid in told:
-                gone = covered(text, *told[rid], window, trigger)
-                removed.append(int(gone.sum()))
-                spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
-                text = np.frombuffer(text, np.uint8)[~gone].tobytes()
-            else:
-                removed.append(0)
-                spans.append(0)
-            kept.append(text)
-        out = {"doc": docs.column("_doc")} if carried else {}
-        left = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
-        out |= {"kept": left, "given": pa.array([x.is_valid for x in body], pa.bool_()), "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64())}
-        out["sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())
-        return pa.table(out)
+    """Documents with the bytes kept, and what was removed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = raw_bytes(batch.column("text"))
+            kept, removed, spans = list(bodies), [0] * len(bodies), [0] * len(bodies)
+            told_who, told_e, masks = _told(batch.column("told"))
+            some = np.unique(told_who)
+            who, first, last, _, e, _ = parse([bodies[i] for i in some], window, trigger)
+            if len(who):
+                who = some[who]
+                order = np.lexsort((told_e, told_who))
+                told_who, told_e, masks = told_who[order], told_e[order], masks[order]
+                head = np.flatnonzero(_runs(told_who, told_e))
+                masks = np.bitwise_or.reduceat(masks, head)  # one phrase may have several
+                hit, entry = _find(who, e, told_who[head], told_e[head])
+                cuts = np.searchsorted(who[hit], np.arange(len(bodies) + 1))
+                for i in some.tolist():
+                    here = slice(cuts[i], cuts[i + 1])
+                    gone = covered(len(bodies[i]), first[hit[here]], last[hit[here]], masks[entry[here]], window)
+                    removed[i] = int(gone.sum())
+                    spans[i] = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
+                    kept[i] = np.frombuffer(bodies[i], np.uint8)[~gone].tobytes()
+            out = {"doc": batch.column("_doc")} if carried else {}
+            left = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            out |= {"kept": left, "given": batch.column("text").is_valid(), "n_bytes": pa.array([len(x) for x in bodies], pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64())}
+            out["sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     return run
 
 
-def without_repeats(docs: DataFrame, keep: list[str], window: int = WINDOW, trigger: int = TRIGGER, as_text: bool = False) -> DataFrame:
+def _per_row(decisions: DataFrame) -> DataFrame:
+    """What is told about each document, in one row; never more than the document has phrases."""
+    return decisions.groupBy(F.col("id").alias("t_id"), F.col("rid").alias("t_rid")).agg(F.collect_list(F.struct("e", "mask")).alias("told"))
+
+
+def without_repeats(docs: DataFrame, keep: list[str], window: int = WINDOW, trigger: int = TRIGGER, as_text: bool = False, run_rows: int = RUN_ROWS, slice_windows: int = SLICE_WINDOWS) -> DataFrame:
     """For every row of ``docs`` its ``keep`` columns in a struct ``doc``, with ``kept`` (the bytes left, or as text
     what of them is valid UTF-8), ``given`` (the text isn't null), ``n_bytes``, ``n_removed``, ``n_spans`` and ``sha256``.
 
     A byte goes if a string of ``window`` bytes that covers it also starts in a document of a smaller ``doc_id``;
     strings don't cross documents and are judged on the input. Null texts are empty; texts shorter than a window lose
     nothing. Null ids come after all others; rows of equal ``doc_id`` don't take from each other. Repeated rows
-    are treated alike. An empty table gives no rows.
+    are treated alike. Very long texts are parsed in pieces. An empty table gives no rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    # Documents and dictionary split finer than the parse: their rows are wide, those of the parse carry ids along. Each
-    # bucket answers each part in one packed row, so neither number should be larger than memory asks for.
-    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    buckets, parts = n, 2 * n
-    rid = F.xxhash64(F.col("doc_id").cast("long"), "text")
-    order_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST)))
-    narrow = docs.select(order_id.alias("_id"), rid.alias("_rid"), "text")
-    phrases = narrow.mapInArrow(_parse_batches(buckets, window, trigger), _PHRASES)
-    whole = written(phrases.groupBy("bucket").applyInArrow(_compare_parse(parts), _DECISIONS), "repeats-parse")
+    rid = F.xxhash64(F.col("doc_id").cast("long"), "text").alias("_rid")
+    order_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("_id")
+    phrases = docs.select(order_id, rid, "text").mapInArrow(_parse_batches(window, trigger), _PHRASES)
+    ordered = phrases.repartition(F.shiftrightunsigned("k", 32)).sortWithinPartitions("k")
+    whole = written(ordered.mapInArrow(_compare_parse(run_rows), _DECISIONS), "repeats-parse")
+    open_ = whole.where(F.col("mask") == int(OPEN))
+    whole = whole.where(F.col("mask") != int(OPEN)).select("id", "rid", "e", "mask")
+    if not open_.isEmpty():
+        firsts = open_.groupBy("g", "e", "f").agg(F.min("id").alias("low"))
+        judged = F.when(F.col("id") > F.col("low"), F.lit(int(ALL))).otherwise(F.lit(int(ASK))).alias("mask")
+        whole = whole.unionByName(open_.join(firsts, ["g", "e", "f"]).select("id", "rid", "e", judged).distinct())
 
     # What is carried along travels in one struct, so that no name can clash.
     carried = [c for c in keep if c != "text"]
-    doc = [F.struct(*carried).alias("_doc")] if carried else []
-    rows = docs.select(*doc, "text", order_id.alias("_id"), rid.alias("_rid"), F.pmod(rid, F.lit(parts)).cast("int").alias("_part"))
-    texts = rows.select("_id", "_rid", "_part", "text")
-    asked = texts.groupBy("_part").cogroup(whole.groupBy("part")).applyInArrow(_fetch_phrases(parts, window, trigger), _ENTRIES)
-    some = written(asked.groupBy("bucket").applyInArrow(_compare_dictionary(parts, window), _DECISIONS), "repeats-dictionary")
+    rows = docs.select(*([F.struct(*carried).alias("_doc")] if carried else []), "text", order_id, rid)
+    same = (F.col("_id") == F.col("t_id")) & (F.col("_rid") == F.col("t_rid"))
+    asked = _per_row(whole.where(F.col("mask") == int(ASK)))
+    entries = rows.select("_id", "_rid", "text").join(asked, same).mapInArrow(_fetch_phrases(window, trigger), _ENTRIES)
+    ordered = entries.repartition("g").sortWithinPartitions("g")
+    some = written(ordered.mapInArrow(_compare_dictionary(window, slice_windows), _JUDGED), "repeats-dictionary")
+    told = whole.where(F.col("mask") != int(ASK)).unionByName(some.where("window IS NULL").drop("window"))
+    crowded = some.where("window IS NOT NULL")
+    if not crowded.isEmpty():
+        firsts = crowded.groupBy("window").agg(F.min("id").alias("low"))
+        told = told.unionByName(crowded.join(firsts, "window").where("id > low").select("id", "rid", "e", "mask"))
 
-    told = whole.unionByName(some).mapInArrow(_drop_asks, _DECISIONS)
     kind = T.StructType([T.StructField("doc", f.dataType) for f in rows.schema.fields if f.name == "_doc"])
     for name, of in (("kept", T.StringType() if as_text else T.BinaryType()), ("given", T.BooleanType()), ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("sha256", T.StringType())):
         kind.add(name, of)
-    return rows.groupBy("_part").cogroup(told.groupBy("part")).applyInArrow(_apply(bool(carried), as_text, window, trigger), kind)
+    return rows.join(_per_row(told), same, "left").mapInArrow(_apply(bool(carried), as_text, window, trigger), kind)
 
 
 def cleaned_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -415,18 +515,6 @@ def cleaned_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return left.select(*columns)
 
 
-def _drop_asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for r in batch.to_pylist():
-            masks = unplanes(r["masks"], np.uint64)
-            keep = masks != ASK
-            if keep.any():
-                rows.append((r["part"], planes(unplanes(r["rids"], np.int64)[keep]), planes(unplanes(r["ords"], np.uint32)[keep]), planes(masks[keep])))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows, strict=True))], [c.split()[0] for c in _DECISIONS.split(", ")])
-
-
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = without_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
     return left.select("doc.doc_id", "n_bytes", "n_removed", "n_spans", F.col("sha256").alias("kept_sha256"))
