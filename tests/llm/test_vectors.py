@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from wayfarer.llm import embedding_dedup as E, topk as K
 from wayfarer.operators.components import UnionFind
@@ -44,33 +45,38 @@ def test_links_match_brute_force_and_edge_cases(spark):
     expected = sorted((str(i), n[k], str(low.get(sets.find(k)))) for k, (i, _, _) in enumerate(rows))
     for chunk in (512, 7):
         got = E.embedding_links(df, chunk_rows=chunk).collect()
-        assert sum(r.n_links for r in got) >= 0.97 * sum(n) and len(got) == len(rows)
-        if sum(r.n_links for r in got) == sum(n):
-            assert sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in got) == expected
+        assert len(got) == len(rows)
+        assert sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in got) == expected
         assert all(r.kept == (r.vec_id == r.component_id) for r in got)
     assert E.embedding_links(df.where("false")).count() == 0
 
 
-def test_recall_at_the_threshold():
-    """Pairs right at the threshold share a direction nearly always."""
+@pytest.mark.parametrize("rows", [2_000, 50_000, 1_000_000])
+def test_recall_and_work_at_every_size(rows):
+    """Pairs right at the threshold share a direction nearly always, whatever the number of directions."""
     rng = np.random.default_rng(11)
+    words = E.code_words(rows)
     x = E.unit_rows(rng.standard_normal((600, 64)))
     y = rng.standard_normal((600, 64))
     y = E.unit_rows(y - (x * y).sum(1, keepdims=True) * x)
     y = 0.93 * x + math.sqrt(1 - 0.93**2) * y
     own = []
     for v in (x, y):
-        rows, directions = E.decode(v)
+        at, directions = E.decode(v, words)
         found = [set() for _ in range(600)]
-        for r, d in zip(rows.tolist(), directions.tolist(), strict=True):
+        for r, d in zip(at.tolist(), directions.tolist(), strict=True):
             found[r].add(d)
         own.append(found)
-    assert sum(bool(a & b) for a, b in zip(*own, strict=True)) / 600 >= 0.95
+        assert E.LISTS <= len(at) / 600 <= 2 * E.LISTS
+        assert rows * len(at) / 600 / words**2 <= 2 * E.BUCKET  # vectors of a direction
+    assert sum(bool(a & b) for a, b in zip(*own, strict=True)) / 600 >= 0.97
 
 
 def test_top_k_matches_brute_force_and_edge_cases(spark, monkeypatch):
     monkeypatch.setattr(K, "SHARD_ROWS", 9)
     monkeypatch.setattr(K, "TILE_ROWS", 4)
+    monkeypatch.setattr(K, "TILES", 2)
+    monkeypatch.setattr(K, "SHARDS", 3)
     rng = random.Random(4)
     rows = [(i, [rng.choice([-1.0, -0.5, 0.0, 0.25, 1.0]) for _ in range(6)]) for i in range(400)]  # many ties
     rows += [(1000, None), (1050, [None] * 6), (1100, [float("nan")] * 6), (None, [1.0] * 6), (1150, [1.0, 2.0]), (7, rows[7][1])]

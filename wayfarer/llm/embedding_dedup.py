@@ -6,16 +6,21 @@ inner product exceeds the cap's height; only code words of the first half that s
 it are looked at. Vectors that share a direction (and a label) are compared in double precision, and a pair counts in
 the smallest direction it shares, hence once.
 
-Equal vectors collapse before the search. The members of a direction are cut into chunks, and a task compares two
-chunks: it returns the number of links of each member and a spanning forest of the links, never the pairs.
-
-Every vector has its ``AT_LEAST`` best directions in any case, since a vector far from all code words would else have
-few or none. ``tests/llm`` measures the recall against brute force, at the threshold too.
+Equal vectors collapse before the search. The number of directions follows the number of vectors of a label, and the height of the caps follows both, so that
+a vector keeps about ``LISTS`` directions and a direction about ``BUCKET`` vectors at any size; the work for a vector
+doesn't grow with the table. Only groups of vectors close to each other crowd a direction: its members are cut into
+chunks, and a task compares two chunks: it returns the number of links of each member and a spanning forest of the
+links, never the pairs.
+
+Every vector has its ``LISTS`` best directions in any case, since a vector far from all code words would else have
+few or none. ``tests/llm`` measures the recall against brute force, at the threshold and at several numbers of directions.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +33,35 @@ from wayfarer.operators.components import connected_components
 from wayfarer.session import written
 
 THRESHOLD = 0.93
+#: Code words of a half for the smallest tables; doubled until directions are long enough apart.
 CODE_WORDS = 64
-#: Height of a cap in standard deviations of the inner product with a random direction.
-HEIGHT = 2.6
-AT_LEAST = 20
+#: Directions that a vector has about, and at least.
+LISTS = 20
+#: Vectors that a direction may have on average before the code grows.
+BUCKET = 64
+#: Best words of each half that a vector is decoded from: all of its directions, if they are no more than these.
+BEST_WORDS = 64
 CHUNK_ROWS = 512
 SEED = 5
 
 
+def code_words(rows: int) -> int:
+    """Words of a half for a label of ``rows`` different vectors: directions are the square of it."""
+    words = CODE_WORDS
+    while rows * LISTS > BUCKET * words * words:
+        words *= 2
+    return words
+
+
+def cap_height(words: int) -> float:
+    """Height, in standard deviations of the inner product with a random direction, that leaves about 1.2 ``LISTS``."""
+    return NormalDist().inv_cdf(1 - 1.2 * LISTS / words**2)
+
+
+@functools.lru_cache(8)
 def code(dim: int, words: int = CODE_WORDS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Code words of both halves; halves of equal weight, so that every product has length one."""
-    rng = np.random.default_rng([seed, dim])
+    rng = np.random.default_rng([seed, dim] if words == CODE_WORDS else [seed, dim, words])
     halves = []
     for size in (dim - dim // 2, dim // 2):
         c = rng.standard_normal((words if size else 1, size))
@@ -48,23 +71,24 @@ def code(dim: int, words: int = CODE_WORDS, seed: int = SEED) -> tuple[np.ndarra
     return halves[0], halves[1]
 
 
-def decode(unit: np.ndarray, words: int = CODE_WORDS, height: float = HEIGHT) -> tuple[np.ndarray, np.ndarray]:
-    """(row, direction) of all directions that rows exceed the height in; each row has its best one at least."""
+def _best(a: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the ``n`` largest of each row."""
+    n = min(n, a.shape[1])
+    place = np.argpartition(a, a.shape[1] - n, axis=1)[:, a.shape[1] - n :]
+    return place, np.take_along_axis(a, place, 1)
+
+
+def decode(unit: np.ndarray, words: int = CODE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(row, direction) of all directions that rows exceed the height in; each row has its ``LISTS`` best at least."""
     dim = unit.shape[1]
     first, second = code(dim, words)
-    a, b = unit[:, : first.shape[1]] @ first.T, unit[:, first.shape[1] :] @ second.T
-    bar = height / np.sqrt(dim)
-    rows, i = np.nonzero(a + b.max(1, keepdims=True) >= bar)
-    hit, j = np.nonzero(a[rows, i][:, None] + b[rows] >= bar)
-    rows, direction = rows[hit], i[hit] * second.shape[0] + j
-    few = np.flatnonzero(np.bincount(rows, minlength=len(unit)) < min(AT_LEAST, a.shape[1] * b.shape[1]))
-    if len(few):
-        sums = (a[few][:, :, None] + b[few][:, None, :]).reshape(len(few), -1)
-        own = min(AT_LEAST, sums.shape[1])
-        best = np.argpartition(sums, sums.shape[1] - own, axis=1)[:, sums.shape[1] - own :]
-        keep = ~np.isin(rows, few)
-        rows, direction = np.concatenate([rows[keep], np.repeat(few, own)]), np.concatenate([direction[keep], best.ravel()])
-    return rows, direction
+    i, a = _best(unit[:, : first.shape[1]] @ first.T, BEST_WORDS)
+    j, b = _best(unit[:, first.shape[1] :] @ second.T, BEST_WORDS)
+    sums = (a[:, :, None] + b[:, None, :]).reshape(len(unit), -1)
+    own = min(LISTS, sums.shape[1])
+    bar = np.partition(sums, sums.shape[1] - own, axis=1)[:, sums.shape[1] - own]
+    rows, at = np.nonzero(sums >= np.minimum(bar, cap_height(words) / np.sqrt(dim))[:, None])
+    return rows, i[rows, at // j.shape[1]].astype(np.int64) * second.shape[0] + j[rows, at % j.shape[1]]
 
 
 def _narrow(m: np.ndarray) -> list[bytes]:
@@ -84,37 +108,37 @@ def unit_rows(m: np.ndarray) -> np.ndarray:
     return m / np.sqrt((m * m).sum(1, keepdims=True))
 
 
-_ENTRY = "label long, dim int, direction int, id long, n long, v binary, directions binary"
+_ENTRY = "label long, dim int, direction long, id long, n long, v binary, directions binary"
 
 
-def _decode(words: int, height: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in _ENTRY.split(", ")]
-        for batch in batches:
-            label, ids, n = (batch.column(c).to_numpy() for c in ("label", "id", "n"))
-            dims = batch.column("dim").to_numpy()
-            for dim in np.unique(dims):
-                where = np.flatnonzero(dims == dim)
-                for at in range(0, len(where), 256):
-                    some = where[at : at + 256]
-                    raw = matrix(batch.column("v").take(pa.array(some)))
-                    rows, direction = decode(unit_rows(raw), words, height)
-                    order = np.lexsort((direction, rows))
-                    rows, direction = rows[order], direction[order].astype(np.int32)
-                    own = [x.tobytes() for x in np.split(direction, np.flatnonzero(np.diff(rows)) + 1)]
-                    vectors = _narrow(raw)
-                    pick = some[rows]
-                    yield pa.RecordBatch.from_arrays([pa.array(label[pick]), pa.array(np.full(len(pick), dim, np.int32)), pa.array(direction), pa.array(ids[pick]), pa.array(n[pick]), pa.array([vectors[r] for r in rows], pa.binary()), pa.array([own[r] for r in rows], pa.binary())], names)
-
-    return run
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in _ENTRY.split(", ")]
+    for batch in batches:
+        label, ids, n = (batch.column(c).to_numpy() for c in ("label", "id", "n"))
+        kinds = np.stack([batch.column(c).to_numpy() for c in ("dim", "words")], 1)
+        for dim, words in np.unique(kinds, axis=0).tolist():
+            where = np.flatnonzero((kinds == (dim, words)).all(1))
+            for at in range(0, len(where), 256):
+                some = where[at : at + 256]
+                raw = matrix(batch.column("v").take(pa.array(some)))
+                rows, direction = decode(unit_rows(raw), words)
+                order = np.lexsort((direction, rows))
+                rows, direction = rows[order], direction[order]
+                own = [x.tobytes() for x in np.split(direction, np.flatnonzero(np.diff(rows)) + 1)]
+                vectors = _narrow(raw)
+                pick = some[rows]
+                yield pa.RecordBatch.from_arrays([pa.array(label[pick]), pa.array(np.full(len(pick), dim, np.int32)), pa.array(direction), pa.array(ids[pick]), pa.array(n[pick]), pa.array([vectors[r] for r in rows], pa.binary()), pa.array([own[r] for r in rows], pa.binary())], names)
 
 
 def _bitmap(lists: list[bytes], below: int) -> np.ndarray:
-    """Bit sets, in 64-bit words, of the directions smaller than ``below``."""
-    bits = np.zeros((len(lists), max(1, -(-below // 64)) * 64), np.uint8)
-    for r, x in enumerate(lists):
-        own = np.frombuffer(x, np.int32)
-        bits[r, own[own < below]] = 1
+    """Bit sets, in 64-bit words, of the directions smaller than ``below`` that occur in the lists."""
+    own = [np.frombuffer(x, np.int64) for x in lists]
+    row = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    values = np.concatenate(own)
+    row, values = row[values < below], values[values < below]
+    known, column = np.unique(values, return_inverse=True)
+    bits = np.zeros((len(lists), max(1, -(-len(known) // 64)) * 64), np.uint8)
+    bits[row, column] = 1
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
 
 
@@ -193,7 +217,7 @@ def _links(threshold: float):
     return run
 
 
-def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, words: int = CODE_WORDS, height: float = HEIGHT, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors`` (``vec_id, embedding, label``).
 
     Rows with a null label, and vectors that are null, empty, zero or hold null or non-finite components, link with
@@ -207,7 +231,11 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, words: int
     classes = valid.groupBy("label", "v").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("n"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("id"), "label", "v", F.size("v").alias("dim"), "low", "n"), "embedding-classes")
     bounded_batches(spark)
-    entries = classes.select("label", "id", "n", "dim", "v").mapInArrow(_decode(words, height), _ENTRY)
+    # One row for each label and length of vector; the code of each is as large as it has vectors.
+    counts = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("rows"))
+    doublings = F.ceil(F.log2(F.sqrt(F.col("rows") * LISTS / BUCKET) / CODE_WORDS))
+    counts = counts.select("label", "dim", (F.lit(CODE_WORDS) * F.pow(F.lit(2), F.greatest(doublings, F.lit(0)))).cast("int").alias("words"))
+    entries = classes.join(counts, ["label", "dim"]).select("label", "id", "n", "dim", "words", "v").mapInArrow(_decode, _ENTRY)
     keys = ["label", "dim", "direction"]
     sizes = entries.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"))
     crowded = sizes.where(F.col("m") > chunk_rows).select(*[F.col(k).alias(f"_{k}") for k in keys], F.ceil(F.col("m") / F.lit(chunk_rows)).cast("int").alias("k"))

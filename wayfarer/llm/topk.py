@@ -1,8 +1,9 @@
 """Exact top-k search by tiled matrix products (operator 9).
 
-Candidates are packed into shards and queries into tiles, each a matrix of bounded size. Every tile meets every
-shard in one integer matrix product, of which the best ``k`` per query are kept; the lists of a query are then merged
-over ever larger groups of shards.
+Candidates are packed into shards and queries into tiles, each a matrix of bounded size. A task holds a group of tiles
+while a group of shards streams past: every tile meets every shard in one integer matrix product, of which the best
+``k`` per query are kept. A shard is sent once for each group of tiles, not for each tile. The lists of a query are
+merged over ever larger groups of shards.
 """
 
 from __future__ import annotations
@@ -24,16 +25,20 @@ EVERY = 50
 SCALE = 256
 SHARD_ROWS = 4096
 TILE_ROWS = 1024
+#: Tiles that a task holds, and shards that stream past them.
+TILES, SHARDS = 32, 64
 MERGE_FAN_IN = 16
-#: Sums of integer products below this are exact in double precision.
-_EXACT = float(1 << 53)
+#: Sums of integer products below these are exact in single and in double precision.
+_EXACT_SINGLE, _EXACT = float(1 << 24), float(1 << 53)
 
 
 def _pack(key: tuple, rows: pa.Table) -> pa.Table:
-    """One row per group: ids and scaled components, in the order of ids, as packed 8-byte numbers."""
+    """One row per group: ids and scaled components, in the order of ids, in the narrowest numbers that hold them."""
     ids = rows.column("vec_id").combine_chunks().to_numpy(zero_copy_only=False)
     order = np.argsort(ids, kind="stable")
     whole = np.floor(SCALE * matrix(rows.column("v").combine_chunks())[order])
+    most = np.abs(whole).max(initial=0)
+    whole = whole.astype(np.int16 if most < 1 << 15 else np.int32 if most < 1 << 31 else np.float64)
     return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "dim": pa.array([key[1].as_py()], pa.int32()), "ids": pa.array([ids[order].astype(np.int64).tobytes()], pa.binary()), "m": pa.array([whole.tobytes()], pa.binary())})
 
 
@@ -53,8 +58,10 @@ def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Exact integer inner products: in double precision where that is exact, else in unbounded integers."""
     if not q.size or not c.size:
         return np.zeros((len(q), len(c)), np.int64)
-    if np.abs(q).max() * np.abs(c).max() * q.shape[1] < _EXACT:
-        return (q @ c.T).astype(np.int64)
+    bound = float(np.abs(q).max()) * float(np.abs(c).max()) * q.shape[1]
+    if bound < _EXACT:
+        kind = np.float32 if bound < _EXACT_SINGLE else np.float64
+        return (q.astype(kind) @ c.T.astype(kind)).astype(np.int64)
     whole = np.vectorize(int, otypes=[object])
     exact = whole(q) @ whole(c).T
     bound = (1 << 63) - 1
@@ -78,18 +85,53 @@ def tile_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
     return q_ids[rows[best]], c_ids[cols[best]], value[best]
 
 
+def _unpack(ids: bytes, m: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    names = np.frombuffer(ids, np.int64)
+    width = len(m) // (len(names) * dim) if dim else 8
+    return names, np.frombuffer(m, {2: np.int16, 4: np.int32, 8: np.float64}[width]).astype(np.float64).reshape(len(names), dim)
+
+
 def _search(k: int):
+    """Over tiles and shards sorted by cell, tiles first: the best of the cell's shards for each query of its tiles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell: tuple | None = None
+        tiles: list[tuple[np.ndarray, np.ndarray]] = []
+        best: list[tuple[np.ndarray, np.ndarray, np.ndarray] | None] = []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            for found in best:
+                if found is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found[0]), cell[1], np.int64)), *map(pa.array, found)], ["part", "query_id", "vec_id", "score"])
+
         for batch in batches:
-            for r in batch.to_pylist():
-                q_ids, c_ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                q, c = (np.frombuffer(m, np.float64).reshape(len(ids), r["dim"]) for m, ids in ((r["q_m"], q_ids), (r["m"], c_ids)))
-                a, b, s = tile_top(q_ids, q, c_ids, c, k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), r["part"], np.int64)), pa.array(a), pa.array(b), pa.array(s)], ["part", "query_id", "vec_id", "score"])
+            for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+                here = (r["dim"], r["shards"], r["tiles"])
+                if here != cell:
+                    yield from close()
+                    cell, tiles, best = here, [], []
+                ids, m = _unpack(r["ids"], r["m"], r["dim"])
+                if r["kind"] == 0:
+                    tiles.append((ids, m))
+                    best.append(None)
+                    continue
+                for i, (q_ids, q) in enumerate(tiles):
+                    found = tile_top(q_ids, q, ids, m, k)
+                    best[i] = found if best[i] is None else _merge(best[i], found, k)
+        yield from close()
 
     return run
 
 
+def _merge(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
+    """The k best of two lists of (query, candidate, score)."""
+    q, c, s = (np.concatenate(x) for x in zip(a, b, strict=True))
+    order = np.lexsort((c, -s, q))
+    q, c, s = q[order], c[order], s[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], c[keep], s[keep]
+
+
 def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k candidates of the highest integer inner product of each query.
 
@@ -102,15 +144,17 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFr
     bounded_batches(spark)
     clean = lambda df: df.where(F.col("vec_id").isNotNull() & finite(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     asked = clean(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
-    shards = written(packed(clean(candidates), SHARD_ROWS), "topk-shards")
-    tiles = written(packed(asked, TILE_ROWS), "topk-tiles").select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
-    # Each tile is sent to each shard of its length: blocks of the stated query set, not pairs of rows.
-    lists = shards.groupBy("dim").agg(F.max("part").alias("last")).withColumnRenamed("dim", "_dim")
-    sent = tiles.join(lists, F.col("q_dim") == F.col("_dim")).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+    shards = written(packed(clean(candidates), SHARD_ROWS), "topk-shards").withColumn("shards", F.floor(F.col("part") / F.lit(SHARDS)))
+    tiles = written(packed(asked, TILE_ROWS), "topk-tiles").withColumn("tiles", F.floor(F.col("part") / F.lit(TILES)))
+    # Groups of tiles meet groups of shards of their length: blocks of the stated query set, not pairs of rows.
+    groups = lambda df, name: df.groupBy("dim").agg(F.max(name).alias("last"))
+    every = lambda df, other, name: df.join(F.broadcast(groups(other, name)), "dim").withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+    columns = ["dim", "shards", "tiles", "kind", "part", "ids", "m"]
+    both = every(tiles.withColumn("kind", F.lit(0)), shards, "shards").select(columns).unionByName(every(shards.withColumn("kind", F.lit(1)), tiles, "tiles").select(columns))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = shards.join(sent, (F.col("dim") == F.col("q_dim")) & (F.col("part") == F.col("_part"))).select("part", "dim", "ids", "m", "q_ids", "q_m")
-    found = met.repartition(n).mapInArrow(_search(k), "part long, query_id long, vec_id long, score long")
-    last = shards.agg(F.max("part")).first()[0] or 0
+    met = both.repartition(n, "dim", "shards", "tiles").sortWithinPartitions("dim", "shards", "tiles", "kind", "part")
+    found = met.mapInArrow(_search(k), "part long, query_id long, vec_id long, score long")
+    last = shards.agg(F.max("shards")).first()[0] or 0
     best = [F.desc("score"), F.asc("vec_id")]
     while last > 0:
         last //= MERGE_FAN_IN
