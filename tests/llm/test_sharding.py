@@ -1,3 +1,4 @@
+import math
 import zlib
 from collections import Counter
 
@@ -13,6 +14,31 @@ def test_matrix_sums():
     assert abs(draws.mean() - 25) < 0.5 and 4 < draws.var() < 9  # hypergeometric: 6.3
 
 
+def test_draws_beyond_the_limit_of_numpy():
+    """With a lowered limit all draws go by splitting; their frequencies are the exact ones."""
+    rng = np.random.default_rng(3)
+    for good, bad, n in ((7, 12, 6), (3, 30, 20), (10, 0, 4), (0, 9, 5), (5, 5, 10), (6, 6, 0)):
+        draws = Counter(S.hypergeometric(rng, good, bad, n, population=2) for _ in range(6000))
+        for k in range(n + 1):
+            exact = math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n)
+            assert abs(draws[k] / 6000 - exact) < 0.03
+    big = [S.hypergeometric(rng, 3 * 10**12, 10**12, 10**12) for _ in range(50)]
+    assert abs(np.mean(big) / 7.5e11 - 1) < 1e-5 and len(set(big)) > 1
+
+
+def test_every_row_goes_anywhere(spark):
+    """Over many seeds each row reaches each shard and each slot about equally often, and pairs part as they should."""
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(12)], "doc_id long, text string")
+    seen, together = Counter(), 0
+    for seed in range(60):
+        got = {r.doc_id: (r.shard, r.slot) for r in S.shard_rows(df, 3, seed, cell_rows=4).collect()}
+        seen.update((i, *v) for i, v in got.items())
+        together += got[0][0] == got[1][0]
+    assert all(sum(seen[i, s, k] for k in range(4)) >= 8 for i in range(12) for s in range(3))  # 20 expected
+    assert all(sum(seen[i, s, k] for s in range(3)) >= 4 for i in range(12) for k in range(4))  # 15 expected
+    assert abs(together / 60 - 3 / 11) < 0.2
+
+
 def test_exact_sizes_slots_and_edge_cases(spark):
     rows = [(i, f"text {i % 7}", "x") for i in range(500)] + [(None, None, "x"), (None, "", "x"), (3, "text 3", "x"), (3, "text 3", "x"), (9, "é" * 5000, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, shard string")

@@ -41,6 +41,49 @@ def test_lexicon_exceptions_and_edge_cases(spark):
     assert T.toxicity_scores(df.where("false"), lexicon).count() == 0
 
 
+def test_matches_begin_words_whatever_surrounds_them():
+    """An exception that only occurs within a word doesn't hide a pattern of its own."""
+    lexicon = T.Lexicon({"are": 2.0}, ["asses are fine"])
+    found = lambda t: T.weight_of(T.fold(t), lexicon.automaton())[0]
+    assert found("grasses are fine") == 2.0 and found("asses are fine") == 0.0 and found("\x01bare (aren't) care") == 2.0
+
+
+def plain_weight(text, weights, exceptions):
+    """Scan from the left: at each word start the longest pattern or exception that fits, then on behind it."""
+    total, at = 0.0, 0
+    while at < len(text):
+        fits = [x for x in [*weights, *exceptions] if text.startswith(x, at)] if text[at].isalpha() and (at == 0 or not text[at - 1].isalpha()) else []
+        if fits:
+            best = max(fits, key=len)
+            total += weights.get(best, 0.0)
+            at += len(best)
+        else:
+            at += 1
+    return total
+
+
+def test_weights_match_a_plain_scan():
+    rng = random.Random(6)
+    words = ["ab", "abc", "ba", "b", "cab", "c", "abab", "a-b", "(ba"]
+    for _ in range(300):
+        weights = {w: rng.random() for w in rng.sample(["ab", "abc", "ba", "cab", "abab"], 3)}
+        exceptions = [" ".join(rng.choices(["ab", "abc", "ba", "c"], k=2)) for _ in range(2)]
+        text = " ".join(rng.choices(words, k=12))
+        got = T.weight_of(text, T.Lexicon(weights, exceptions).automaton())[0]
+        assert abs(got - plain_weight(text, weights, exceptions)) < 1e-9, (weights, exceptions, text)
+
+
+def test_stems_have_three_to_nine_letters():
+    assert set(T.word_starts("ab abc abcdefghijk")) == {"abc", *("abcdefghijk"[:n] for n in range(3, 10))}
+
+
+def test_training_rows_are_bounded_and_folded(spark):
+    docs = spark.createDataFrame([(i % 50, f"Text{i} h3llo") for i in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+    rows = T.training_rows(docs, labels, 10).collect()
+    assert len(rows) == 10 and all("hello" in r.text for r in rows)
+
+
 def test_nothing_to_learn_from(spark):
     docs, labels = corpus(spark)
     lexicon = T.fit_from_tables(docs, labels.where("toxic = 0"))

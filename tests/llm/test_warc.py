@@ -1,3 +1,4 @@
+import base64
 import gzip
 import hashlib
 import io
@@ -45,3 +46,43 @@ def test_members_and_damage():
     for bad in (record.replace(b"payload\r\n", b"paYload\r\n"), record[:-6], record.replace(b"WARC/1.1", b"CRAW/1.1")):
         with pytest.raises(ValueError):
             W.parse_record(bad)
+
+
+def foreign(kind, block, content=None, **fields):
+    head = ["WARC/1.0", f"WARC-Type: {kind}", *(f"{k.replace('_', '-')}: {v}" for k, v in fields.items()), f"content-length: {len(block)}"]
+    return "\r\n".join([*head, *([f"Content-Type: {content}"] if content else [])]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_others(spark):
+    sha1 = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+    http = "application/http; msgtype=response"
+    body = b"<html>chunks</html>"
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\n<html\r\ne;x=y\r\n>chunks</html>\r\n0\r\n\r\n"
+    records = [
+        foreign("warcinfo", b"software: x\r\n", "application/warc-fields"),
+        foreign("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "application/http; msgtype=request", WARC_Target_URI="http://a"),
+        foreign("response", chunked, http, WARC_Payload_Digest=sha1(body), WARC_Block_Digest=sha1(chunked), WARC_Record_ID="<urn:uuid:1>"),
+        foreign("response", b"HTTP/1.0 200 OK\nA: b\n\nplain", http, WARC_Payload_Digest="xyz:unknown"),
+        foreign("metadata", b"", None),
+        foreign("revisit", b"HTTP/1.1 304 Not Modified\r\n\r\n", http, WARC_Refers_To="<urn:uuid:1>", WARC_Payload_Digest=sha1(body)),
+        foreign("resource", b"text", "text/plain", WARC_Payload_Digest="sha256:" + hashlib.sha256(b"text").hexdigest()),
+    ]
+    found = [W.parse_record(r) for r in records]
+    assert [r.kind for r in found] == ["warcinfo", "request", "response", "response", "metadata", "revisit", "resource"]
+    assert found[2].payload == body and found[3].payload == b"plain" and found[6].payload == b"text" and found[5].payload_bytes is None
+    with pytest.raises(ValueError):
+        W.parse_record(foreign("response", chunked, http, WARC_Payload_Digest=sha1(b"other")))
+    assert len(list(W.parse_records(b"".join(records)))) == 7
+    folder = scratch_path(spark, "warc-foreign")
+    os.makedirs(folder)
+    with open(f"{folder}/a.warc.gz", "wb") as out:
+        out.write(b"".join(map(gzip.compress, records)))
+    files = spark.createDataFrame([(W.qualified(spark, f"{folder}/a.warc.gz"), None, "x")], "path string, records long, date string")
+    got = W.read_archives(files).collect()
+    assert len(got) == 7 and {r.url for r in got} == {None, "http://a"} and {r.page_id for r in got} == {None}
+
+
+def test_record_ids_stay_apart():
+    ids = {W.parse_record(W.response_record(i, "u", b"x", p)).record_id for i, p in ((None, "1.1.0"), (None, "1.1.1"), (3, "1.1.2"), (3, "1.1.3"))}
+    assert len(ids) == 4
+    assert W.parse_record(W.response_record(3, "u", b"y" * 100, "1.1.4")).record_id == "<urn:page:3>"

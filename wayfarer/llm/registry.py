@@ -24,5 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: DuckDB SQL, where it can express the operator.
 ORACLES: dict[str, str] = {
     "op5_embedding_dedup": embedding_dedup.OP5_SQL,
+    "op7_warc": warc.OP7_SQL,
     "op9_top_k": topk.OP9_SQL,
+    "op10_repeats": repeats.OP10_SQL,
 }

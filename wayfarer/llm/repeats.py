@@ -518,3 +518,26 @@ def cleaned_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = without_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
     return left.select("doc.doc_id", "n_bytes", "n_removed", "n_spans", F.col("sha256").alias("kept_sha256"))
+
+
+OP10_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, {LAST}) AS o, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pieces AS (SELECT r, o, c, substr(h, 2 * c + 1, {2 * (200 + WINDOW - 1)}) AS h FROM (SELECT r, o, h, unnest(range(0, len(h) // 2, 200)) AS c FROM d)),
+starts AS (SELECT r, o, c, h, unnest(range(0, len(h) // 2 - {WINDOW - 1})) AS s FROM pieces WHERE len(h) >= {2 * WINDOW}),
+windows AS (SELECT r, o, c + s AS s, substr(h, 2 * s + 1, {2 * WINDOW}) AS w FROM starts),
+firsts AS (SELECT w, min(o) AS low FROM windows GROUP BY w),
+hits AS (SELECT r, s FROM windows JOIN firsts USING (w) WHERE o > low),
+islands AS (SELECT r, s, sum(fresh) OVER (PARTITION BY r ORDER BY s) AS island FROM (
+  SELECT r, s, CASE WHEN s <= lag(s) OVER (PARTITION BY r ORDER BY s) + {WINDOW} THEN 0 ELSE 1 END AS fresh FROM hits)),
+spans AS (SELECT r, min(s) AS a, max(s) + {WINDOW} AS z FROM islands GROUP BY r, island),
+gaps AS (SELECT r, a, z, lag(z, 1, 0) OVER (PARTITION BY r ORDER BY a) AS before FROM spans),
+cut AS (
+  SELECT r, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS last,
+         string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head
+  FROM gaps JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""

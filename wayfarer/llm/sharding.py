@@ -38,23 +38,38 @@ def communication_matrix(cell_rows: list[int], shards: int, seed: int = SEED) ->
 
 
 def _draw(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
-    """A multivariate hypergeometric draw, one shard after the other (numpy bounds a population by 10^9)."""
+    """A multivariate hypergeometric draw, one shard after the other."""
     out, rest, pool = np.zeros_like(left), n, int(left.sum())
     for j, k in enumerate(left.tolist()):
         if rest == 0:
             break
-        others = pool - k
-        if k + others < 1_000_000_000:
-            out[j] = rng.hypergeometric(k, others, rest) if k and others else min(k, rest) if k else 0
-        else:  # the normal limit, within the possible range
-            mean = rest * k / pool
-            sd = (mean * (1 - k / pool) * (pool - rest) / max(1, pool - 1)) ** 0.5
-            out[j] = min(k, rest, max(rest - others, 0, round(rng.normal(mean, sd))))
+        out[j] = hypergeometric(rng, k, pool - k, rest)
         rest -= int(out[j])
-        pool = others
+        pool -= k
     return out
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int, population: int = 1_000_000_000) -> int:
+    """How many of ``n`` draws without replacement are good, for any population (numpy's own draw ends at 10^9).
+
+    Give every item a uniform number and take the ``n`` smallest. How many numbers of either kind lie below a bound is
+    binomial, so the bound splits the items in two: one part is taken, or left, as a whole, and the other one is split on.
+    """
+    taken = 0
+    while good + bad >= population and 0 < n < good + bad:
+        bound = n / (good + bad)
+        g, b = int(rng.binomial(good, bound)), int(rng.binomial(bad, bound))
+        if g + b >= n:
+            good, bad = g, b
+        else:
+            taken, n, good, bad = taken + g, n - g - b, good - g, bad - b
+    if n == 0 or good == 0:
+        return taken
+    if bad == 0 or n == good + bad:
+        return taken + min(good, n)
+    return taken + int(rng.hypergeometric(good, bad, n))
+
+
 def _order(seed: int, round_no: int) -> list[Column]:
     """A pseudo-random order of rows that any retry repeats; equal rows may trade places, which changes nothing."""
     return [F.xxhash64(F.lit(seed + round_no), "doc_id", "text_crc32", "size"), F.col("doc_id"), F.col("text_crc32"), F.col("size")]

@@ -6,8 +6,9 @@ exception phrase doesn't count. A pattern weighs the log of its rate among toxic
 The weights of the matches are summed and divided by a power of the text's length; ``score = x / (x + t)`` puts the
 learned cut ``t`` at 0.5.
 
-The lexicon is learned from at most ``TRAIN_ROWS`` labelled rows (those of the lowest hash), scoring covers every
-row and every whole text.
+The lexicon is learned from at most ``TRAIN_ROWS`` labelled rows (those of the lowest hash), folded once; scoring covers
+every row and every whole text. Patterns are stems: initial pieces of ``SHORTEST`` to ``LONGEST`` letters, so that a word's
+inflected and compound forms count alike; there is no bound on their number or on that of the exception phrases.
 """
 
 from __future__ import annotations
@@ -29,25 +30,31 @@ from pyspark.sql import functions as F
 from wayfarer.llm._common import bounded_batches, per_batch, table, texts
 from wayfarer.session import written
 
-#: Bound on the labelled rows that the lexicon is fitted on, and on what it may hold.
+#: Bound on the labelled rows that the lexicon is fitted on.
 TRAIN_ROWS = 20_000
-MAX_CANDIDATES = 20_000
-MAX_PATTERNS = 5_000
 MIN_SUPPORT = 4
 MIN_PURITY = 0.9
 #: Log ratio of rates from which a pattern stands on its own.
 OWN_WEIGHT = 3.5
 SHORTEST, LONGEST = 3, 9
-
-# Letters of other scripts that look like Latin ones, and the usual digit substitutions.
-LOOKALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ј": "j", "ѕ": "s", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "α": "a", "ε": "e", "ο": "o", "ρ": "p", "ι": "i", "κ": "k", "ν": "v", "τ": "t", "υ": "u", "ı": "i"}
-DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
+#: Marks the start of a word, in texts and in patterns: a match can't begin within a word.
+START = "\x01"
+
+# Letters of other alphabets and small capitals that look like Latin ones, and the usual substitutions.
+LOOKALIKES = {
+    "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "н": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "т": "t", "у": "y", "ѵ": "v", "ԝ": "w", "х": "x",
+    "α": "a", "β": "b", "ϲ": "c", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "γ": "y", "ω": "w",
+    "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ø": "o", "đ": "d", "ħ": "h", "ł": "l", "ŧ": "t",
+    "ᴀ": "a", "ʙ": "b", "ᴄ": "c", "ᴅ": "d", "ᴇ": "e", "ꜰ": "f", "ɢ": "g", "ʜ": "h", "ɪ": "i", "ᴊ": "j", "ᴋ": "k", "ʟ": "l", "ᴍ": "m", "ɴ": "n", "ᴏ": "o", "ᴘ": "p", "ʀ": "r", "ꜱ": "s", "ᴛ": "t", "ᴜ": "u", "ᴠ": "v", "ᴡ": "w", "ʏ": "y", "ᴢ": "z",
+}
+DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "€": "e", "£": "l", "¥": "y"}
 INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 
-_FOLD = {ord(k): v for k, v in (LOOKALIKES | DIGITS).items()} | {ord(c): None for c in INVISIBLE}
-_FOLD_ASCII = {ord(k): v for k, v in DIGITS.items()}
+_FOLD = {ord(k): v for k, v in (LOOKALIKES | DIGITS).items()} | {ord(c): None for c in INVISIBLE + START}
+_FOLD_ASCII = {ord(k): v for k, v in DIGITS.items()} | {ord(START): None}
 _ACCENTS = dict.fromkeys(range(0x300, 0x370))
 _WORD = re.compile(r"[^\W\d_]+")
+_WORD_START = re.compile(r"(?<![^\W\d_])(?=[^\W\d_])")
 
 
 def fold(text: str) -> str:
@@ -62,6 +69,11 @@ def bare(folded: str) -> str:
     return folded if folded.isascii() else unicodedata.normalize("NFKD", folded).translate(_ACCENTS)
 
 
+def marked(folded: str) -> str:
+    """A folded text with the starts of its words marked."""
+    return _WORD_START.sub(START, folded)
+
+
 def word_starts(folded: str) -> Counter:
     """How often each initial piece of the text's words occurs."""
     counts: Counter = Counter()
@@ -84,23 +96,18 @@ class Lexicon:
     def automaton(self) -> ahocorasick.Automaton | None:
         found = ahocorasick.Automaton()
         for pattern, weight in self.weights.items():
-            found.add_word(pattern, (len(pattern), weight))
+            found.add_word(marked(pattern), (len(marked(pattern)), weight))
         for phrase in self.exceptions:
-            found.add_word(phrase, (len(phrase), 0.0))
+            found.add_word(marked(phrase), (len(marked(phrase)), 0.0))
         if not len(found):
             return None
         found.make_automaton()
         return found
 
 
-def matches(folded: str, automaton) -> list[tuple[int, int, float]]:
-    """(start, end, weight) of the leftmost longest matches that begin a word."""
-    found = []
-    for last, (length, weight) in automaton.iter_long(folded):
-        start = last - length + 1
-        if start == 0 or not folded[start - 1].isalpha():
-            found.append((start, last + 1, weight))
-    return found
+def matches(text: str, automaton) -> list[tuple[int, int, float]]:
+    """(start, end, weight) of the leftmost longest matches in a marked text, all of which begin a word."""
+    return [(last - length + 1, last + 1, weight) for last, (length, weight) in automaton.iter_long(text)]
 
 
 def weight_of(folded: str, automaton) -> tuple[float, int]:
@@ -108,7 +115,7 @@ def weight_of(folded: str, automaton) -> tuple[float, int]:
     if automaton is None:
         return 0.0, folded.count(" ") + 1
     readings = {folded, bare(folded)}
-    total = max(sum(w for _, _, w in matches(x, automaton)) for x in readings)
+    total = max(sum(w for _, _, w in matches(marked(x), automaton)) for x in readings)
     return total, folded.count(" ") + 1
 
 
@@ -122,11 +129,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """``text, toxic``: at most ``rows`` labelled rows outside the held-out fold, those of the lowest hash."""
+    """``text, toxic``: at most ``rows`` labelled rows outside the held-out fold, those of the lowest hash; texts folded.
+
+    Of documents that share an id the one of the smallest text counts, so that the bound holds for rows, too.
+    """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     some = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)  # bounded: `rows` pairs of numbers
-    return docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("text", "toxic")
+    found = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id"))
+    once = found.groupBy("_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    return once.select("text", "toxic").mapInArrow(per_batch(_fold_rows), "text string, toxic int")
+
+
+def _fold_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([fold(t) for t in texts(batch, "text")], pa.string()), batch.column("toxic")], ["text", "toxic"])
 
 
 def _starts(candidates: frozenset[str] | None):
@@ -135,8 +151,7 @@ def _starts(candidates: frozenset[str] | None):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         tokens, rows = Counter(), Counter()
         words = 0
-        for t in texts(batch, "text"):
-            folded = fold(t)
+        for folded in texts(batch, "text"):
             words += folded.count(" ") + 1
             found = word_starts(folded)
             if candidates is not None:
@@ -151,25 +166,25 @@ def _starts(candidates: frozenset[str] | None):
 
 def _which_starts(candidates: dict[str, int]):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [sorted(candidates[p] for p in word_starts(fold(t)) if p in candidates) for t in texts(batch, "text")]
+        rows = [sorted(candidates[p] for p in word_starts(t) if p in candidates) for t in texts(batch, "text")]
         return pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], ["ids"])
 
     return per_batch(run)
 
 
 def _neighbours(lexicon: Lexicon):
-    """Two-word phrases around matches, with the rows of either label that hold them."""
+    """Two-word phrases around matches, with the rows of either label that hold them. Texts are cut at spaces."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         automaton, counts = lexicon.automaton(), {0: Counter(), 1: Counter()}
         for text, toxic in zip(texts(batch, "text"), batch.column("toxic").to_pylist(), strict=True):
-            folded, seen = fold(text), set()
-            for start, end, _ in matches(folded, automaton):
-                end = (folded.find(" ", end) + 1 or len(folded) + 1) - 1
-                before, after = folded.rfind(" ", 0, max(0, start - 1)) + 1, folded.find(" ", end + 1)
-                seen.add(folded[before:end])
-                seen.add(folded[start : after if after >= 0 else len(folded)])
-            counts[int(toxic > 0)].update(p for p in seen if " " in p and len(p) < 80)
+            found, seen = marked(text), set()
+            for start, end, _ in matches(found, automaton):
+                end = (found.find(" ", end) + 1 or len(found) + 1) - 1
+                before, after = found.rfind(" ", 0, max(0, start - 1)) + 1, found.find(" ", end + 1)
+                seen.add(found[before:end].replace(START, ""))
+                seen.add(found[start : after if after >= 0 else len(found)].replace(START, ""))
+            counts[int(toxic > 0)].update(p for p in seen if " " in p and _WORD_START.match(p))
         names = list(counts[0])  # only phrases of clean rows can be exceptions
         return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts[0][p] for p in names], pa.int64()), pa.array([counts[1][p] for p in names], pa.int64())], ["phrase", "clean", "toxic"])
 
@@ -179,7 +194,7 @@ def _neighbours(lexicon: Lexicon):
 def _totals(lexicon: Lexicon):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         automaton = lexicon.automaton()
-        both = [weight_of(fold(t), automaton) for t in texts(batch, "text")]
+        both = [weight_of(t, automaton) for t in texts(batch, "text")]
         return pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), pa.array([x for x, _ in both], pa.float64()), pa.array([n for _, n in both], pa.int64())], ["toxic", "total", "words"])
 
     return per_batch(run)
@@ -210,13 +225,11 @@ def _choose(pure: dict[str, float], toxic_rows: list[list[int]], names: list[str
         if own or fresh >= MIN_SUPPORT and fresh >= 0.05 * len(holders[name]):
             chosen[name] = pure[name]
             covered.update(holders[name])
-            if len(chosen) >= MAX_PATTERNS:
-                break
     return chosen
 
 
 def fit_lexicon(train: DataFrame) -> Lexicon:
-    """Learn from a bounded ``train`` (``text, toxic``); without rows of both labels nothing is ever toxic."""
+    """Learn from a bounded ``train`` (folded ``text, toxic``); without rows of both labels nothing is ever toxic."""
     n = {int(r["y"]): r["n"] for r in train.groupBy((F.col("toxic") > 0).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return Lexicon()
@@ -224,7 +237,7 @@ def fit_lexicon(train: DataFrame) -> Lexicon:
     kind = "pattern string, tokens long, rows long"
     summed = lambda rows: rows.groupBy("pattern").agg(F.sum("tokens").alias("tokens"), F.sum("rows").alias("rows"))
     starts = summed(bad.select("text").mapInArrow(_starts(None), kind)).where(F.col("rows") >= MIN_SUPPORT)
-    frequent = {r["pattern"]: r["tokens"] for r in starts.orderBy(F.col("pattern").isNotNull(), F.desc("rows"), "pattern").limit(MAX_CANDIDATES).collect()}
+    frequent = {r["pattern"]: r["tokens"] for r in starts.collect()}
     toxic_words = frequent.pop(None, 1)
     clean = {r["pattern"]: r["tokens"] for r in summed(good.select("text").mapInArrow(_starts(frozenset(frequent)), kind)).collect()}
     clean_words = clean.pop(None, 1)
@@ -239,8 +252,8 @@ def fit_lexicon(train: DataFrame) -> Lexicon:
     if not lexicon.weights:
         return lexicon
     phrases = train.mapInArrow(_neighbours(lexicon), "phrase string, clean long, toxic long").groupBy("phrase").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    phrases = phrases.where((F.col("clean") >= 3) & (F.col("clean") > 4 * F.col("toxic"))).orderBy(F.desc("clean"), "phrase").limit(MAX_PATTERNS)
-    lexicon.exceptions = [r["phrase"] for r in phrases.collect()]
+    phrases = phrases.where((F.col("clean") >= 3) & (F.col("clean") > 4 * F.col("toxic")))
+    lexicon.exceptions = sorted(r["phrase"] for r in phrases.collect())
     got = train.mapInArrow(_totals(lexicon), "toxic int, total double, words long").toPandas()
     _set_cut(lexicon, got["total"].to_numpy(), got["words"].to_numpy(), got["toxic"].to_numpy() > 0)
     return lexicon
@@ -275,13 +288,18 @@ def _scores(lexicon: Lexicon):
 
 
 def toxicity_scores(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``doc_id, score`` for every row. Null and empty texts score 0; repeated rows score alike."""
+    """``doc_id, score`` for every row.
+
+    Null and empty texts score 0, repeated rows score alike, very long texts count as a whole, null ids stay null, other
+    columns are not read, and an empty table gives no rows.
+    """
     bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scores(lexicon), "doc_id long, score double")
 
 
 def clean_documents(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """The rows of ``docs``, columns as they are, that score below 0.5."""
+    """The rows of ``docs``, columns as they are, that score below 0.5: null and empty texts stay, and repeated rows
+    stay or go together. An empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
