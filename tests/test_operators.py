@@ -38,6 +38,22 @@ def km(a, b):
     return 2 * EARTH_KM * math.asin(math.sqrt(h))
 
 
+@pytest.mark.parametrize("lat", [0.0, 45.0, -60.0, 89.0, 90.0])
+@pytest.mark.parametrize("radius", [30, 400])
+def test_distance_join_anywhere(spark, lat, radius):
+    """Around the equator, in the north and south, at a pole, and across 180 degrees."""
+    rng = random.Random(lat + radius)
+    spread = 4.0
+    make = lambda n: [(i, max(-90.0, min(90.0, lat + rng.uniform(-spread, spread))), (180 + rng.uniform(-spread, spread) * (40 if abs(lat) > 80 else 1) + 180) % 360 - 180) for i in range(n)]
+    points, places = make(40), make(120)
+    p = spark.createDataFrame(points, "point_id long, latitude double, longitude double")
+    q = spark.createDataFrame(places, "place_id long, latitude double, longitude double")
+    got = {(r.point_id, r.place_id) for r in N.distance_join(p, q, radius, "point_id").collect()}
+    assert got == {(i, j) for i, a, b in points for j, c, d in places if km((a, b), (c, d)) <= radius} and got
+    nearest = {(r.point_id, r.nth): r.place_id for r in N.nearest(p, q, "point_id", 3).collect()}
+    assert nearest == {(i, n + 1): j for i, a, b in points for n, (_, j) in enumerate(sorted((km((a, b), (c, d)), j) for j, c, d in places)[:3])}
+
+
 @pytest.mark.parametrize("radius", [5, 40, 150])
 def test_distance_join_loses_no_pair(spark, radius):
     points, places = located(20, 1), located(150, 2)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayfarer.functions.geo import grid, haversine_km
+from wayfarer.functions.geo import haversine_km
+from wayfarer.session import written
 
 KM_PER_DEGREE = 111.19
 
@@ -21,18 +22,27 @@ def nearby(df: DataFrame, lat: float, lon: float, km: float) -> DataFrame:
 
 
 def distance_join(points: DataFrame, places: DataFrame, km: float, point_key: str) -> DataFrame:
-    """Pairs of a point (``point_key, latitude, longitude``) and a place within ``km``.
+    """Pairs of a point (``point_key, latitude, longitude``) and a place within ``km``, anywhere on the globe.
 
-    Both sides fall into grid cells at least ``km`` wide; a point meets the cells around its own in an equi join, and
-    the exact distance decides. Longitude cells are widened for the highest latitude of the region served.
+    Latitude is cut into bands ``km`` wide, and each band into as many cells as fit at its end towards the pole. A point
+    meets, in its own band and the two beside it, the cells that its reach in longitude touches (all of them where the
+    circle holds a pole; the count goes round at 180 degrees), in an equi join; the exact distance decides.
     """
-    d_lat = km / KM_PER_DEGREE * 1.01
-    d_lon = d_lat / 0.95  # cos(18 degrees): the tables lie between 8 and 14 degrees north
-    here = points.where("latitude IS NOT NULL AND longitude IS NOT NULL").select(F.col(point_key), F.col("latitude").alias("p_lat"), F.col("longitude").alias("p_lon"))
-    offsets = F.array(*[F.lit(x) for x in (-1, 0, 1)])
-    here = here.withColumn("dx", F.explode(offsets)).withColumn("dy", F.explode(offsets))
-    here = here.select(point_key, "p_lat", "p_lon", (grid(F.col("p_lat"), d_lat) + F.col("dx")).alias("cx"), (grid(F.col("p_lon"), d_lon) + F.col("dy")).alias("cy"))
-    there = places.where("latitude IS NOT NULL AND longitude IS NOT NULL").withColumn("cx", grid(F.col("latitude"), d_lat)).withColumn("cy", grid(F.col("longitude"), d_lon))
+    high = min(180.0, km / KM_PER_DEGREE * 1.01 + 1e-9)
+    band = lambda lat: F.floor((lat + 90) / F.lit(high)).cast("long")
+    farthest = lambda b: F.least(F.greatest(F.abs(b * high - 90), F.abs((b + 1) * high - 90)), F.lit(90.0))
+    cells = lambda b: F.greatest(F.floor(F.lit(360 / high) * F.cos(F.radians(farthest(b)))), F.lit(1)).cast("long")
+    cell = lambda lon, n: F.floor((lon + 180) / 360 * n).cast("long")
+    known = "latitude IS NOT NULL AND longitude IS NOT NULL"
+    here = points.where(known).select(F.col(point_key), F.col("latitude").alias("p_lat"), F.col("longitude").alias("p_lon"))
+    here = here.withColumn("cx", F.explode(F.transform(F.array(*[F.lit(x) for x in (-1, 0, 1)]), lambda x: band(F.col("p_lat")) + x))).withColumn("n", cells(F.col("cx")))
+    sideways = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.lit(min(high, 90.0)))) / F.greatest(F.cos(F.radians("p_lat")), F.lit(1e-12)))))
+    reach = F.when(F.abs("p_lat") + high >= 90, F.lit(180.0)).otherwise(sideways * 1.001 + 1e-9)
+    low, top = cell(F.col("p_lon") - reach, F.col("n")), cell(F.col("p_lon") + reach, F.col("n"))
+    touched = F.when(top - low + 1 >= F.col("n"), F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).otherwise(F.transform(F.sequence(low, F.greatest(low, top)), lambda c: F.pmod(c, F.col("n"))))
+    here = here.withColumn("cy", F.explode(touched)).drop("n")
+    there = places.where(known).withColumn("cx", band(F.col("latitude")))
+    there = there.withColumn("cy", F.pmod(cell(F.col("longitude"), cells(F.col("cx"))), cells(F.col("cx"))))
     met = here.join(there, ["cx", "cy"]).drop("cx", "cy")
     met = met.withColumn("distance_km", haversine_km(F.col("p_lat"), F.col("p_lon"), F.col("latitude"), F.col("longitude")))
     return met.where(F.col("distance_km") <= km).drop("p_lat", "p_lon")
@@ -56,12 +66,32 @@ def adaptive_nearby(points: DataFrame, places: DataFrame, point_key: str, k: int
 
 
 def nearest(points: DataFrame, places: DataFrame, point_key: str, k: int) -> DataFrame:
-    """The ``k`` nearest places of each of a few points, whatever the distance."""
-    here = points.select(point_key, F.col("latitude").alias("p_lat"), F.col("longitude").alias("p_lon"))
-    met = here.join(places.where("latitude IS NOT NULL AND longitude IS NOT NULL"), how="cross")
-    met = met.withColumn("distance_km", haversine_km(F.col("p_lat"), F.col("p_lon"), F.col("latitude"), F.col("longitude"))).drop("p_lat", "p_lon")
+    """The ``k`` nearest places of each point, whatever the distance.
+
+    Circles grow until they hold ``k`` places; points that have theirs are done, so wide circles are drawn for few.
+    """
+    left, found = points.select(point_key, "latitude", "longitude"), None
     rank = F.row_number().over(Window.partitionBy(point_key).orderBy("distance_km", "place_id"))
-    return met.withColumn("nth", rank).where(F.col("nth") <= k).drop("nth")
+    for km in (50.0, 200.0, 800.0, 3200.0, 20_100.0):
+        met = distance_join(left, places, km, point_key).withColumn("nth", rank).where(F.col("nth") <= k)
+        if km < 20_000:
+            full = met.groupBy(point_key).agg(F.max("nth").alias("n")).where(F.col("n") == k).select(point_key)
+            met, left = met.join(full, point_key, "left_semi"), left.join(full, point_key, "left_anti")
+        met = written(met, "nearest")
+        found = met if found is None else found.unionByName(met)
+        if km < 20_000:
+            left = written(left, "nearest-left")
+            if left.isEmpty():
+                break
+    return found
+
+
+def start_search(points: DataFrame, places: DataFrame, point_key: str, k: int = 10, limit: float = 100.0) -> DataFrame:
+    """What a search starts with: places of the adaptive radius, or the ``k`` nearest where there is none within ``limit``."""
+    around = written(adaptive_nearby(points, places, point_key, k, limit=limit).withColumn("how", F.lit("radius")), "search-around")
+    alone = points.join(around.select(point_key).distinct(), point_key, "left_anti")
+    far = nearest(alone, places, point_key, k).drop("nth").withColumn("radius_km", F.lit(None).cast("double")).withColumn("how", F.lit("nearest"))
+    return around.unionByName(far)
 
 
 def bounds(df: DataFrame, keys: list[str]) -> DataFrame:

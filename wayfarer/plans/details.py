@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayfarer.functions import names as N, score as S, text as X
-from wayfarer.operators import places as P, recommend as R, resolve as E, timeline as L, upsert as U
+from wayfarer.operators import nearby, places as P, recommend as R, resolve as E, spelling as Y, timeline as L, upsert as U
+from wayfarer.plans.ingest import numbered, spelt
 from wayfarer.plans.read_layer import base, base_sql
 from wayfarer.plans.registry import query
-from wayfarer.plans.travel import ranked, stops
+from wayfarer.plans.travel import PAIRS_SQL, POINTS_SQL, RING, points, stops
+from wayfarer.session import written
 from wayfarer.sources.tables import view, with_views
 
 
@@ -73,10 +75,22 @@ def r78(spark, sf_dir):
     return scored.select("place_id", "score")
 
 
-@query("g4_start_search")
+@query("g4_start_search", with_views(f""", {POINTS_SQL.replace("points AS (", "near AS (")},
+points AS (SELECT * FROM near UNION ALL SELECT latitude + 20 AS latitude, longitude, -point_id AS point_id FROM near WHERE point_id % 3 = 0), {PAIRS_SQL},
+status AS (SELECT place_id, arg_max(status, struct_pack(checked_at, status_id)) AS status FROM place_status GROUP BY place_id),
+rings AS (SELECT *, CAST({RING} AS DOUBLE) AS ring FROM pairs WHERE distance_km <= 100),
+cum AS (SELECT point_id, ring, sum(count(*)) OVER (PARTITION BY point_id ORDER BY ring) AS n FROM rings GROUP BY point_id, ring),
+enough AS (SELECT point_id, coalesce(min(ring) FILTER (WHERE n >= 10), 100) AS radius_km FROM cum GROUP BY point_id),
+far AS (SELECT point_id, place_id, distance_km, row_number() OVER (PARTITION BY point_id ORDER BY distance_km, place_id) AS nth FROM pairs WHERE point_id NOT IN (SELECT point_id FROM enough)),
+found AS (SELECT point_id, place_id, distance_km, 'radius' AS how FROM rings JOIN enough USING (point_id) WHERE ring <= radius_km UNION ALL SELECT point_id, place_id, distance_km, 'nearest' FROM far WHERE nth <= 10)
+SELECT point_id, place_id, round(distance_km, 6) AS distance_km, how, coalesce(status, 'Unknown') AS status FROM found LEFT JOIN status USING (place_id)""", "search_points", "places", "place_status"))
 def g4(spark, sf_dir):
-    """Ranked places around every point; the best three of each are what a search shows first."""
-    return ranked(spark, sf_dir, 3).select("point_id", "place_id", "distance_km", "score", "nth")
+    """Places around every point, or the nearest where there are none within reach, with their latest status."""
+    near = points(spark, sf_dir)
+    far = near.where("point_id % 3 = 0").select((F.col("latitude") + 20).alias("latitude"), "longitude", (-F.col("point_id")).alias("point_id"))
+    found = nearby.start_search(near.unionByName(far), view(spark, sf_dir, "places"), "point_id")
+    newest = view(spark, sf_dir, "place_status").groupBy("place_id").agg(F.max_by("status", F.struct("checked_at", "status_id")).alias("status"))
+    return found.join(newest, "place_id", "left").select("point_id", "place_id", F.round("distance_km", 6).alias("distance_km"), "how", F.coalesce("status", F.lit("Unknown")).alias("status"))
 
 
 def days(spark, sf_dir):
@@ -151,26 +165,31 @@ def er19(spark, sf_dir):
 
 @query("er12_merge_rounds")
 def er12(spark, sf_dir):
-    """Spelling duplicates are merged into components, the smallest id keeps; rounds end in the first fixed point."""
-    from wayfarer.operators.components import connected_components
-
-    plain = F.translate("place_name", "#0123456789", "")
-    spelt = F.when(F.col("place_id") % 2 == 1, F.translate(plain, "gb", "kp")).otherwise(plain)
-    df = view(spark, sf_dir, "places").select("place_id", "district", "latitude", "longitude", spelt.alias("place_name"))
-    near = E.spelling_pairs(df).where("distance_km <= 15 OR distance_km IS NULL")
-    roots = connected_components(near.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
-    return roots.select(F.col("node").alias("place_id"), F.col("root").alias("keeper"))
+    """Clusters of spelling duplicates are merged into their best entry, up to three times."""
+    return Y.merge_rounds(spelt(spark, sf_dir))[1]
 
 
 @query("er20_refresh")
 def er20(spark, sf_dir):
-    """The whole refresh: merge source records, pick survivors, upsert into the stored places, report by district."""
-    rows = view(spark, sf_dir, "source_records").withColumn("rid", F.col("record_key") * 1_000_000 + F.col("source_id"))
-    merged = E.survivors(rows, E.merge_records(rows), ["place_name", "district", "external_id"])
-    new = merged.select((F.col("root") / 1_000_000).cast("long").alias("place_id"), "place_name", "district", F.lit(0.5).alias("tourism_relevance"))
-    stored = view(spark, sf_dir, "places").where("place_id % 3 <> 0").select("place_id", "place_name", "district", "tourism_relevance")
-    snapshot = U.upsert(stored, new, ["place_id"], greatest=("tourism_relevance",))
-    return snapshot.groupBy("district").agg(F.count(F.lit(1)).alias("n_places"), F.count_if(F.col("change") == "insert").alias("n_inserted"), F.count_if(F.col("change") == "update").alias("n_updated"))
+    """The refresh: source records are merged and matched to the stored places, the snapshot is brought up to date, and
+    duplicates across districts and by spelling go; the report counts by district."""
+    rows = numbered(spark, sf_dir)
+    merged = E.survivors(rows, E.merge_all(rows), ["place_name", "district", "external_id", "map_id"]).withColumnRenamed("root", "new_id")
+    stored = view(spark, sf_dir, "places").where("place_id % 3 <> 0").select("place_id", "place_name", "district", "latitude", "longitude", "popularity_score", "tourism_relevance")
+    related = view(spark, sf_dir, "related_districts")
+    matched = E.match_stored(stored, merged, related)
+    # Records that are not stored yet get ids of their own, beyond all that are.
+    new = merged.join(matched, "new_id", "left").select(F.coalesce("place_id", -F.col("new_id") - 1).alias("place_id"), "place_name", "district", "latitude", "longitude", F.lit(None).cast("double").alias("popularity_score"), "tourism_relevance", F.size("sources").alias("source_count"))
+    snapshot = U.upsert(stored, new.drop("source_count"), ["place_id"], greatest=("tourism_relevance",))
+    snapshot = written(snapshot.join(new.groupBy("place_id").agg(F.max("source_count").alias("source_count")), "place_id", "left"), "refresh")
+    across = E.cross_district_duplicates(snapshot.withColumn("popularity_score", F.coalesce("popularity_score", F.lit(0.0))), related)
+    left = snapshot.join(across, "place_id", "left_anti").withColumns({"location_precision": F.lit(None).cast("string"), "merged_names": F.lit(None).cast("string"), "source_count": F.coalesce("source_count", F.lit(1))})
+    kept, gone = Y.merge_rounds(left.drop("change"))
+    count = lambda df, name: df.groupBy("district").agg(F.count(F.lit(1)).alias(name))
+    per = snapshot.groupBy("district").agg(F.count_if(F.col("change") == "insert").alias("n_inserted"), F.count_if(F.col("change") == "update").alias("n_updated"))
+    for part in (count(kept, "n_places"), count(snapshot.join(across, "place_id", "left_semi"), "n_across"), count(snapshot.join(gone, "place_id", "left_semi"), "n_spelling")):
+        per = per.join(part, "district", "left")
+    return per.fillna(0)
 
 
 @query("io9_named_points", with_views("SELECT place_id AS element_id, list_sort(list_distinct([place_name, upper(place_name), lower(place_name)])) AS names, CASE WHEN category_name = 'PROMO' THEN 'worship' ELSE 'settlement' END AS kind FROM places", "places"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayfarer.operators import nearby, quality as C, resolve as E, upsert as U
+from wayfarer.operators import nearby, quality as C, resolve as E, spelling as Y, upsert as U
 from wayfarer.plans.language import KEY_SQL
 from wayfarer.plans.registry import query
 from wayfarer.plans.travel import km
@@ -118,9 +118,25 @@ def er3(spark, sf_dir):
 
 
 def numbered(spark, sf_dir):
-    """Source records with a row id that any run gives alike."""
+    """Source records with a row id that any run gives alike, and with the positions, aliases and images of their sources.
+
+    A third of the sources has no positions, and some lie kilometres off, so that namesakes of a district stay apart.
+    """
     df = view(spark, sf_dir, "source_records")
-    return df.withColumn("rid", F.col("record_key") * 1_000_000 + F.col("source_id"))
+    place = view(spark, sf_dir, "places").select(F.col("place_id").alias("record_key"), F.col("latitude").alias("y"), F.col("longitude").alias("x"), "category_name")
+    off = (F.col("source_id") % 3 - 1) * 0.04
+    some = F.col("source_id") % 3 != 1
+    rows = df.join(place, "record_key").withColumns({
+        "rid": F.xxhash64("record_key", "source_id").bitwiseAND(F.lit((1 << 63) - 1)),
+        "latitude": F.when(some, F.col("y") + off), "longitude": F.when(some, F.col("x")),
+        "aliases": F.when(F.col("source_id") % 5 == 0, F.concat(F.lit("Old "), "place_name", F.lit("|"), F.lower("place_name"))),
+        "map_id": F.when(F.col("source_id") % 11 == 0, F.concat(F.lit("way/"), "record_key")),
+        "source_url": F.when(F.col("source_id") % 3 == 0, F.concat(F.lit("https://www.openstreetmap.org/way/"), "record_key")).otherwise(F.concat(F.lit("src"), "source_id")),
+        "tourism_relevance": (F.col("source_id") % 10) / 10.0,
+        "image_url": F.when(F.col("source_id") % 4 != 0, F.concat(F.lit("https://img.example/"), "record_key", F.lit("/"), F.col("source_id") % 6)),
+        "image_source": F.when(F.col("source_id") % 2 == 0, "Wikimedia Commons").otherwise("District"),
+    })
+    return rows.drop("x", "y")
 
 
 @query("er4_merge_records")
@@ -131,21 +147,36 @@ def er4(spark, sf_dir):
 @query("er6_survivorship")
 def er6(spark, sf_dir):
     rows = numbered(spark, sf_dir)
-    return E.survivors(rows, E.merge_records(rows), ["place_name", "district", "external_id"])
+    return E.survivors(rows, E.merge_records(rows), ["place_name", "district", "external_id", "map_id", "source_url"])
 
 
 @query("er5_attach_unlocated")
 def er5(spark, sf_dir):
-    df = view(spark, sf_dir, "places").select("place_id", "district", "latitude", F.regexp_replace("place_name", "#", "").alias("place_name"))
-    return E.attach_unlocated(df)
+    """Groups of merged records without a position and those with one."""
+    rows = numbered(spark, sf_dir)
+    pairs = E.attach_unlocated(E.groups_of(rows, E.merge_records(rows)))
+    return pairs.select("u", "l", F.round("score", 6).alias("score"))
+
+
+def spelt(spark, sf_dir):
+    """Places, every other one spelt with another voicing, as transliterations differ; some name their village."""
+    plain = F.translate("place_name", "#0123456789", "")
+    name = F.when(F.col("place_id") % 2 == 1, F.translate(plain, "gb", "kp")).otherwise(plain)
+    name = F.when(F.col("place_id") % 7 == 0, F.concat(name, F.lit(", "), "category_name")).otherwise(name)
+    df = view(spark, sf_dir, "places").select("place_id", "district", "latitude", "longitude", "popularity_score", name.alias("place_name"))
+    counts = view(spark, sf_dir, "place_sources").groupBy("place_id").agg(F.count(F.lit(1)).alias("source_count"))
+    extra = {"location_precision": F.when(F.col("place_id") % 10 == 3, "locality"), "merged_names": F.lit(None).cast("string"), "source_count": F.coalesce("source_count", F.lit(0))}
+    return df.join(counts, "place_id", "left").withColumns(extra)
 
 
 @query("er7_er8_spelling_pairs")
 def er7(spark, sf_dir):
-    """Every other name is spelt with another voicing, as transliterations differ."""
-    plain = F.translate("place_name", "#0123456789", "")
-    spelt = F.when(F.col("place_id") % 2 == 1, F.translate(plain, "gb", "kp")).otherwise(plain)
-    return E.spelling_pairs(view(spark, sf_dir, "places").select("place_id", "district", "latitude", "longitude", spelt.alias("place_name")))
+    return Y.spelling_pairs(spelt(spark, sf_dir)).select("later", "earlier")
+
+
+@query("er8_spelling_clusters")
+def er8(spark, sf_dir):
+    return Y.spelling_clusters(spelt(spark, sf_dir))
 
 
 NEAR = f"(({km('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')}) IS NULL OR ({km('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')}) <= 15)"

@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfarer.session import written
-
 
 def source(spark: SparkSession, path: str) -> DataFrame:
     """A stream of the Parquet files of a table."""
@@ -20,18 +18,31 @@ def source(spark: SparkSession, path: str) -> DataFrame:
     return single.parquet(folder)
 
 
+def _last(spark: SparkSession, folder: str, name: str) -> int | None:
+    """Number of the newest finished table ``name-<number>`` below ``folder``; it outlives the driver."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}-*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    numbers = [int(f.getPath().getParent().getName().rpartition("-")[2]) for f in found]
+    return max(numbers, default=None)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    old = spark._jvm.org.apache.hadoop.fs.Path(path)
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
 def _run_complete(stream: DataFrame, folder: str) -> DataFrame:
     """Run an aggregation to the end; every batch replaces the result, and the last one is read."""
-    last: list[int] = []
+    spark = stream.sparkSession
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/result-{number}")
-        last.append(number)
+        _drop(batch.sparkSession, f"{folder}/result-{number - 2}")
 
     query = stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    spark = stream.sparkSession
-    return spark.read.schema(stream.schema).parquet(f"{folder}/result-{last[-1]}") if last else spark.createDataFrame([], stream.schema)
+    last = _last(spark, folder, "result")
+    return spark.createDataFrame([], stream.schema) if last is None else spark.read.schema(stream.schema).parquet(f"{folder}/result-{last}")
 
 
 def latest_status(events: DataFrame, folder: str) -> DataFrame:
@@ -48,19 +59,25 @@ def rating_rollup(ratings: DataFrame, folder: str) -> DataFrame:
 
 
 def upsert_last_seen(observed: DataFrame, keys: list[str], time: str, folder: str) -> DataFrame:
-    """A snapshot of keys with the latest time they were seen; each micro-batch makes the next snapshot."""
+    """A snapshot of keys with the latest time they were seen; each micro-batch makes the next snapshot.
+
+    Snapshots lie below ``folder`` by the number of their batch, so a restart goes on from the last one and a batch that
+    runs twice writes the same snapshot; the one before is kept until the next is there.
+    """
     spark = observed.sparkSession
-    state: dict[str, DataFrame] = {}
+    schema = observed.select(*keys, time).schema
 
     def merge(batch: DataFrame, number: int) -> None:
         both = batch.select(*keys, time)
-        if "now" in state:
-            both = state["now"].unionByName(both)
-        state["now"] = written(both.groupBy(*keys).agg(F.max(time).alias(time)), f"last-seen-{number}")
+        if number > 0:
+            both = both.unionByName(batch.sparkSession.read.schema(schema).parquet(f"{folder}/snapshot-{number - 1}"))
+        both.groupBy(*keys).agg(F.max(time).alias(time)).write.mode("overwrite").parquet(f"{folder}/snapshot-{number}")
+        _drop(batch.sparkSession, f"{folder}/snapshot-{number - 2}")
 
     query = observed.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return state.get("now", spark.createDataFrame([], observed.select(*keys, time).schema))
+    last = _last(spark, folder, "snapshot")
+    return spark.createDataFrame([], schema) if last is None else spark.read.schema(schema).parquet(f"{folder}/snapshot-{last}")
 
 
 def search_log(searches: DataFrame, folder: str) -> DataFrame:
