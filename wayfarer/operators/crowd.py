@@ -14,7 +14,9 @@ from wayfarer.functions.score import clip
 
 FEATURES = ["month", "day_of_week", "weekend", "signal_known"]
 #: Trees of a forest, and the seed of its draws.
-TREES, SEED = 20, 42
+TREES, SEED = 200, 42
+#: Share of the rows that are held out.
+HELD_OUT = 0.2
 
 
 def estimate(places: DataFrame, days: DataFrame, festivals: DataFrame, by_category: dict[str, float], peak_months: list[int]) -> DataFrame:
@@ -67,17 +69,49 @@ def train(df: DataFrame) -> PipelineModel:
     return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), indexed, forest, back]).fit(rows)
 
 
+def split(df: DataFrame, key: str, label: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows to train on and rows held out, by a hash of ``key``, so that any run splits alike.
+
+    With a ``label`` each class is split in the order of the hash, so that all have their share on either side.
+    """
+    h = F.xxhash64(F.lit(SEED), key)
+    if label is None:
+        marked = df.withColumn("_held", F.pmod(h, F.lit(1000)) < int(1000 * HELD_OUT))
+    else:
+        bounds = df.groupBy(label).agg(F.percentile_approx(h, HELD_OUT, 10_000).alias("_bound"))
+        marked = df.join(F.broadcast(bounds), label, "left").withColumn("_held", F.coalesce(h <= F.col("_bound"), F.lit(False))).drop("_bound")
+    return marked.where("NOT _held").drop("_held"), marked.where("_held").drop("_held")
+
+
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Predicted class and its probability, to four places."""
+    """Predicted class, its probability to four places, and the probability of every class."""
     out = model.transform(df)
-    return out.withColumn("confidence", F.round(F.array_max(vector_to_array("probability")), 4))
+    labels = model.stages[1].labels
+    all_of = F.map_from_arrays(F.array(*[F.lit(x) for x in labels]), F.transform(F.slice(vector_to_array("probability"), 1, len(labels)), lambda p: F.round(p, 4)))
+    return out.withColumn("confidence", F.round(F.array_max(vector_to_array("probability")), 4)).withColumn("probabilities", all_of)
 
 
-def regress(df: DataFrame, columns: list[str], target: str) -> DataFrame:
-    known = df.dropna(subset=[*columns, target])
+def regress(train: DataFrame, test: DataFrame, columns: list[str], target: str) -> DataFrame:
+    """``test`` with the prediction of a forest that was fitted on ``train``."""
     forest = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=TREES, seed=SEED)
-    model = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), forest]).fit(known)
-    return model.transform(known)
+    model = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), forest]).fit(train.dropna(subset=[*columns, target]))
+    return model.transform(test.dropna(subset=[*columns, target]))
+
+
+def regression_report(guessed: DataFrame, target: str) -> DataFrame:
+    """Mean absolute error and share of the variance explained, in one row."""
+    off = F.col(target) - F.col("prediction")
+    return guessed.agg(F.round(F.avg(F.abs(off)), 4).alias("mae"), F.round(1 - F.sum(off * off) / F.nullif(F.var_pop(target) * F.count(target), F.lit(0.0)), 4).alias("r2"))
+
+
+def report(guesses: DataFrame) -> DataFrame:
+    """``truth, guess, n`` for each pair that occurs, with the accuracy and the mean F1 of all classes."""
+    pairs = guesses.groupBy("truth", "guess").agg(F.count(F.lit(1)).alias("n"))
+    both = evaluate(guesses)
+    f1 = F.coalesce(2 * F.col("precision") * F.col("recall") / F.nullif(F.col("precision") + F.col("recall"), F.lit(0.0)), F.lit(0.0))
+    total = both.agg(F.round(F.avg(f1), 4).alias("f1"))
+    hits = pairs.agg(F.round(F.sum(F.when(F.col("truth") == F.col("guess"), F.col("n")).otherwise(0)) / F.sum("n"), 4).alias("accuracy"))
+    return pairs.join(F.broadcast(hits), how="cross").join(F.broadcast(total), how="cross")  # a row each
 
 
 def evaluate(guesses: DataFrame) -> DataFrame:

@@ -26,7 +26,8 @@ def links(pages: DataFrame, stop: list[str]) -> DataFrame:
     found = F.regexp_extract_all("html", F.lit(r"(?i)<a\s[^>]*href=[\"']([^\"'#]+)[\"']"), F.lit(1))
     at = pages.select("page_id", "url", F.posexplode(found).alias("pos", "href"))
     root = F.concat(F.parse_url("url", F.lit("PROTOCOL")), F.lit("://"), F.parse_url("url", F.lit("HOST")))
-    absolute = F.when(F.col("href").rlike("^[a-z]+://"), F.col("href")).when(F.startswith("href", F.lit("/")), F.concat(root, "href")).otherwise(F.concat(root, F.lit("/"), "href"))
+    folder = F.nullif(F.regexp_extract("url", r"^[a-z]+://[^/?#]+/(?:[^?#]*/)?", 0), F.lit(""))  # relative links start from the page's
+    absolute = F.when(F.col("href").rlike("^[a-z]+://"), F.col("href")).when(F.startswith("href", F.lit("/")), F.concat(root, "href")).otherwise(F.concat(F.coalesce(folder, F.concat(root, F.lit("/"))), "href"))
     at = at.withColumn("link", absolute)
     slug = F.lower(F.regexp_extract("link", r"([^/]*)/?$", 1))
     return at.where(~slug.isin(stop)).groupBy("page_id", "link").agg(F.min("pos").cast("long").alias("first_pos"))

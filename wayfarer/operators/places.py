@@ -119,19 +119,34 @@ def prominence(places: DataFrame, place_sources: DataFrame, images: DataFrame) -
     return joined.select("place_id", F.round(score, 1).alias("prominence"))
 
 
-def festivals_for_places(places: DataFrame, festivals: DataFrame) -> DataFrame:
-    """``place_id, n_local, n_statewide, next_festival``: what a place's own district and the whole state offer.
+def festivals_for_places(places: DataFrame, festivals: DataFrame, k: int = 10) -> DataFrame:
+    """``place_id, festival_id, relevance, nth``: the first ``k`` festivals of each place, in order.
 
-    A festival matters to a place by its district (relevance 1) or because it has none (2); the next one is the first by
-    relevance, then month (missing ones last). Both sides are reduced before they meet places, by an equi join and by a
-    single row, so no place meets every festival.
+    A festival matters to a place that it is held at (relevance 0), by its district (1) or because it has none (2). They
+    are ordered by relevance, month (that of the start where it isn't told, missing ones last), start and name. Each of
+    the three sides is cut to its first ``k`` before it meets places in an equi join, the statewide one as a single row.
     """
-    order = F.struct(F.coalesce("month", F.lit(13)), F.col("festival_id"))
-    side = lambda df, keys, n: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"n_{n}"), F.min_by("festival_id", order).alias(f"first_{n}"))
-    local = side(festivals.where("district IS NOT NULL"), ["district"], "local")
-    statewide = side(festivals.where("district IS NULL"), [], "statewide")
-    met = places.join(local, "district", "left").join(F.broadcast(statewide), how="cross")  # one row
-    return met.select("place_id", F.coalesce("n_local", F.lit(0)).cast("long").alias("n_local"), "n_statewide", F.coalesce("first_local", "first_statewide").alias("next_festival"))
+    month = F.coalesce(F.col("month"), F.month("start_date"), F.lit(13)).alias("m")
+    order = F.struct(month, F.col("start_date").isNull().alias("x"), F.coalesce("start_date", F.lit("1970-01-01").cast("date")).alias("s"), "festival_name", "festival_id")
+    rows = festivals.withColumn("o", order)
+
+    def firsts(df: DataFrame, keys: list[str]) -> DataFrame:
+        ranked = df.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("o"))).where(F.col("r") <= k)
+        return ranked.groupBy(*keys).agg(F.collect_list("o").alias("list"))
+
+    own = firsts(rows.where("associated_place_id IS NOT NULL"), ["associated_place_id"]).select(F.col("associated_place_id").alias("place_id"), F.col("list").alias("l0"))
+    local = firsts(rows.where("district IS NOT NULL"), ["district"]).withColumnRenamed("list", "l1")
+    top = rows.where("district IS NULL").orderBy("o").limit(k).agg(F.collect_list("o").alias("l2"))
+    met = places.join(own, "place_id", "left").join(local, "district", "left").join(F.broadcast(top), how="cross")  # one row
+    none = F.array().cast(met.schema["l2"].dataType)
+    each = F.concat(*[_with_relevance(F.coalesce(F.col(f"l{n}"), none), n) for n in range(3)])
+    once = met.select("place_id", F.explode(each).alias("f")).groupBy("place_id", "f.o.festival_id").agg(F.min("f").alias("f"))
+    nth = F.row_number().over(Window.partitionBy("place_id").orderBy("f"))
+    return once.withColumn("nth", nth).where(F.col("nth") <= k).select("place_id", "festival_id", F.col("f.relevance").alias("relevance"), "nth")
+
+
+def _with_relevance(festivals: Column, n: int) -> Column:
+    return F.transform(festivals, lambda o: F.struct(F.lit(n).alias("relevance"), o.alias("o")))
 
 
 def next_occurrences(festivals: DataFrame, keys: list[str]) -> DataFrame:

@@ -67,19 +67,26 @@ def budgets(trips: DataFrame, stops: DataFrame) -> DataFrame:
     return priced.withColumn("total", F.round(total, 2))
 
 
-def pack_days(stops: DataFrame, start: int = 540, finish: int = 1080, pause: int = 30) -> DataFrame:
-    """Days and minutes of each stop when a day is filled until the next stop would end after ``finish``.
+def pack_days(stops: DataFrame, start: int = 540, finish: int = 1020, pause: int = 30) -> DataFrame:
+    """``trip_id, stop_no, place_id, day, start_min, end_min``: days are filled in order, each until the next stop would
+    end after ``finish``.
 
-    A fold over the trip's ordered stops. A stop that doesn't fit even an empty day is put on a day of its own.
+    A fold over the trip's ordered stops. ``days`` bounds the days of a trip; what is left after them has no day, and so
+    have a stop that is too long for any day and all that come after it.
     """
     minutes = F.greatest(F.coalesce("avg_visit_duration", F.lit(120)), F.lit(30)).cast("long")
-    listed = stops.groupBy("trip_id").agg(F.sort_array(F.collect_list(F.struct("stop_no", "place_id", minutes.alias("minutes")))).alias("stops"))
+    days = F.greatest(F.coalesce(F.max("days"), F.lit(1)), F.lit(1)).cast("long").alias("days")
+    listed = stops.groupBy("trip_id").agg(days, F.sort_array(F.collect_list(F.struct("stop_no", "place_id", minutes.alias("minutes")))).alias("stops"))
+    # A day beyond the last one marks that nothing more is placed.
     state = "struct<day: bigint, clock: bigint, out: array<struct<stop_no: bigint, place_id: bigint, day: bigint, start_min: bigint, end_min: bigint>>>"
+    day = f"CASE WHEN s.day > days OR {start} + x.minutes > {finish} THEN days + 1 WHEN s.clock + x.minutes > {finish} THEN s.day + 1 ELSE s.day END"
+    begin = f"IF(s.clock + x.minutes > {finish}, {start}L, s.clock)"
+    entry = lambda d, a: f"named_struct('stop_no', x.stop_no, 'place_id', x.place_id, 'day', {d}, 'start_min', {a}, 'end_min', {a} + x.minutes)"
+    none = "CAST(NULL AS BIGINT)"
     text = f"""aggregate(stops, CAST(named_struct('day', 1, 'clock', {start}, 'out', array()) AS {state}),
-      (s, x) -> CASE WHEN s.clock + x.minutes > {finish} AND s.clock > {start}
-        THEN named_struct('day', s.day + 1L, 'clock', {start}L + x.minutes + {pause}L, 'out', concat(s.out, array(named_struct('stop_no', x.stop_no, 'place_id', x.place_id, 'day', s.day + 1L, 'start_min', {start}L, 'end_min', {start}L + x.minutes))))
-        ELSE named_struct('day', s.day, 'clock', s.clock + x.minutes + {pause}L, 'out', concat(s.out, array(named_struct('stop_no', x.stop_no, 'place_id', x.place_id, 'day', s.day, 'start_min', s.clock, 'end_min', s.clock + x.minutes))))
-      END)"""
+      (s, x) -> IF({day} > days,
+        named_struct('day', days + 1, 'clock', {start}L, 'out', concat(s.out, array({entry(none, none)}))),
+        named_struct('day', {day}, 'clock', {begin} + x.minutes + {pause}L, 'out', concat(s.out, array({entry(day, begin)})))))"""
     return listed.select("trip_id", F.inline(F.expr(text)["out"]))
 
 

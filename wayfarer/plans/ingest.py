@@ -9,7 +9,7 @@ from wayfarer.operators import nearby, quality as C, resolve as E, spelling as Y
 from wayfarer.plans.language import KEY_SQL
 from wayfarer.plans.registry import query
 from wayfarer.plans.travel import km
-from wayfarer.session import scratch_path
+from wayfarer.session import scratch_path, written
 from wayfarer.sources import records as IO
 from wayfarer.sources.tables import view, with_views
 from wayfarer.streaming import streams as ST
@@ -136,7 +136,7 @@ def numbered(spark, sf_dir):
         "image_url": F.when(F.col("source_id") % 4 != 0, F.concat(F.lit("https://img.example/"), "record_key", F.lit("/"), F.col("source_id") % 6)),
         "image_source": F.when(F.col("source_id") % 2 == 0, "Wikimedia Commons").otherwise("District"),
     })
-    return rows.drop("x", "y")
+    return written(rows.drop("x", "y"), "records")
 
 
 @query("er4_merge_records")
@@ -211,11 +211,12 @@ def er13(spark, sf_dir):
     return U.upsert(df.where("place_id % 3 <> 0"), new, ["place_id"], greatest=("tourism_relevance",))
 
 
-@query("er14_upsert_images", with_views("SELECT place_id, CAST(count(*) AS BIGINT) AS n_images, CAST(1 AS BIGINT) AS n_primary FROM (SELECT DISTINCT place_id, image_url FROM images) GROUP BY place_id", "images"))
+@query("er14_upsert_images", with_views("""SELECT place_id, image_url, row_number() OVER (PARTITION BY place_id ORDER BY was DESC, age, image_url) = 1 AS is_primary FROM (
+SELECT place_id, image_url, min(age) AS age, max(CASE WHEN is_primary AND age = 0 THEN 1 ELSE 0 END) AS was FROM (
+SELECT place_id, image_url, is_primary, 0 AS age FROM images WHERE place_id % 2 = 0 UNION ALL SELECT place_id, image_url, is_primary, 1 FROM images) GROUP BY place_id, image_url)""", "images"))
 def er14(spark, sf_dir):
     df = view(spark, sf_dir, "images").select("place_id", "image_url", "is_primary")
-    merged = U.add_images(df.where("place_id % 2 = 0"), df)
-    return merged.groupBy("place_id").agg(F.count(F.lit(1)).alias("n_images"), F.count_if("is_primary").alias("n_primary"))
+    return U.add_images(df.where("place_id % 2 = 0"), df)
 
 
 @query("er15_replace_slice", with_views("SELECT festival_id, CASE WHEN month = 6 THEN upper(festival_name) ELSE festival_name END AS festival_name, month FROM festivals", "festivals"))
@@ -224,13 +225,13 @@ def er15(spark, sf_dir):
     return U.replace_slice(df, df.where("month = 6").withColumn("festival_name", F.upper("festival_name")), "month").select("festival_id", "festival_name", "month")
 
 
-@query("er16_remove_places", with_views("SELECT 'images' AS kind, CAST(count(*) AS BIGINT) AS n FROM images WHERE place_id % 10 <> 0 UNION ALL SELECT 'links', CAST(count(*) AS BIGINT) FROM place_status WHERE place_id % 10 = 0", "images", "place_status"))
+@query("er16_remove_places", with_views("SELECT 'images' AS kind, place_id, image_url AS item FROM images WHERE place_id % 10 <> 0 UNION ALL SELECT 'sources', place_id, CAST(source_id AS VARCHAR) FROM place_sources WHERE place_id % 10 <> 0 UNION ALL SELECT 'status', CASE WHEN place_id % 10 <> 0 THEN place_id END, CAST(status_id AS VARCHAR) FROM place_status", "images", "place_sources", "place_status"))
 def er16(spark, sf_dir):
-    gone = view(spark, sf_dir, "places").where("place_id % 10 = 0")
-    zero = gone.select("place_id").unionByName(view(spark, sf_dir, "place_status").where("place_id % 10 = 0").select("place_id")).distinct()
-    left = U.remove(zero, {"images": view(spark, sf_dir, "images")}, {"status": view(spark, sf_dir, "place_status")})
-    images = left["images"].agg(F.count(F.lit(1)).alias("n")).select(F.lit("images").alias("kind"), "n")
-    return images.unionByName(left["status"].where("place_id IS NULL").agg(F.count(F.lit(1)).alias("n")).select(F.lit("links").alias("kind"), "n"))
+    gone = view(spark, sf_dir, "places").where("place_id % 10 = 0").select("place_id")
+    gone = gone.unionByName(view(spark, sf_dir, "place_status").where("place_id % 10 = 0").select("place_id"))
+    left = U.remove(gone, {n: view(spark, sf_dir, t) for n, t in (("images", "images"), ("sources", "place_sources"))}, {"status": view(spark, sf_dir, "place_status")})
+    part = lambda name, item: left[name].select(F.lit(name).alias("kind"), "place_id", F.col(item).cast("string").alias("item"))
+    return part("images", "image_url").unionByName(part("sources", "source_id")).unionByName(part("status", "status_id"))
 
 
 @query("er17_multi_district", with_views("""SELECT item_id, arg_min(district, struct_pack(d := coalesce(pow(latitude - my, 2) + pow(longitude - mx, 2), 'inf'::DOUBLE), district)) AS district

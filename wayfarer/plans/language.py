@@ -84,13 +84,14 @@ def pg1(spark, sf_dir):
     return G.texts(view(spark, sf_dir, "pages"))
 
 
-@query("pg2_page_title", "SELECT page_id, length(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1)) > 0 AS titled FROM pages")
+@query("pg2_page_title", "WITH t AS (SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS t FROM pages) SELECT page_id, nullif(trim(split_part(t, '|', 1)), '') AS name, nullif(trim(split_part(t, '|', 2)), '') AS district, nullif(trim(split_part(t, '|', 3)), '') AS suffix FROM t")
 def pg2(spark, sf_dir):
-    return G.titles(view(spark, sf_dir, "pages")).select("page_id", (F.length("title_name") > 0).alias("titled"))
+    part = lambda c: F.nullif(F.col(f"title_{c}"), F.lit("")).alias(c)
+    return G.titles(view(spark, sf_dir, "pages")).select("page_id", part("name"), part("district"), part("suffix"))
 
 
 @query("pg3_page_links", """WITH hrefs AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a\\s[^>]*href=["'']([^"''#]+)["'']', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a\\s[^>]*href=["'']([^"''#]+)["'']', 1), 1) - 1 AS pos FROM pages),
-abs AS (SELECT page_id, pos, CASE WHEN regexp_matches(href, '^[a-z]+://') THEN href WHEN starts_with(href, '/') THEN regexp_extract(url, '^[a-z]+://[^/?#]+') || href ELSE regexp_extract(url, '^[a-z]+://[^/?#]+') || '/' || href END AS link FROM hrefs)
+abs AS (SELECT page_id, pos, CASE WHEN regexp_matches(href, '^[a-z]+://') THEN href WHEN starts_with(href, '/') THEN regexp_extract(url, '^[a-z]+://[^/?#]+') || href ELSE coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]+/(?:[^?#]*/)?'), ''), regexp_extract(url, '^[a-z]+://[^/?#]+') || '/') || href END AS link FROM hrefs)
 SELECT page_id, link, CAST(min(pos) AS BIGINT) AS first_pos FROM abs WHERE lower(regexp_extract(link, '([^/]*)/?$', 1)) NOT IN ('home', 'the') GROUP BY page_id, link""")
 def pg3(spark, sf_dir):
     return G.links(view(spark, sf_dir, "pages"), ["home", "the"])
@@ -101,9 +102,16 @@ def pg4(spark, sf_dir):
     return G.heading_sections(view(spark, sf_dir, "pages"))
 
 
-@query("pg5_table_rows")
+@query("pg5_table_rows", with_views("SELECT p_partkey AS page_id, CAST(0 AS INTEGER) AS table_no, CAST(1 AS INTEGER) AS row_no, place_name AS name, district AS place FROM part JOIN places ON place_id = p_partkey UNION ALL SELECT place_id, 0, 2, upper(place_name), NULL FROM places WHERE place_id % 3 = 0", "places"))
 def pg5(spark, sf_dir):
-    return G.table_rows(view(spark, sf_dir, "pages"), {"name": "name", "place": "place"})
+    """Pages with a table of one or two rows, the second without its last cell."""
+    cell = lambda tag, c: F.concat(F.lit(f"<{tag} class='x'>"), c, F.lit(f"</{tag}>"))
+    row = lambda *cells: F.concat(F.lit("<tr>"), *cells, F.lit("</tr>\n"))
+    head = row(cell("th", F.lit("Name of <b>place</b>")), cell("th", F.lit("District")))
+    first = row(cell("td", F.concat(F.lit("<a href='/x'>"), F.col("place_name"), F.lit("</a>"))), cell("td", F.col("district")))
+    second = F.when(F.col("place_id") % 3 == 0, row(cell("td", F.upper("place_name")))).otherwise("")
+    html = F.concat(F.lit("<html><body><p>before</p><table border='1'>"), head, first, second, F.lit("</table></body></html>"))
+    return G.table_rows(view(spark, sf_dir, "places").select(F.col("place_id").alias("page_id"), html.alias("html")), {"name": "name", "place": "district"})
 
 
 @query("pg6_banner_reset", """WITH links AS (SELECT DISTINCT page_id % 20 AS listing, unnest(regexp_extract_all(html, '<a\\s[^>]*href=["'']([^"''#]+)["'']', 1)) AS url FROM pages),
@@ -163,10 +171,10 @@ def m4(spark, sf_dir):
     return view(spark, sf_dir, "messages").select("conv_id", "turn", X.classify(F.lower("message"), [("Q", r"(^|\W)que"), ("T", "tion")], None).alias("category"))
 
 
-@query("m5_keywords", with_views("SELECT conv_id, turn, CAST(count(*) AS BIGINT) AS n_words FROM (SELECT DISTINCT conv_id, turn, regexp_replace(w, '^[^a-zA-Z0-9_]+|[^a-zA-Z0-9_]+$', '', 'g') AS word FROM (SELECT conv_id, turn, unnest(regexp_split_to_array(lower(message), '\\s+')) AS w FROM messages)) WHERE length(word) >= 3 AND word NOT IN ('the', 'and') GROUP BY conv_id, turn", "messages"))
+@query("m5_keywords", with_views("SELECT conv_id, turn, list_sort(list(word)) AS words FROM (SELECT DISTINCT conv_id, turn, regexp_replace(w, '^[^a-zA-Z0-9_]+|[^a-zA-Z0-9_]+$', '', 'g') AS word FROM (SELECT conv_id, turn, unnest(regexp_split_to_array(lower(message), '\\s+')) AS w FROM messages)) WHERE length(word) >= 3 AND word NOT IN ('the', 'and') GROUP BY conv_id, turn", "messages"))
 def m5(spark, sf_dir):
-    words = F.size(X.keywords(F.col("message"), ["the", "and"])).cast("long")
-    return view(spark, sf_dir, "messages").select("conv_id", "turn", words.alias("n_words")).where("n_words > 0")
+    words = F.array_sort(X.keywords(F.col("message"), ["the", "and"]))
+    return view(spark, sf_dir, "messages").select("conv_id", "turn", words.alias("words")).where(F.size("words") > 0)
 
 
 @query("m6_message_search", with_views("""SELECT trip_id AS conv_id, 0::BIGINT AS turn, place_id, CAST(nth AS INTEGER) AS nth FROM (

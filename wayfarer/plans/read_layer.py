@@ -135,11 +135,13 @@ def j5(spark, sf_dir):
     return view(spark, sf_dir, "festivals").join(per, "district", "left").select("festival_id", "festival_name", F.coalesce("n", F.lit(0)).cast("long").alias("n_places"))
 
 
-@query("j6_festivals_for_place", with_views("""SELECT p.place_id, coalesce(l.n, 0) AS n_local, w.n AS n_statewide, coalesce(l.first, w.first) AS next_festival FROM places p
-LEFT JOIN (SELECT district, CAST(count(*) AS BIGINT) AS n, arg_min(festival_id, struct_pack(m := coalesce(month, 13), festival_id)) AS first FROM festivals WHERE district IS NOT NULL GROUP BY district) l ON l.district = p.district
-CROSS JOIN (SELECT CAST(count(*) AS BIGINT) AS n, arg_min(festival_id, struct_pack(m := coalesce(month, 13), festival_id)) AS first FROM festivals WHERE district IS NULL) w""", "places", "festivals"))
+@query("j6_festivals_for_place", with_views(""", f AS (SELECT *, CASE WHEN festival_id % 7 = 0 THEN festival_id % 1000 END AS own, coalesce(month, month(start_date), 13) AS m FROM festivals),
+met AS (SELECT p.place_id, f.festival_id, CASE WHEN f.own = p.place_id THEN 0 WHEN f.district = p.district THEN 1 ELSE 2 END AS relevance, m, start_date, festival_name
+FROM places p JOIN f ON f.own = p.place_id OR f.district = p.district OR f.district IS NULL)
+SELECT place_id, festival_id, CAST(relevance AS INTEGER) AS relevance, CAST(nth AS INTEGER) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY relevance, m, start_date NULLS LAST, festival_name, festival_id) AS nth FROM met) WHERE nth <= 10""", "places", "festivals"))
 def j6(spark, sf_dir):
-    return P.festivals_for_places(view(spark, sf_dir, "places").select("place_id", "district"), view(spark, sf_dir, "festivals"))
+    held = view(spark, sf_dir, "festivals").withColumn("associated_place_id", F.when(F.col("festival_id") % 7 == 0, F.col("festival_id") % 1000))
+    return P.festivals_for_places(view(spark, sf_dir, "places").select("place_id", "district"), held)
 
 
 @query("j9_semi_anti", with_views("SELECT CAST(count(*) FILTER (WHERE EXISTS (SELECT 1 FROM images i WHERE i.place_id = p.place_id)) AS BIGINT) AS with_image, CAST(count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM images i WHERE i.place_id = p.place_id)) AS BIGINT) AS without_image FROM places p", "places", "images"))
