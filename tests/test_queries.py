@@ -42,3 +42,8 @@ def test_query(spark, sf, duck, name):
 def test_entry(spark):
     assert 0 < entry.entry(spark).count() <= 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_every_oracle_is_text():
+    """No query is its own oracle."""
+    assert all(isinstance(sql, str) and sql.strip() for sql in entry.oracle_sql().values())
