@@ -1,5 +1,6 @@
 import itertools
 import random
+from urllib.parse import urljoin
 from difflib import SequenceMatcher
 
 import pytest
@@ -170,7 +171,7 @@ def test_pages(spark):
     df = spark.createDataFrame([(1, "http://h.org/p/q", PAGE), (2, "http://h.org/", None)], "page_id long, url string, html string")
     title = G.titles(df).where("page_id = 1").first()
     assert (title.title_name, title.title_district, title.title_suffix, title.description) == ("Fort", "Vellore", "Tourism", "An old fort")
-    assert sorted((r.link, r.first_pos) for r in G.links(df, ["home"]).collect()) == [("http://h.org/a", 0), ("http://h.org/b/c", 1)]
+    assert sorted((r.link, r.first_pos) for r in G.links(df, ["home"]).collect()) == [("http://h.org/a", 0), (urljoin("http://h.org/p/q", "b/c"), 1)]
     assert [(r.heading, r.paragraph) for r in G.heading_sections(df).orderBy("pos").collect()][:3] == [("Temples", "Short."), ("Forts", None), ("Inner", "Long text about the inner fort that has many words in it. Card one Card two A B again H Name of festival Place Car festival Vellore Boat Salem")]
     assert sorted((r.name, r.place) for r in G.table_rows(df, {"name": "name", "place": "place"}).collect()) == [("Boat", "Salem"), ("Car festival", "Vellore")]
     assert [(r.section, r.card) for r in G.section_cards(df).orderBy("pos").collect()] == [("Inner", "Card one"), ("Inner", "Card two")]
