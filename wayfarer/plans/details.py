@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayfarer.functions import names as N, score as S, text as X
+from wayfarer.functions.geo import in_box
 from wayfarer.operators import nearby, places as P, recommend as R, resolve as E, spelling as Y, timeline as L, upsert as U
 from wayfarer.plans.ingest import numbered, spelt
+from wayfarer.plans.language import PHON_SQL
 from wayfarer.plans.read_layer import base, base_sql
 from wayfarer.plans.registry import query
 from wayfarer.plans.travel import PAIRS_SQL, POINTS_SQL, RING, points, stops
@@ -20,7 +22,17 @@ def pr2(spark, sf_dir):
     return view(spark, sf_dir, "places").select("place_id", text.alias("description"))
 
 
-@query("sf4_sf5_sound_keys")
+def _single(sql: str) -> str:
+    """Repeated letters of a key once each, in SQL."""
+    for letter in " 0123456789abcdefghijklmnopqrstuvwxyz":
+        sql = f"regexp_replace({sql}, '{letter}{letter}+', '{letter}', 'g')"
+    return sql
+
+
+SOUND_SQL = _single(f"translate(replace({_single(PHON_SQL)}, 'ch', 's'), 'gbdj', 'kpts')")
+
+
+@query("sf4_sf5_sound_keys", with_views(f"SELECT source_id, record_key, sound, array_to_string(list_filter(string_split(sound, ' '), lambda w: w NOT IN ('rink', 'kear')), ' ') AS core, replace(sound, ' ', '') AS settlement FROM (SELECT source_id, record_key, {SOUND_SQL} AS sound FROM source_records)", "source_records"))
 def sf45(spark, sf_dir):
     name = F.col("place_name")
     return view(spark, sf_dir, "source_records").select("source_id", "record_key", N.sound_key(name).alias("sound"), N.core_name_key(name, ["ring", "gear"]).alias("core"), N.settlement_key(name).alias("settlement"))
@@ -154,13 +166,20 @@ def j15(spark, sf_dir):
     return ok.select("place_id", "title", F.when(F.length("description") < 80, F.col("title")).otherwise(F.col("description")).alias("description"))
 
 
-@query("er19_make_place")
+CATEGORY_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(concat_ws(' ', place_name, category_name)), '{rule}') THEN '{name}'" for name, rule in X.CATEGORY_RULES) + " ELSE 'Cultural' END"
+
+
+@query("er19_make_place", with_views(f"""SELECT place_id, place_name, district, {CATEGORY_SQL} AS category, CASE WHEN length(description) <= 40 THEN description ELSE regexp_replace(regexp_replace(substr(description, 1, 40), '\\s\\S*$', ''), '[,;:]+$', '') || '…' END AS description,
+CASE WHEN latitude BETWEEN 8.0 AND 13.6 AND longitude BETWEEN 76.0 AND 80.5 THEN latitude END AS latitude, CASE WHEN latitude BETWEEN 8.0 AND 13.6 AND longitude BETWEEN 76.0 AND 80.5 THEN longitude END AS longitude
+FROM places WHERE length(place_name) BETWEEN 3 AND 120 AND district IN (SELECT n_name FROM nation) AND NOT regexp_matches(lower(concat_ws(' ', place_name, category_name, description)), '{X.EDUCATION}')""", "places"))
 def er19(spark, sf_dir):
-    """Records with clean names, known districts, valid coordinates and categories; junk goes."""
+    """Records with clean names, known districts and categories; junk and teaching go, positions outside the region are unknown."""
     known = view(spark, sf_dir, "nation").select(F.col("n_name").alias("district"))
     df = view(spark, sf_dir, "places").withColumn("place_name", X.clean_place_name(F.col("place_name")))
-    kept = df.where(~X.junk_name(F.col("place_name"), F.col("district"))).join(known, "district", "left_semi")
-    return kept.select("place_id", "place_name", "district", X.classify(F.concat_ws(" ", "place_name", "category_name"), X.CATEGORY_RULES, "Cultural").alias("category"), X.truncate(F.col("description"), 40).alias("description"))
+    teaching = F.lower(F.concat_ws(" ", "place_name", "category_name", "description")).rlike(X.EDUCATION)
+    kept = df.where(~X.junk_name(F.col("place_name"), F.col("district")) & ~teaching).join(known, "district", "left_semi")
+    inside = in_box(F.col("latitude"), F.col("longitude"))
+    return kept.withColumns({c: F.when(inside, F.col(c)) for c in ("latitude", "longitude")}).select("place_id", "place_name", "district", X.classify(F.concat_ws(" ", "place_name", "category_name"), X.CATEGORY_RULES, "Cultural").alias("category"), X.truncate(F.col("description"), 40).alias("description"), "latitude", "longitude")
 
 
 @query("er12_merge_rounds")

@@ -15,6 +15,22 @@ for _a, _b in X.SPELLINGS:
     PHON_SQL = f"replace({PHON_SQL}, '{_a}', '{_b}')"
 
 
+def page_text_sql(c: str) -> str:
+    """The visible text of a page in SQL."""
+    out = f"regexp_replace({c}, '<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', ' ', 'gis')"
+    out = f"regexp_replace(regexp_replace({out}, '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'gs')"
+    for name, value in X.ENTITIES:
+        out = f"replace({out}, '{name}', '{value.replace(chr(39), chr(39) * 2)}')"
+    return f"trim(regexp_replace({out}, '[\\s\u00a0]+', ' ', 'g'))"
+
+
+def pieces_sql(starts: str, ends: str) -> str:
+    """``page_id, pos, piece`` of pages: what follows a tag of ``starts`` up to the next one or one of ``ends``, in SQL."""
+    cut = f"string_split(regexp_replace(html, '((?:<(?:{starts})\\b|{ends}))', chr(1) || '\\1', 'gi'), chr(1))"
+    kept = f"list_filter({cut}, lambda x: regexp_matches(x, '^<(?:{starts})\\b[^>]*>', 'i'))"
+    return f"SELECT page_id, unnest(l) AS piece, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT page_id, {kept} AS l FROM pages)"
+
+
 @query("sf2_name_key", with_views(f"SELECT source_id, record_key, {KEY_SQL} AS name_key FROM source_records", "source_records"))
 def sf2(spark, sf_dir):
     return view(spark, sf_dir, "source_records").select("source_id", "record_key", X.name_key(F.col("place_name")).alias("name_key"))
@@ -79,7 +95,7 @@ def f8(spark, sf_dir):
     return kept.where(~F.lower(F.concat_ws(" ", "place_name", "category_name", "description")).rlike(X.EDUCATION)).select("place_id", "district")
 
 
-@query("pg1_page_text")
+@query("pg1_page_text", f"SELECT page_id, {page_text_sql('html')} AS text FROM pages")
 def pg1(spark, sf_dir):
     return G.texts(view(spark, sf_dir, "pages"))
 
@@ -97,7 +113,9 @@ def pg3(spark, sf_dir):
     return G.links(view(spark, sf_dir, "pages"), ["home", "the"])
 
 
-@query("pg4_heading_sections")
+@query("pg4_heading_sections", f"""SELECT page_id, pos, heading, paragraph FROM (
+SELECT page_id, pos, is_heading, text AS heading, CASE WHEN NOT lead(is_heading) OVER w THEN lead(text) OVER w END AS paragraph FROM (
+SELECT page_id, pos, regexp_matches(piece, '^<h[1-6]', 'i') AS is_heading, {page_text_sql('piece')} AS text FROM ({pieces_sql('h[1-6]|p', '</article')})) WINDOW w AS (PARTITION BY page_id ORDER BY pos)) WHERE is_heading""")
 def pg4(spark, sf_dir):
     return G.heading_sections(view(spark, sf_dir, "pages"))
 
@@ -124,22 +142,30 @@ def pg6(spark, sf_dir):
     return G.reset_banners(links)
 
 
-@query("pg7_page_status")
+@query("pg7_page_status", f"SELECT page_id, CASE WHEN regexp_matches(lower({page_text_sql('html')}), 'closed|closure|dry|unsafe') THEN 0.2::DOUBLE ELSE 1.0::DOUBLE END AS suitability FROM pages")
 def pg7(spark, sf_dir):
     return G.page_status(view(spark, sf_dir, "pages"))
 
 
-@query("pg8_page_summary")
+@query("pg8_page_summary", f"""WITH p AS (SELECT page_id, pos, {page_text_sql("regexp_replace(piece, '^<p[^>]*>', '', 'i')")} AS text FROM ({pieces_sql('p', '</p>|</article')})),
+long AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS so_far FROM p WHERE length(text) > 40 AND NOT regexp_matches(lower(text), 'how to reach|nearest airport'))
+SELECT page_id, string_agg(text, ' ' ORDER BY pos) AS summary FROM long WHERE so_far <= 500 GROUP BY page_id""")
 def pg8(spark, sf_dir):
     return G.summaries(view(spark, sf_dir, "pages"), "how to reach|nearest airport")
 
 
-@query("pg9_pattern_matches")
+PAIR = r"(\p{Lu}\p{L}+) (\p{Ll}{4,})\."
+
+
+@query("pg9_pattern_matches", f"""SELECT page_id, unnest(a) AS name, unnest(b) AS place, generate_subscripts(a, 1) - 1 AS pos FROM (
+SELECT page_id, regexp_extract_all(t, '{PAIR}', 1) AS a, regexp_extract_all(t, '{PAIR}', 2) AS b FROM (SELECT page_id, {page_text_sql('html')} AS t FROM pages))""")
 def pg9(spark, sf_dir):
-    return G.pattern_matches(view(spark, sf_dir, "pages"), r"(\p{Lu}\p{L}+) (\p{Ll}{4,})\.")
+    return G.pattern_matches(view(spark, sf_dir, "pages"), PAIR)
 
 
-@query("pg10_section_cards")
+@query("pg10_section_cards", f"""WITH b AS (SELECT page_id, unnest(l) AS block, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT page_id, regexp_extract_all(html, '<(?:h[1-6]|li)\\b[^>]*>.*?</(?:h[1-6]|li)>', 0, 'is') AS l FROM pages)),
+t AS (SELECT page_id, pos, regexp_matches(block, '^<li', 'i') AS is_card, {page_text_sql('block')} AS text FROM b)
+SELECT page_id, pos, section, text AS card FROM (SELECT *, last_value(CASE WHEN NOT is_card THEN text END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY pos) AS section FROM t) WHERE is_card""")
 def pg10(spark, sf_dir):
     return G.section_cards(view(spark, sf_dir, "pages"))
 

@@ -210,11 +210,11 @@ def s5(spark, sf_dir):
     return base(spark, sf_dir).withColumn("hits", hits.cast("int")).orderBy(F.desc("hits"), F.desc("tourism_relevance"), *P.by_prominence()).limit(30).select("place_id", "hits")
 
 
-@query("s6_seeded_tie_break")
+@query("s6_seeded_tie_break", with_views("SELECT place_id FROM places ORDER BY floor(popularity_score) DESC, md5('7-' || place_id), place_id LIMIT 50", "places"))
 def s6(spark, sf_dir):
     """Equal popularity is ordered by a hash with a seed: alike in every run and every partitioning."""
     df = view(spark, sf_dir, "places")
-    return df.orderBy(F.desc(F.floor("popularity_score")), F.xxhash64("place_id", F.lit(7)), "place_id").limit(50).select("place_id")
+    return df.orderBy(F.desc(F.floor("popularity_score")), F.md5(F.concat(F.lit("7-"), F.col("place_id").cast("string"))), "place_id").limit(50).select("place_id")
 
 
 @query("s7_history", with_views("SELECT search_id, latitude, longitude FROM search_points ORDER BY search_timestamp DESC, search_id DESC LIMIT 50", "search_points"))

@@ -228,7 +228,19 @@ def w6(spark, sf_dir):
     return T.schedule(stops(spark, sf_dir)).select("trip_id", "stop_no", "start_min", "end_min")
 
 
-@query("t2_nearest_neighbour_route")
+@query("t2_nearest_neighbour_route", with_views(f"""SELECT trip_id, visit_no, stop_no, place_id FROM (
+WITH RECURSIVE s AS (SELECT trip_id, stop_no, place_id, latitude, longitude FROM trip_stops JOIN places USING (place_id)),
+k AS (SELECT * FROM s WHERE latitude IS NOT NULL AND longitude IS NOT NULL),
+walk AS (
+  SELECT trip_id, 1::BIGINT AS visit_no, stop_no, place_id, latitude, longitude, [stop_no] AS done FROM (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY stop_no) AS nth FROM k) WHERE nth = 1
+  UNION ALL
+  SELECT trip_id, visit_no, stop_no, place_id, latitude, longitude, done FROM (
+    SELECT w.trip_id, w.visit_no + 1 AS visit_no, k.stop_no, k.place_id, k.latitude, k.longitude, list_append(w.done, k.stop_no) AS done,
+      row_number() OVER (PARTITION BY w.trip_id ORDER BY {km('w.latitude', 'w.longitude', 'k.latitude', 'k.longitude')}, k.stop_no) AS nth
+    FROM walk w JOIN k ON k.trip_id = w.trip_id AND NOT list_contains(w.done, k.stop_no)) WHERE nth = 1)
+SELECT trip_id, visit_no, stop_no, place_id FROM walk UNION ALL
+SELECT s.trip_id, coalesce(c.n, 0) + row_number() OVER (PARTITION BY s.trip_id ORDER BY s.stop_no) AS visit_no, s.stop_no, s.place_id
+FROM s LEFT JOIN (SELECT trip_id, count(*) AS n FROM k GROUP BY trip_id) c ON c.trip_id = s.trip_id WHERE s.latitude IS NULL OR s.longitude IS NULL)""", "trip_stops", "places"))
 def t2(spark, sf_dir):
     return T.nearest_neighbour_route(stops(spark, sf_dir))
 
