@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayfarer.operators import nearby, quality as C, resolve as E, spelling as Y, upsert as U
+from wayfarer.operators import locating as V, nearby, quality as C, resolve as E, spelling as Y, upsert as U
 from wayfarer.plans.language import KEY_SQL
 from wayfarer.plans.registry import query
 from wayfarer.plans.travel import km
@@ -193,9 +193,13 @@ def er9(spark, sf_dir):
 
 @query("er10_locate")
 def er10(spark, sf_dir):
+    """Places without a position are looked for among the others; every other one names a village, spelt differently."""
     df = view(spark, sf_dir, "places")
-    gazetteer = df.where("latitude IS NOT NULL").select("district", F.upper("place_name").alias("name"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
-    return E.locate(df, gazetteer)
+    towns = df.select((F.col("place_id") - 25).alias("place_id"), F.translate("place_name", "ag", "ek").alias("city_town")).where("place_id % 2 = 0")
+    asked = df.where("latitude IS NULL").select("place_id", "place_name", "district", (F.col("category_name") == "PROMO").alias("is_temple")).join(towns, "place_id", "left")
+    kind = F.when(F.col("category_name") == "PROMO", "worship").otherwise("settlement")
+    known = df.where("latitude IS NOT NULL").select(F.col("place_id").alias("worship_id"), "district", kind.alias("kind"), (F.col("place_id") % 4).alias("rank"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), F.array(F.upper("place_name")).alias("names"))
+    return V.locate(asked, known, view(spark, sf_dir, "related_districts"))
 
 
 @query("er11_absorb", with_views("SELECT place_id - place_id % 2 AS place_id, source_id, max(last_seen) AS last_seen FROM place_sources GROUP BY 1, 2", "place_sources"))
