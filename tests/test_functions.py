@@ -83,3 +83,13 @@ def test_small_text_functions(spark):
     )
     assert r.page == "A & B C D" and r.cut == "one two…" and r.whole == "short" and tuple(r.parts) == ("Old Fort", "Vellore") and tuple(r.bare) == ("Old Fort", None)
     assert (r.month, r.none, r.minutes, r.bad, r.clock) == (3, None, 570, None, "10:05") and r.words == ["big", "temples"] and r.file == "File:Old Fort 1.jpg" and r.other is None
+
+
+def test_places_of_names_and_short_months(spark):
+    row = spark.range(1).select(
+        tail=X.split_name_location(F.lit("Old Fort, built of stone")), dash=X.split_name_location(F.lit("Pykara Dam – New Ooty")), short=X.month_number(F.lit("12 Sept 2024")),
+        may=X.month_number(F.lit("May be")), word=X.month_number(F.lit("maybe decorated")), few=S.classify_count(F.lit(10), F.lit(10), F.lit(20)), odd=S.classify_count(F.lit(10), F.lit(30), F.lit(20)),
+        none=S.classify_count(F.lit("x"), F.lit(1), F.lit(2)),
+    ).first()
+    assert tuple(row.tail) == ("Old Fort, built of stone", None) and tuple(row.dash) == ("Pykara Dam", "New Ooty")
+    assert (row.short, row.may, row.word, row.few, row.odd, row.none) == (9, 5, None, "Low", "Unknown", "Unknown")

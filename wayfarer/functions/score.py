@@ -60,6 +60,13 @@ def classify_crowd(level: Column) -> Column:
     return F.when(x.isNull() | F.isnan(x) | ~x.between(0, 1), "Unknown").when(x <= 0.33, "Low").when(x <= 0.66, "Medium").otherwise("High")
 
 
+def classify_count(n: Column, low: Column, high: Column) -> Column:
+    """Low up to ``low`` visitors, Medium up to ``high``; Unknown where a number is missing, negative or out of order."""
+    x, a, b = (c.try_cast("double") for c in (n, low, high))
+    known = x.isNotNull() & a.isNotNull() & b.isNotNull() & (x >= 0) & (a >= 0) & (b >= 0) & (a <= b)
+    return F.when(~known, "Unknown").when(x <= a, "Low").when(x <= b, "Medium").otherwise("High")
+
+
 def season(month: Column) -> Column:
     return F.when(month.between(3, 5), "Summer").when(month.between(6, 9), "Monsoon").when(month.isin(10, 11, 12, 1, 2), "Winter").otherwise("Unknown")
 

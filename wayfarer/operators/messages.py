@@ -24,11 +24,28 @@ def search_term(message: Column, prefixes: list[str]) -> Column:
 
 
 def find_names(messages: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
-    """The longest of a few ``names`` that stands in the message as a whole word."""
-    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower("message"), r"[^\p{L}\p{N}_]+", " "), F.lit(" "))
-    hit = messages.withColumn("_padded", padded).join(F.broadcast(names), F.contains(F.col("_padded"), F.concat(F.lit(" "), F.lower("name"), F.lit(" "))))
-    best = hit.groupBy(*keys).agg(F.max_by("name", F.struct(F.length("name"), "name")).alias("name"))
-    return messages.select(*keys).join(best, keys, "left")
+    """The longest of ``names`` (``name, district``) that stands in the message as whole words, and its district.
+
+    Names without a district are blocked. Runs of words of the messages meet the names in an equi join, so the list of
+    names may be long; a message's words come in runs as long as the longest name.
+    """
+    words = lambda c: F.split(F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", " ")), " ")
+    known = names.where("district IS NOT NULL").withColumn("_run", F.array_join(words(F.col("name")), " ")).where("_run <> ''")
+    longest = known.agg(F.coalesce(F.max(F.size(words(F.col("name")))), F.lit(1))).first()[0]
+    run = lambda w, n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+    said = messages.select(*keys, words(F.coalesce("message", F.lit(""))).alias("_w"))
+    said = said.select(*keys, F.explode(F.array_distinct(F.concat(*[run(F.col("_w"), n) for n in range(1, longest + 1)]))).alias("_run"))
+    rank = F.struct(F.length("name").alias("l"), F.col("name"))
+    best = said.join(known, "_run").groupBy(*keys).agg(F.max_by(F.struct("name", "district"), rank).alias("_b"))
+    return messages.select(*keys).join(best.select(*keys, "_b.name", "_b.district"), keys, "left")
+
+
+# How a message asks for what is around.
+NEAR_ME = r"\b(?:near|around|close to|nearby)\s+(?:me|here|my location|us)\b|\bnearby\b\s*(?:$|[^\w\s])"
+
+
+def wants_near_me(message: Column) -> Column:
+    return F.coalesce(F.lower(message).rlike(NEAR_ME), F.lit(False))
 
 
 def message_search(messages: DataFrame, places: DataFrame, keys: list[str], stop: list[str], n: int) -> DataFrame:

@@ -44,6 +44,12 @@ def top_rated(df: DataFrame, n: int) -> DataFrame:
     return df.where("rating_count > 0").orderBy(*order).limit(n)
 
 
+def listing(df: DataFrame, name: str, key: str, order: list[Column], n: int) -> DataFrame:
+    """``listing, id, nth``: the first ``n`` rows in an order; only those are numbered, in one task."""
+    first = df.orderBy(*order).limit(n)
+    return first.select(F.lit(name).alias("listing"), F.col(key).alias("id"), F.row_number().over(Window.orderBy(*order)).alias("nth"))
+
+
 def equals_folded(column: str, value: str) -> Column:
     return F.lower(column) == value.lower()
 
@@ -104,9 +110,12 @@ def category_summary(df: DataFrame) -> DataFrame:
 
 
 def prominence(places: DataFrame, place_sources: DataFrame, images: DataFrame) -> DataFrame:
-    """Stored prominence: relevance, distinct sources, image, coordinates and a long description."""
+    """Stored prominence: relevance, distinct sources, image, coordinates, external id (if there is such a column) and a
+    long description."""
     sources = place_sources.groupBy("place_id").agg(F.countDistinct("source_id").alias("n_sources"))
     pictured = images.select("place_id").distinct().withColumn("pictured", F.lit(1))
+    if "external_id" not in places.columns:
+        places = places.withColumn("external_id", F.lit(None).cast("string"))
     joined = places.join(sources, "place_id", "left").join(pictured, "place_id", "left")
     zero = F.lit(0)
     score = (
@@ -114,7 +123,8 @@ def prominence(places: DataFrame, place_sources: DataFrame, images: DataFrame) -
         + 25 * F.least(F.coalesce("n_sources", zero), F.lit(4)) / 4.0
         + 15 * F.coalesce("pictured", zero)
         + 10 * (F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).cast("int")
-        + 10 * (F.length("description") >= 80).cast("int")
+        + 5 * (F.coalesce(F.trim("external_id"), F.lit("")) != "").cast("int")
+        + 10 * (F.coalesce(F.length("description"), zero) >= 80).cast("int")
     )
     return joined.select("place_id", F.round(score, 1).alias("prominence"))
 

@@ -32,6 +32,19 @@ def day_spans(stops: DataFrame, per_day: int = 3) -> DataFrame:
     return pairs.groupBy("trip_id", "day").agg(F.max(haversine_km(F.col("y1"), F.col("x1"), F.col("y2"), F.col("x2"))).alias("span_km"))
 
 
+def day_summary(stops: DataFrame, per_day: int = 3) -> DataFrame:
+    """``trip_id, day, n_stops, pace, km, around``: how full each day is, its way between stops and its first two districts."""
+    daily = stops.withColumn("day", (F.floor((F.col("stop_no") - 1) / per_day) + 1).cast("long"))
+    w = Window.partitionBy("trip_id", "day").orderBy("stop_no")
+    daily = daily.withColumn("leg_km", haversine_km(F.lag("latitude").over(w), F.lag("longitude").over(w), F.col("latitude"), F.col("longitude")))
+    n, seen = F.count(F.lit(1)), F.array_sort(F.collect_list(F.struct("stop_no", "district")))  # a day has few stops
+    districts = F.array_distinct(F.filter(F.transform(seen, lambda s: F.trim(s["district"])), lambda d: d.isNotNull() & (d != "")))
+    pace = F.when(n <= 2, "Relaxed").when(n <= 4, "Balanced").otherwise("Packed")
+    return daily.groupBy("trip_id", "day").agg(
+        n.alias("n_stops"), pace.alias("pace"), F.round(F.coalesce(F.sum("leg_km"), F.lit(0.0)), 4).alias("km"), F.array_join(F.slice(districts, 1, 2), " & ").alias("around")
+    )
+
+
 def route_distance(stops: DataFrame) -> DataFrame:
     """Sum of the known legs of each trip."""
     return legs(stops).groupBy("trip_id").agg(F.round(F.coalesce(F.sum("leg_km"), F.lit(0.0)), 2).alias("route_km"))

@@ -186,15 +186,16 @@ def m2(spark, sf_dir):
 NAMES = ["the", "la", "der", "que", "of", "de la"]
 
 
-@query("m3_find_name", with_views("SELECT conv_id, turn, arg_max(name, struct_pack(n := length(name), name)) AS name FROM messages LEFT JOIN (VALUES " + ", ".join(f"('{n}')" for n in NAMES) + ") w(name) ON contains(' ' || regexp_replace(lower(message), '[^\\p{L}\\p{N}_]+', ' ', 'g') || ' ', ' ' || name || ' ') GROUP BY conv_id, turn", "messages"))
+@query("m3_find_name", with_views("SELECT conv_id, turn, arg_max(name, struct_pack(n := length(name), name)) AS name, arg_max('D ' || name, struct_pack(n := length(name), name)) AS district FROM messages LEFT JOIN (VALUES " + ", ".join(f"('{n}')" for n in NAMES if n != "que") + ") w(name) ON contains(' ' || regexp_replace(lower(message), '[^\\p{L}\\p{N}_]+', ' ', 'g') || ' ', ' ' || name || ' ') GROUP BY conv_id, turn", "messages"))
 def m3(spark, sf_dir):
-    names = spark.createDataFrame([(n,) for n in NAMES], "name string")
+    names = spark.createDataFrame([(n, None if n == "que" else f"D {n}") for n in NAMES], "name string, district string")
     return M.find_names(view(spark, sf_dir, "messages"), names, ["conv_id", "turn"])
 
 
-@query("m4_find_category", with_views("SELECT conv_id, turn, CASE WHEN regexp_matches(lower(message), '(^|\\W)que') THEN 'Q' WHEN regexp_matches(lower(message), 'tion') THEN 'T' END AS category FROM messages", "messages"))
+@query("m4_find_category", with_views("SELECT conv_id, turn, CASE WHEN regexp_matches(lower(message), '(^|\\W)que') THEN 'Q' WHEN regexp_matches(lower(message), 'tion') THEN 'T' END AS category, regexp_matches(lower(CASE conv_id % 3 WHEN 0 THEN message || ' near me' WHEN 1 THEN message || ' nearby' ELSE message END), '" + M.NEAR_ME + "') AS near_me FROM messages", "messages"))
 def m4(spark, sf_dir):
-    return view(spark, sf_dir, "messages").select("conv_id", "turn", X.classify(F.lower("message"), [("Q", r"(^|\W)que"), ("T", "tion")], None).alias("category"))
+    ending = F.when(F.col("conv_id") % 3 == 0, " near me").when(F.col("conv_id") % 3 == 1, " nearby").otherwise("")
+    return view(spark, sf_dir, "messages").select("conv_id", "turn", X.classify(F.lower("message"), [("Q", r"(^|\W)que"), ("T", "tion")], None).alias("category"), M.wants_near_me(F.concat("message", ending)).alias("near_me"))
 
 
 @query("m5_keywords", with_views("SELECT conv_id, turn, list_sort(list(word)) AS words FROM (SELECT DISTINCT conv_id, turn, regexp_replace(w, '^[^a-zA-Z0-9_]+|[^a-zA-Z0-9_]+$', '', 'g') AS word FROM (SELECT conv_id, turn, unnest(regexp_split_to_array(lower(message), '\\s+')) AS w FROM messages)) WHERE length(word) >= 3 AND word NOT IN ('the', 'and') GROUP BY conv_id, turn", "messages"))
@@ -213,15 +214,27 @@ def m6(spark, sf_dir):
     return M.message_search(said, view(spark, sf_dir, "places"), ["conv_id", "turn"], ["find"], 5)
 
 
-@query("m8_festival_digest", with_views("SELECT district, festival_name, CAST(nth AS INTEGER) AS nth FROM (SELECT district, festival_name, row_number() OVER (PARTITION BY district ORDER BY d, festival_id) AS nth FROM (SELECT coalesce(district, 'statewide') AS district, festival_name, coalesce(CAST(start_date AS VARCHAR), '9999') AS d, festival_id, row_number() OVER (PARTITION BY coalesce(district, 'statewide'), lower(festival_name) ORDER BY coalesce(CAST(start_date AS VARCHAR), '9999'), festival_id) AS k FROM festivals) WHERE k = 1) WHERE nth <= 8", "festivals"))
+UPCOMING = "1995-03-01"
+
+
+@query("m8_festival_digest", with_views(f"""SELECT district, festival_name, CAST(nth AS INTEGER) AS nth FROM (SELECT district, festival_name, row_number() OVER (PARTITION BY district ORDER BY d, festival_id) AS nth FROM (
+SELECT coalesce(district, 'statewide') AS district, festival_name, coalesce(CAST(start_date AS VARCHAR), '9999') AS d, festival_id, row_number() OVER (PARTITION BY district, lower(festival_name) ORDER BY coalesce(CAST(start_date AS VARCHAR), '9999'), festival_id) AS k
+FROM festivals WHERE district IS NOT NULL OR start_date >= DATE '{UPCOMING}') WHERE k = 1) WHERE nth <= CASE WHEN district = 'statewide' THEN 6 ELSE 8 END""", "festivals"))
 def m8(spark, sf_dir):
-    named = view(spark, sf_dir, "festivals").withColumn("district", F.coalesce("district", F.lit("statewide"))).withColumn("name", F.lower("festival_name"))
+    """Eight festivals of each district, once each, and the next six of the state."""
+    coming = view(spark, sf_dir, "festivals").where(F.col("district").isNotNull() | (F.col("start_date") >= F.lit(UPCOMING).cast("date")))
+    named = coming.withColumn("district", F.coalesce("district", F.lit("statewide"))).withColumn("name", F.lower("festival_name"))
     once = P.next_occurrences(named, ["district", "name"])
     order = [F.coalesce(F.col("start_date").cast("string"), F.lit("9999")), F.col("festival_id")]
-    return P.top_per(once, ["district"], order, 8, "nth").select("district", "festival_name", "nth")
+    top = P.top_per(once, ["district"], order, 8, "nth").where("nth <= 6 OR district <> 'statewide'")
+    return top.select("district", "festival_name", "nth")
 
 
-@query("m10_place_with_festivals", with_views("SELECT p.place_id, CAST(count(f.festival_id) AS BIGINT) AS n_festivals, min(f.festival_id) AS first_festival FROM places p LEFT JOIN festivals f ON f.district = p.district AND f.month = 12 GROUP BY p.place_id", "places", "festivals"))
+@query("m10_place_with_festivals", with_views("""SELECT place_id, list(festival_id ORDER BY nth) AS festivals FROM (SELECT p.place_id, f.festival_id, row_number() OVER (PARTITION BY p.place_id ORDER BY f.district IS NULL, f.m, f.start_date NULLS LAST, f.festival_name, f.festival_id) AS nth
+FROM places p JOIN (SELECT *, coalesce(month, month(start_date), 13) AS m FROM festivals) f ON f.district = p.district OR f.district IS NULL) WHERE nth <= 5 GROUP BY place_id""", "places", "festivals"))
 def m10(spark, sf_dir):
-    local = view(spark, sf_dir, "festivals").where("month = 12").groupBy("district").agg(F.count(F.lit(1)).alias("n"), F.min("festival_id").alias("first_festival"))
-    return view(spark, sf_dir, "places").join(local, "district", "left").select("place_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_festivals"), "first_festival")
+    """Each place with its first five festivals, in order."""
+    festivals = view(spark, sf_dir, "festivals").withColumn("associated_place_id", F.lit(None).cast("long"))
+    rows = P.festivals_for_places(view(spark, sf_dir, "places").select("place_id", "district"), festivals, 5)
+    listed = F.array_sort(F.collect_list(F.struct("nth", "festival_id")))  # five at most
+    return rows.groupBy("place_id").agg(F.transform(listed, lambda f: f["festival_id"]).alias("festivals"))

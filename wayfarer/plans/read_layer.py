@@ -105,9 +105,15 @@ def f13(spark, sf_dir):
     return base(spark, sf_dir).select("place_id", F.coalesce(F.col("image_url").rlike("^https?://"), F.lit(False)).alias("has_photo"))
 
 
-@query("f14_enrichment_worklist", with_views("SELECT place_id FROM places p WHERE length(description) < 30 OR NOT EXISTS (SELECT 1 FROM images i WHERE i.place_id = p.place_id)", "places", "images"))
+def with_external_id(spark, sf_dir):
+    """Places with the smallest external id that a source knows for them."""
+    ids = view(spark, sf_dir, "source_records").groupBy(F.col("record_key").alias("place_id")).agg(F.min("external_id").alias("external_id"))
+    return view(spark, sf_dir, "places").join(ids, "place_id", "left")
+
+
+@query("f14_enrichment_worklist", with_views("SELECT place_id FROM places p WHERE place_id IN (SELECT record_key FROM source_records WHERE external_id IS NOT NULL) AND (length(description) < 30 OR NOT EXISTS (SELECT 1 FROM images i WHERE i.place_id = p.place_id))", "places", "images", "source_records"))
 def f14(spark, sf_dir):
-    df, shown = view(spark, sf_dir, "places"), view(spark, sf_dir, "images").select("place_id").distinct().withColumn("shown", F.lit(True))
+    df, shown = with_external_id(spark, sf_dir).where("external_id IS NOT NULL"), view(spark, sf_dir, "images").select("place_id").distinct().withColumn("shown", F.lit(True))
     return df.join(shown, "place_id", "left").where((F.length("description") < 30) | F.col("shown").isNull()).select("place_id")
 
 
@@ -135,6 +141,16 @@ def j5(spark, sf_dir):
     return view(spark, sf_dir, "festivals").join(per, "district", "left").select("festival_id", "festival_name", F.coalesce("n", F.lit(0)).cast("long").alias("n_places"))
 
 
+@query("j5_search_festivals", with_views("""SELECT f.festival_id, f.festival_name, p.place_name FROM (SELECT *, CASE WHEN festival_id % 7 = 0 THEN festival_id % 1000 END AS own FROM festivals) f LEFT JOIN places p ON p.place_id = f.own
+WHERE contains(lower(f.festival_name), 'al 4') OR contains(lower(coalesce(f.district, '')), 'al 4') OR contains(lower(coalesce(p.place_name, '')), 'brand#4')""", "festivals", "places"))
+def j5_search(spark, sf_dir):
+    """Festivals with the name of the place they are held at, found by any of three columns."""
+    held = view(spark, sf_dir, "festivals").withColumn("place_id", F.when(F.col("festival_id") % 7 == 0, F.col("festival_id") % 1000))
+    df = held.join(view(spark, sf_dir, "places").select("place_id", "place_name"), "place_id", "left")
+    found = P.any_contains(["festival_name", "district"], "al 4") | P.any_contains(["place_name"], "brand#4")
+    return df.where(found).select("festival_id", "festival_name", "place_name")
+
+
 @query("j6_festivals_for_place", with_views(""", f AS (SELECT *, CASE WHEN festival_id % 7 = 0 THEN festival_id % 1000 END AS own, coalesce(month, month(start_date), 13) AS m FROM festivals),
 met AS (SELECT p.place_id, f.festival_id, CASE WHEN f.own = p.place_id THEN 0 WHEN f.district = p.district THEN 1 ELSE 2 END AS relevance, m, start_date, festival_name
 FROM places p JOIN f ON f.own = p.place_id OR f.district = p.district OR f.district IS NULL)
@@ -187,10 +203,10 @@ def a7(spark, sf_dir):
     return nearby.median_centre(view(spark, sf_dir, "places"), ["district"])
 
 
-@query("a8_prominence", with_views("""SELECT p.place_id, round(35 * least(greatest(coalesce(tourism_relevance, 0), 0), 1) + 25 * least(coalesce(n_sources, 0), 4) / 4.0::DOUBLE + 15 * (i.place_id IS NOT NULL)::INT + 10 * (latitude IS NOT NULL AND longitude IS NOT NULL)::INT + 10 * (length(description) >= 80)::INT, 1) AS prominence
-FROM places p LEFT JOIN (SELECT place_id, count(DISTINCT source_id) AS n_sources FROM place_sources GROUP BY place_id) s USING (place_id) LEFT JOIN (SELECT DISTINCT place_id FROM images) i USING (place_id)""", "places", "place_sources", "images"))
+@query("a8_prominence", with_views("""SELECT p.place_id, round(35 * least(greatest(coalesce(tourism_relevance, 0), 0), 1) + 25 * least(coalesce(n_sources, 0), 4) / 4.0::DOUBLE + 15 * (i.place_id IS NOT NULL)::INT + 10 * (latitude IS NOT NULL AND longitude IS NOT NULL)::INT + 5 * (x.place_id IS NOT NULL)::INT + 10 * (length(description) >= 80)::INT, 1) AS prominence
+FROM places p LEFT JOIN (SELECT DISTINCT record_key AS place_id FROM source_records WHERE external_id IS NOT NULL) x USING (place_id) LEFT JOIN (SELECT place_id, count(DISTINCT source_id) AS n_sources FROM place_sources GROUP BY place_id) s USING (place_id) LEFT JOIN (SELECT DISTINCT place_id FROM images) i USING (place_id)""", "places", "place_sources", "images", "source_records"))
 def a8(spark, sf_dir):
-    return P.prominence(view(spark, sf_dir, "places"), view(spark, sf_dir, "place_sources"), view(spark, sf_dir, "images"))
+    return P.prominence(with_external_id(spark, sf_dir), view(spark, sf_dir, "place_sources"), view(spark, sf_dir, "images"))
 
 
 @query("s1_prominence_order", base_sql(f"SELECT {SHORT_SQL} FROM base ORDER BY {PROMINENCE} LIMIT 25"))
@@ -217,9 +233,14 @@ def s6(spark, sf_dir):
     return df.orderBy(F.desc(F.floor("popularity_score")), F.md5(F.concat(F.lit("7-"), F.col("place_id").cast("string"))), "place_id").limit(50).select("place_id")
 
 
-@query("s7_history", with_views("SELECT search_id, latitude, longitude FROM search_points ORDER BY search_timestamp DESC, search_id DESC LIMIT 50", "search_points"))
+@query("s7_history", with_views("""SELECT 'search' AS listing, search_id AS id, CAST(nth AS INTEGER) AS nth FROM (SELECT search_id, row_number() OVER (ORDER BY search_timestamp DESC, search_id DESC) AS nth FROM search_points) WHERE nth <= 50
+UNION ALL SELECT 'festival', festival_id, CAST(nth AS INTEGER) FROM (SELECT festival_id, row_number() OVER (ORDER BY start_date NULLS LAST, festival_name, festival_id) AS nth FROM festivals) WHERE nth <= 50
+UNION ALL SELECT 'name', place_id, CAST(nth AS INTEGER) FROM (SELECT place_id, row_number() OVER (ORDER BY place_name, place_id) AS nth FROM places) WHERE nth <= 50""", "search_points", "festivals", "places"))
 def s7(spark, sf_dir):
-    return view(spark, sf_dir, "search_points").orderBy(F.desc("search_timestamp"), F.desc("search_id")).limit(50).select("search_id", "latitude", "longitude")
+    """Three listings of fifty: searches by time, newest first, festivals by date, places by name."""
+    searches = P.listing(view(spark, sf_dir, "search_points"), "search", "search_id", [F.desc("search_timestamp"), F.desc("search_id")], 50)
+    festivals = P.listing(view(spark, sf_dir, "festivals"), "festival", "festival_id", [F.asc_nulls_last("start_date"), F.asc("festival_name"), F.asc("festival_id")], 50)
+    return searches.unionByName(festivals).unionByName(P.listing(view(spark, sf_dir, "places"), "name", "place_id", [F.asc("place_name"), F.asc("place_id")], 50))
 
 
 @query("s9_cut_with_total", base_sql(f"SELECT place_id, CAST(count(*) OVER () AS BIGINT) AS n_total FROM base WHERE region_id = 2 ORDER BY {PROMINENCE} LIMIT 60"))

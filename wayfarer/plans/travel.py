@@ -10,7 +10,7 @@ from wayfarer.functions.geo import haversine_km, valid_coordinates
 from wayfarer.operators import crowd, nearby, places as P, recommend as R, trips as T
 from wayfarer.operators.status import latest_status
 from wayfarer.plans.read_layer import base, base_sql
-from wayfarer.plans.registry import query
+from wayfarer.plans.registry import ORACLES, query
 from wayfarer.sources.tables import view, with_views
 
 AS_OF = "2024-01-20 00:00:00"
@@ -82,12 +82,12 @@ def g4(spark, sf_dir):
     return found.withColumn("nth", F.row_number().over(Window.partitionBy("point_id").orderBy("distance_km", "place_id")).cast("int")).select("place_id", "nth")
 
 
-@query("g5_nearest_anchor", with_views(f"SELECT p.place_id, round(coalesce(min({km('a.latitude', 'a.longitude', 'p.latitude', 'p.longitude')}), 10000), 6) AS nearest_km FROM places p, (SELECT latitude, longitude FROM places WHERE place_id IN (1, 2, 3)) a GROUP BY p.place_id", "places"))
+@query("g5_nearest_anchor", with_views(f"SELECT p.place_id, round(coalesce(min({km('a.latitude', 'a.longitude', 'p.latitude', 'p.longitude')}), 10000), 6) AS nearest_km, coalesce(max({km('a.latitude', 'a.longitude', 'p.latitude', 'p.longitude')}) <= 60, FALSE) AS all_near FROM places p, (SELECT latitude, longitude FROM places WHERE place_id IN (1, 2, 3)) a GROUP BY p.place_id", "places"))
 def g5(spark, sf_dir):
     df = view(spark, sf_dir, "places").select("place_id", "latitude", "longitude")
     anchors = df.where("place_id IN (1, 2, 3)").select(F.col("latitude").alias("a"), F.col("longitude").alias("b"))
     away = haversine_km(F.col("a"), F.col("b"), F.col("latitude"), F.col("longitude"))
-    return df.join(F.broadcast(anchors), how="cross").groupBy("place_id").agg(F.round(F.coalesce(F.min(away), F.lit(10000.0)), 6).alias("nearest_km"))  # three anchors
+    return df.join(F.broadcast(anchors), how="cross").groupBy("place_id").agg(F.round(F.coalesce(F.min(away), F.lit(10000.0)), 6).alias("nearest_km"), F.coalesce(F.max(away) <= 60, F.lit(False)).alias("all_near"))  # three anchors
 
 
 @query("sf17_valid_coordinates", with_views("SELECT place_id, CASE WHEN ok THEN round(a, 6) END AS latitude, CASE WHEN ok THEN round(o, 6) END AS longitude FROM (SELECT place_id, latitude + 0.4::DOUBLE AS a, longitude AS o, (latitude + 0.4::DOUBLE) BETWEEN 8.0 AND 13.6 AND longitude BETWEEN 76.0 AND 80.5 AS ok FROM places)", "places"))
@@ -198,11 +198,12 @@ def r10(spark, sf_dir):
     return df.withColumn("s", F.round(value, 6)).orderBy(F.desc("s"), "place_id").limit(50).select("place_id")
 
 
-@query("s3_rank_by", base_sql("SELECT 'rating' AS kind, place_id FROM (SELECT place_id FROM base ORDER BY rating DESC, place_id LIMIT 10) UNION ALL SELECT 'popularity', place_id FROM (SELECT place_id FROM base ORDER BY coalesce(popularity_score, 0) DESC, place_id LIMIT 10)"))
+@query("s3_rank_by", base_sql("SELECT 'rating' AS kind, place_id FROM (SELECT place_id FROM base ORDER BY rating DESC, place_id LIMIT 10) UNION ALL SELECT 'popularity', place_id FROM (SELECT place_id FROM base ORDER BY coalesce(popularity_score, 0) DESC, place_id LIMIT 10) UNION ALL SELECT 'score', place_id FROM (SELECT place_id FROM base ORDER BY tourism_relevance DESC, place_id LIMIT 10) UNION ALL SELECT 'distance', place_id FROM (SELECT place_id FROM base ORDER BY " + HERE + " NULLS LAST, rating DESC, place_id LIMIT 10)"))
 def s3(spark, sf_dir):
     df = base(spark, sf_dir)
     top = lambda kind, c: df.orderBy(F.desc(F.coalesce(F.col(c), F.lit(0.0))), "place_id").limit(10).select(F.lit(kind).alias("kind"), "place_id")
-    return top("rating", "rating").unionByName(top("popularity", "popularity_score"))
+    away = nearby.add_distance(df, *POINT).orderBy(F.asc_nulls_last("distance_km"), F.desc("rating"), "place_id").limit(10).select(F.lit("distance").alias("kind"), "place_id")
+    return top("rating", "rating").unionByName(top("popularity", "popularity_score")).unionByName(top("score", "tourism_relevance")).unionByName(away)
 
 
 def stops(spark, sf_dir):
@@ -329,25 +330,29 @@ def b7(spark, sf_dir):
     return view(spark, sf_dir, "trips").select("trip_id", S.rate("transport", level).alias("per_km"), (S.rate("food", level) + S.rate("accommodation", level) + S.rate("misc", level)).alias("per_day"))
 
 
-@query("a10_budget_shares", with_views(f"SELECT trip_id, kind, round(100 * cost / CASE WHEN total <= 0 THEN 1 ELSE total END, 2) AS share FROM (SELECT trip_id, food, stay, food + stay AS total FROM (SELECT trip_id, travelers * days * ({RATE('food')}) AS food, travelers * (days - 1) * ({RATE('accommodation')}) AS stay FROM trips)) UNPIVOT (cost FOR kind IN (food, stay))", "trips"))
+RUPEE = 0.012  # dollars
+
+
+@query("a10_budget_shares", f"SELECT trip_id, kind, round(100 * cost / CASE WHEN total <= 0 THEN 1 ELSE total END, 2) AS share, round(cost * {RUPEE}::DOUBLE, 4) AS amount FROM ({ORACLES['b6_total_budget']}) UNPIVOT (cost FOR kind IN (transport, food, accommodation, entry_fees, misc))")
 def a10(spark, sf_dir):
-    level, n, days = F.col("budget_level"), F.col("travelers"), F.col("days")
-    parts = view(spark, sf_dir, "trips").select("trip_id", S.food_cost(n, days, S.rate("food", level)).alias("food"), S.accommodation_cost(n, days - 1, S.rate("accommodation", level)).alias("stay"))
-    parts = parts.withColumn("total", F.col("food") + F.col("stay"))
-    long = parts.unpivot(["trip_id", "total"], ["food", "stay"], "kind", "cost")
-    return long.select("trip_id", "kind", F.round(100 * F.col("cost") / F.when(F.col("total") <= 0, 1.0).otherwise(F.col("total")), 2).alias("share"))
+    """Share of each kind of cost, and its amount in another currency."""
+    kinds = ["transport", "food", "accommodation", "entry_fees", "misc"]
+    long = T.budgets(view(spark, sf_dir, "trips"), stops(spark, sf_dir)).unpivot(["trip_id", "total"], kinds, "kind", "cost")
+    share = F.round(100 * F.col("cost") / F.when(F.col("total") <= 0, 1.0).otherwise(F.col("total")), 2)
+    return long.select("trip_id", "kind", share.alias("share"), F.round(F.col("cost") * RUPEE, 4).alias("amount"))
 
 
-@query("a9_day_summary", with_views("SELECT trip_id, CAST(count(*) AS BIGINT) AS n_stops, CASE WHEN count(*) <= 2 THEN 'Relaxed' WHEN count(*) <= 4 THEN 'Balanced' ELSE 'Packed' END AS pace, CAST(count(DISTINCT district) AS BIGINT) AS n_districts FROM trip_stops JOIN places USING (place_id) GROUP BY trip_id", "trip_stops", "places"))
+@query("a9_day_summary", with_views(f"""SELECT trip_id, day, CAST(count(*) AS BIGINT) AS n_stops, CASE WHEN count(*) <= 2 THEN 'Relaxed' WHEN count(*) <= 4 THEN 'Balanced' ELSE 'Packed' END AS pace, round(coalesce(sum(leg_km), 0), 4) AS km, min(around) AS around FROM (
+SELECT *, {km('lag(latitude) OVER w', 'lag(longitude) OVER w', 'latitude', 'longitude')} AS leg_km FROM (SELECT trip_id, stop_no, CAST((stop_no - 1) // 3 + 1 AS BIGINT) AS day, district, latitude, longitude FROM trip_stops JOIN places USING (place_id)) WINDOW w AS (PARTITION BY trip_id, day ORDER BY stop_no))
+LEFT JOIN (SELECT trip_id, day, string_agg(district, ' & ' ORDER BY first_stop) AS around FROM (SELECT trip_id, day, district, first_stop, row_number() OVER (PARTITION BY trip_id, day ORDER BY first_stop) AS nth FROM (SELECT trip_id, CAST((stop_no - 1) // 3 + 1 AS BIGINT) AS day, district, min(stop_no) AS first_stop FROM trip_stops JOIN places USING (place_id) GROUP BY ALL)) WHERE nth <= 2 GROUP BY trip_id, day) USING (trip_id, day) GROUP BY trip_id, day""", "trip_stops", "places"))
 def a9(spark, sf_dir):
-    df = view(spark, sf_dir, "trip_stops").join(view(spark, sf_dir, "places").select("place_id", "district"), "place_id")
-    n = F.count(F.lit(1))
-    return df.groupBy("trip_id").agg(n.alias("n_stops"), F.when(n <= 2, "Relaxed").when(n <= 4, "Balanced").otherwise("Packed").alias("pace"), F.countDistinct("district").alias("n_districts"))
+    df = view(spark, sf_dir, "trip_stops").join(view(spark, sf_dir, "places").select("place_id", "district", "latitude", "longitude"), "place_id")
+    return T.day_summary(df)
 
 
-@query("c1_classify_crowd", with_views("SELECT place_id, CASE WHEN x IS NULL OR x < 0 OR x > 1 THEN 'Unknown' WHEN x <= 0.33::DOUBLE THEN 'Low' WHEN x <= 0.66::DOUBLE THEN 'Medium' ELSE 'High' END AS crowd FROM (SELECT place_id, popularity_score / 90 AS x FROM places)", "places"))
+@query("c1_classify_crowd", with_views("SELECT place_id, CASE WHEN x IS NULL OR x < 0 OR x > 1 THEN 'Unknown' WHEN x <= 0.33::DOUBLE THEN 'Low' WHEN x <= 0.66::DOUBLE THEN 'Medium' ELSE 'High' END AS crowd, CASE WHEN n < 0 THEN 'Unknown' WHEN n <= 100 THEN 'Low' WHEN n <= 400 THEN 'Medium' ELSE 'High' END AS by_count FROM (SELECT place_id, popularity_score / 90 AS x, place_id % 600 - 20 AS n FROM places)", "places"))
 def c1(spark, sf_dir):
-    return view(spark, sf_dir, "places").select("place_id", S.classify_crowd(F.col("popularity_score") / 90).alias("crowd"))
+    return view(spark, sf_dir, "places").select("place_id", S.classify_crowd(F.col("popularity_score") / 90).alias("crowd"), S.classify_count(F.col("place_id") % 600 - 20, F.lit(100), F.lit(400)).alias("by_count"))
 
 
 @query("c2_estimate_crowd", with_views("""SELECT p.place_id, d.day, round(least(1, greatest(0, 0.15::DOUBLE + CASE WHEN isodow(d.day) >= 6 THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN month(d.day) IN (4, 5, 12) THEN 0.15::DOUBLE ELSE 0 END
