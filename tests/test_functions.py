@@ -86,10 +86,11 @@ def test_small_text_functions(spark):
 
 
 def test_places_of_names_and_short_months(spark):
-    row = spark.range(1).select(
+    columns = dict(
         tail=X.split_name_location(F.lit("Old Fort, built of stone")), dash=X.split_name_location(F.lit("Pykara Dam – New Ooty")), short=X.month_number(F.lit("12 Sept 2024")),
         may=X.month_number(F.lit("May be")), word=X.month_number(F.lit("maybe decorated")), few=S.classify_count(F.lit(10), F.lit(10), F.lit(20)), odd=S.classify_count(F.lit(10), F.lit(30), F.lit(20)),
         none=S.classify_count(F.lit("x"), F.lit(1), F.lit(2)),
-    ).first()
+    )
+    row = spark.range(1).select(*[c.alias(n) for n, c in columns.items()]).first()
     assert tuple(row.tail) == ("Old Fort, built of stone", None) and tuple(row.dash) == ("Pykara Dam", "New Ooty")
     assert (row.short, row.may, row.word, row.few, row.odd, row.none) == (9, 5, None, "Low", "Unknown", "Unknown")
