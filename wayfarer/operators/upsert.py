@@ -35,6 +35,19 @@ def replace_slice(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return stored.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
+def write_sliced(df: DataFrame, path: str, key: str) -> None:
+    """Write a table cut into one folder for each value of ``key``."""
+    df.repartition(key).write.partitionBy(key).parquet(path)
+
+
+def overwrite_slices(new: DataFrame, path: str, key: str) -> None:
+    """Replace the slices of a table written by :func:`write_sliced` that ``new`` has rows of; the others keep their files.
+
+    A slice of which ``new`` has no row stays as well. Slices are swapped when the whole write has succeeded.
+    """
+    new.repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+
+
 def remove(ids: DataFrame, children: dict[str, DataFrame], links: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Child rows of removed ids go; links to them become null."""
     gone = ids.select("place_id").distinct()

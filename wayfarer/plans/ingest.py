@@ -225,8 +225,11 @@ def er14(spark, sf_dir):
 
 @query("er15_replace_slice", with_views("SELECT festival_id, CASE WHEN month = 6 THEN upper(festival_name) ELSE festival_name END AS festival_name, month FROM festivals", "festivals"))
 def er15(spark, sf_dir):
-    df = view(spark, sf_dir, "festivals").select("festival_id", "festival_name", "month")
-    return U.replace_slice(df, df.where("month = 6").withColumn("festival_name", F.upper("festival_name")), "month").select("festival_id", "festival_name", "month")
+    """Festivals lie in slices by their source (here the month); a source's new list replaces its slice alone."""
+    df, path = view(spark, sf_dir, "festivals").select("festival_id", "festival_name", "month"), scratch_path(spark, "er15")
+    U.write_sliced(df, path, "month")
+    U.overwrite_slices(df.where("month = 6").withColumn("festival_name", F.upper("festival_name")), path, "month")
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @query("er16_remove_places", with_views("SELECT 'images' AS kind, place_id, image_url AS item FROM images WHERE place_id % 10 <> 0 UNION ALL SELECT 'sources', place_id, CAST(source_id AS VARCHAR) FROM place_sources WHERE place_id % 10 <> 0 UNION ALL SELECT 'status', CASE WHEN place_id % 10 <> 0 THEN place_id END, CAST(status_id AS VARCHAR) FROM place_status", "images", "place_sources", "place_status"))
@@ -294,18 +297,25 @@ def j14(spark, sf_dir):
     return hosted.unionByName(others).select("place_id", "image_url", "author")
 
 
-@query("st1_latest_status", with_views("SELECT place_id, arg_max(status_id, struct_pack(checked_at, status_id)) AS status_id, arg_max(status, struct_pack(checked_at, status_id)) AS status FROM place_status GROUP BY place_id", "place_status"))
+@query("st1_latest_status", with_views("""SELECT place_id, status_id, status, checked_at, epoch_ms(checked_at) + 86400000 > epoch_ms((SELECT max(checked_at) FROM place_status)) - 3600000 AS is_fresh
+FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY checked_at DESC, status_id DESC) AS nth FROM place_status) WHERE nth = 1""", "place_status"))
 def st1(spark, sf_dir):
     events = ST.source(spark, f"{sf_dir}/events.parquet")
     status = F.when(F.col("event_type") == "error", "Closed today").when(F.col("event_type") == "signup", "Path unsafe").otherwise("Open")
     rows = events.select(F.col("event_id").alias("status_id"), F.col("user_id").alias("place_id"), status.alias("status"), F.col("ts").alias("checked_at"), (F.col("ts") + F.expr("INTERVAL 24 HOURS")).alias("expires_at"))
-    return ST.latest_status(rows, scratch_path(spark, "st1")).select("place_id", "status_id", "status")
+    return ST.latest_status(rows, scratch_path(spark, "st1")).select("place_id", "status_id", "status", F.col("checked_at").cast("timestamp_ntz").alias("checked_at"), "is_fresh")
 
 
-@query("st2_rating_rollup", with_views("SELECT place_id, CAST(count(*) AS BIGINT) AS n, round(avg(rating), 6) AS rating FROM ratings WHERE rating BETWEEN 1 AND 5 GROUP BY place_id", "ratings"))
+@query("st2_rating_rollup", """SELECT l_partkey AS place_id, CAST(count(*) AS BIGINT) AS n, round(avg(r), 6) AS rating, arg_max(review, struct_pack(l_shipdate, id)) FILTER (WHERE review IS NOT NULL) AS last_review
+FROM (SELECT DISTINCT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT), l_returnflag, strftime(l_shipdate, '%Y%m%d')) AS id, l_partkey, l_shipdate, CAST(l_quantity AS BIGINT) % 6 AS r,
+  CASE WHEN l_returnflag <> 'N' THEN left(repeat(l_returnflag || CAST(l_orderkey AS VARCHAR) || '-', 100), 500) END AS review FROM lineitem)
+WHERE r BETWEEN 1 AND 5 GROUP BY l_partkey""")
 def st2(spark, sf_dir):
+    """Ratings from order lines; a line that comes twice is one rating delivered twice."""
     lines = ST.source(spark, f"{sf_dir}/lineitem.parquet")
-    rows = lines.select(F.col("l_partkey").alias("place_id"), (1 + F.col("l_quantity").cast("long") % 5).cast("double").alias("rating"))
+    identity = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long"), "l_returnflag", F.date_format("l_shipdate", "yyyyMMdd"))
+    review = F.when(F.col("l_returnflag") != "N", F.concat(F.lit("  "), F.repeat(F.concat("l_returnflag", F.col("l_orderkey").cast("string"), F.lit("-")), 100))).otherwise("  ")
+    rows = lines.select(identity.alias("rating_id"), F.col("l_partkey").alias("place_id"), (F.col("l_quantity").cast("long") % 6).alias("rating"), review.alias("review"), F.col("l_shipdate").cast("timestamp").alias("rating_date"))
     return ST.rating_rollup(rows, scratch_path(spark, "st2")).withColumn("rating", F.round("rating", 6))
 
 
