@@ -86,5 +86,29 @@ def test_every_document_is_compared_with_the_library(spark):
     assert sampled == {True, False}  # null ids are drawn by their texts
 
 
+@pytest.mark.parametrize("c", [" ", "▁", "\t", "\n", ".", "-", "=", "a", "é", "0", "日"])
+def test_runs_of_one_character(c):
+    for n in range(1, 401):
+        texts = [c * n, f"a{c * n}b", f"one\n{c * n}the", f"{c * n}the", f"of{c * n}"]
+        assert CODEC.encode(texts) == LIBRARY.encode(texts)
+    text = (c * 5000 + "x ") * 3
+    assert CODEC.encode([text])[0] == LIBRARY.encode(text)
+
+
+def test_a_difference_is_reported_and_ends_nothing(spark, monkeypatch):
+    """A broken table of runs stands in for a backend that differs; workers see it by the environment of the codec."""
+    class Broken:
+        def encode(self, text):
+            return [1, 2, 3]
+
+    run = P._encode(PATH, 1, 1)
+    import pyarrow as pa
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", lambda model_file: Broken())
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "h": [0, 1], "text": ["hello", None]})
+    out = next(run(iter([batch])))
+    assert out.column("parity").to_pylist() == [False, False] and out.column("ids").to_pylist() == [[1, 2, 3]] * 2
+
+
 def test_oracles_are_sql():
     assert all(isinstance(sql, str) for sql in registry.ORACLES.values())
