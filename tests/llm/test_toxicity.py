@@ -73,6 +73,29 @@ def test_weights_match_a_plain_scan():
         assert abs(got - plain_weight(text, weights, exceptions)) < 1e-9, (weights, exceptions, text)
 
 
+def test_matches_at_the_end_of_a_text():
+    found = lambda t: T.weight_of(T.fold(t), T.Lexicon({"idiot": 5.0}, ["old idiots", "idiot savants"]).automaton())[0]
+    assert [found(x) for x in ("you old idiot", "you old idiot now", "old idiots", "idiot", "an idiot savant", "an idiot savants", "\x02idiot\x02")] == [5, 5, 0, 5, 5, 0, 5]
+    rng = random.Random(7)
+    for _ in range(3000):
+        weights = {w: rng.random() for w in rng.sample(["ab", "abc", "ba", "cab", "abab"], 3)}
+        exceptions = [" ".join(rng.choices(["ab", "abc", "ba", "c"], k=rng.randint(1, 3))) for _ in range(2)]
+        weights = {w: x for w, x in weights.items() if w not in exceptions}
+        text = " ".join(rng.choices(["ab", "abc", "ba", "b", "cab", "c"], k=rng.randint(1, 5)))
+        got = T.weight_of(text, T.Lexicon(weights, exceptions).automaton())[0]
+        assert abs(got - plain_weight(text, weights, exceptions)) < 1e-9, (weights, exceptions, text)
+
+
+def test_scripts_without_spaces():
+    found = lambda t: T.weight_of(T.fold(t), T.Lexicon({"傻逼": 3.0, "バカ": 2.0, "бля": 1.0}, ["傻逼花"]).automaton())[0]
+    assert [found(x) for x in ("你是一个傻逼", "傻逼吗", "那个傻逼花", "このバカ", "облят", "бля")] == [3, 3, 0, 2, 0, 1]
+
+
+def test_very_long_texts():
+    lexicon = T.Lexicon({"idiot": 5.0}, [])
+    assert T.weight_of(T.fold("calm idi0t " * 200_000), lexicon.automaton())[0] == 5.0 * 200_000
+
+
 def test_stems_have_three_to_nine_letters():
     assert set(T.word_starts("ab abc abcdefghijk")) == {"abc", *("abcdefghijk"[:n] for n in range(3, 10))}
 

@@ -39,6 +39,8 @@ OWN_WEIGHT = 3.5
 SHORTEST, LONGEST = 3, 9
 #: Marks the start of a word, in texts and in patterns: a match can't begin within a word.
 START = "\x01"
+#: Ends a text, so that a match at its end is reported though a longer pattern might have gone on.
+END = "\x02"
 
 # Letters of other alphabets and small capitals that look like Latin ones, and the usual substitutions.
 LOOKALIKES = {
@@ -50,11 +52,12 @@ LOOKALIKES = {
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "€": "e", "£": "l", "¥": "y"}
 INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 
-_FOLD = {ord(k): v for k, v in (LOOKALIKES | DIGITS).items()} | {ord(c): None for c in INVISIBLE + START}
-_FOLD_ASCII = {ord(k): v for k, v in DIGITS.items()} | {ord(START): None}
+_FOLD = {ord(k): v for k, v in (LOOKALIKES | DIGITS).items()} | {ord(c): None for c in INVISIBLE + START + END}
+_FOLD_ASCII = {ord(k): v for k, v in DIGITS.items()} | {ord(START): None, ord(END): None}
 _ACCENTS = dict.fromkeys(range(0x300, 0x370))
 _WORD = re.compile(r"[^\W\d_]+")
-_WORD_START = re.compile(r"(?<![^\W\d_])(?=[^\W\d_])")
+# Letters of scripts that put no spaces between words (Thai to Burmese, Khmer, kana, Han) each may begin one.
+_WORD_START = re.compile("(?<![^\\W\\d_])(?=[^\\W\\d_])|(?=[\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff])")
 
 
 def fold(text: str) -> str:
@@ -107,7 +110,7 @@ class Lexicon:
 
 def matches(text: str, automaton) -> list[tuple[int, int, float]]:
     """(start, end, weight) of the leftmost longest matches in a marked text, all of which begin a word."""
-    return [(last - length + 1, last + 1, weight) for last, (length, weight) in automaton.iter_long(text)]
+    return [(last - length + 1, last + 1, weight) for last, (length, weight) in automaton.iter_long(text + END)]
 
 
 def weight_of(folded: str, automaton) -> tuple[float, int]:
