@@ -86,3 +86,12 @@ def test_record_ids_stay_apart():
     ids = {W.parse_record(W.response_record(i, "u", b"x", p)).record_id for i, p in ((None, "1.1.0"), (None, "1.1.1"), (3, "1.1.2"), (3, "1.1.3"))}
     assert len(ids) == 4
     assert W.parse_record(W.response_record(3, "u", b"y" * 100, "1.1.4")).record_id == "<urn:page:3>"
+
+
+@pytest.mark.parametrize("kept", [1, 5, 9, 10, 12, 20, -1])
+def test_a_cut_last_member_is_an_error(kept):
+    pack = lambda n: gzip.compress(W.response_record(n, "u", b"x" * 200))
+    whole = pack(1) + pack(2)
+    assert len(list(W.members(io.BytesIO(whole)))) == 2
+    with pytest.raises(ValueError):
+        list(W.members(io.BytesIO(pack(1) + pack(2)[:kept])))
