@@ -91,3 +91,10 @@ def test_top_k_matches_brute_force_and_edge_cases(spark, monkeypatch):
     assert got == expected
     assert K.exact_top_k(df.where("false"), df).count() == 0
     assert K.products(np.array([[1e15, 1.0]]), np.array([[1e3, 1.0]])).tolist() == [[10**18 + 1]]
+
+
+def test_there_are_cells_for_all_tasks():
+    for tiles, shards, tasks in [(1, 3, 16), (1, 64, 16), (4, 20, 64), (40, 1000, 200), (1, 1, 8), (300, 9000, 50)]:
+        t, s = K.group_sizes(tiles, shards, tasks)
+        cells = -(-tiles // t) * -(-shards // s)
+        assert 1 <= t <= K.TILES and 1 <= s <= K.SHARDS and cells >= min(tasks, shards) and (t == min(K.TILES, tiles) or s == 1)

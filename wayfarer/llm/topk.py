@@ -25,7 +25,7 @@ EVERY = 50
 SCALE = 256
 SHARD_ROWS = 4096
 TILE_ROWS = 1024
-#: Tiles that a task holds, and shards that stream past them.
+#: Tiles that a task holds and shards that stream past them, at most.
 TILES, SHARDS = 32, 64
 MERGE_FAN_IN = 16
 #: Sums of integer products below these are exact in single and in double precision.
@@ -85,6 +85,20 @@ def tile_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
     return q_ids[rows[best]], c_ids[cols[best]], value[best]
 
 
+def group_sizes(tiles: int, shards: int, tasks: int) -> tuple[int, int]:
+    """Tiles and shards of a cell: as large as allowed, but no larger than leaves a cell for each task, if there are enough.
+
+    Shards are parted first, since a smaller group of tiles sends all shards once more.
+    """
+    tile_group, shard_group = min(TILES, tiles), min(SHARDS, shards)
+    cells = lambda: -(-tiles // tile_group) * -(-shards // shard_group)
+    while cells() < tasks and shard_group > 1:
+        shard_group = -(-shard_group // 2)
+    while cells() < tasks and tile_group > 1:
+        tile_group = -(-tile_group // 2)
+    return tile_group, shard_group
+
+
 def _unpack(ids: bytes, m: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
     names = np.frombuffer(ids, np.int64)
     width = len(m) // (len(names) * dim) if dim else 8
@@ -144,14 +158,17 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFr
     bounded_batches(spark)
     clean = lambda df: df.where(F.col("vec_id").isNotNull() & finite(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     asked = clean(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
-    shards = written(packed(clean(candidates), SHARD_ROWS), "topk-shards").withColumn("shards", F.floor(F.col("part") / F.lit(SHARDS)))
-    tiles = written(packed(asked, TILE_ROWS), "topk-tiles").withColumn("tiles", F.floor(F.col("part") / F.lit(TILES)))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards, tiles = written(packed(clean(candidates), SHARD_ROWS), "topk-shards"), written(packed(asked, TILE_ROWS), "topk-tiles")
+    many = lambda df: (df.agg(F.max("part")).first()[0] or 0) + 1
+    tile_group, shard_group = group_sizes(many(tiles), many(shards), n)
+    shards = shards.withColumn("shards", F.floor(F.col("part") / F.lit(shard_group)))
+    tiles = tiles.withColumn("tiles", F.floor(F.col("part") / F.lit(tile_group)))
     # Groups of tiles meet groups of shards of their length: blocks of the stated query set, not pairs of rows.
     groups = lambda df, name: df.groupBy("dim").agg(F.max(name).alias("last"))
     every = lambda df, other, name: df.join(F.broadcast(groups(other, name)), "dim").withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), "last")))
     columns = ["dim", "shards", "tiles", "kind", "part", "ids", "m"]
     both = every(tiles.withColumn("kind", F.lit(0)), shards, "shards").select(columns).unionByName(every(shards.withColumn("kind", F.lit(1)), tiles, "tiles").select(columns))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = both.repartition(n, "dim", "shards", "tiles").sortWithinPartitions("dim", "shards", "tiles", "kind", "part")
     found = met.mapInArrow(_search(k), "part long, query_id long, vec_id long, score long")
     last = shards.agg(F.max("shards")).first()[0] or 0
