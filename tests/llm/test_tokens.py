@@ -30,11 +30,17 @@ def test_ids_equal_the_library(text):
     assert CODEC.decode([ids])[0] == LIBRARY.decode(ids)
 
 
-def test_long_texts_are_cut_between_words(monkeypatch, spark, sf):
+def test_words_are_asked_for_once_in_bounded_calls(monkeypatch, spark, sf):
     monkeypatch.setattr(P, "CALL_CHARS", 64)
-    for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(40).collect():
-        assert CODEC.encode([r.text])[0] == LIBRARY.encode(r.text)
-    assert CODEC.encode(["x" * 500, "a  b " * 60])[1] == LIBRARY.encode("a  b " * 60)
+    monkeypatch.setattr(P, "LINE_WORDS", 3)
+    monkeypatch.setattr(P, "MEMO_WORDS", 50)  # starts anew within and between batches
+    codec = P.PieceCodec(read_model(PATH))
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(40).collect()]
+    texts += ["x" * 500, "a  b " * 60, "", " ", "   ", "a▁ ▁b", "\n \n", " \x00 é"]
+    for some in (texts, texts[:3], texts[::-1], [], ["a"]):
+        assert codec.encode(some) == LIBRARY.encode(some)
+    assert [codec.spelled(ids) for ids in LIBRARY.encode(texts)] == [LIBRARY.decode(ids) for ids in LIBRARY.encode(texts)]
+    assert codec.spelled([230]) is None and codec.spelled([1]) is None  # half a letter; a piece that spells nothing
 
 
 def test_memo_starts_anew(monkeypatch):

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,12 @@ from wayfarer.llm._common import bounded_batches, table
 from wayfarer.llm.piece_model import BYTE, NORMAL, SPACE, UNKNOWN, UNUSED, USER_DEFINED, PieceModel, read_model
 
 MODEL = "piece_bpe_32k.model"
-#: Characters that the library gets at a time; longer texts are cut between two words.
+#: Characters that the library gets at a time, longer words and texts apart.
 CALL_CHARS = 1 << 18
+#: Words that are put into one text.
+LINE_WORDS = 256
+#: Words that a task remembers, and the longest of them.
+MEMO_WORDS, MEMO_CHARS = 1 << 18, 48
 PARITY_EVERY = 1
 THREADS = 2
 
@@ -105,20 +110,12 @@ class PieceCodec:
         self.tokenizer = build_tokenizer(model)
         self.marks = mark_lengths(model)
         self.runs: dict[int, list[int]] = {}
-        self.cuttable = model.words_apart and model.add_dummy_prefix and not model.remove_extra_whitespaces and not model.charsmap
-
-    def _cuts(self, text: str) -> list[str]:
-        """Parts of a long text between words. The mark put before a part stands for the space cut out."""
-        parts, at = [], 0
-        while self.cuttable and len(text) - at > CALL_CHARS:
-            space = text.find(" ", at + CALL_CHARS // 2)
-            while 0 <= space < len(text) - 1 and (text[space - 1] in f" {SPACE}" or text[space + 1] in f" {SPACE}"):
-                space = text.find(" ", space + 1)
-            if not 0 <= space < len(text) - 1:
-                break
-            parts.append(text[at:space])
-            at = space + 1
-        return [*parts, text[at:]]
+        self.memo: dict[str, tuple[int, ...]] = {}
+        self.by_word = model.words_apart and model.add_dummy_prefix and not model.remove_extra_whitespaces and not model.charsmap and 1 in self.marks
+        self.line_break = next((i for i, (p, _, t) in enumerate(model.pieces) if t == BYTE and p == "<0x0A>"), None)
+        # Bytes of the pieces that spell themselves; of byte pieces the byte they stand for.
+        plain = {i: p.encode() for i, (p, _, t) in enumerate(model.pieces) if t == NORMAL} | {i: bytes([int(p[1:-1], 16)]) for i, (p, _, t) in enumerate(model.pieces) if t == BYTE}
+        self.bytes_of = plain if model.add_dummy_prefix and model.escape_whitespaces else None
 
     def _joined(self, ids: list[int]) -> list[int]:
         """``ids`` with runs of single marks joined."""
@@ -128,45 +125,82 @@ class PieceCodec:
         out: list[int] = []
         at = 0
         while at < len(ids):
-            if ids[at] != mark:
-                try:
-                    end = ids.index(mark, at)
-                except ValueError:
-                    end = len(ids)
-                out += ids[at:end]
-            else:
-                end = at + 1
-                while end < len(ids) and ids[end] == mark:
-                    end += 1
+            end = at
+            while end < len(ids) and ids[end] == mark:
+                end += 1
+            if end > at:
                 n = end - at
                 if n not in self.runs and n <= 4096:
                     self.runs[n] = mark_run(n, self.marks)
                 out += self.runs[n] if n <= 4096 else mark_run(n, self.marks)
-            at = end
+            try:
+                at = ids.index(mark, end)
+            except ValueError:
+                at = len(ids)
+            out += ids[end:at]
         return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text; the library gets a bounded number of characters at a time."""
-        out: list[list[int]] = [[] for _ in texts]
-        owners: list[int] = []
-        held: list[str] = []
-        size = 0
-
-        def flush() -> None:
-            for owner, found in zip(owners, self.tokenizer.encode_batch_fast(held, add_special_tokens=False), strict=True):
-                out[owner] += self._joined(found.ids)
-
-        for i, text in enumerate(texts):
-            for part in self._cuts(text):
-                owners.append(i)
-                held.append(part)
-                size += len(part)
-                if size >= CALL_CHARS:
-                    flush()
-                    owners, held, size = [], [], 0
-        flush()
+        """Ids of each text.
+
+        Where pieces keep to words, the library gets each word of the batch once, with the mark before it, and what it said
+        of a word is remembered; else it gets whole texts. Either way it gets a bounded number of characters at a time.
+        """
+        if not self.by_word:
+            return [self._joined(ids) for ids in self._library(texts)]
+        cut = [text.split(" ") if text else [] for text in texts]
+        known = self.memo
+        asked = list(set().union(*cut) - known.keys() - {""})
+        known.update(zip(asked, self._words(asked), strict=True))
+        known[""] = (self.marks[1],)
+        out = [self._joined(list(chain.from_iterable(map(known.__getitem__, words)))) for words in cut]
+        if len(known) > MEMO_WORDS:
+            known.clear()
+        elif any(len(w) > MEMO_CHARS for w in asked):
+            for w in asked:
+                if len(w) > MEMO_CHARS:
+                    del known[w]
+        return out
+
+    def _words(self, words: list[str]) -> list[tuple[int, ...]]:
+        """Ids of words, many in one text: no piece holds a line break, so its byte's id parts them again."""
+        if self.line_break is None:
+            return [tuple(ids) for ids in self._library(words)]
+        plain, broken = [w for w in words if "\n" not in w], [w for w in words if "\n" in w]
+        lines = [plain[i : i + LINE_WORDS] for i in range(0, len(plain), LINE_WORDS)]
+        out: dict[str, tuple[int, ...]] = {}
+        for line, ids in zip(lines, self._library(["\n ".join(line) for line in lines]), strict=True):
+            at, ids = 0, (*ids, self.line_break)
+            for w in line:
+                end = ids.index(self.line_break, at)
+                out[w] = ids[at:end]
+                at = end + 1
+        out.update((w, tuple(ids)) for w, ids in zip(broken, self._library(broken), strict=True))
+        return [out[w] for w in words]
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        out: list[list[int]] = []
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and size < CALL_CHARS:
+                size += len(texts[end])
+                end += 1
+            out += [found.ids for found in self.tokenizer.encode_batch_fast(texts[at:end], add_special_tokens=False)]
+            at = end
         return out
 
+    def spelled(self, ids: list[int]) -> str | None:
+        """The text of ids by their pieces alone; ``None`` where their bytes are no text, or the model has other rules."""
+        if self.bytes_of is None:
+            return None
+        try:
+            text = b"".join([self.bytes_of[i] for i in ids]).decode()
+        except (UnicodeDecodeError, KeyError):
+            return None
+        text = text.replace(SPACE, " ")
+        return text[1:] if text.startswith(" ") else text
+
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
@@ -191,7 +225,10 @@ def _encode(path: str, threads: int, parity_every: int):
                     own = library.encode(some[i])
                     parity[i] = ids[i] == own
                     ids[i] = own
-                same = [a == b for a, b in zip(codec.decode(ids), some, strict=True)]
+                # Ids whose pieces spell the text decode to it; the others are decoded.
+                same = [codec.spelled(x) == t for x, t in zip(ids, some, strict=True)]
+                for i in (i for i, ok in enumerate(same) if not ok):
+                    same[i] = codec.decode([ids[i]])[0] == some[i]
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 values = np.fromiter((x for row in ids for x in row), np.int32, int(offsets[-1]))
                 yield pa.RecordBatch.from_arrays(
@@ -206,7 +243,7 @@ def encode_documents(docs: DataFrame, path: str, threads: int = THREADS, parity_
     """``doc_id, n_tokens, ids, round_trip, parity_checked, parity`` for every row of ``docs``.
 
     ``parity`` is null for a row that isn't checked. A null text counts as empty: no ids. Whole texts of any length are
-    encoded, long ones in parts cut between words. Repeated rows are encoded alike, an empty table gives no rows, and other
+    encoded. Repeated rows are encoded alike, an empty table gives no rows, and other
     columns are not read. Begin, end and special tokens are never added, and their strings in a text are text.
     """
     bounded_batches(docs.sparkSession, 4 << 20)
