@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayfarer.functions.geo import haversine_km
 from wayfarer.functions.names import core_name_key, hidden_localities, settlement_key, split_locality
-from wayfarer.operators.resolve import seq_ratio
+from wayfarer.operators import similarity
 from wayfarer.session import written
 
 #: Ratio from which village names, temple names near a village and temple names anywhere in a district count as one.
@@ -17,18 +17,9 @@ VILLAGE, TEMPLE, LONE_TEMPLE = 0.92, 0.86, 0.93
 ANCHOR_KM, SPREAD_KM, RIVAL_KM = 6.0, 12.0, 1.0
 
 
-def pieces(key: Column) -> Column:
-    """What similar keys share: runs of three letters, and of two where keys have five letters at most."""
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - (n - 1), F.lit(1))), lambda i: F.substring(key, i, F.lit(n)))
-    return F.explode(F.array_distinct(F.when(F.length(key) <= 5, F.concat(runs(3), runs(2))).otherwise(runs(3))))
-
-
 def alike(left: DataFrame, right: DataFrame, a: str, b: str, at_least: float) -> DataFrame:
-    """``district, a, b, score``: keys of one district that share a piece and whose ratio reaches ``at_least``."""
-    both = left.select("district", a).distinct().select("*", pieces(F.col(a)).alias("_p"))
-    pairs = both.join(right.select("district", b).distinct().select("*", pieces(F.col(b)).alias("_p")), ["district", "_p"]).drop("_p").distinct()
-    pairs = pairs.where(2.0 * F.least(F.length(a), F.length(b)) >= at_least * (F.length(a) + F.length(b)))
-    return pairs.withColumn("score", seq_ratio(a, b)).where(F.col("score") >= at_least)
+    """``district, a, b, score``: keys of one district whose ratio reaches ``at_least``."""
+    return similarity.alike(left, right, ["district"], a, b, at_least)
 
 
 def village_index(gazetteer: DataFrame) -> DataFrame:
@@ -113,7 +104,7 @@ def locate(places: DataFrame, gazetteer: DataFrame, related: DataFrame) -> DataF
     ``places`` has ``place_id, place_name, city_town, district, is_temple`` and ``gazetteer`` ``worship_id, district,
     kind, rank, lat, lon, names`` (kind is settlement or worship). Who isn't found in its own district is looked for in
     the related ones, there by equal village names only; the first of them by name counts. Blank names and places
-    without a district aren't found; like spellings are compared where keys of a district share a piece.
+    without a district aren't found; like spellings are found by a join over rare runs of letters.
     """
     asked = written(places.select("place_id", F.coalesce("place_name", F.lit("")).alias("place_name"), "city_town", "district", F.coalesce("is_temple", F.lit(False)).alias("is_temple")).where("district IS NOT NULL"), "asked")
     villages, worship = village_index(gazetteer), temple_index(gazetteer)
