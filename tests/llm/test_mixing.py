@@ -68,3 +68,28 @@ def test_repeated_rows_are_emitted_as_often_as_the_mix_takes_them(spark):
     assert any(0 in c and max(c) > 0 for c in drawn.values())
     got = {r.doc_id: r["count"] for r in M.mixed_documents(df).groupBy("doc_id").count().collect()}
     assert got == {i: n for i, n in want.items() if n}
+
+
+def test_equal_rows_are_one_unit(spark):
+    """Two thirds of the rows are two rows; a flight sees each of them once, and its draw is a number."""
+    rows = [(None, "", "a", i % 2) for i in range(1500)] + [(None, "w " * 7, "a", i % 2) for i in range(1500)] + [(i, "w " * (i % 40 + 1), "ab"[i % 2], 0) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int")
+    units = M.mixed_units(df, 200).collect()
+    assert len(units) == 1502 and {r.rows for r in units} == {1, 1500} and all(0 <= r.extra <= r.rows for r in units)
+    got = M.mix(df, 200).collect()
+    assert len(got) == len(rows)
+    for s in "ab":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 60
+    [hot] = [r for r in units if r.size == 7 and r.doc_id is None]
+    share = hot.target / hot.source_size
+    assert abs(hot.whole * 1500 + hot.extra - 1500 * share) <= 1
+    mixed = M.mixed_documents(df)
+    assert mixed.columns == df.columns
+    text = {(i, len(t.split())): t for i, t, *_ in rows}
+    expected = {(r.doc_id, text[r.doc_id, r.size]): r.whole * r.rows + r.extra for r in M.mixed_units(df).collect()}
+    counts = {(r.doc_id, r.text): r["count"] for r in mixed.groupBy("doc_id", "text").count().collect()}
+    assert counts == {k: n for k, n in expected.items() if n}
+    again = M.mixed_documents(df.repartition(7))
+    key = lambda d: sorted((str(r.doc_id), r.text, r.copies) for r in d.collect())
+    assert key(mixed) == key(again)  # which of rows that differ elsewhere is taken doesn't follow the partitions

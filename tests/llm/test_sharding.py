@@ -55,3 +55,24 @@ def test_exact_sizes_slots_and_edge_cases(spark):
     assert sorted(map(key, again)) == sorted(map(key, got))
     assert S.shard_rows(df.where("false")).count() == 0
     assert S.shard_rows(df.limit(3), 24).count() == 3
+
+
+def test_equal_rows_are_spread_over_cells(spark):
+    rows = [(None, "")] * 3000 + [(i, "t") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = S.shard_rows(df, 6, cell_rows=100).collect()
+    assert len(got) == 3500
+    for s in range(6):
+        own = [r for r in got if r.shard == s]
+        assert len(own) in (583, 584) and sorted(r.slot for r in own) == list(range(len(own)))
+        assert abs(sum(r.doc_id is None for r in own) - 500) < 60
+        slots = sorted(r.slot for r in own if r.doc_id is not None)
+        assert max(b - a for a, b in zip(slots, slots[1:], strict=False)) < 60  # mixed, not in a block
+
+
+def test_rows_are_repeated_in_parts(spark):
+    from wayfarer.llm._common import repeated
+
+    df = spark.createDataFrame([("a", 0), ("b", 1), ("c", 25), ("d", 7)], "k string, n long")
+    got = sorted((r.k, r["copy"]) for r in repeated(df, "n", 7).collect())
+    assert got == sorted((k, i) for k, n in (("b", 1), ("c", 25), ("d", 7)) for i in range(n))

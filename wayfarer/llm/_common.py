@@ -57,3 +57,22 @@ def planes(values: np.ndarray) -> bytes:
 def unplanes(data: bytes, kind) -> np.ndarray:
     size = np.dtype(kind).itemsize
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+#: Copies of a row that one task makes.
+CHUNK_COPIES = 10_000
+
+
+def repeated(rows: DataFrame, n: str, chunk: int = CHUNK_COPIES) -> DataFrame:
+    """Each row as often as its column ``n`` says, numbered from 0 in ``copy``; copies beyond ``chunk`` are dealt to other tasks.
+
+    ``rows`` is read twice, so it should be a written table.
+    """
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = F.col(n).cast("long")
+    few = rows.where(count.between(1, chunk)).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
+    parts = rows.where(count > chunk).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((count - 1) / chunk))))
+    dealt = parts.repartition(spread, "_chunk", n)
+    first = F.col("_chunk") * chunk
+    many = dealt.withColumn("copy", F.explode(F.sequence(first, F.least(first + chunk, count) - 1))).drop("_chunk")
+    return few.unionByName(many)

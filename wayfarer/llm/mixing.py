@@ -11,13 +11,15 @@ sum of words comes nearest to the target, and smaller ones make good what larger
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayfarer.llm._common import table, utf8
+from wayfarer.llm._common import repeated, table, utf8
 from wayfarer.session import written
 
 CAP = 3
@@ -135,28 +137,35 @@ def hash_of(key: tuple) -> int:
 _UNIT = "source string, doc_id long, text_crc32 long, size long, p double, order long, class int, block long"
 
 
-def mix(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``doc_id, source, text_crc32, size, source_size, target, copies, taken`` for every row of ``docs``.
+_SAME = ["source", "doc_id", "text_crc32", "size"]
 
-    Null texts have no words and null sources form one source, the last. A source without words has target 0 and
-    takes nothing; an empty table gives no rows. Repeated rows are documents of their own. A rerun draws alike,
-    since draws depend on hashes of rows only. Documents are taken whole, ``copies`` (0 to 3) times.
+
+def _same_unit(prefix: str = "_") -> Column:
+    """Null-safe equality of the columns that tell units apart and their prefixed copies."""
+    return reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"{prefix}{c}")) for c in _SAME))
+
+
+def mixed_units(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``source, doc_id, text_crc32, size, rows, source_size, target, whole, extra``, one row for equal rows of ``docs``.
+
+    Each of ``rows`` equal rows is taken ``whole`` times, and ``extra`` of them once more. The draw of equal rows is a number:
+    their whole part is sure and what is left is one probability, so however many there are, they are one unit of a flight.
     """
     body = utf8(F.col("text"))
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.crc32(body).alias("text_crc32"))
-    rows = written(rows, "mix-rows")
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    units = written(rows.groupBy(*_SAME).agg(F.count(F.lit(1)).alias("rows")), "mix-rows")
+    sizes = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count(F.lit(1)).alias("n"))
     targets = source_targets(sizes.select("source", "source_size")).withColumnRenamed("source", "s")
     plan = sizes.join(targets.drop("source_size"), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), "source_size", "target", "n")
     plan = written(plan, "mix-plan")
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    units = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("want", F.least(wanted, F.lit(float(CAP))))
+    units = units.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("want", F.least(wanted, F.lit(float(CAP))))
     units = units.withColumn("whole", F.floor(F.col("want") + F.lit(_EDGE)).cast("int"))
-    order = F.xxhash64(F.lit(SEED), "doc_id", "text_crc32", "size")
+    units = units.withColumn("more", F.col("rows") * F.greatest(F.col("want") - F.col("whole"), F.lit(0.0)))
+    units = units.withColumn("sure", F.floor(F.col("more") + F.lit(_EDGE)))
     like = F.when(F.col("size") > 0, F.floor(F.log2(F.greatest("size", F.lit(1))) / 2)).otherwise(F.lit(-1)).cast("int")
-    units = units.withColumn("class", like)
-    units = units.select("*", F.greatest(F.col("want") - F.col("whole"), F.lit(0.0)).alias("p"), order.alias("order"))
+    units = units.select("*", F.greatest(F.col("more") - F.col("sure"), F.lit(0.0)).alias("p"), F.xxhash64(F.lit(SEED), "doc_id", "text_crc32", "size").alias("order"), like.alias("class"))
     blocks = F.ceil(F.col("n") / F.lit(block_rows))
     units = written(units.withColumn("block", F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id", "text_crc32", "size"), blocks)), "mix-units")
     most = plan.agg(F.max("n")).first()[0] or 0
@@ -172,34 +181,54 @@ def mix(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
             break
         n_blocks = -(-n_blocks // FAN_IN)
     decided.append(written(open_.groupBy("source").applyInPandas(_land, _UNIT), "mix-landing"))
-    drawn = decided[0]
-    for more in decided[1:]:
-        drawn = drawn.unionByName(more)
-    # Equal rows are interchangeable: the k-th of them takes the k-th draw.
-    same = ["source", "doc_id", "text_crc32", "size"]
-    draws = drawn.where("p = 1").groupBy(*same).agg(F.count(F.lit(1)).alias("drawn")).select(*[F.col(c).alias(f"_{c}") for c in same], "drawn")
-    nth = F.row_number().over(Window.partitionBy(*same).orderBy("block"))
-    on = F.col("source").eqNullSafe(F.col("_source")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_crc32") == F.col("_text_crc32")) & (F.col("size") == F.col("_size"))
-    extra = (F.col("nth") <= F.coalesce("drawn", F.lit(0))) | (F.col("p") >= 1 - _EDGE)
-    out = units.withColumn("nth", nth).join(draws, on, "left").withColumn("copies", F.col("whole") + extra.cast("int"))
+    drawn = reduce(DataFrame.unionByName, decided).where("p = 1").select(*[F.col(c).alias(f"_{c}") for c in _SAME], F.lit(1).alias("drawn"))
+    extra = F.col("sure") + F.coalesce("drawn", (F.col("p") >= 1 - _EDGE).cast("int"))
+    return units.join(drawn, _same_unit(), "left").select(*_SAME, "rows", "source_size", "target", "whole", extra.cast("long").alias("extra"))
+
+
+def mix(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``doc_id, source, text_crc32, size, source_size, target, copies, taken`` for every row of ``docs``.
+
+    Null and empty texts have no words and null sources form one source, the last. A source without words has target 0 and
+    takes nothing; an empty table gives no rows. Repeated rows are documents of their own. A rerun draws alike,
+    since draws depend on hashes of rows only. Documents are taken whole, ``copies`` (0 to 3) times, however long; columns
+    other than ``doc_id``, ``text`` and ``source`` are not read.
+    """
+    units = repeated(written(mixed_units(docs, block_rows), "mixed"), "rows")
+    out = units.withColumn("copies", F.col("whole") + (F.col("copy") < F.col("extra")).cast("int"))
     return out.select("doc_id", "source", "text_crc32", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
+#: Buckets into which the rows of one unit are dealt to be numbered.
+_BUCKETS = 256
+
+
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` as the mix has them: each row as many times as it is taken."""
-    crc = F.crc32(utf8(F.col("text")))
-    times = lambda n: F.count(F.when(F.col("copies") == n, 1)).alias(f"n{n}")
-    taken = mix(docs).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("text_crc32").alias("_crc")).agg(F.count(F.lit(1)).alias("n"), times(1), times(2), times(3))
-    taken = taken.where("n1 + n2 + n3 > 0")
-    # Rows that agree in id, source and text share one entry; they are numbered, and the first of them take most copies.
-    whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("src"), crc.alias("crc"), F.struct("*").alias("doc"))
-    joined = whole.join(taken, F.col("id").eqNullSafe(F.col("_id")) & F.col("src").eqNullSafe(F.col("_src")) & (F.col("crc") == F.col("_crc")))
-    own = F.when(F.col("nth") <= F.col("n3"), 3).when(F.col("nth") <= F.col("n3") + F.col("n2"), 2).when(F.col("nth") <= F.col("n3") + F.col("n2") + F.col("n1"), 1).otherwise(0).alias("c")
-    once = joined.where("n = 1").withColumn("nth", F.lit(1)).select("doc", own)
-    nth = F.row_number().over(Window.partitionBy("id", "src", "crc").orderBy(F.lit(0)))
-    again = joined.where("n > 1").withColumn("nth", nth).select("doc", own)
-    both = once.unionByName(again).where("c > 0")
-    return both.select("doc", F.explode(F.sequence(F.lit(1), F.col("c")))).select("doc.*")
+    """``docs`` as the mix has them: each row as many times as it is taken, with all its columns, whatever their names.
+
+    Null, empty and very long texts, null ids and an empty table go as in :func:`mix`. Rows that agree in id, source and text
+    may differ in other columns; they are put in the order of a hash of all columns, and the first of them are taken once
+    more. Rows that agree in everything are counted, so they take no order.
+    """
+    units = written(mixed_units(docs), "mixed").where("whole > 0 OR extra > 0")
+    units = units.select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("text_crc32").alias("_crc"), "rows", "whole", "extra")
+    whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("src"), F.crc32(utf8(F.col("text"))).alias("crc"), F.struct("*").alias("doc"))
+    joined = whole.join(units, F.col("id").eqNullSafe(F.col("_id")) & F.col("src").eqNullSafe(F.col("_src")) & (F.col("crc") == F.col("_crc")))
+    joined = joined.select("id", "src", "crc", "doc", "rows", "whole", "extra")
+    once = joined.where("rows = 1").select("doc", (F.col("whole") + F.col("extra")).alias("times"))
+    unit = ["id", "src", "crc"]
+    variants = joined.where("rows > 1").groupBy(*unit, "doc", "whole", "extra").agg(F.count(F.lit(1)).alias("n"))
+    variants = variants.withColumns({"h": F.xxhash64("doc"), "bucket": F.pmod(F.xxhash64("doc"), F.lit(_BUCKETS))})
+    per = variants.groupBy(*unit, "bucket").agg(F.sum("n").alias("n"))
+    before = Window.partitionBy(*unit).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per.select(*[F.col(c).alias(f"_{c}") for c in [*unit, "bucket"]], F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy(*unit, "bucket").orderBy("h", F.to_json("doc")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = variants.withColumn("ahead", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    placed = placed.join(starts, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*unit, "bucket"])))
+    first = F.col("start") + F.col("ahead")
+    again = placed.select("doc", (F.col("whole") * F.col("n") + F.greatest(F.least(first + F.col("n"), F.col("extra")) - first, F.lit(0))).alias("times"))
+    most = repeated(written(again.where("times > 0"), "mixed-again"), "times").select("doc.*")
+    return once.where("times > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("doc.*").unionByName(most)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from wayfarer.llm._common import table, utf8
+from wayfarer.llm._common import repeated, table, utf8
 from wayfarer.session import written
 
 SHARDS = 24
@@ -70,25 +70,30 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int, popula
     return taken + int(rng.hypergeometric(good, bad, n))
 
 
+_ROW = ["doc_id", "text_crc32", "size", "copy"]
+
+
 def _order(seed: int, round_no: int) -> list[Column]:
-    """A pseudo-random order of rows that any retry repeats; equal rows may trade places, which changes nothing."""
-    return [F.xxhash64(F.lit(seed + round_no), "doc_id", "text_crc32", "size"), F.col("doc_id"), F.col("text_crc32"), F.col("size")]
+    """A pseudo-random order of rows that any retry repeats; equal rows are told apart by their number."""
+    return [F.xxhash64(F.lit(seed + round_no), *_ROW), *map(F.col, _ROW)]
 
 
 def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, cell_rows: int = CELL_ROWS) -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot`` for every row of ``docs``.
 
     Null texts have size 8 and the CRC of no bytes; null ids are rows like any other, repeated rows are kept, an
-    empty table gives no rows. Texts themselves are never shuffled, only 24 bytes a row.
+    empty table gives no rows. Texts themselves are never shuffled, only 24 bytes a row. Equal rows are counted first and
+    numbered apart, so that any number of them is spread over all cells.
     """
     spark = docs.sparkSession
     body = utf8(F.col("text"))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
-    narrow = written(narrow, "shard-rows")
-    n = narrow.count()
+    classes = written(narrow.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("rows")), "shard-rows")
+    n = classes.agg(F.sum("rows")).first()[0] or 0
+    narrow = repeated(classes, "rows").drop("rows")
     cells = max(1, min(MAX_CELLS, -(-n // cell_rows)))
     cells = max(cells, min(MAX_CELLS, int(spark.conf.get("spark.sql.shuffle.partitions")))) if n else 1
-    spread = F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size")
+    spread = F.xxhash64(F.lit(seed), *_ROW)
     in_cell = narrow.withColumn("cell", F.pmod(spread, F.lit(cells)).cast("int"))
     counts = {r["cell"]: r["n"] for r in in_cell.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     matrix = communication_matrix([counts.get(c, 0) for c in range(cells)], shards, seed)
@@ -99,12 +104,12 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, cell_row
     bounds = spark.createDataFrame([(c, row) for c, row in enumerate(np.cumsum(matrix, 1).tolist())], bounds_schema)
     dealt = in_cell.withColumn("place", place).join(F.broadcast(bounds), "cell")  # at most MAX_CELLS rows
     dealt = dealt.withColumn("shard", F.size(F.filter("bounds", lambda b: b < F.col("place"))).cast("int"))
-    dealt = written(dealt.select("doc_id", "size", "text_crc32", "shard"), "shard-dealt")
+    dealt = written(dealt.select(*_ROW, "shard"), "shard-dealt")
 
     # The second permutation orders a shard by another hash: ranges of the hash first, then within a range.
     parts = max(1, min(MAX_CELLS, -(-n // (shards * cell_rows))))
     parts = max(parts, min(MAX_CELLS, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // shards)))
-    h = F.xxhash64(F.lit(seed + 2), "doc_id", "text_crc32", "size")
+    h = F.xxhash64(F.lit(seed + 2), *_ROW)
     ranged = dealt.withColumn("part", F.pmod(h, F.lit(parts)).cast("int"))
     per_part = ranged.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
