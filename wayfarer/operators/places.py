@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayfarer.functions.score import clip, weighted_rating_sql
+from wayfarer.operators import similarity
 
 
 def rating_summary(ratings: DataFrame) -> DataFrame:
@@ -30,6 +31,64 @@ def place_select(places: DataFrame, ratings: DataFrame, images: DataFrame) -> Da
     return joined.withColumns({"rating": F.coalesce("rating", zero), "rating_count": F.coalesce("rating_count", F.lit(0).cast("long")), "weighted_rating": F.coalesce("weighted_rating", zero)})
 
 
+#: The columns of the base view, in order.
+BASE_VIEW = (
+    "place_id place_name district city_town city state category_id category_name subcategory description latitude longitude location_precision address opening_time closing_time opening_days "
+    "avg_visit_duration entry_fee best_season popularity_score tourism_relevance verified source_id created_at updated_at rating rating_count weighted_rating image_url"
+).split()
+
+
+def with_category(places: DataFrame, categories: DataFrame) -> DataFrame:
+    """Places with the name of their category, null if there is no such category."""
+    return places.drop("category_name").join(categories.select("category_id", "category_name"), "category_id", "left")
+
+
+def base_view(places: DataFrame, categories: DataFrame, ratings: DataFrame, images: DataFrame) -> DataFrame:
+    """Every column of a place, with its category, city, rating summary and first image; places without any of them stay."""
+    named = with_category(places, categories).withColumn("city", F.col("city_town"))
+    return place_select(named, ratings, images).select(*BASE_VIEW)
+
+
+def by_text(df: DataFrame, column: str, value: str) -> DataFrame:
+    """Places whose district, city or state is this, case aside, most prominent first; nothing for a blank value."""
+    return df.where(equals_folded(column, value) if value.strip() else F.lit(False)).orderBy(*by_prominence())
+
+
+#: What a search looks through.
+SEARCHED = ["place_name", "city_town", "district", "state", "subcategory", "description", "address", "category_name"]
+
+
+def search_view(df: DataFrame, text: str | None, category_id: int | None = None, n: int = 50) -> DataFrame:
+    """``df`` (a base view) where any of eight columns holds the text, case aside; ``tier`` is 1 for the name itself, 2 where the
+    name begins with it, 3 where the city holds it, else 4. Without a text all places count, without tiers."""
+    low = F.lit((text or "").strip().lower())
+    name = F.lower("place_name")
+    tier = F.when(name == low, 1).when(F.startswith(name, low), 2).when(F.contains(F.lower(F.coalesce("city_town", F.lit(""))), low), 3).otherwise(4)
+    asked = bool((text or "").strip())
+    found = df.where(any_contains(SEARCHED, text.strip())) if asked else df
+    if category_id is not None:
+        found = found.where(F.col("category_id") == category_id)
+    return found.withColumn("tier", (tier if asked else F.lit(4)).cast("int")).orderBy("tier", *by_prominence()).limit(n)
+
+
+def search_many(df: DataFrame, asked: DataFrame, n: int = 50) -> DataFrame:
+    """``search_id, place_id, tier, nth`` for many searches (``search_id, text``) at once, each as :func:`search_view` gives it.
+
+    Texts are found through an index of their rarest three letters over the eight columns, so no search reads all places.
+    Blank texts find nothing here.
+    """
+    said = asked.select("search_id", F.lower(F.trim("text")).alias("_q")).where("_q <> ''")
+    columns = F.array(*[F.lower(F.col(c)) for c in SEARCHED])
+    texts = df.select("place_id", F.explode(F.array_distinct(F.filter(columns, lambda x: x.isNotNull()))).alias("_t"))
+    hits = similarity.holding(said, texts, [], "_q", "_t").join(texts, "_t").select("_q", "place_id").distinct()
+    shown = df.select("place_id", "popularity_score", "weighted_rating", "place_name", F.lower("place_name").alias("_name"), F.lower(F.coalesce("city_town", F.lit(""))).alias("_city"))
+    tier = F.when(F.col("_name") == F.col("_q"), 1).when(F.startswith("_name", F.col("_q")), 2).when(F.contains("_city", F.col("_q")), 3).otherwise(4).cast("int")
+    ranked = hits.join(shown, "place_id").withColumn("tier", tier)
+    nth = F.row_number().over(Window.partitionBy("_q").orderBy("tier", *by_prominence()))
+    best = ranked.withColumn("nth", nth).where(F.col("nth") <= n).select("_q", "place_id", "tier", "nth")
+    return said.join(best, "_q").select("search_id", "place_id", "tier", "nth")
+
+
 def by_prominence() -> list[Column]:
     """Popularity, then weighted rating, then name."""
     return [F.desc_nulls_last("popularity_score"), F.desc_nulls_last("weighted_rating"), F.asc("place_name"), F.asc("place_id")]

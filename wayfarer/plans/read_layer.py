@@ -28,15 +28,34 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.place_select(view(spark, sf_dir, "places"), view(spark, sf_dir, "ratings"), view(spark, sf_dir, "images"))
 
 
+VIEW = SELECT.replace("base AS", "narrow AS").rstrip() + """,
+full_view AS (SELECT p.place_id, p.place_name, p.district, p.city_town, p.city_town AS city, p.state, p.category_id, c.category_name, p.subcategory, p.description, p.latitude, p.longitude, p.location_precision, p.address,
+  p.opening_time, p.closing_time, p.opening_days, p.avg_visit_duration, p.entry_fee, p.best_season, p.popularity_score, p.tourism_relevance, p.verified, p.source_id, p.created_at, p.updated_at,
+  n.rating, n.rating_count, n.weighted_rating, n.image_url FROM place_table p LEFT JOIN categories c USING (category_id) JOIN narrow n ON n.place_id = p.place_id)
+"""
+
+
+def view_sql(body: str, *more: str) -> str:
+    return with_views("", "places", "ratings", "images", "place_table", "categories", *more).rstrip() + "," + VIEW + body
+
+
+def base_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.base_view(*(view(spark, sf_dir, t) for t in ("place_table", "categories", "ratings", "images")))
+
+
 PROMINENCE = "popularity_score DESC NULLS LAST, weighted_rating DESC NULLS LAST, place_name, place_id"
 SHORT = ["place_id", "place_name", "district", "popularity_score"]
 SHORT_SQL = ", ".join(SHORT)
 
 
-@query("pr1_place_select", base_sql("SELECT place_id, place_name, district, category_name, latitude, longitude, popularity_score, round(rating, 6) AS rating, rating_count, round(weighted_rating, 6) AS weighted_rating, image_url FROM base"))
+@query("pr1_place_select", view_sql(f"SELECT {', '.join(f'round({c}, 6) AS {c}' if c in ('rating', 'weighted_rating') else c for c in P.BASE_VIEW)} FROM full_view"))
 def pr1(spark, sf_dir):
-    df = base(spark, sf_dir)
-    return df.select("place_id", "place_name", "district", "category_name", "latitude", "longitude", "popularity_score", F.round("rating", 6).alias("rating"), "rating_count", F.round("weighted_rating", 6).alias("weighted_rating"), "image_url")
+    return base_view(spark, sf_dir).withColumns({c: F.round(c, 6) for c in ("rating", "weighted_rating")})
+
+
+@query("j1_categories", with_views("SELECT place_id, category_id, category_name FROM place_table LEFT JOIN categories USING (category_id)", "place_table", "categories"))
+def j1(spark, sf_dir):
+    return P.with_category(view(spark, sf_dir, "place_table"), view(spark, sf_dir, "categories")).select("place_id", "category_id", "category_name")
 
 
 @query("pr3_place_label", with_views("SELECT place_id, CASE WHEN lower(district) = lower(place_name) THEN place_name ELSE concat(place_name, ' - ', district) END AS label FROM places", "places"))
@@ -59,17 +78,32 @@ def f1(spark, sf_dir):
     return df.where("place_id = 42").unionByName(by_name)
 
 
-@query("f2_by_district", base_sql(f"SELECT {SHORT_SQL}, category_name FROM base WHERE lower(district) = 'nation_7' AND lower(category_name) LIKE 'promo%' ORDER BY {PROMINENCE}"))
+@query("f2_by_district", view_sql(f"SELECT 'district' AS by, {SHORT_SQL}, city, state, category_name FROM full_view WHERE lower(district) = 'nation_7' UNION ALL SELECT 'city', {SHORT_SQL}, city, state, category_name FROM full_view WHERE lower(city_town) = 'town 7' UNION ALL SELECT 'state', {SHORT_SQL}, city, state, category_name FROM full_view WHERE lower(state) = 'far state'"))
 def f2(spark, sf_dir):
-    df = base(spark, sf_dir).where(P.equals_folded("district", "Nation_7") & F.startswith(F.lower("category_name"), F.lit("promo")))
-    return df.orderBy(*P.by_prominence()).select(*SHORT, "category_name")
+    df = base_view(spark, sf_dir)
+    found = [P.by_text(df, c, v).withColumn("by", F.lit(k)) for k, c, v in (("district", "district", "Nation_7"), ("city", "city_town", "TOWN 7"), ("state", "state", "far State"))]
+    return found[0].unionByName(found[1]).unionByName(found[2]).select("by", *SHORT, "city", "state", "category_name")
+
+
+TIER_SQL = "CASE WHEN lower(place_name) = q THEN 1 WHEN starts_with(lower(place_name), q) THEN 2 WHEN contains(lower(coalesce(city_town, '')), q) THEN 3 ELSE 4 END"
+HOLDS_SQL = "(" + " OR ".join(f"contains(lower(coalesce({c}, '')), q)" for c in P.SEARCHED) + ")"
 
 
-@query("f3_search_places", base_sql(f"""SELECT {SHORT_SQL}, CAST(CASE WHEN lower(place_name) = 'red' THEN 0 WHEN starts_with(lower(place_name), 'red') THEN 1 WHEN contains(lower(district), 'red') THEN 2 ELSE 3 END AS INTEGER) AS tier
-FROM base WHERE contains(lower(place_name), 'red') OR contains(lower(district), 'red') OR contains(lower(category_name), 'red') OR contains(lower(description), 'red')
-ORDER BY tier, {PROMINENCE} LIMIT 20"""))
+@query("f3_search_places", view_sql(f"SELECT * FROM (SELECT {SHORT_SQL}, CAST({TIER_SQL} AS INTEGER) AS tier FROM full_view, (SELECT 'red' AS q) WHERE {HOLDS_SQL} ORDER BY tier, {PROMINENCE} LIMIT 20) UNION ALL SELECT * FROM (SELECT {SHORT_SQL}, CAST({TIER_SQL} AS INTEGER) AS tier FROM full_view, (SELECT 'n 3' AS q) WHERE {HOLDS_SQL} AND category_id = 3 ORDER BY tier, {PROMINENCE} LIMIT 20)"))
 def f3(spark, sf_dir):
-    return P.search_places(base(spark, sf_dir), "Red", None, 20).select(*SHORT, "tier")
+    df = base_view(spark, sf_dir)
+    return P.search_view(df, " Red ", None, 20).select(*SHORT, "tier").unionByName(P.search_view(df, "n 3", 3, 20).select(*SHORT, "tier"))
+
+
+@query("f3_search_many", view_sql(f""", asked AS (SELECT search_id, lower(trim(text)) AS q FROM (SELECT p_partkey AS search_id, CASE p_partkey % 4 WHEN 0 THEN concat(p_name, ' ', p_brand) WHEN 1 THEN concat(' Town ', CAST(p_partkey % 60 AS VARCHAR)) WHEN 2 THEN substr(p_name, 2, 2) ELSE concat(CAST(p_partkey AS VARCHAR), ' MAIN') END AS text FROM part WHERE p_partkey % 40 < 4)),
+said AS (SELECT DISTINCT q FROM asked WHERE q <> ''),
+met AS (SELECT q, place_id, {TIER_SQL} AS tier, row_number() OVER (PARTITION BY q ORDER BY {TIER_SQL}, {PROMINENCE}) AS nth FROM said, full_view WHERE {HOLDS_SQL})
+SELECT search_id, place_id, CAST(tier AS INTEGER) AS tier, CAST(nth AS INTEGER) AS nth FROM asked JOIN met USING (q) WHERE nth <= 10"""))
+def f3_many(spark, sf_dir):
+    """Searches of every kind: whole names, towns, two letters and addresses."""
+    part, k = view(spark, sf_dir, "part").where("p_partkey % 40 < 4"), F.col("p_partkey")
+    text = F.when(k % 4 == 0, F.concat_ws(" ", "p_name", "p_brand")).when(k % 4 == 1, F.concat(F.lit(" Town "), k % 60)).when(k % 4 == 2, F.substring("p_name", 2, 2)).otherwise(F.concat(k.cast("string"), F.lit(" MAIN")))
+    return P.search_many(base_view(spark, sf_dir), part.select(k.alias("search_id"), text.alias("text")), 10)
 
 
 @query("f4_find_places", base_sql(f"SELECT {SHORT_SQL} FROM base WHERE district = 'NATION_3' AND place_name LIKE '%gear%' ORDER BY popularity_score DESC, place_name, place_id LIMIT 8"))

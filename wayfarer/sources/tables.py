@@ -20,6 +20,37 @@ SELECT p_partkey AS place_id, concat(p_name, ' ', p_brand) AS place_name, n_name
   CAST(p_partkey % 1000 AS DOUBLE) / CAST(10 AS DOUBLE) AS popularity_score,
   CAST(p_partkey % 11 AS DOUBLE) / CAST(10 AS DOUBLE) AS tourism_relevance
 FROM part JOIN nation ON n_nationkey = p_partkey % 25""",
+    "categories": """
+SELECT category_id, category_name, concat('Places of kind ', category_name) AS description
+FROM (SELECT DISTINCT CASE p_type WHEN 'ECONOMY' THEN 1 WHEN 'LARGE' THEN 2 WHEN 'PROMO' THEN 3 WHEN 'STANDARD' THEN 4 WHEN 'MEDIUM' THEN 5 END AS category_id, p_type AS category_name FROM part) kinds
+WHERE category_id IS NOT NULL""",
+    "place_table": """
+SELECT p_partkey AS place_id, concat(p_name, ' ', p_brand) AS place_name, n_name AS district,
+  CASE WHEN p_partkey % 4 <> 0 THEN concat('Town ', CAST(p_partkey % 60 AS STRING)) END AS city_town,
+  CASE WHEN p_partkey % 9 = 0 THEN 'Far State' ELSE 'Home State' END AS state,
+  CASE p_type WHEN 'ECONOMY' THEN 1 WHEN 'LARGE' THEN 2 WHEN 'PROMO' THEN 3 WHEN 'STANDARD' THEN 4 WHEN 'MEDIUM' THEN 5 ELSE 6 END AS category_id,
+  CASE WHEN p_partkey % 3 = 0 THEN concat('Kind of ', p_name) END AS subcategory,
+  CASE WHEN p_partkey % 13 <> 0 THEN concat(p_type, ' ', p_name, CASE WHEN p_partkey % 3 = 1 THEN ' by the old road' ELSE '' END) END AS description,
+  CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE CAST(8 AS DOUBLE) + CAST((p_partkey * 7919) % 5600 AS DOUBLE) / CAST(1000 AS DOUBLE) END AS latitude,
+  CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE CAST(76 AS DOUBLE) + CAST((p_partkey * 104729) % 4500 AS DOUBLE) / CAST(1000 AS DOUBLE) END AS longitude,
+  CASE WHEN p_partkey % 10 = 3 THEN 'locality' END AS location_precision,
+  CASE WHEN p_partkey % 6 = 1 THEN concat(CAST(p_partkey AS STRING), ' Main Road') END AS address,
+  CASE WHEN p_partkey % 5 <> 2 THEN '09:00' END AS opening_time, CASE WHEN p_partkey % 5 <> 2 THEN '17:30' END AS closing_time,
+  CASE WHEN p_partkey % 2 = 0 THEN 'Daily' ELSE 'Tue-Sun' END AS opening_days,
+  CAST(20 + p_size * 2 AS BIGINT) AS avg_visit_duration,
+  CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE CAST(p_size * 10 AS DOUBLE) END AS entry_fee,
+  CASE WHEN p_partkey % 3 = 2 THEN 'Winter' END AS best_season,
+  CAST(p_partkey % 1000 AS DOUBLE) / CAST(10 AS DOUBLE) AS popularity_score,
+  CASE WHEN p_partkey % 11 <> 0 THEN CAST(p_partkey % 11 AS DOUBLE) / CAST(10 AS DOUBLE) END AS tourism_relevance,
+  p_partkey % 2 = 0 AS verified, CAST(p_partkey % 7 AS BIGINT) AS source_id,
+  CAST('2024-01-01' AS DATE) AS created_at, CAST('2024-02-01' AS DATE) AS updated_at,
+  CASE WHEN p_partkey % 5 = 1 THEN concat('Q', CAST(p_partkey AS STRING)) END AS external_id,
+  CASE WHEN p_partkey % 7 = 2 THEN concat('way/', CAST(p_partkey AS STRING)) END AS map_id,
+  concat('https://src.example/', CAST(p_partkey AS STRING)) AS source_url,
+  CASE WHEN p_partkey % 50 = 1 THEN concat('Old ', p_name) END AS merged_names
+FROM part JOIN nation ON n_nationkey = p_partkey % 25""",
+    "place_features": "SELECT p_partkey AS place_id, p_type AS feature FROM part",
+    "crowd_data": "SELECT l_partkey AS place_id, l_orderkey AS visit_id, l_linenumber AS crowd_level FROM lineitem WHERE l_linenumber <= 3",
     "ratings": """
 SELECT l_partkey AS place_id, CAST(1 + CAST(l_quantity AS BIGINT) % 5 AS DOUBLE) AS rating,
   CAST(l_linenumber AS BIGINT) AS rating_count, l_shipdate AS rating_date, l_suppkey AS source_id
