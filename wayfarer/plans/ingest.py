@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayfarer.operators import locating as V, nearby, quality as C, resolve as E, spelling as Y, upsert as U
+from wayfarer.operators import locating as V, nearby, quality as C, refresh as W, resolve as E, spelling as Y, upsert as U
 from wayfarer.plans.language import KEY_SQL
 from wayfarer.plans.registry import query
 from wayfarer.plans.travel import km
@@ -202,17 +205,115 @@ def er10(spark, sf_dir):
     return V.locate(asked, known, view(spark, sf_dir, "related_districts"))
 
 
-@query("er11_absorb", with_views("SELECT place_id - place_id % 2 AS place_id, source_id, max(last_seen) AS last_seen FROM place_sources GROUP BY 1, 2", "place_sources"))
+def stored_tables(spark, sf_dir) -> W.Tables:
+    """The stored tables: places with the name of their category, and all that hangs on them."""
+    get = lambda name: view(spark, sf_dir, name)
+    places = get("place_table").join(get("categories").select("category_id", "category_name"), "category_id", "left").drop("category_id", "source_id")
+    images = get("images").groupBy("place_id", "image_url").agg(F.bool_or("is_primary").alias("is_primary"), F.min("source_id").alias("s"))
+    images = images.select("place_id", "image_url", F.concat(F.lit("s"), "s").alias("image_source"), F.when(F.col("s") % 2 == 0, "CC BY").alias("image_license"), F.lit(None).cast("string").alias("image_author"), "is_primary")
+    sources = get("place_sources").select("place_id", "source_id", F.lit("").alias("source_url"), "last_seen")
+    festivals = get("festivals").withColumn("associated_place_id", F.when(F.col("festival_id") % 7 == 0, F.col("festival_id") % 1000))
+    children = {"ratings": get("ratings"), "place_status": get("place_status"), "crowd_data": get("crowd_data")}
+    return W.Tables(places, sources, images, children, get("place_features"), festivals)
+
+
+IMAGES_SQL = "stored_images AS (SELECT place_id, image_url, concat('s', CAST(min(source_id) AS VARCHAR)) AS image_source, CASE WHEN min(source_id) % 2 = 0 THEN 'CC BY' END AS image_license, bool_or(is_primary) AS is_primary FROM images GROUP BY place_id, image_url)"
+EVENTS_SQL = "events_of AS (SELECT *, CASE WHEN festival_id % 7 = 0 THEN festival_id % 1000 END AS associated_place_id FROM festivals)"
+
+
+def _kinds(tables: W.Tables):
+    """All tables as ``kind, place_id, item``, for a comparison of whole rows."""
+    text = lambda *c: F.concat_ws("/", *[F.coalesce(F.col(x).cast("string"), F.lit("-")) if isinstance(x, str) else x for x in c]).alias("item")
+    day = F.date_format("last_seen", "yyyy-MM-dd")
+    parts = [
+        ("place", tables.places.select("place_id", text("place_name", *W.LENT, "description", "merged_names", F.coalesce(F.format_number("tourism_relevance", 2), F.lit("-"))))), ("source", tables.sources.select("place_id", text("source_id", day))),
+        ("image", tables.images.select("place_id", text("image_url", "image_source", "image_license", "is_primary"))), ("rating", tables.children["ratings"].select("place_id", text(F.col("source_id").cast("string")))),
+        ("status", tables.children["place_status"].select("place_id", text("status_id"))), ("crowd", tables.children["crowd_data"].select("place_id", text("visit_id"))), ("feature", tables.features.select("place_id", text("feature"))),
+        ("event", tables.events.select(F.col("associated_place_id").alias("place_id"), text("festival_id"))),
+    ]
+    return reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("kind"), "place_id", "item") for kind, df in parts])
+
+
+def _item_sql(*columns: str) -> str:
+    return "concat_ws('/', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '-')" for c in columns) + ")"
+
+
+#: Every third place keeps; the two behind it go into it.
+ABSORB_SQL = f""", {IMAGES_SQL}, {EVENTS_SQL},
+rows AS (SELECT *, place_id - place_id % 3 AS root FROM place_table),
+places_now AS (SELECT root, min_by(place_name, place_id) AS place_name, {", ".join(f"min_by({c}, place_id) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in W.LENT)},
+  min_by(description, struct_pack(l := -length(coalesce(description, '')), place_id)) AS description,
+  string_agg(CASE WHEN place_id = root THEN merged_names ELSE concat_ws('|', place_name, merged_names) END, '|' ORDER BY place_id) AS merged_names,
+  CASE WHEN count(*) = 1 THEN max(tourism_relevance) ELSE max(coalesce(tourism_relevance, 0)) END AS relevance FROM rows GROUP BY root),
+pictures AS (SELECT root, image_url, min(place_id) AS owner, min_by(image_source, place_id) AS image_source, min_by(image_license, place_id) AS image_license, min_by(is_primary, place_id) AS is_primary
+  FROM (SELECT *, place_id - place_id % 3 AS root FROM stored_images) GROUP BY root, image_url),
+leads AS (SELECT *, is_primary AND owner = min(owner) FILTER (WHERE is_primary) OVER (PARTITION BY root) AS lead FROM pictures)
+SELECT 'place' AS kind, root AS place_id, {_item_sql("place_name", *W.LENT, "description", "merged_names", "printf('%.2f', relevance)")} AS item FROM places_now
+UNION ALL SELECT 'source', root, {_item_sql("source_id", "strftime(last_seen, '%Y-%m-%d')")} FROM (SELECT place_id - place_id % 3 AS root, source_id, min_by(last_seen, place_id) AS last_seen FROM place_sources GROUP BY 1, 2)
+UNION ALL SELECT 'image', root, {_item_sql("image_url", "image_source", "image_license", "coalesce(lead, FALSE)")} FROM leads
+UNION ALL SELECT 'rating', place_id - place_id % 3, CAST(source_id AS VARCHAR) FROM ratings
+UNION ALL SELECT 'status', place_id - place_id % 3, CAST(status_id AS VARCHAR) FROM place_status
+UNION ALL SELECT 'crowd', place_id - place_id % 3, CAST(visit_id AS VARCHAR) FROM crowd_data
+UNION ALL SELECT 'feature', place_id, feature FROM place_features WHERE place_id % 3 = 0
+UNION ALL SELECT 'event', associated_place_id - associated_place_id % 3, CAST(festival_id AS VARCHAR) FROM events_of"""
+
+
+@query("er11_absorb", with_views(ABSORB_SQL, "place_table", "categories", "images", "place_sources", "ratings", "place_status", "crowd_data", "place_features", "festivals"))
 def er11(spark, sf_dir):
-    mapping = view(spark, sf_dir, "places").where("place_id % 2 = 1").select("place_id", (F.col("place_id") - 1).alias("keeper"))
-    return U.absorb(view(spark, sf_dir, "place_sources"), mapping, ["place_id", "source_id"])
-
-
-@query("er13_upsert_places", with_views("SELECT coalesce(s.place_id, n.place_id) AS place_id, coalesce(n.place_name, s.place_name) AS place_name, coalesce(n.latitude, s.latitude) AS latitude, greatest(s.tourism_relevance, n.tourism_relevance) AS tourism_relevance, CASE WHEN s.place_id IS NULL THEN 'insert' WHEN n.place_id IS NULL THEN 'keep' ELSE 'update' END AS change FROM (SELECT * FROM places WHERE place_id % 3 <> 0) s FULL JOIN (SELECT place_id, upper(place_name) AS place_name, CASE WHEN place_id % 4 = 0 THEN NULL ELSE latitude END AS latitude, CAST(0.5 AS DOUBLE) AS tourism_relevance FROM places WHERE place_id % 2 = 0) n USING (place_id)", "places"))
+    tables = stored_tables(spark, sf_dir)
+    mapping = tables.places.where("place_id % 3 <> 0").select("place_id", (F.col("place_id") - F.col("place_id") % 3).alias("keeper"))
+    return _kinds(W.absorb(tables, mapping))
+
+
+#: Records of a run: every other place, some under another spelling, some filed under a related district.
+NEW_SQL = """first_related AS (SELECT district, min(related) AS other FROM related_districts GROUP BY district),
+new_records AS (SELECT place_id + 1000000 AS new_id, CASE WHEN place_id % 8 = 0 THEN concat('Sri ', place_name) ELSE upper(place_name) END AS place_name, CASE WHEN place_id % 10 = 4 THEN other ELSE p.district END AS district, category_name,
+  CASE WHEN place_id % 6 = 0 THEN NULL ELSE city_town END AS city_town, 'New ' || subcategory AS subcategory, CASE WHEN place_id % 4 = 0 THEN p.description || ', seen again' END AS description,
+  CASE WHEN place_id % 4 <> 2 THEN latitude + 0.01 END AS latitude, CASE WHEN place_id % 4 <> 2 THEN longitude END AS longitude, address, external_id, map_id, source_url, 0.45 AS tourism_relevance
+  FROM place_table p LEFT JOIN categories USING (category_id) LEFT JOIN first_related r ON r.district = p.district WHERE place_id % 2 = 0)"""
+
+
+def new_records(spark, sf_dir):
+    get = lambda name: view(spark, sf_dir, name)
+    k = F.col("place_id")
+    other = get("related_districts").groupBy("district").agg(F.min("related").alias("other"))
+    df = get("place_table").where("place_id % 2 = 0").join(get("categories").select("category_id", "category_name"), "category_id", "left").join(other, "district", "left")
+    return df.select(
+        (k + 1000000).alias("new_id"), F.when(k % 8 == 0, F.concat(F.lit("Sri "), "place_name")).otherwise(F.upper("place_name")).alias("place_name"), F.when(k % 10 == 4, F.col("other")).otherwise(F.col("district")).alias("district"), "category_name",
+        F.when(k % 6 != 0, F.col("city_town")).alias("city_town"), F.concat(F.lit("New "), "subcategory").alias("subcategory"), F.when(k % 4 == 0, F.concat("description", F.lit(", seen again"))).alias("description"),
+        F.when(k % 4 != 2, F.col("latitude") + 0.01).alias("latitude"), F.when(k % 4 != 2, F.col("longitude")).alias("longitude"), "address", "external_id", "map_id", "source_url", F.lit(0.45).alias("tourism_relevance"),
+    )
+
+
+def key_sql(alias: str) -> str:
+    return KEY_SQL.replace("place_name", f"{alias}.place_name")
+
+
+_FIELDS = ["place_name", "district", "category_name", *W.OPTIONAL]
+UPSERT_SQL = f""", {NEW_SQL},
+stored AS (SELECT p.*, c.category_name FROM place_table p LEFT JOIN categories c USING (category_id) WHERE place_id % 3 <> 0),
+old AS (SELECT s.*, {key_sql("s")} AS name_key FROM stored s), fresh AS (SELECT n.*, {key_sql("n")} AS name_key FROM new_records n),
+by_id AS (SELECT new_id, min(o.place_id) AS place_id FROM fresh n JOIN old o ON o.external_id = n.external_id GROUP BY new_id),
+by_map AS (SELECT new_id, min(o.place_id) AS place_id FROM fresh n JOIN old o ON o.map_id = n.map_id WHERE new_id NOT IN (SELECT new_id FROM by_id) GROUP BY new_id),
+by_name AS (SELECT new_id, min(o.place_id) AS place_id FROM fresh n JOIN old o ON o.district = n.district AND o.name_key = n.name_key WHERE n.name_key <> '' AND new_id NOT IN (SELECT new_id FROM by_id UNION ALL SELECT new_id FROM by_map) GROUP BY new_id),
+by_related AS (SELECT new_id, min(o.place_id) AS place_id FROM fresh n JOIN related_districts r ON r.district = n.district JOIN old o ON o.district = r.related AND o.name_key = n.name_key
+  WHERE n.name_key <> '' AND new_id NOT IN (SELECT new_id FROM by_id UNION ALL SELECT new_id FROM by_map UNION ALL SELECT new_id FROM by_name) AND coalesce({km("n.latitude", "n.longitude", "o.latitude", "o.longitude")} <= 15, TRUE) GROUP BY new_id HAVING count(*) = 1),
+matched AS (SELECT *, FALSE AS far FROM by_id UNION ALL SELECT *, FALSE FROM by_map UNION ALL SELECT *, FALSE FROM by_name UNION ALL SELECT *, TRUE FROM by_related),
+told AS (SELECT n.* REPLACE (CASE WHEN far THEN NULL ELSE n.district END AS district), m.place_id, CASE WHEN m.place_id IS NULL THEN concat(n.district, '/', n.name_key) END AS added FROM fresh n LEFT JOIN matched m USING (new_id)),
+last AS (SELECT place_id, added, {", ".join(f"arg_max({c}, new_id) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in _FIELDS)}, max(tourism_relevance) AS tourism_relevance FROM told GROUP BY place_id, added)
+SELECT o.place_id, {", ".join(f"coalesce(n.{c}, o.{c}) AS {c}" for c in _FIELDS if c not in ("latitude", "longitude"))}, round(coalesce(n.latitude, o.latitude), 6) AS latitude, CASE WHEN n.latitude IS NULL THEN o.location_precision END AS location_precision,
+  CASE WHEN n.tourism_relevance IS NULL THEN o.tourism_relevance ELSE greatest(coalesce(o.tourism_relevance, 0), n.tourism_relevance) END AS tourism_relevance, CASE WHEN o.place_id IS NULL THEN 'Home State' ELSE o.state END AS state,
+  CASE WHEN o.place_id IS NULL THEN 'insert' WHEN n.tourism_relevance IS NULL THEN 'keep' ELSE 'update' END AS change
+FROM old o FULL JOIN last n ON n.place_id = o.place_id"""
+
+
+@query("er13_upsert_places", with_views(UPSERT_SQL, "place_table", "categories", "related_districts"))
 def er13(spark, sf_dir):
-    df = view(spark, sf_dir, "places").select("place_id", "place_name", "latitude", "tourism_relevance")
-    new = df.where("place_id % 2 = 0").select("place_id", F.upper("place_name").alias("place_name"), F.when(F.col("place_id") % 4 != 0, F.col("latitude")).alias("latitude"), F.lit(0.5).alias("tourism_relevance"))
-    return U.upsert(df.where("place_id % 3 <> 0"), new, ["place_id"], greatest=("tourism_relevance",))
+    """Records matched by a cascade of keys update the snapshot field by field; those that match nothing become places."""
+    stored = stored_tables(spark, sf_dir).places.where("place_id % 3 <> 0")
+    up = W.upsert_places(stored, new_records(spark, sf_dir), view(spark, sf_dir, "related_districts"), "Home State").places
+    columns = [c for c in _FIELDS if c not in ("latitude", "longitude")]
+    return up.select(F.when(F.col("change") != "insert", F.col("place_id")).alias("place_id"), *columns, F.round("latitude", 6).alias("latitude"), "location_precision", "tourism_relevance", "state", "change")
 
 
 @query("er14_upsert_images", with_views("""SELECT place_id, image_url, row_number() OVER (PARTITION BY place_id ORDER BY was DESC, age, image_url) = 1 AS is_primary FROM (
@@ -223,6 +324,28 @@ def er14(spark, sf_dir):
     return U.add_images(df.where("place_id % 2 = 0"), df)
 
 
+@query("er14_upsert_tables", with_views("""SELECT 'source' AS kind, s_name AS key, CASE WHEN s_suppkey % 2 = 0 THEN concat('url', CAST(s_suppkey AS VARCHAR)) ELSE 'old' END AS value, CASE WHEN s_suppkey % 4 = 0 THEN 'CC0' WHEN s_suppkey % 3 <> 0 THEN 'ODbL' END AS note FROM supplier WHERE s_suppkey % 3 <> 0 OR s_suppkey % 2 = 0
+UNION ALL SELECT 'seen', concat(CAST(place_id AS VARCHAR), '/', CAST(source_id AS VARCHAR)), strftime(CASE WHEN source_id % 2 = 0 THEN DATE '2030-01-01' ELSE last_seen END, '%Y-%m-%d'), NULL FROM place_sources
+UNION ALL SELECT 'holiday', concat(festival_name, '/', strftime(start_date, '%Y-%m-%d')), CASE WHEN max(festival_id % 2) = 1 THEN 'new' ELSE 'old' END, NULL FROM festivals WHERE start_date IS NOT NULL GROUP BY festival_name, start_date""", "place_sources", "festivals"))
+def er14_tables(spark, sf_dir):
+    """Sources by name, sightings by place and source, and holidays by name and day."""
+    get = lambda name: view(spark, sf_dir, name)
+    k = F.col("s_suppkey")
+    old = get("supplier").where("s_suppkey % 3 <> 0").select(k.alias("source_id"), F.col("s_name").alias("source_name"), F.lit("old").alias("source_url"), F.lit("ODbL").alias("license"))
+    new = get("supplier").where("s_suppkey % 2 = 0").select(F.col("s_name").alias("source_name"), F.concat(F.lit("url"), k).alias("source_url"), F.when(k % 4 == 0, "CC0").alias("license"))
+    sources = written(W.upsert_sources(old, new), "er14-sources").select(F.lit("source").alias("kind"), F.col("source_name").alias("key"), F.col("source_url").alias("value"), F.col("license").alias("note"))
+    seen = get("place_sources").select("place_id", "source_id", F.lit("").alias("source_url"), "last_seen")
+    listed = seen.where("source_id % 2 = 0").groupBy("place_id").agg(F.collect_list(F.struct("source_id", F.lit(None).cast("string").alias("source_url"))).alias("sources")).withColumnRenamed("place_id", "new_id")
+    ids = listed.select("new_id", F.col("new_id").alias("place_id"))
+    after = W.upsert_place_sources(seen, listed, ids, F.lit("2030-01-01").cast(seen.schema["last_seen"].dataType))
+    after = after.select(F.lit("seen").alias("kind"), F.concat_ws("/", "place_id", "source_id").alias("key"), F.date_format("last_seen", "yyyy-MM-dd").alias("value"), F.lit(None).cast("string").alias("note"))
+    days = get("festivals").where("start_date IS NOT NULL").select("festival_name", "start_date", "festival_id")
+    first = days.select("festival_name", "start_date", F.lit("old").alias("state")).distinct()
+    holidays = W.upsert_keyed(first, days.where("festival_id % 2 = 1").select("festival_name", "start_date", F.lit("new").alias("state")), ["festival_name", "start_date"])
+    holidays = holidays.select(F.lit("holiday").alias("kind"), F.concat_ws("/", "festival_name", F.date_format("start_date", "yyyy-MM-dd")).alias("key"), F.col("state").alias("value"), F.lit(None).cast("string").alias("note"))
+    return sources.unionByName(after).unionByName(holidays)
+
+
 @query("er15_replace_slice", with_views("SELECT festival_id, CASE WHEN month = 6 THEN upper(festival_name) ELSE festival_name END AS festival_name, month FROM festivals", "festivals"))
 def er15(spark, sf_dir):
     """Festivals lie in slices by their source (here the month); a source's new list replaces its slice alone."""
@@ -232,13 +355,21 @@ def er15(spark, sf_dir):
     return spark.read.schema(df.schema).parquet(path)
 
 
-@query("er16_remove_places", with_views("SELECT 'images' AS kind, place_id, image_url AS item FROM images WHERE place_id % 10 <> 0 UNION ALL SELECT 'sources', place_id, CAST(source_id AS VARCHAR) FROM place_sources WHERE place_id % 10 <> 0 UNION ALL SELECT 'status', CASE WHEN place_id % 10 <> 0 THEN place_id END, CAST(status_id AS VARCHAR) FROM place_status", "images", "place_sources", "place_status"))
+@query("er16_remove_places", with_views(f""", {IMAGES_SQL}, {EVENTS_SQL}
+SELECT 'place' AS kind, place_id, {_item_sql("place_name")} AS item FROM place_table WHERE place_id % 10 <> 0
+UNION ALL SELECT 'source', place_id, CAST(source_id AS VARCHAR) FROM place_sources WHERE place_id % 10 <> 0 UNION ALL SELECT 'image', place_id, image_url FROM stored_images WHERE place_id % 10 <> 0
+UNION ALL SELECT 'rating', place_id, CAST(source_id AS VARCHAR) FROM ratings WHERE place_id % 10 <> 0 UNION ALL SELECT 'status', place_id, CAST(status_id AS VARCHAR) FROM place_status WHERE place_id % 10 <> 0
+UNION ALL SELECT 'crowd', place_id, CAST(visit_id AS VARCHAR) FROM crowd_data WHERE place_id % 10 <> 0 UNION ALL SELECT 'feature', place_id, feature FROM place_features WHERE place_id % 10 <> 0
+UNION ALL SELECT 'event', CASE WHEN associated_place_id % 10 <> 0 THEN associated_place_id END, CAST(festival_id AS VARCHAR) FROM events_of""", "place_table", "images", "place_sources", "ratings", "place_status", "crowd_data", "place_features", "festivals"))
 def er16(spark, sf_dir):
-    gone = view(spark, sf_dir, "places").where("place_id % 10 = 0").select("place_id")
-    gone = gone.unionByName(view(spark, sf_dir, "place_status").where("place_id % 10 = 0").select("place_id"))
-    left = U.remove(gone, {n: view(spark, sf_dir, t) for n, t in (("images", "images"), ("sources", "place_sources"))}, {"status": view(spark, sf_dir, "place_status")})
-    part = lambda name, item: left[name].select(F.lit(name).alias("kind"), "place_id", F.col(item).cast("string").alias("item"))
-    return part("images", "image_url").unionByName(part("sources", "source_id")).unionByName(part("status", "status_id"))
+    """Places go with their rows of six tables; events lose their link."""
+    tables = stored_tables(spark, sf_dir)
+    gone = tables.children["ratings"].select("place_id").unionByName(tables.places.select("place_id")).where("place_id % 10 = 0")
+    t = W.remove(tables, gone)
+    part = lambda df, kind, item, place="place_id": df.select(F.lit(kind).alias("kind"), F.col(place).alias("place_id"), F.col(item).cast("string").alias("item"))
+    parts = [part(t.places, "place", "place_name"), part(t.sources, "source", "source_id"), part(t.images, "image", "image_url"), part(t.children["ratings"], "rating", "source_id"), part(t.children["place_status"], "status", "status_id")]
+    parts += [part(t.children["crowd_data"], "crowd", "visit_id"), part(t.features, "feature", "feature"), part(t.events, "event", "festival_id", "associated_place_id")]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("er17_multi_district", with_views("""SELECT item_id, arg_min(district, struct_pack(d := coalesce(pow(latitude - my, 2) + pow(longitude - mx, 2), 'inf'::DOUBLE), district)) AS district
