@@ -7,6 +7,7 @@ is settled by one aggregation per table, whatever the number of records of a pla
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from wayfarer.operators import places as P
 from wayfarer.operators import resolve as E
 from wayfarer.operators import spelling as Y
 from wayfarer.operators import upsert as U
+from wayfarer.operators.components import connected_components
 from wayfarer.session import written
 
 # Fields that a record may lack, and fields that an absorbed place lends to its keeper.
@@ -47,18 +49,21 @@ def upsert_places(stored: DataFrame, new: DataFrame, related: DataFrame, default
 
     ``stored`` has ``place_id, place_name, district, category_name, tourism_relevance, location_precision`` and the columns of
     ``OPTIONAL``; ``new`` has ``new_id`` and the same but for ``place_id`` and ``location_precision``. Matching goes by external
-    id, map id, district and name key, then name key in a related district. Records that match nothing and agree in district
-    and name key become one place. Of several records of a place the later one by ``new_id`` counts, null fields leave what is
+    id, map id, district and name key, then name key in a related district. Records that match nothing and agree in one of
+    the first three become one place. Of several records of a place the later one by ``new_id`` counts, null fields leave what is
     known, relevance never falls, and a new position drops the remark that the old one was only near. A place found in a
     related district stays there.
     """
     ids = written(E.match_stored(stored, new, related), "upsert-matched")
-    left = new.join(ids, "new_id", "left_anti").select("new_id", "district", name_key(F.col("place_name")).alias("name_key"))
-    own = F.when(F.col("name_key") == "", F.col("new_id"))  # blank names have nothing in common
-    groups = left.groupBy("district", "name_key", own.alias("own")).agg(F.min("new_id").alias("first"), F.collect_list("new_id").alias("members"))
+    known = lambda c: F.when(F.trim(F.col(c)) != "", F.col(c)).alias(c)
+    key = name_key(F.col("place_name"))
+    left = written(new.join(ids, "new_id", "left_anti").select("new_id", "district", F.when(key != "", key).alias("name_key"), known("external_id"), known("map_id")), "upsert-left")
+    links = [E.star_edges(left, keys, "new_id") for keys in (["external_id"], ["map_id"], ["district", "name_key"])]
+    roots = connected_components(reduce(DataFrame.unionByName, links))
+    groups = written(left.select("new_id").join(roots, F.col("new_id") == F.col("node"), "left").select("new_id", F.coalesce("root", "new_id").alias("first")), "upsert-groups")
     start = stored.agg(F.max("place_id")).first()[0] or 0
-    added = numbered_after(groups.select("first", "members"), ["first"], start, "place_id")
-    ids = written(ids.unionByName(added.select(F.explode("members").alias("new_id"), "place_id", F.lit("insert").alias("how"))), "upsert-ids")
+    added = numbered_after(groups.select("first").distinct(), ["first"], start, "place_id")
+    ids = written(ids.unionByName(groups.join(added, "first").select("new_id", "place_id", F.lit("insert").alias("how"))), "upsert-ids")
 
     rows = new.join(ids, "new_id").withColumn("district", F.when(F.col("how") != "related", F.col("district")))
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("new_id"))).alias(c)

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from wayfarer.functions import names as N, score as S, text as X
 from wayfarer.functions.geo import in_box
-from wayfarer.operators import nearby, places as P, recommend as R, resolve as E, spelling as Y, timeline as L, upsert as U
-from wayfarer.plans.ingest import numbered, spelt
+from wayfarer.operators import nearby, places as P, recommend as R, refresh as W, resolve as E, spelling as Y, timeline as L
+from wayfarer.plans.ingest import numbered, spelt, stored_tables
 from wayfarer.plans.language import PHON_SQL
 from wayfarer.plans.read_layer import base, base_sql
 from wayfarer.plans.registry import query
@@ -190,25 +190,15 @@ def er12(spark, sf_dir):
 
 @query("er20_refresh")
 def er20(spark, sf_dir):
-    """The refresh: source records are merged and matched to the stored places, the snapshot is brought up to date, and
-    duplicates across districts and by spelling go; the report counts by district."""
+    """A run of the sources against stored tables that lack every third place; the report of what happened."""
+    tables = stored_tables(spark, sf_dir)
+    tables.places = tables.places.where("place_id % 3 <> 0")
+    tables.events = tables.events.withColumn("source_id", F.col("month"))
     rows = numbered(spark, sf_dir)
-    merged = E.survivors(rows, E.merge_all(rows), ["place_name", "district", "external_id", "map_id"]).withColumnRenamed("root", "new_id")
-    stored = view(spark, sf_dir, "places").where("place_id % 3 <> 0").select("place_id", "place_name", "district", "latitude", "longitude", "popularity_score", "tourism_relevance")
-    related = view(spark, sf_dir, "related_districts")
-    matched = E.match_stored(stored, merged, related)
-    # Records that are not stored yet get ids of their own, beyond all that are.
-    new = merged.join(matched, "new_id", "left").select(F.coalesce("place_id", -F.col("new_id") - 1).alias("place_id"), "place_name", "district", "latitude", "longitude", F.lit(None).cast("double").alias("popularity_score"), "tourism_relevance", F.size("sources").alias("source_count"))
-    snapshot = U.upsert(stored, new.drop("source_count"), ["place_id"], greatest=("tourism_relevance",))
-    snapshot = written(snapshot.join(new.groupBy("place_id").agg(F.max("source_count").alias("source_count")), "place_id", "left"), "refresh")
-    across = E.cross_district_duplicates(snapshot.withColumn("popularity_score", F.coalesce("popularity_score", F.lit(0.0))), related)
-    left = snapshot.join(across, "place_id", "left_anti").withColumns({"location_precision": F.lit(None).cast("string"), "merged_names": F.lit(None).cast("string"), "source_count": F.coalesce("source_count", F.lit(1))})
-    kept, gone = Y.merge_rounds(left.drop("change"))
-    count = lambda df, name: df.groupBy("district").agg(F.count(F.lit(1)).alias(name))
-    per = snapshot.groupBy("district").agg(F.count_if(F.col("change") == "insert").alias("n_inserted"), F.count_if(F.col("change") == "update").alias("n_updated"))
-    for part in (count(kept, "n_places"), count(snapshot.join(across, "place_id", "left_semi"), "n_across"), count(snapshot.join(gone, "place_id", "left_semi"), "n_spelling")):
-        per = per.join(part, "district", "left")
-    return per.fillna(0)
+    meta = rows.select("image_url").distinct().where(F.col("image_url").rlike("/[0-2]$")).select("image_url", F.concat(F.lit("by "), F.right("image_url", F.lit(1))).alias("image_author"), F.lit("CC BY").alias("image_license"))
+    june = tables.events.where("month = 6").withColumn("festival_name", F.upper("festival_name"))
+    _, report = W.refresh(tables, rows, view(spark, sf_dir, "related_districts"), meta, F.col("image_url").rlike("/[0-3]$"), X.junk_name(F.col("place_name"), F.col("district")), F.lit("2030-01-01").cast(tables.sources.schema["last_seen"].dataType), june)
+    return spark.createDataFrame(sorted(report.items()), "metric string, n long")
 
 
 @query("io9_named_points", with_views("SELECT place_id AS element_id, list_sort(list_distinct([place_name, upper(place_name), lower(place_name)])) AS names, CASE WHEN category_name = 'PROMO' THEN 'worship' ELSE 'settlement' END AS kind FROM places", "places"))
