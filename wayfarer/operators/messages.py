@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayfarer.functions.text import keywords
+from wayfarer.operators.places import search_many
+from wayfarer.session import written
 
 
 def detect_intent(message: Column, intents: list[tuple[str, list[str]]], default: str) -> Column:
@@ -48,12 +49,48 @@ def wants_near_me(message: Column) -> Column:
     return F.coalesce(F.lower(message).rlike(NEAR_ME), F.lit(False))
 
 
+# Words that say nothing of what is asked for, and marks around words.
+STOP_WORDS = "the a an in near nearby place places tourist tourism visit visiting show me give some best good for to of is are what where which can i want tell about please".split()
+MARKS = r".,!?;:()\[\]{}"
+
+
+def message_words(message: Column, stop: list[str]) -> Column:
+    """The words of a message in order, without the marks around them: three letters at least, no stop words."""
+    bare = F.transform(F.split(F.trim(F.lower(message)), r"\s+"), lambda w: F.regexp_replace(w, f"^[{MARKS}]+|[{MARKS}]+$", ""))
+    stops = F.array(*[F.lit(s) for s in stop]) if stop else F.array().cast("array<string>")
+    return F.filter(bare, lambda w: (F.length(w) >= 3) & ~F.array_contains(stops, w))
+
+
 def message_search(messages: DataFrame, places: DataFrame, keys: list[str], stop: list[str], n: int) -> DataFrame:
-    """The ``n`` best places per message by the words of their names: an equi join on words, not on substrings."""
-    said = messages.select("message").distinct()  # what many say is looked up once
-    words = said.select("message", F.posexplode(keywords(F.col("message"), stop)).alias("pos", "word"))
-    index = places.select("place_id", "popularity_score", F.explode(keywords(F.col("place_name"), [])).alias("word"))
-    hits = words.join(index, "word").groupBy("message", "place_id", "popularity_score").agg(F.min("pos").alias("pos"))
-    rank = F.row_number().over(Window.partitionBy("message").orderBy("pos", F.desc("popularity_score"), "place_id"))
-    best = hits.withColumn("nth", rank.cast("int")).where(F.col("nth") <= n).select("message", "place_id", "nth")
-    return messages.join(best, "message").select(*keys, "place_id", "nth")
+    """``keys, place_id, nth, how``: the first ``n`` places of each message.
+
+    A message that places hold as a whole finds those (``how`` is "message"). Else each of its words finds its first ``n``, and
+    places count in the order of the words ("words"). ``places`` is a base view. What many say, and words that many
+    messages share, are looked up once.
+    """
+    said = messages.select(F.trim("message").alias("said")).where("said <> ''").distinct()
+    whole = written(search_many(places, said.select(F.col("said").alias("search_id"), F.col("said").alias("text")), n), "messages-whole")
+    left = said.join(whole.select(F.col("search_id").alias("said")).distinct(), "said", "left_anti")
+    words = written(left.select("said", F.posexplode(message_words(F.col("said"), stop)).alias("pos", "word")), "messages-words")
+    once = words.select(F.col("word").alias("search_id"), F.col("word").alias("text")).distinct()
+    found = search_many(places, once, n).select(F.col("search_id").alias("word"), "place_id", F.col("nth").alias("w"))
+    hits = words.join(found, "word").groupBy("said", "place_id").agg(F.min(F.struct("pos", "w")).alias("at"))
+    nth = F.row_number().over(Window.partitionBy("said").orderBy("at", "place_id"))
+    by_words = hits.withColumn("nth", nth).where(F.col("nth") <= n).select("said", "place_id", "nth", F.lit("words").alias("how"))
+    best = by_words.unionByName(whole.select(F.col("search_id").alias("said"), "place_id", "nth", F.lit("message").alias("how")))
+    return messages.select(*keys, F.trim("message").alias("said")).join(best, "said").select(*keys, "place_id", "nth", "how")
+
+
+def place_information(mentions: DataFrame, places: DataFrame) -> DataFrame:
+    """``mention_id, place_id, how`` of mentions (``mention_id, text``): the place they mean.
+
+    Digits mean the place of that id ("id") if there is one; anything else, and digits without a place, mean the first place
+    that a search finds ("search"). Blank mentions and those that find nothing have no row.
+    """
+    asked = mentions.select("mention_id", F.trim("text").alias("text")).where("text <> ''")
+    number = F.when(F.col("text").rlike("^[0-9]{1,18}$"), F.col("text").cast("long"))
+    by_id = written(asked.select("mention_id", number.alias("place_id")).join(places.select("place_id"), "place_id").select("mention_id", "place_id", F.lit("id").alias("how")), "mentions-id")
+    rest = asked.join(by_id.select("mention_id"), "mention_id", "left_anti")
+    texts = rest.select(F.col("text").alias("search_id"), "text").distinct()
+    first = search_many(places, texts, 1).select(F.col("search_id").alias("text"), "place_id")
+    return by_id.unionByName(rest.join(first, "text").select("mention_id", "place_id", F.lit("search").alias("how")))

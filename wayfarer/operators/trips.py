@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from wayfarer.functions.geo import haversine_km
 from wayfarer.functions.score import accommodation_cost, food_cost, misc_cost, rate, transport_cost
+from wayfarer.operators.nearby import distance_join
+from wayfarer.session import written
 
 
 def located_stops(stops: DataFrame, places: DataFrame) -> DataFrame:
@@ -116,3 +118,30 @@ def nearest_neighbour_route(stops: DataFrame) -> DataFrame:
     ordered = listed.select("trip_id", F.concat(F.when(F.size("known") > 0, F.expr(text)["done"]).otherwise(F.col("known")), F.col("rest")).alias("r"))
     out = ordered.select("trip_id", F.posexplode("r").alias("visit_no", "s"))
     return out.select("trip_id", (F.col("visit_no") + 1).alias("visit_no"), F.col("s.stop_no").alias("stop_no"), F.col("s.place_id").alias("place_id"))
+
+
+#: Reach of a trip in its first day, and more for each other day.
+TRIP_KM, KM_PER_DAY = 40.0, 25.0
+
+
+def select_for_trip(trips: DataFrame, places: DataFrame) -> DataFrame:
+    """``trip_id, place_id, score, pick``: well-known places near each trip's start, as many as its days can hold.
+
+    ``trips`` has ``trip_id, latitude, longitude, days, hours``. A trip wants a place for every two hours and two more, within a
+    reach that grows with its days. Popularity less half the distance ranks them; no category takes more than half of the
+    wanted number unless the others don't fill it.
+    """
+    wanted = (F.greatest(F.lit(2.0), F.bround(F.col("days") * F.greatest(F.lit(2.0), F.col("hours")) / 2)) + 2).cast("int")
+    asked = written(trips.select("trip_id", "latitude", "longitude", (TRIP_KM + KM_PER_DAY * (F.col("days") - 1)).alias("reach"), wanted.alias("wanted")), "trip-starts")
+    widest = asked.agg(F.max("reach")).first()[0]
+    if widest is None:
+        return asked.select("trip_id", F.lit(0).cast("long").alias("place_id"), F.lit(0.0).alias("score"), "wanted").where("false").withColumnRenamed("wanted", "pick")
+    met = distance_join(asked, places.select("place_id", "latitude", "longitude", "category_name", "popularity_score"), widest, "trip_id")
+    near = met.join(asked.select("trip_id", "reach", "wanted"), "trip_id").where("distance_km <= reach")
+    scored = near.withColumn("score", F.coalesce("popularity_score", F.lit(0.0)) - 0.5 * F.col("distance_km"))
+    order = [F.desc("score"), F.asc("place_id")]
+    kind = F.coalesce(F.nullif("category_name", F.lit("")), F.lit("Other"))
+    of_kind = F.row_number().over(Window.partitionBy("trip_id", kind).orderBy(*order))
+    over = (of_kind > F.greatest(F.lit(2), F.floor((F.col("wanted") + 1) / 2))).cast("int")
+    pick = F.row_number().over(Window.partitionBy("trip_id").orderBy("over", *order))
+    return scored.withColumn("over", over).withColumn("pick", pick).where("pick <= wanted").select("trip_id", "place_id", "score", "pick")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wayfarer.functions import text as X
 from wayfarer.operators import messages as M, pages as G, places as P
+from wayfarer.plans.read_layer import HOLDS_SQL, PROMINENCE, TIER_SQL, base_view, view_sql
 from wayfarer.plans.registry import query
 from wayfarer.sources.tables import view, with_views
 
@@ -204,14 +205,41 @@ def m5(spark, sf_dir):
     return view(spark, sf_dir, "messages").select("conv_id", "turn", words.alias("words")).where(F.size("words") > 0)
 
 
-@query("m6_message_search", with_views("""SELECT trip_id AS conv_id, 0::BIGINT AS turn, place_id, CAST(nth AS INTEGER) AS nth FROM (
-SELECT t.trip_id, p.place_id, row_number() OVER (PARTITION BY t.trip_id ORDER BY min(pos), popularity_score DESC, p.place_id) AS nth FROM
-(SELECT trip_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM (SELECT trip_id, string_split(CASE trip_id % 3 WHEN 0 THEN 'anvil hot' WHEN 1 THEN 'red gear' ELSE 'plate old' END, ' ') AS ws FROM trips)) t
-JOIN (SELECT place_id, popularity_score, unnest(string_split(lower(place_name), ' ')) AS word FROM places) p ON p.word = t.word GROUP BY t.trip_id, p.place_id, popularity_score) WHERE nth <= 5""", "trips", "places"))
+_STOPS_SQL = ", ".join(f"'{w}'" for w in M.STOP_WORDS)
+_MARKS_SQL = ".,!?;:()[]{}"
+MESSAGE_SQL = f""",
+texts AS (SELECT place_id, lower(t) AS t FROM (SELECT place_id, unnest([{", ".join(P.SEARCHED)}]) AS t FROM full_view) WHERE t IS NOT NULL),
+said AS (SELECT DISTINCT trim(message) AS said FROM messages WHERE trim(message) <> ''),
+heard AS (SELECT said, pos, trim(w, '{_MARKS_SQL}') AS word FROM (SELECT said, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM (SELECT said, regexp_split_to_array(trim(lower(said)), '\\s+') AS ws FROM said))),
+words AS (SELECT * FROM heard WHERE length(word) >= 3 AND word NOT IN ({_STOPS_SQL})),
+asked AS (SELECT lower(said) AS q FROM said UNION SELECT word FROM words),
+hits AS (SELECT DISTINCT q, place_id FROM (SELECT q, d.t FROM asked, (SELECT DISTINCT t FROM texts) d WHERE contains(d.t, q)) JOIN texts USING (t)),
+met AS (SELECT q, place_id, row_number() OVER (PARTITION BY q ORDER BY {TIER_SQL}, {PROMINENCE}) AS nth FROM hits JOIN full_view USING (place_id)),
+whole AS (SELECT said, place_id, nth, 'message' AS how FROM said JOIN met ON q = lower(said) WHERE nth <= 5),
+parts AS (SELECT said, place_id, min(struct_pack(pos, nth)) AS at_ FROM words JOIN met ON q = word WHERE nth <= 5 AND said NOT IN (SELECT said FROM whole) GROUP BY said, place_id),
+best AS (SELECT * FROM whole UNION ALL SELECT * FROM (SELECT said, place_id, row_number() OVER (PARTITION BY said ORDER BY at_, place_id) AS nth, 'words' AS how FROM parts) WHERE nth <= 5)
+SELECT conv_id, turn, place_id, CAST(nth AS INTEGER) AS nth, how FROM messages JOIN best ON said = trim(message)"""
+
+
+@query("m6_message_search", view_sql(MESSAGE_SQL, "messages"))
 def m6(spark, sf_dir):
-    asked = F.when(F.col("trip_id") % 3 == 0, "find anvil, hot!").when(F.col("trip_id") % 3 == 1, "find red gear").otherwise("find plate? old")
-    said = view(spark, sf_dir, "trips").select(F.col("trip_id").alias("conv_id"), F.lit(0).cast("long").alias("turn"), asked.alias("message"))
-    return M.message_search(said, view(spark, sf_dir, "places"), ["conv_id", "turn"], ["find"], 5)
+    """The messages of all conversations: places that hold the whole message, else those of its words."""
+    return M.message_search(view(spark, sf_dir, "messages"), base_view(spark, sf_dir), ["conv_id", "turn"], M.STOP_WORDS, 5)
+
+
+MENTIONS_SQL = "SELECT p_partkey AS mention_id, CASE p_partkey % 5 WHEN 0 THEN concat(' ', CAST(p_partkey AS VARCHAR), ' ') WHEN 1 THEN concat('9', CAST(p_partkey AS VARCHAR), '999') WHEN 2 THEN upper(concat(p_name, ' ', p_brand)) WHEN 3 THEN concat(CAST(p_partkey AS VARCHAR), ' main') ELSE ' ' END AS text FROM part"
+
+
+@query("m10_place_information", view_sql(f""", mentions AS (SELECT mention_id, trim(text) AS text FROM ({MENTIONS_SQL}) WHERE trim(text) <> ''),
+by_id AS (SELECT mention_id, place_id, 'id' AS how FROM mentions JOIN full_view ON place_id = TRY_CAST(text AS BIGINT) WHERE regexp_full_match(text, '[0-9]+')),
+asked AS (SELECT DISTINCT lower(text) AS q FROM mentions WHERE mention_id NOT IN (SELECT mention_id FROM by_id)),
+met AS (SELECT q, place_id, row_number() OVER (PARTITION BY q ORDER BY {TIER_SQL}, {PROMINENCE}) AS nth FROM asked, full_view WHERE {HOLDS_SQL})
+SELECT * FROM by_id UNION ALL SELECT mention_id, place_id, 'search' FROM mentions JOIN met ON q = lower(text) WHERE nth = 1 AND mention_id NOT IN (SELECT mention_id FROM by_id)"""))
+def m10_information(spark, sf_dir):
+    """Mentions of places by id, by digits that are no id, by name and by address; some are blank."""
+    k = F.col("p_partkey")
+    text = F.when(k % 5 == 0, F.concat(F.lit(" "), k, F.lit(" "))).when(k % 5 == 1, F.concat(F.lit("9"), k, F.lit("999"))).when(k % 5 == 2, F.upper(F.concat_ws(" ", "p_name", "p_brand"))).when(k % 5 == 3, F.concat(k, F.lit(" main"))).otherwise(" ")
+    return M.place_information(view(spark, sf_dir, "part").select(k.alias("mention_id"), text.alias("text")), base_view(spark, sf_dir))
 
 
 UPCOMING = "1995-03-01"

@@ -183,6 +183,28 @@ def r9(spark, sf_dir):
     return ranked(spark, sf_dir, 10).select("point_id", "place_id", "score", "nth")
 
 
+USERS_SQL = """starts AS (SELECT district, min_by(latitude, place_id) AS latitude, min_by(longitude, place_id) AS longitude FROM places WHERE latitude IS NOT NULL GROUP BY district),
+wishing AS (SELECT user_id, u.district, CASE WHEN user_id % 7 <> 0 THEN interest END AS interest, CASE WHEN user_id % 3 <> 0 THEN s.latitude END AS ulat, CASE WHEN user_id % 3 <> 0 THEN s.longitude END AS ulon,
+  CAST([10, 25, 50, 75, 100][user_id % 5 + 1] AS DOUBLE) AS radius_km FROM users u LEFT JOIN starts s USING (district))"""
+
+
+@query("r9_recommend_users", base_sql(f""", {STATUS_SQL}, {USERS_SQL},
+wishes AS (SELECT DISTINCT district AS d, interest AS i, ulat, ulon, radius_km FROM wishing),
+met AS (SELECT w.*, b.*, {km('ulat', 'ulon', 'latitude', 'longitude')} AS away FROM wishes w JOIN base b ON w.ulat IS NOT NULL OR w.d = b.district WHERE w.i IS NULL OR contains(lower(b.category_name), lower(w.i))),
+scored AS (SELECT *, {SCORE.replace("(1 / (1 + distance_km / 10))", "coalesce(1 / (1 + away / 10), 0)").replace("suitability, 2)", "suitability, 6)")} AS score FROM (SELECT *, {POP} AS pop, {CONF} AS conf, CASE WHEN lower(category_name) = lower(i) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS interest FROM met JOIN stat USING (place_id) WHERE ulat IS NULL OR away <= radius_km + 1e-9)),
+best AS (SELECT *, row_number() OVER (PARTITION BY d, i, ulat, ulon, radius_km ORDER BY score DESC, coalesce(away, 0), place_id) AS nth FROM scored)
+SELECT u.user_id, b.place_id, b.score, CAST(b.nth AS INTEGER) AS nth FROM wishing u JOIN best b ON b.d = u.district AND b.i IS NOT DISTINCT FROM u.interest AND b.ulat IS NOT DISTINCT FROM u.ulat AND b.ulon IS NOT DISTINCT FROM u.ulon AND b.radius_km = u.radius_km WHERE u.ulat IS NULL OR nth <= 10""", "place_status", "users"))
+def r9_users(spark, sf_dir):
+    """Users with their own interests: two thirds start at a place of their district, the others look through the district."""
+    rated = latest_status(base(spark, sf_dir), view(spark, sf_dir, "place_status"), as_of())
+    located = view(spark, sf_dir, "places").where("latitude IS NOT NULL")
+    starts = located.groupBy("district").agg(F.min_by("latitude", "place_id").alias("latitude"), F.min_by("longitude", "place_id").alias("longitude"))
+    k = F.col("user_id")
+    radius = F.get(F.array(*[F.lit(float(x)) for x in (10, 25, 50, 75, 100)]), (k % 5).cast("int"))
+    users = view(spark, sf_dir, "users").join(starts, "district", "left").select(k, "district", F.when(k % 7 != 0, F.col("interest")).alias("interest"), *[F.when(k % 3 != 0, F.col(c)).alias(c) for c in ("latitude", "longitude")], radius.alias("radius_km"))
+    return R.recommend_users(users, rated, digits=6).select("user_id", "place_id", "score", "nth")
+
+
 @query("top_rated_nearby", base_sql(f"SELECT place_id, place_name, round(distance_km, 4) AS distance_km, {SCORE} AS score FROM (SELECT *, {HERE} AS distance_km, {POP} AS pop, {CONF} AS conf, 0.0::DOUBLE AS interest, 1.0::DOUBLE AS suitability FROM base) t WHERE t.distance_km <= 60 ORDER BY score DESC, t.distance_km, place_id LIMIT 10"))
 def top_rated_nearby(spark, sf_dir):
     near = nearby.add_distance(base(spark, sf_dir), *POINT).where(F.col("distance_km") <= 60)
@@ -272,16 +294,18 @@ def t6(spark, sf_dir):
     return T.legs(stops(spark, sf_dir)).select("trip_id", "stop_no", S.drive_minutes(F.col("leg_km")).alias("drive_min"))
 
 
-@query("t10_select_for_trip", with_views("""SELECT trip_id, place_id, CAST(pick AS INTEGER) AS pick FROM (
-  SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY CASE WHEN kind_rank <= 2 THEN 0 ELSE 1 END, popularity_score DESC, place_id) AS pick FROM (
-    SELECT DISTINCT trip_id, place_id, category_name, popularity_score, row_number() OVER (PARTITION BY trip_id, category_name ORDER BY popularity_score DESC, place_id) AS kind_rank
-    FROM (SELECT DISTINCT trip_id, place_id FROM trip_stops) JOIN places USING (place_id))) WHERE pick <= 4""", "trip_stops", "places"))
+@query("t10_select_for_trip", with_views(f""", starts AS (SELECT trip_id, latitude AS y, longitude AS x FROM (SELECT trip_id, place_id FROM trip_stops WHERE stop_no = 1) JOIN places USING (place_id) WHERE latitude IS NOT NULL),
+asked AS (SELECT trip_id, y, x, 40 + 25 * (days - 1) AS reach, CAST(greatest(2, round_even(days * (5 + trip_id % 4) / 2.0::DOUBLE, 0)) + 2 AS INTEGER) AS wanted FROM starts JOIN trips USING (trip_id)),
+met AS (SELECT *, {km('y', 'x', 'latitude', 'longitude')} AS away FROM (SELECT DISTINCT y, x FROM asked), places WHERE latitude IS NOT NULL),
+scored AS (SELECT trip_id, wanted, place_id, category_name, popularity_score - 0.5::DOUBLE * away AS score FROM asked JOIN met USING (y, x) WHERE away <= reach),
+kinds AS (SELECT *, row_number() OVER (PARTITION BY trip_id, category_name ORDER BY score DESC, place_id) > greatest(2, (wanted + 1) // 2) AS over FROM scored),
+picked AS (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY over, score DESC, place_id) AS pick FROM kinds)
+SELECT trip_id, place_id, round(score, 6) AS score, CAST(pick AS INTEGER) AS pick FROM picked WHERE pick <= wanted""", "trips", "trip_stops", "places"))
 def t10(spark, sf_dir):
-    once = stops(spark, sf_dir).select("trip_id", "place_id", "category_name", "popularity_score").distinct()
-    kinds = Window.partitionBy("trip_id", "category_name").orderBy(F.desc("popularity_score"), "place_id")
-    flagged = once.withColumn("over", (F.row_number().over(kinds) > 2).cast("int"))
-    pick = F.row_number().over(Window.partitionBy("trip_id").orderBy("over", F.desc("popularity_score"), "place_id"))
-    return flagged.withColumn("pick", pick.cast("int")).where("pick <= 4").select("trip_id", "place_id", "pick")
+    """Places for each trip around its first stop."""
+    first = stops(spark, sf_dir).where("stop_no = 1").select("trip_id", "latitude", "longitude")
+    trips = view(spark, sf_dir, "trips").join(first, "trip_id").select("trip_id", "latitude", "longitude", "days", (5 + F.col("trip_id") % 4).cast("double").alias("hours"))
+    return T.select_for_trip(trips, view(spark, sf_dir, "places")).withColumn("score", F.round("score", 6))
 
 
 @query("t12_dedupe_stops", with_views("SELECT trip_id, min(stop_no) AS stop_no, place_id FROM trip_stops GROUP BY trip_id, place_id", "trip_stops"))
