@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayfarer.functions.text import page_text, squeeze
+from wayfarer.operators.resolve import resolve_district
 
 
 def texts(pages: DataFrame) -> DataFrame:
@@ -21,14 +22,30 @@ def titles(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.try_element_at(parts, F.lit(1)).alias("title_name"), F.try_element_at(parts, F.lit(2)).alias("title_district"), F.try_element_at(parts, F.lit(3)).alias("title_suffix"), meta.alias("description"))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path with ``.`` and ``..`` taken out."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda held, x: F.when(x == ".", held).when(x == "..", F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(1)))).otherwise(F.concat(held, F.array(x))))
+    open_end = F.element_at(parts, -1).isin(".", "..")
+    return F.concat(F.array_join(kept, "/"), F.when(open_end, "/").otherwise(""))
+
+
+def absolute_link(url: Column, href: Column) -> Column:
+    """The address that ``href`` means on the page ``url``: other hosts, roots, folders above, queries alone."""
+    scheme, root = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*:", 0), F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", 0)
+    here = F.regexp_extract(F.substring(url, F.length(root) + 1, F.length(url)), r"^[^?#]*", 0)
+    folder = F.when(here == "", "/").otherwise(F.regexp_extract(here, "^.*/", 0))
+    target, rest = F.regexp_extract(href, r"^[^?#]*", 0), F.regexp_extract(href, r"[?#].*$", 0)
+    path = F.when(F.startswith(target, F.lit("/")), target).otherwise(F.concat(folder, target))
+    plain = F.concat(root, _without_dots(path), rest)
+    return F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href).when(F.startswith(href, F.lit("//")), F.concat(scheme, href)).when(target == "", F.concat(root, here, rest)).otherwise(plain)
+
+
 def links(pages: DataFrame, stop: list[str]) -> DataFrame:
     """Absolute links of each page in order of first use, without stop slugs."""
     found = F.regexp_extract_all("html", F.lit(r"(?i)<a\s[^>]*href=[\"']([^\"'#]+)[\"']"), F.lit(1))
     at = pages.select("page_id", "url", F.posexplode(found).alias("pos", "href"))
-    root = F.concat(F.parse_url("url", F.lit("PROTOCOL")), F.lit("://"), F.parse_url("url", F.lit("HOST")))
-    folder = F.nullif(F.regexp_extract("url", r"^[a-z]+://[^/?#]+/(?:[^?#]*/)?", 0), F.lit(""))  # relative links start from the page's
-    absolute = F.when(F.col("href").rlike("^[a-z]+://"), F.col("href")).when(F.startswith("href", F.lit("/")), F.concat(root, "href")).otherwise(F.concat(F.coalesce(folder, F.concat(root, F.lit("/"))), "href"))
-    at = at.withColumn("link", absolute)
+    at = at.withColumn("link", absolute_link(F.col("url"), F.col("href")))
     slug = F.lower(F.regexp_extract("link", r"([^/]*)/?$", 1))
     return at.where(~slug.isin(stop)).groupBy("page_id", "link").agg(F.min("pos").cast("long").alias("first_pos"))
 
@@ -93,9 +110,38 @@ def page_status(pages: DataFrame) -> DataFrame:
 
 
 def section_cards(pages: DataFrame) -> DataFrame:
-    """List items with the heading they stand under."""
+    """List items with the heading they stand under and the link they hold."""
     blocks = F.regexp_extract_all("html", F.lit(r"(?is)<(?:h[1-6]|li)\b[^>]*>.*?</(?:h[1-6]|li)>"), F.lit(0))
     at = pages.select("page_id", F.posexplode(blocks).alias("pos", "block")).withColumn("text", page_text(F.col("block")))
     heading = F.when(F.lower("block").rlike("^<h"), F.col("text"))
     at = at.withColumn("section", F.last(heading, ignorenulls=True).over(Window.partitionBy("page_id").orderBy("pos")))
-    return at.where(F.lower("block").rlike("^<li")).select("page_id", F.col("pos").cast("long").alias("pos"), "section", F.col("text").alias("card"))
+    href = F.nullif(F.regexp_extract("block", r"(?i)<a\s[^>]*href=[\"']([^\"']+)[\"']", 1), F.lit(""))
+    return at.where(F.lower("block").rlike("^<li")).select("page_id", F.col("pos").cast("long").alias("pos"), "section", F.col("text").alias("card"), href.alias("href"))
+
+
+def split_lists(rows: DataFrame, column: str) -> DataFrame:
+    """A row for each entry of a list in words ("A, B and C & D"); a row without any entry stays, with null."""
+    parts = F.filter(F.transform(F.split(F.coalesce(column, F.lit("")), r"\s+and\s+|,|&"), lambda x: F.trim(x)), lambda x: x != "")
+    return rows.withColumn(column, F.explode_outer(F.array_distinct(parts)))
+
+
+# What stands in brackets behind a name without being a town.
+NO_TOWN = r"(?i)falls|perennial|sanctuary"
+
+
+def located_cards(cards: DataFrame, aliases: DataFrame, hosts: DataFrame) -> DataFrame:
+    """``page_id, pos, name, district, town, how``: where the place of a card lies.
+
+    The district is what the card's last brackets name ("brackets"), else that of the linked host ("host", from ``hosts`` with
+    ``host, district``), else what the section's heading names ("section"). Brackets of at most two words that name no
+    district are the town, unless they describe a sight. ``aliases`` has ``alias, district``.
+    """
+    inner = F.trim(F.regexp_extract("card", r"\(([^)]+)\)\s*$", 1))
+    rows = cards.withColumn("inner", F.nullif(inner, F.lit(""))).withColumn("name", F.trim(F.regexp_replace("card", r"\s*\([^)]+\)\s*$", "")))
+    rows = rows.withColumn("host", F.lower(F.try_parse_url("href", F.lit("HOST"))))
+    rows = resolve_district(rows, "inner", aliases).withColumnRenamed("resolved", "by_brackets")
+    rows = resolve_district(rows, "section", aliases).withColumnRenamed("resolved", "by_section")
+    rows = rows.join(hosts.select(F.lower("host").alias("host"), F.col("district").alias("by_host")).dropDuplicates(["host"]), "host", "left")
+    town = F.when(F.col("by_brackets").isNull() & (F.size(F.split("inner", r"\s+")) <= 2) & ~F.col("inner").rlike(NO_TOWN), F.col("inner"))
+    how = F.when(F.col("by_brackets").isNotNull(), "brackets").when(F.col("by_host").isNotNull(), "host").when(F.col("by_section").isNotNull(), "section")
+    return rows.select("page_id", "pos", "name", F.coalesce("by_brackets", "by_host", "by_section").alias("district"), town.alias("town"), how.alias("how"))

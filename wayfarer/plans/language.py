@@ -168,7 +168,35 @@ def pg9(spark, sf_dir):
 t AS (SELECT page_id, pos, regexp_matches(block, '^<li', 'i') AS is_card, {page_text_sql('block')} AS text FROM b)
 SELECT page_id, pos, section, text AS card FROM (SELECT *, last_value(CASE WHEN NOT is_card THEN text END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY pos) AS section FROM t) WHERE is_card""")
 def pg10(spark, sf_dir):
-    return G.section_cards(view(spark, sf_dir, "pages"))
+    return G.section_cards(view(spark, sf_dir, "pages")).drop("href")
+
+
+@query("pg5_split_districts", with_views("""SELECT place_id AS page_id, CAST(nth AS INTEGER) AS row_no, place_name AS name, d AS place FROM (SELECT place_id, place_name, 1 AS nth, unnest(CASE WHEN r.related IS NULL THEN [p.district] WHEN place_id % 3 = 0 THEN list_distinct([p.district, r.related, 'NATION_0']) ELSE [p.district, r.related] END) AS d
+FROM places p LEFT JOIN (SELECT district, min(related) AS related FROM related_districts GROUP BY district) r USING (district)) UNION ALL SELECT place_id, 2, upper(place_name), NULL FROM places WHERE place_id % 3 = 0""", "places", "related_districts"))
+def pg5_split(spark, sf_dir):
+    """Tables whose last column lists districts in words; the second row of some has none."""
+    other = view(spark, sf_dir, "related_districts").groupBy("district").agg(F.min("related").alias("other"))
+    df = view(spark, sf_dir, "places").join(other, "district", "left")
+    row = lambda *cells: F.concat(F.lit("<tr><td>"), F.concat_ws("</td><td>", *cells), F.lit("</td></tr>"))
+    named = F.when(F.col("place_id") % 3 == 0, F.concat(F.concat_ws(" and ", "district", "other"), F.lit(", NATION_0"))).otherwise(F.concat_ws(" &amp; ", "district", "other"))
+    second = F.when(F.col("place_id") % 3 == 0, row(F.upper("place_name"), F.lit(" "))).otherwise("")
+    html = F.concat(F.lit("<table><tr><th>Wetland name</th><th>District(s)</th></tr>"), row("place_name", named), second, F.lit("</table>"))
+    rows = G.table_rows(df.select(F.col("place_id").alias("page_id"), html.alias("html")), {"name": "name", "place": "district"})
+    return G.split_lists(rows, "place").select("page_id", "row_no", "name", "place")
+
+
+@query("pg10_card_places", with_views("""SELECT place_id AS page_id, place_name AS name, CASE WHEN place_id % 4 = 0 THEN district WHEN place_id % 5 < 2 THEN 'NATION_' || CAST(place_id % 5 AS VARCHAR) WHEN place_id % 3 <> 0 THEN district END AS district,
+CASE WHEN place_id % 4 = 1 THEN 'Lower Town' END AS town, CASE WHEN place_id % 4 = 0 THEN 'brackets' WHEN place_id % 5 < 2 THEN 'host' WHEN place_id % 3 <> 0 THEN 'section' END AS how FROM places""", "places"))
+def pg10_places(spark, sf_dir):
+    """Cards with a district, a town, a sight or nothing in brackets, under a heading that names a district or none."""
+    df, k = view(spark, sf_dir, "places"), F.col("place_id")
+    behind = F.when(k % 4 == 0, F.concat(F.lit(" ("), F.upper("district"), F.lit(" Dt.)"))).when(k % 4 == 1, " (Lower Town)").when(k % 4 == 2, " (Perennial falls)").otherwise("")
+    host = F.when(k % 5 < 2, F.concat(F.lit("https://D"), k % 5, F.lit(".example/x"))).otherwise("/card")
+    heading = F.when(k % 3 != 0, F.concat("district", F.lit(" district"))).otherwise("Far away")
+    html = F.concat(F.lit("<h2>"), heading, F.lit("</h2><ul><li class='c'><a href='"), host, F.lit("'>"), "place_name", behind, F.lit("</a></li></ul>"))
+    aliases = view(spark, sf_dir, "nation").select(F.col("n_name").alias("alias"), F.col("n_name").alias("district"))
+    hosts = view(spark, sf_dir, "nation").where("n_nationkey < 2").select(F.concat(F.lit("d"), "n_nationkey", F.lit(".example")).alias("host"), F.col("n_name").alias("district"))
+    return G.located_cards(G.section_cards(df.select(k.alias("page_id"), html.alias("html"))), aliases, hosts).drop("pos")
 
 
 INTENTS = [("ask", ["que", "der "]), ("tell", ["the ", "of "]), ("plan", ["en"])]
