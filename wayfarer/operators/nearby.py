@@ -16,6 +16,11 @@ def add_distance(df: DataFrame, lat: float, lon: float) -> DataFrame:
     return df.withColumn("distance_km", haversine_km(F.lit(lat), F.lit(lon), F.col("latitude"), F.col("longitude")))
 
 
+def by_distance(df: DataFrame) -> DataFrame:
+    """Nearest first, unknown distances last; of equal ones the better rated."""
+    return df.orderBy(F.asc_nulls_last("distance_km"), F.desc_nulls_last("rating"), "place_id")
+
+
 def nearby(df: DataFrame, lat: float, lon: float, km: float) -> DataFrame:
     """Rows within ``km`` (inclusive), nearest first."""
     return add_distance(df, lat, lon).where(F.col("distance_km") <= km).orderBy(F.asc_nulls_last("distance_km"), "place_id")

@@ -23,15 +23,20 @@ def legs(stops: DataFrame) -> DataFrame:
     return stops.withColumn("leg_km", haversine_km(prev_lat, prev_lon, F.col("latitude"), F.col("longitude")))
 
 
+#: A day is compact if no two of its stops lie farther apart.
+COMPACT_KM = 60.0
+
+
 def day_spans(stops: DataFrame, per_day: int = 3) -> DataFrame:
-    """``trip_id, day, span_km``: the longest distance between two located stops of a day, over all days of a trip.
+    """``trip_id, day, span_km, compact``: the longest distance between two located stops of a day, over all days of a trip.
 
     Days hold ``per_day`` stops in turn, so a day has few pairs; a day without two located stops has no row.
     """
     day = (F.floor((F.col("stop_no") - 1) / per_day) + 1).cast("long")
     side = lambda n: stops.where("latitude IS NOT NULL").select("trip_id", day.alias("day"), F.col("stop_no").alias(f"s{n}"), F.col("latitude").alias(f"y{n}"), F.col("longitude").alias(f"x{n}"))
     pairs = side(1).join(side(2), ["trip_id", "day"]).where("s1 < s2")
-    return pairs.groupBy("trip_id", "day").agg(F.max(haversine_km(F.col("y1"), F.col("x1"), F.col("y2"), F.col("x2"))).alias("span_km"))
+    spans = pairs.groupBy("trip_id", "day").agg(F.max(haversine_km(F.col("y1"), F.col("x1"), F.col("y2"), F.col("x2"))).alias("span_km"))
+    return spans.withColumn("compact", F.col("span_km") <= COMPACT_KM)
 
 
 def day_summary(stops: DataFrame, per_day: int = 3) -> DataFrame:

@@ -11,7 +11,8 @@ from wayfarer.plans.ingest import numbered, spelt, stored_tables
 from wayfarer.plans.language import PHON_SQL
 from wayfarer.plans.read_layer import base, base_sql
 from wayfarer.plans.registry import query
-from wayfarer.plans.travel import PAIRS_SQL, POINTS_SQL, RING, points, stops
+from wayfarer.operators.status import latest_status
+from wayfarer.plans.travel import CONF, PAIRS_SQL, POINTS_SQL, POP, RING, SCORE, STATUS_SQL, as_of, points, stops
 from wayfarer.session import written
 from wayfarer.sources.tables import view, with_views
 
@@ -105,6 +106,35 @@ def g4(spark, sf_dir):
     return found.join(newest, "place_id", "left").select("point_id", "place_id", F.round("distance_km", 6).alias("distance_km"), "how", F.coalesce("status", F.lit("Unknown")).alias("status"))
 
 
+SEARCH_SQL = f""", {STATUS_SQL}, {POINTS_SQL.replace("points AS (", "near AS (")},
+points AS (SELECT * FROM near UNION ALL SELECT latitude + 20 AS latitude, longitude, -point_id AS point_id FROM near WHERE point_id % 3 = 0), {PAIRS_SQL},
+rings AS (SELECT *, CAST({RING} AS DOUBLE) AS ring FROM pairs WHERE distance_km <= 100),
+cum AS (SELECT point_id, ring, sum(count(*)) OVER (PARTITION BY point_id ORDER BY ring) AS n FROM rings GROUP BY point_id, ring),
+enough AS (SELECT point_id, coalesce(min(ring) FILTER (WHERE n >= 10), 100) AS radius_km FROM cum GROUP BY point_id),
+far AS (SELECT point_id, place_id, distance_km, row_number() OVER (PARTITION BY point_id ORDER BY distance_km, place_id) AS nth FROM pairs WHERE point_id NOT IN (SELECT point_id FROM enough)),
+found AS (SELECT point_id, place_id, distance_km, radius_km FROM rings JOIN enough USING (point_id) WHERE ring <= radius_km UNION ALL SELECT point_id, place_id, distance_km, NULL FROM far WHERE nth <= 10),
+scored AS (SELECT point_id, place_id, distance_km, {SCORE.replace("suitability, 2)", "suitability, 6)")} AS score FROM (SELECT *, {POP} AS pop, {CONF} AS conf, CASE WHEN category_name = 'PROMO' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS interest FROM found JOIN base USING (place_id) JOIN stat USING (place_id)))"""
+
+
+def searched(spark, sf_dir):
+    near = points(spark, sf_dir)
+    far = near.where("point_id % 3 = 0").select((F.col("latitude") + 20).alias("latitude"), "longitude", (-F.col("point_id")).alias("point_id"))
+    rated = latest_status(base(spark, sf_dir), view(spark, sf_dir, "place_status"), as_of()).withColumn("interest", F.when(F.col("category_name") == "PROMO", 1.0).otherwise(0.0))
+    return R.search_from(near.unionByName(far), rated, "point_id", digits=6)
+
+
+@query("g4_search_ranked", base_sql(SEARCH_SQL + " SELECT point_id, place_id, score, CAST(row_number() OVER (PARTITION BY point_id ORDER BY score DESC, distance_km, place_id) AS INTEGER) AS nth FROM scored", "search_points", "place_status"))
+def g4_ranked(spark, sf_dir):
+    """What searches around every point show, by score."""
+    return searched(spark, sf_dir)[0].select("point_id", "place_id", "score", "nth")
+
+
+@query("g4_search_log", base_sql(SEARCH_SQL + " SELECT point_id, round(any_value(latitude), 6) AS latitude, CAST(10 AS DOUBLE) AS initial_radius, max(coalesce(radius_km, round(distance_km))) AS final_radius, CAST(count(*) AS BIGINT) AS places_found FROM found JOIN points USING (point_id) GROUP BY point_id", "search_points", "place_status"))
+def g4_log(spark, sf_dir):
+    """One entry for each search."""
+    return searched(spark, sf_dir)[1].select("point_id", F.round("latitude", 6).alias("latitude"), "initial_radius", "final_radius", "places_found")
+
+
 def days(spark, sf_dir):
     """Stops by trip and day, four a day; categories take the place of kinds."""
     kinds = F.when(F.col("category_name") == "PROMO", "temple").when(F.col("category_name") == "LARGE", "beach").when(F.col("category_name") == "SMALL", "heritage").otherwise(F.col("category_name"))

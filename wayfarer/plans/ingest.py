@@ -103,9 +103,12 @@ def f12(spark, sf_dir):
     return view(spark, sf_dir, "places").withColumn("tags", tags).where(IO.notable(F.col("tags"))).select("place_id")
 
 
-@query("er1_clean", with_views("SELECT place_id, trim(regexp_replace(place_name, '\\s+', ' ', 'g')) AS place_name, coalesce(entry_fee, 0) AS entry_fee FROM places", "places"))
+@query("er1_clean", with_views("SELECT place_id, trim(regexp_replace(place_name, '\\s+', ' ', 'g')) AS place_name, coalesce(entry_fee, 0) AS entry_fee, CASE WHEN place_id % 4 = 1 THEN NULL ELSE least(greatest(popularity_score / 12 - 1, 0), 5) END AS rating, CASE WHEN place_id % 6 <> 0 THEN latitude END AS latitude FROM places", "places"))
 def er1(spark, sf_dir):
-    df = view(spark, sf_dir, "places").select("place_id", "place_name", "entry_fee")
+    """Fees with gaps, ratings as texts of which some are none and some out of range, positions as texts."""
+    rating = F.when(F.col("place_id") % 4 == 1, "good").otherwise((F.col("popularity_score") / 12 - 1).cast("string"))
+    latitude = F.when(F.col("place_id") % 6 == 0, "north").otherwise(F.col("latitude").cast("string"))
+    df = view(spark, sf_dir, "places").select("place_id", "place_name", "entry_fee", rating.alias("rating"), latitude.alias("latitude"))
     blank = df.limit(5).withColumn("place_name", F.lit("  "))
     return C.clean(df.unionByName(df).unionByName(blank))
 
@@ -120,6 +123,14 @@ def er3(spark, sf_dir):
     return C.validate(view(spark, sf_dir, "places"), ["place_name", "entry_fee", "address"])
 
 
+@query("er3_violations", with_views("""SELECT place_id, list_filter([CASE WHEN latitude < 9 THEN 'latitude out of range' END, CASE WHEN rating > 5 THEN 'rating out of range' END, CASE WHEN entry_fee IS NULL THEN 'missing entry_fee' END], lambda x: x IS NOT NULL) AS rules
+FROM (SELECT place_id, latitude, popularity_score / 12 AS rating, entry_fee FROM places) WHERE coalesce(latitude < 9, FALSE) OR rating > 5 OR entry_fee IS NULL""", "places"))
+def er3_rows(spark, sf_dir):
+    """The rows behind the counts: positions below the ninth degree are moved off the globe, and ratings reach beyond five."""
+    df = view(spark, sf_dir, "places").withColumns({"rating": F.col("popularity_score") / 12, "latitude": F.when(F.col("latitude") < 9, 100.0).otherwise(F.col("latitude"))})
+    return C.violations(df, ["entry_fee"], "place_id")
+
+
 def numbered(spark, sf_dir):
     """Source records with a row id that any run gives alike, and with the positions, aliases and images of their sources.
 

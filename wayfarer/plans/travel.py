@@ -69,10 +69,11 @@ def g3(spark, sf_dir):
     return nearby.adaptive_nearby(points(spark, sf_dir), view(spark, sf_dir, "places"), "point_id").select("point_id", "place_id", "radius_km")
 
 
-@query("s4_nearest_order", with_views(f"SELECT place_id, round({HERE}, 6) AS distance_km FROM places ORDER BY {HERE} NULLS LAST, place_id LIMIT 40", "places"))
+@query("s4_nearest_order", base_sql(f"SELECT place_id, round(d, 6) AS distance_km FROM (SELECT place_id, rating, CASE WHEN {HERE} <= 150 THEN {HERE} END AS d FROM base) ORDER BY d NULLS LAST, rating DESC, place_id LIMIT 500"))
 def s4(spark, sf_dir):
-    df = nearby.add_distance(view(spark, sf_dir, "places"), *POINT)
-    return df.orderBy(F.asc_nulls_last("distance_km"), "place_id").limit(40).select("place_id", F.round("distance_km", 6).alias("distance_km"))
+    """The nearest first, and at equal or unknown distances the better rated; here nothing is known beyond 150 km."""
+    df = nearby.add_distance(base(spark, sf_dir), *POINT).withColumn("distance_km", F.when(F.col("distance_km") <= 150, F.col("distance_km")))
+    return nearby.by_distance(df).limit(500).select("place_id", F.round("distance_km", 6).alias("distance_km"))
 
 
 @query("g4_nearest_fallback", with_views(f"SELECT place_id, CAST(row_number() OVER (ORDER BY d, place_id) AS INTEGER) AS nth FROM (SELECT place_id, {km('20.0::DOUBLE', '70.0::DOUBLE', 'latitude', 'longitude')} AS d FROM places WHERE latitude IS NOT NULL) ORDER BY nth LIMIT 10", "places"))
@@ -328,7 +329,8 @@ def t13(spark, sf_dir):
 
 def day_spans_sql() -> str:
     located = "SELECT trip_id, stop_no, CAST((stop_no - 1) // 3 + 1 AS BIGINT) AS day, latitude, longitude FROM trip_stops JOIN places USING (place_id) WHERE latitude IS NOT NULL"
-    return with_views(f"SELECT a.trip_id, a.day, round(max({km('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')}), 6) AS span_km FROM ({located}) a JOIN ({located}) b ON a.trip_id = b.trip_id AND a.day = b.day AND a.stop_no < b.stop_no GROUP BY a.trip_id, a.day", "trip_stops", "places")
+    span = f"max({km('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')})"
+    return with_views(f"SELECT a.trip_id, a.day, round({span}, 6) AS span_km, {span} <= 60 AS compact FROM ({located}) a JOIN ({located}) b ON a.trip_id = b.trip_id AND a.day = b.day AND a.stop_no < b.stop_no GROUP BY a.trip_id, a.day", "trip_stops", "places")
 
 
 @query("t13_day_spans", day_spans_sql())
