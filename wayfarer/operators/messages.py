@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wayfarer.operators import similarity
 from wayfarer.operators.places import search_many
 from wayfarer.session import written
 
@@ -94,3 +95,37 @@ def place_information(mentions: DataFrame, places: DataFrame) -> DataFrame:
     texts = rest.select(F.col("text").alias("search_id"), "text").distinct()
     first = search_many(places, texts, 1).select(F.col("search_id").alias("text"), "place_id")
     return by_id.unionByName(rest.join(first, "text").select("mention_id", "place_id", F.lit("search").alias("how")))
+
+
+def grounded(messages: DataFrame, places: DataFrame, districts: DataFrame, category: Column, keys: list[str], n: int = 8) -> DataFrame:
+    """``keys, place_id, nth, how``: what the places answer to a message that names a district, a kind or a place.
+
+    The district is the longest of ``districts`` (``name, district``) in the message, the kind what ``category`` says of it, and
+    the named place that of the longest name that the message holds, found through an index of letters; of equal names the
+    most popular. A named place is the answer ("named") unless district and kind are both told; else the ``n`` most popular
+    places of the district and kind are ("listed"), of the district alone where it has none of the kind. Messages that
+    name nothing have no row. What many ask for is looked up once.
+    """
+    said = written(messages.select(*keys, "message", category.alias("category")), "grounded-said")
+    with_district = find_names(said.select(*keys, "message"), districts, keys).select(*keys, "district")
+    low = said.select(*keys, F.lower("message").alias("_m"))
+    known = places.select("place_id", F.lower("place_name").alias("_n"), "popularity_score")
+    hits = similarity.holding(known, low, [], "_n", "_m")
+    longest = hits.groupBy("_m").agg(F.max(F.struct(F.length("_n").alias("l"), "_n")).alias("h")).select("_m", "h._n")
+    best = known.groupBy("_n").agg(F.min_by("place_id", F.struct((-F.coalesce("popularity_score", F.lit(0.0))).alias("p"), "place_id")).alias("named"))
+    named = low.join(longest, "_m").join(best, "_n").select(*keys, "named")
+    asked = written(said.join(with_district, keys, "left").join(named, keys, "left").select(*keys, "district", "category", "named"), "grounded-asked")
+    both = F.col("district").isNotNull() & F.col("category").isNotNull()
+    direct = asked.where(F.col("named").isNotNull() & ~both).select(*keys, F.col("named").alias("place_id"), F.lit(1).alias("nth"), F.lit("named").alias("how"))
+
+    rest = asked.where((F.col("named").isNull() | both) & (F.col("district").isNotNull() | F.col("category").isNotNull()))
+    wanted = rest.select("district", "category").distinct()
+    there = places.select(F.col("district").alias("_d"), F.col("category_name").alias("_c"), "place_id", "place_name", "popularity_score")
+    kinds = there.select(F.col("_d").alias("district"), F.col("_c").alias("category")).distinct().withColumn("_has", F.lit(True))
+    wanted = wanted.join(kinds, ["district", "category"], "left").withColumn("_kind", F.when(F.col("district").isNull() | F.col("_has"), F.col("category"))).drop("_has")
+    local = wanted.where("district IS NOT NULL").join(there, F.col("district") == F.col("_d")).where("_kind IS NULL OR _kind = _c")
+    everywhere = wanted.where("district IS NULL").join(there, F.col("category") == F.col("_c"))
+    nth = F.row_number().over(Window.partitionBy("district", "category").orderBy(F.desc("popularity_score"), "place_name", "place_id"))
+    top = local.unionByName(everywhere).withColumn("nth", nth).where(F.col("nth") <= n).select(F.col("district").alias("_d"), F.col("category").alias("_k"), "place_id", "nth")
+    listed = rest.join(top, F.col("district").eqNullSafe(F.col("_d")) & F.col("category").eqNullSafe(F.col("_k"))).select(*keys, "place_id", "nth", F.lit("listed").alias("how"))
+    return direct.unionByName(listed)

@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wayfarer.functions.geo import haversine_km
 from wayfarer.functions.score import clip, weighted_rating_sql
+from wayfarer.functions.text import name_key, truncate
 from wayfarer.operators import similarity
+from wayfarer.operators.ratios import similar
+from wayfarer.session import written
 
 
 def rating_summary(ratings: DataFrame) -> DataFrame:
@@ -228,3 +232,32 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     """The first row of each key in an explicit order."""
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+
+
+#: Shorter descriptions are replaced by an article's, if that is longer; articles farther off are about something else.
+ARTICLE_CHARS, ARTICLE_KM = 80, 2.0
+#: Ratio of names from which an article without a near position is about the place.
+ARTICLE_RATIO = 0.6
+
+
+def enrich_from_articles(places: DataFrame, articles: DataFrame, images: DataFrame, cut: int = 500) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What articles add to places: descriptions, images and sources.
+
+    ``places`` has ``place_id, place_name, description, latitude, longitude`` and ``articles`` ``place_id, title, extract, latitude,
+    longitude, image_url, article_url``, those that a place's ids lead to. An article is about the place if it lies within
+    ``ARTICLE_KM``, or if the keys of title and name hold one another or are alike. The first table is ``place_id, description``
+    of places with too short a description whose article has a long one, cut at a word; the second ``place_id, image_url``
+    for places without any image; the third ``place_id, article_url`` of every accepted article.
+    """
+    said = articles.select("place_id", "title", "extract", F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"), "image_url", "article_url")
+    met = places.join(said, "place_id").withColumns({"_t": name_key(F.col("title")), "_n": name_key(F.col("place_name"))})
+    near = F.coalesce(haversine_km(F.col("latitude"), F.col("longitude"), F.col("_lat"), F.col("_lon")) <= ARTICLE_KM, F.lit(False))
+    told = (F.col("_t") != "") & (F.col("_n") != "")
+    held = told & (F.contains("_t", F.col("_n")) | F.contains("_n", F.col("_t")))
+    sure = met.withColumn("_sure", near | held)
+    alike = sure.where(~F.col("_sure")).where(told).where(similar(F.col("_t"), F.col("_n"), ARTICLE_RATIO))
+    accepted = written(sure.where("_sure").unionByName(alike), "articles")
+    long = F.length(F.coalesce("extract", F.lit(""))) >= ARTICLE_CHARS
+    texts = accepted.where((F.length(F.coalesce("description", F.lit(""))) < ARTICLE_CHARS) & long).groupBy("place_id").agg(F.min_by("extract", "article_url").alias("extract"))
+    shown = accepted.where(F.coalesce("image_url", F.lit("")) != "").join(images.select("place_id").distinct(), "place_id", "left_anti")
+    return texts.select("place_id", truncate(F.col("extract"), cut).alias("description")), shown.groupBy("place_id").agg(F.min_by("image_url", "article_url").alias("image_url")), accepted.select("place_id", "article_url").distinct()

@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from wayfarer.functions import names as N, score as S, text as X
 from wayfarer.functions.geo import in_box
-from wayfarer.operators import nearby, places as P, recommend as R, refresh as W, resolve as E, spelling as Y, timeline as L
+from wayfarer.operators import messages as M, nearby, places as P, recommend as R, refresh as W, resolve as E, spelling as Y, timeline as L
 from wayfarer.plans.ingest import numbered, spelt, stored_tables
 from wayfarer.plans.language import PHON_SQL
 from wayfarer.plans.read_layer import base, base_sql
 from wayfarer.plans.registry import query
 from wayfarer.operators.status import latest_status
-from wayfarer.plans.travel import CONF, PAIRS_SQL, POINTS_SQL, POP, RING, SCORE, STATUS_SQL, as_of, points, stops
+from wayfarer.plans.travel import CONF, PAIRS_SQL, POINTS_SQL, POP, RING, SCORE, STATUS_SQL, as_of, km, points, stops
 from wayfarer.session import written
 from wayfarer.sources.tables import view, with_views
 
@@ -179,21 +179,55 @@ def m7(spark, sf_dir):
     return P.top_per(met, ["conv_id", "turn"], [F.desc("popularity_score"), F.asc("place_id")], 8, "nth").select("conv_id", "turn", "place_id", "nth")
 
 
+ASKED_SQL = """, asked AS (SELECT conv_id, turn, message || CASE conv_id % 3 WHEN 0 THEN ' in Nation_' || CAST(conv_id % 25 AS VARCHAR) ELSE '' END || CASE WHEN turn % 4 = 0 THEN ' large ones' ELSE '' END || CASE WHEN conv_id % 5 = 0 THEN ' near ' || (SELECT place_name FROM places WHERE place_id = conv_id) ELSE '' END AS message,
+  CASE WHEN conv_id % 3 = 0 THEN 'NATION_' || CAST(conv_id % 25 AS VARCHAR) END AS district, CASE WHEN turn % 4 = 0 THEN 'LARGE' END AS category FROM messages),
+said AS (SELECT *, (SELECT p.place_id FROM places p WHERE contains(lower(asked.message), lower(p.place_name)) ORDER BY length(p.place_name) DESC, p.place_name DESC, p.popularity_score DESC, p.place_id LIMIT 1) AS named FROM asked),
+spread AS (SELECT DISTINCT district, category FROM said WHERE district IS NOT NULL OR category IS NOT NULL),
+choices AS (SELECT s.district, s.category, p.place_id, row_number() OVER (PARTITION BY s.district, s.category ORDER BY popularity_score DESC, p.place_name, p.place_id) AS nth FROM spread s JOIN places p ON (s.district IS NULL OR p.district = s.district)
+  AND (s.category IS NULL OR p.category_name = s.category OR (s.district IS NOT NULL AND NOT EXISTS (SELECT 1 FROM places q WHERE q.district = s.district AND q.category_name = s.category))))"""
+
+
+@query("m7_grounded_answers", with_views(ASKED_SQL + """ SELECT conv_id, turn, named AS place_id, CAST(1 AS INTEGER) AS nth, 'named' AS how FROM said WHERE named IS NOT NULL AND (district IS NULL OR category IS NULL)
+UNION ALL SELECT conv_id, turn, b.place_id, CAST(nth AS INTEGER), 'listed' FROM said s JOIN choices b ON b.district IS NOT DISTINCT FROM s.district AND b.category IS NOT DISTINCT FROM s.category WHERE nth <= 8 AND (named IS NULL OR (s.district IS NOT NULL AND s.category IS NOT NULL))""", "messages", "places"))
+def m7_answers(spark, sf_dir):
+    """Messages with a district, a kind or a place's name in their words; all three are found in the text."""
+    places = view(spark, sf_dir, "places")
+    k = F.col("conv_id")
+    named = places.select(F.col("place_id").alias("conv_id"), F.concat(F.lit(" near "), "place_name").alias("near")).where("conv_id % 5 = 0")
+    df = view(spark, sf_dir, "messages").join(named, "conv_id", "left")
+    text = F.concat("message", F.when(k % 3 == 0, F.concat(F.lit(" in Nation_"), k % 25)).otherwise(""), F.when(F.col("turn") % 4 == 0, " large ones").otherwise(""), F.coalesce("near", F.lit("")))
+    said = df.select("conv_id", "turn", text.alias("message"))
+    districts = view(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_name").alias("district"))
+    kind = X.classify(F.lower("message"), [("LARGE", r"\blarge ones\b")], None)
+    return M.grounded(said, places, districts, kind, ["conv_id", "turn"])
+
+
 @query("m9_static_topic", with_views("SELECT conv_id, turn, CASE WHEN contains(lower(message), 'que') THEN 'greeting' WHEN contains(lower(message), 'tion') THEN 'about' END AS topic FROM messages", "messages"))
 def m9(spark, sf_dir):
     low = F.lower("message")
     return view(spark, sf_dir, "messages").select("conv_id", "turn", F.when(F.contains(low, F.lit("que")), "greeting").when(F.contains(low, F.lit("tion")), "about").alias("topic"))
 
 
-@query("j15_article_enrichment")
+#: Titles are the place's name, its upper case with more behind it, or another place's name in the same district.
+ARTICLES_SQL = """, articles AS (SELECT place_id, CASE place_id % 4 WHEN 0 THEN upper(place_name) || ' of old' WHEN 1 THEN 'Quite another thing ' || CAST(place_id AS VARCHAR) ELSE place_name END AS title,
+  CASE WHEN place_id % 5 <> 0 THEN repeat(description || ' ', 12) END AS extract, CASE WHEN place_id % 3 <> 0 THEN latitude + 0.01 * (place_id % 4) END AS lat, longitude AS lon, CASE WHEN place_id % 7 < 5 THEN 'https://img.example/article/' || CAST(place_id AS VARCHAR) END AS article_image FROM places),
+met AS (SELECT p.*, a.title, a.extract, a.article_image FROM places p JOIN articles a USING (place_id) WHERE coalesce(""" + km("p.latitude", "p.longitude", "a.lat", "a.lon") + """ <= 2, FALSE) OR place_id % 4 <> 1)"""
+
+
+@query("j15_article_enrichment", with_views(ARTICLES_SQL + """ SELECT 'source' AS kind, place_id, 'https://articles.example/' || CAST(place_id AS VARCHAR) AS item FROM met
+UNION ALL SELECT 'image', place_id, article_image FROM met WHERE article_image IS NOT NULL AND place_id NOT IN (SELECT place_id FROM images)
+UNION ALL SELECT 'text', place_id, regexp_replace(regexp_replace(substr(extract, 1, 100), '\\s\\S*$', ''), '[,;:]+$', '') || '…' FROM met WHERE length(coalesce(description, '')) < 80 AND length(extract) >= 80""", "places", "images"))
 def j15(spark, sf_dir):
-    """Articles are accepted when near, when one name holds the other, or when the names are alike."""
-    df = view(spark, sf_dir, "places")
-    articles = view(spark, sf_dir, "source_records").groupBy("record_key").agg(F.min("place_name").alias("title")).select(F.col("record_key").alias("place_id"), "title")
-    pairs = df.join(articles, "place_id").withColumns({"a": X.name_key(F.col("title")), "n": X.name_key(F.col("place_name"))})
-    held = F.contains("a", F.col("n")) | F.contains("n", F.col("a"))
-    ok = pairs.where((F.col("a") != "") & (F.col("n") != "")).where(held | E.similar(F.col("a"), F.col("n"), 0.6))
-    return ok.select("place_id", "title", F.when(F.length("description") < 80, F.col("title")).otherwise(F.col("description")).alias("description"))
+    """Articles near their place, named like it, or about something else; some have no text, position or image."""
+    df, k = view(spark, sf_dir, "places"), F.col("place_id")
+    title = F.when(k % 4 == 0, F.concat(F.upper("place_name"), F.lit(" of old"))).when(k % 4 == 1, F.concat(F.lit("Quite another thing "), k)).otherwise(F.col("place_name"))
+    articles = df.select(
+        k, title.alias("title"), F.when(k % 5 != 0, F.repeat(F.concat("description", F.lit(" ")), 12)).alias("extract"), F.when(k % 3 != 0, F.col("latitude") + 0.01 * (k % 4)).alias("latitude"), "longitude",
+        F.when(k % 7 < 5, F.concat(F.lit("https://img.example/article/"), k)).alias("image_url"), F.concat(F.lit("https://articles.example/"), k).alias("article_url"),
+    )
+    texts, images, sources = P.enrich_from_articles(df, articles, view(spark, sf_dir, "images"), 100)
+    part = lambda rows, kind, item: rows.select(F.lit(kind).alias("kind"), "place_id", F.col(item).alias("item"))
+    return part(sources, "source", "article_url").unionByName(part(images, "image", "image_url")).unionByName(part(texts, "text", "description"))
 
 
 CATEGORY_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(concat_ws(' ', place_name, category_name)), '{rule}') THEN '{name}'" for name, rule in X.CATEGORY_RULES) + " ELSE 'Cultural' END"
