@@ -263,10 +263,10 @@ SELECT 'place' AS kind, root AS place_id, {_item_sql("place_name", *W.LENT, "des
 UNION ALL SELECT 'source', root, {_item_sql("source_id", "strftime(last_seen, '%Y-%m-%d')")} FROM (SELECT place_id - place_id % 3 AS root, source_id, min_by(last_seen, place_id) AS last_seen FROM place_sources GROUP BY 1, 2)
 UNION ALL SELECT 'image', root, {_item_sql("image_url", "image_source", "image_license", "coalesce(lead, FALSE)")} FROM leads
 UNION ALL SELECT 'rating', place_id - place_id % 3, CAST(source_id AS VARCHAR) FROM ratings
-UNION ALL SELECT 'status', place_id - place_id % 3, CAST(status_id AS VARCHAR) FROM place_status
+UNION ALL SELECT 'status', CASE WHEN place_id IN (SELECT place_id FROM place_table) THEN place_id - place_id % 3 ELSE place_id END, CAST(status_id AS VARCHAR) FROM place_status
 UNION ALL SELECT 'crowd', place_id - place_id % 3, CAST(visit_id AS VARCHAR) FROM crowd_data
 UNION ALL SELECT 'feature', place_id, feature FROM place_features WHERE place_id % 3 = 0
-UNION ALL SELECT 'event', associated_place_id - associated_place_id % 3, CAST(festival_id AS VARCHAR) FROM events_of"""
+UNION ALL SELECT 'event', CASE WHEN associated_place_id IN (SELECT place_id FROM place_table) THEN associated_place_id - associated_place_id % 3 ELSE associated_place_id END, CAST(festival_id AS VARCHAR) FROM events_of"""
 
 
 @query("er11_absorb", with_views(ABSORB_SQL, "place_table", "categories", "images", "place_sources", "ratings", "place_status", "crowd_data", "place_features", "festivals"))
@@ -366,12 +366,12 @@ def er15(spark, sf_dir):
     return spark.read.schema(df.schema).parquet(path)
 
 
-@query("er16_remove_places", with_views(f""", {IMAGES_SQL}, {EVENTS_SQL}
-SELECT 'place' AS kind, place_id, {_item_sql("place_name")} AS item FROM place_table WHERE place_id % 10 <> 0
-UNION ALL SELECT 'source', place_id, CAST(source_id AS VARCHAR) FROM place_sources WHERE place_id % 10 <> 0 UNION ALL SELECT 'image', place_id, image_url FROM stored_images WHERE place_id % 10 <> 0
-UNION ALL SELECT 'rating', place_id, CAST(source_id AS VARCHAR) FROM ratings WHERE place_id % 10 <> 0 UNION ALL SELECT 'status', place_id, CAST(status_id AS VARCHAR) FROM place_status WHERE place_id % 10 <> 0
-UNION ALL SELECT 'crowd', place_id, CAST(visit_id AS VARCHAR) FROM crowd_data WHERE place_id % 10 <> 0 UNION ALL SELECT 'feature', place_id, feature FROM place_features WHERE place_id % 10 <> 0
-UNION ALL SELECT 'event', CASE WHEN associated_place_id % 10 <> 0 THEN associated_place_id END, CAST(festival_id AS VARCHAR) FROM events_of""", "place_table", "images", "place_sources", "ratings", "place_status", "crowd_data", "place_features", "festivals"))
+@query("er16_remove_places", with_views(f""", {IMAGES_SQL}, {EVENTS_SQL}, gone AS (SELECT place_id FROM place_table WHERE place_id % 10 = 0 UNION SELECT place_id FROM ratings WHERE place_id % 10 = 0)
+SELECT 'place' AS kind, place_id, {_item_sql("place_name")} AS item FROM place_table WHERE place_id NOT IN (SELECT place_id FROM gone)
+UNION ALL SELECT 'source', place_id, CAST(source_id AS VARCHAR) FROM place_sources WHERE place_id NOT IN (SELECT place_id FROM gone) UNION ALL SELECT 'image', place_id, image_url FROM stored_images WHERE place_id NOT IN (SELECT place_id FROM gone)
+UNION ALL SELECT 'rating', place_id, CAST(source_id AS VARCHAR) FROM ratings WHERE place_id NOT IN (SELECT place_id FROM gone) UNION ALL SELECT 'status', place_id, CAST(status_id AS VARCHAR) FROM place_status WHERE place_id NOT IN (SELECT place_id FROM gone)
+UNION ALL SELECT 'crowd', place_id, CAST(visit_id AS VARCHAR) FROM crowd_data WHERE place_id NOT IN (SELECT place_id FROM gone) UNION ALL SELECT 'feature', place_id, feature FROM place_features WHERE place_id NOT IN (SELECT place_id FROM gone)
+UNION ALL SELECT 'event', CASE WHEN associated_place_id NOT IN (SELECT place_id FROM gone) THEN associated_place_id END, CAST(festival_id AS VARCHAR) FROM events_of""", "place_table", "images", "place_sources", "ratings", "place_status", "crowd_data", "place_features", "festivals"))
 def er16(spark, sf_dir):
     """Places go with their rows of six tables; events lose their link."""
     tables = stored_tables(spark, sf_dir)
