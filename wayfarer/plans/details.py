@@ -175,8 +175,10 @@ def m7(spark, sf_dir):
     asked = view(spark, sf_dir, "messages").select("conv_id", "turn", F.concat(F.lit("NATION_"), F.col("conv_id") % 25).alias("district"), F.when(F.col("turn") % 4 == 0, "PROMO").otherwise("NONE").alias("category"))
     places = view(spark, sf_dir, "places").select("place_id", "district", "category_name", "popularity_score")
     has = places.select("district", F.col("category_name").alias("category")).distinct().withColumn("has", F.lit(True))
-    met = asked.join(has, ["district", "category"], "left").join(places, "district").where(F.col("has").isNull() | (F.col("category_name") == F.col("category")))
-    return P.top_per(met, ["conv_id", "turn"], [F.desc("popularity_score"), F.asc("place_id")], 8, "nth").select("conv_id", "turn", "place_id", "nth")
+    # What many ask for is looked up once: the first places meet messages, not all of the district.
+    met = asked.select("district", "category").distinct().join(has, ["district", "category"], "left").join(places, "district").where(F.col("has").isNull() | (F.col("category_name") == F.col("category")))
+    best = P.top_per(met, ["district", "category"], [F.desc("popularity_score"), F.asc("place_id")], 8, "nth").select("district", "category", "place_id", "nth")
+    return asked.join(best, ["district", "category"]).select("conv_id", "turn", "place_id", "nth")
 
 
 ASKED_SQL = """, asked AS (SELECT conv_id, turn, message || CASE conv_id % 3 WHEN 0 THEN ' in Nation_' || CAST(conv_id % 25 AS VARCHAR) ELSE '' END || CASE WHEN turn % 4 = 0 THEN ' large ones' ELSE '' END || CASE WHEN conv_id % 5 = 0 THEN ' near ' || (SELECT place_name FROM places WHERE place_id = conv_id) ELSE '' END AS message,
