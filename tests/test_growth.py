@@ -35,3 +35,15 @@ def test_messages_meet_few_places(spark, sf, monkeypatch):
     assert got.count() > 0 and got.where("nth > 8").count() == 0
     many = details.view(spark, sf, "messages").count()
     assert asked[0] < many * 200 / 25
+
+
+def test_users_of_one_wish_share_it(spark, monkeypatch):
+    names = {}
+    plain = R.written
+    monkeypatch.setattr(R, "written", lambda df, name: names.setdefault(name, plain(df, name)))
+    df = places(spark, 2500).withColumns({"rating": F.lit(4.0), "rating_count": F.lit(9).cast("long"), "suitability": F.lit(1.0)})
+    users = [(i, "X", None, None, None, float(i)) for i in range(20)] + [(100 + i, f"Y{i}", None, 10.5, 77.5, 20.0) for i in range(20)]
+    got = R.recommend_users(spark.createDataFrame(users, "user_id long, district string, interest string, latitude double, longitude double, radius_km double"), df, 6)
+    by_user = {r.user_id: (r.n, r.m, r.d) for r in got.groupBy("user_id").agg(F.count("*").alias("n"), F.max("nth").alias("m"), F.countDistinct("nth").alias("d")).collect()}
+    assert all(by_user[i] == (2500, 2500, 2500) for i in range(20)) and all(by_user[100 + i] == (6, 6, 6) for i in range(20))
+    assert names["wishes"].count() == 2  # neither radius nor district counts where it decides nothing
