@@ -62,3 +62,24 @@ def test_searches_meet_what_they_show(spark, monkeypatch):
         best = sorted((r.d, r.place_id) for r in exact if r.point_id == p)[:10]
         assert sorted((r.distance_km, r.place_id) for r in got if r.point_id == p) == best
     assert {r.point_id for r in got} == {1, 2, 3, 4}
+
+
+def test_trips_meet_what_they_can_want(spark, monkeypatch):
+    pairs = counting(monkeypatch, T, "distance_join")
+    df, rng = places(spark, 3000), random.Random(5)
+    starts = [(10 + rng.random(), 77 + rng.random()) for _ in range(5)] + [(9.3, 77.5), (40.0, 10.0)]
+    trips = [(i, *starts[i % 7], 1 + i // 7 % 5, 5.0 + i % 4) for i in range(70)]
+    got = {}
+    for r in T.select_for_trip(spark.createDataFrame(trips, "trip_id long, latitude double, longitude double, days int, hours double"), df).collect():
+        got.setdefault(r.trip_id, []).append((r.pick, r.place_id))
+    assert sum(pairs) < 3000 * 7
+    t = spark.createDataFrame([s for s in enumerate((y, x) for y, x in starts)], "s int, p struct<y: double, x: double>")
+    away = t.crossJoin(df).select("s", "place_id", "category_name", "popularity_score", nearby.haversine_km(F.col("p.y"), F.col("p.x"), F.col("latitude"), F.col("longitude")).alias("d")).collect()
+    for i, _, _, days, hours in trips:
+        n = int(max(2, round(days * hours / 2))) + 2
+        near = sorted((-(r.popularity_score - 0.5 * r.d), r.place_id, r.category_name) for r in away if r.s == i % 7 and r.d <= 40 + 25 * (days - 1))
+        seen, ranked = {}, []
+        for score, place, kind in near:
+            seen[kind] = seen.get(kind, 0) + 1
+            ranked.append((seen[kind] > max(2, (n + 1) // 2), score, place))
+        assert sorted(got.get(i, [])) == [(k, place) for k, (_, _, place) in enumerate(sorted(ranked)[:n], 1)], i

@@ -127,6 +127,8 @@ def nearest_neighbour_route(stops: DataFrame) -> DataFrame:
 
 #: Reach of a trip in its first day, and more for each other day.
 TRIP_KM, KM_PER_DAY = 40.0, 25.0
+#: The first cone of places that are looked at for trips, in kilometres.
+CONE_KM = 10.0
 
 
 def select_for_trip(trips: DataFrame, places: DataFrame) -> DataFrame:
@@ -135,18 +137,48 @@ def select_for_trip(trips: DataFrame, places: DataFrame) -> DataFrame:
     ``trips`` has ``trip_id, latitude, longitude, days, hours``. A trip wants a place for every two hours and two more, within a
     reach that grows with its days. Popularity less half the distance ranks them; no category takes more than half of the
     wanted number unless the others don't fill it.
+
+    A kilometre costs half a point, so popularity is a distance, too: the places that can be picked first lie in a cone
+    below the highest popularity. Cones grow until they surely hold all that trips from one start can want. Trips that want
+    the same are served once.
     """
     wanted = (F.greatest(F.lit(2.0), F.bround(F.col("days") * F.greatest(F.lit(2.0), F.col("hours")) / 2)) + 2).cast("int")
-    asked = written(trips.select("trip_id", "latitude", "longitude", (TRIP_KM + KM_PER_DAY * (F.col("days") - 1)).alias("reach"), wanted.alias("wanted")), "trip-starts")
-    widest = asked.agg(F.max("reach")).first()[0]
-    if widest is None:
-        return asked.select("trip_id", F.lit(0).cast("long").alias("place_id"), F.lit(0.0).alias("score"), "wanted").where("false").withColumnRenamed("wanted", "pick")
-    met = distance_join(asked, places.select("place_id", "latitude", "longitude", "category_name", "popularity_score"), widest, "trip_id")
-    near = met.join(asked.select("trip_id", "reach", "wanted"), "trip_id").where("distance_km <= reach")
-    scored = near.withColumn("score", F.coalesce("popularity_score", F.lit(0.0)) - 0.5 * F.col("distance_km"))
-    order = [F.desc("score"), F.asc("place_id")]
+    asked = written(trips.select("trip_id", "latitude", "longitude", (TRIP_KM + KM_PER_DAY * (F.col("days") - 1)).alias("reach"), wanted.alias("wanted")).where("latitude IS NOT NULL AND longitude IS NOT NULL"), "trip-starts")
+    spots = asked.groupBy("latitude", "longitude").agg(F.min("reach").alias("near"), F.max("reach").alias("far"), F.max("wanted").alias("most"))
+    spots = written(spots.withColumn("spot", F.monotonically_increasing_id()), "trip-spots")
+    known = F.coalesce("popularity_score", F.lit(0.0))
     kind = F.coalesce(F.nullif("category_name", F.lit("")), F.lit("Other"))
-    of_kind = F.row_number().over(Window.partitionBy("trip_id", kind).orderBy(*order))
-    over = (of_kind > F.greatest(F.lit(2), F.floor((F.col("wanted") + 1) / 2))).cast("int")
-    pick = F.row_number().over(Window.partitionBy("trip_id").orderBy("over", *order))
-    return scored.withColumn("over", over).withColumn("pick", pick).where("pick <= wanted").select("trip_id", "place_id", "score", "pick")
+    rows = places.select("place_id", "latitude", "longitude", kind.alias("kind"), known.alias("known"))
+    widest, (top, low) = spots.agg(F.max("far")).first()[0], rows.agg(F.max("known"), F.min("known")).first()
+    if widest is None or top is None:
+        return asked.select("trip_id", F.lit(0).cast("long").alias("place_id"), F.lit(0.0).alias("score"), F.col("wanted").alias("pick")).where("false")
+    rows = rows.withColumn("below", 2 * (F.lit(top) - F.col("known")))
+    order = [F.desc("score"), F.asc("place_id")]
+    half = lambda n: F.greatest(F.lit(2), F.floor((F.col(n) + 1) / 2))
+    of_kind = F.row_number().over(Window.partitionBy("spot", "beyond", "kind").orderBy(*order))
+    nth = F.row_number().over(Window.partitionBy("spot", "beyond").orderBy("over", *order))
+    left, found, cost, last = spots, None, CONE_KM, False
+    while not last:
+        last = cost >= widest + 2 * (top - low) or cost > CONE_KM * 1.6**12
+        some = rows if last else rows.where(F.col("below") <= cost)
+        met = distance_join(left, some, widest if last else min(cost, widest), "spot").join(left.select("spot", "near", "far", "most"), "spot").where("distance_km <= far")
+        met = met if last else met.where(F.col("below") + F.col("distance_km") <= cost)
+        # Places that all trips of the start reach: no more of a kind than the one that wants most takes.
+        met = met.select("spot", "place_id", "kind", "distance_km", "most", (F.col("distance_km") > F.col("near")).alias("beyond"), (F.col("known") - 0.5 * F.col("distance_km")).alias("score"))
+        met = met.withColumn("of_kind", of_kind).where(F.col("beyond") | (F.col("of_kind") <= (F.col("most") if last else half("most"))))
+        met = met.withColumn("over", (~F.col("beyond") & (F.col("of_kind") > half("most"))).cast("int")).withColumn("nth", nth)
+        met = written(met.where("beyond OR over = 1 OR nth <= most").select("spot", "place_id", "kind", "distance_km", "score", "most", (~F.col("beyond") & (F.col("over") == 0)).alias("sure"), "nth"), "trip-places")
+        if not last:
+            full = met.where("sure").groupBy("spot", "most").agg(F.max("nth").alias("n")).where("n >= most").select("spot")
+            met, left = met.join(full, "spot", "left_semi"), written(left.join(full, "spot", "left_anti"), "trip-spots-left")
+            last = left.isEmpty()
+        found = met if found is None else found.unionByName(met)
+        cost *= 1.6
+    wish = ["latitude", "longitude", "reach", "wanted"]
+    wishes = asked.select(*wish).distinct().join(spots.select("latitude", "longitude", "spot"), ["latitude", "longitude"])
+    scored = wishes.join(found.select("spot", "place_id", "kind", "distance_km", "score"), "spot").where("distance_km <= reach")
+    own = ["spot", "reach", "wanted"]
+    over = (F.row_number().over(Window.partitionBy(*own, "kind").orderBy(*order)) > half("wanted")).cast("int")
+    pick = F.row_number().over(Window.partitionBy(*own).orderBy("over", *order))
+    picks = scored.withColumn("over", over).withColumn("pick", pick).where("pick <= wanted").select(*wish, "place_id", "score", "pick")
+    return asked.join(picks, wish).select("trip_id", "place_id", "score", "pick")
