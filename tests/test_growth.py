@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from wayfarer.operators import nearby, places as P, recommend as R, spelling as Y, trips as T
+from wayfarer.operators import nearby, places as P, recommend as R, similarity, spelling as Y, trips as T
 from wayfarer.plans import details, ingest
 
 
@@ -94,3 +94,11 @@ def test_what_a_name_says_is_worked_out_once(spark):
 def test_spelling_pairs_over_a_join(spark):
     found = Y.spelling_pairs(ingest.spelt(spark, "/root/testdata/sf0.01"))
     assert found.count() == found.select("later", "earlier").distinct().count() == 233
+
+
+def test_keys_of_many_scopes_are_compared_once(spark, monkeypatch):
+    kept, plain = {}, similarity.written
+    monkeypatch.setattr(similarity, "written", lambda df, name: kept.setdefault(name, plain(df, name)))
+    df = spark.createDataFrame([(s, k) for s in range(10) for k in ("large ring", "large rings", "gear")], "scope int, a string")
+    got = similarity.alike(df, df.withColumnRenamed("a", "b"), ["scope"], "a", "b", 0.9)
+    assert got.count() == 10 * 5 and kept["alike-pairs"].count() == 5
