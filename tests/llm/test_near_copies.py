@@ -73,3 +73,27 @@ def test_recall_on_documents(spark, table):
     first = {rows[i][0] for i, g in enumerate(group) if g == i}
     assert first <= got
     assert len(got - first) <= 0.1 * (len(rows) - len(first))
+
+
+def test_no_pair_is_left_out(spark, monkeypatch):
+    """Short texts at 0.8 and a little more differ in more bits than fingerprints may; large groups are cut into slices."""
+    monkeypatch.setattr(N, "GROUP_BOUND", 3, raising=False)
+    monkeypatch.setattr(N, "COMMON", 3, raising=False)
+    rng = random.Random(6)
+    words = lambda n: [f"w{rng.randrange(400)}" for _ in range(n)]
+    texts, passage = [], words(30)
+    for i in range(40):
+        text = words(8 + i % 7)
+        texts += [text, [*text, *words(1)]]  # at 4/5 and above
+    for _ in range(12):  # one passage and own words, some of them alike
+        text = passage + words(rng.randrange(1, 30))
+        texts += [text, text[:-1] + words(1)]
+    rows = list(enumerate(" ".join(t) for t in texts))
+    got = {r.doc_id for r in N.keep_one_per_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i for i, g in enumerate(groups(rows)) if g == i}
+
+
+def test_hashes_stand_for_shingles():
+    for text in (None, "", " ", "a b", "a b c d e f a b c d e", "long " * 50, "A b\nC d e f G"):
+        assert len(N.shingle_hashes((text or "").encode())) == len(N.shingle_set(text))
+    assert set(N.shingle_hashes(b"a b c d e f g")) & set(N.shingle_hashes(b"x b c d e f y")) == set(N.shingle_hashes(b"b c d e f"))

@@ -5,6 +5,10 @@ shingles is a poor guide to that: one changed word changes five shingles, and at
 differ. Candidates therefore come from a SimHash of the words, each weighed by the logarithm of one plus its count, in
 which near copies lie within few bits; there are four, and one that is near is enough. The covering tables of :mod:`wayfarer.llm.simhash` find all pairs within the
 radius and link each fingerprint to its nearest; the exact similarity then decides on every link.
+
+Fingerprints alone would leave pairs out, short texts above all. What they have not joined is joined by prefixes: of two
+texts that are alike, the rarest shingles share one (:func:`missing_links`). Large groups of near copies are one set by then
+and meet nobody of their own.
 """
 
 from __future__ import annotations
@@ -29,6 +33,11 @@ SIMILARITY = 0.8
 FINGERPRINTS = 4
 #: Fingerprints of a bucket that one task links (0.5 MB); larger buckets go the way of shared variants.
 BUCKET_BOUND = 1 << 15
+#: Shingles are counted in 2^20 buckets of their hashes; from this count on, and from twice the mean, those of a bucket are
+#: common and come last in the order of shingles.
+BUCKET_BITS, COMMON = 20, 8
+#: Texts that share a shingle of their prefixes and that one task pairs; larger groups are cut into slices.
+GROUP_BOUND = 2_000
 
 
 def word_fingerprints(text: bytes, n: int = FINGERPRINTS) -> list[int]:
@@ -96,7 +105,7 @@ def verified_links(classes: DataFrame, texts: DataFrame, shingle: int = SHINGLE,
     """Links ``a, b`` between ``classes`` (``id, fps`` and the ``d, h1, h2`` that find a text in ``texts``).
 
     The forests of the covering tables link fingerprints, nearest first; classes of one fingerprint form a star.
-    Texts are only fetched for classes that have a candidate.
+    Pairs that are near in none of the fingerprints are left to :func:`missing_links`.
     """
     found: DataFrame | None = None
     for k in range(FINGERPRINTS):
@@ -109,6 +118,11 @@ def verified_links(classes: DataFrame, texts: DataFrame, shingle: int = SHINGLE,
         both = across.unionByName(within)
         found = both if found is None else found.unionByName(both)
     pairs = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+    return _verified(pairs, classes, texts, shingle, similarity)
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` that are alike. Texts are only fetched for classes that have a candidate."""
     asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = classes.join(asked, "id").select("id", F.col("d").alias("_d"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))
     same = F.col("d").eqNullSafe(F.col("_d")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))
@@ -118,6 +132,100 @@ def verified_links(classes: DataFrame, texts: DataFrame, shingle: int = SHINGLE,
     return written(both.mapInArrow(_alike(shingle, similarity), "a long, b long"), "near-links")
 
 
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """64-bit hashes of the different shingles of :func:`shingle_set`, ascending."""
+    words = text.lower().split()
+    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+    if not len(h):
+        return h
+    size = min(shingle, len(h))
+    mixed = np.full(len(h) - size + 1, size, np.uint64)
+    for j in range(size):
+        mixed = _remix(mixed * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - size + 1 + j], j + 1)
+    return np.unique(mixed)
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def _counted(shingle: int):
+    """How often shingles of each bucket occur, one row for a bucket of a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << BUCKET_BITS, np.int64)
+        for batch in batches:
+            for text in raw_bytes(batch.column(0)):
+                np.add.at(n, _bucket(shingle_hashes(text, shingle)), 1)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["bucket", "n"])
+
+    return run
+
+
+def shingle_ranks(texts: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
+    """For each bucket of hashes how common its shingles are; 0 for all that aren't. A table of fixed size (8 MB)."""
+    found = texts.select("text").mapInArrow(_counted(shingle), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(1 << BUCKET_BITS, np.int64)
+    n[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return np.where(n >= max(COMMON, 2 * n.mean()), n, 0)
+
+
+def _least(share: float, n: int) -> int:
+    """Smallest whole number that is ``share`` of ``n`` at least; rounding never makes it larger."""
+    return max(1, int(np.ceil(share * n - 1e-6)))
+
+
+def _prefixes(shingle: int, similarity: float, ranks):
+    """Of each text the shingles of its prefix; by the first ``own`` of them it is met as the smaller one of a pair.
+
+    Two sets of which ``o`` members are common share one of their first ``n - o + 1`` members in any order. With sets of at
+    most its own size a set shares ``similarity`` of itself, with larger ones more.
+    """
+    inner = 2 * similarity / (1 + similarity)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        shown, sizes, own = [], [], []
+        for text in raw_bytes(batch.column(1)):
+            h = shingle_hashes(text, shingle)
+            n = len(h)
+            keep = n - _least(similarity, n) + 1 if n else 0
+            shown.append(h[np.lexsort((h, ranks.value[_bucket(h)]))[:keep]].view(np.int64))
+            sizes.append(n)
+            own.append(n - _least(inner, n) + 1 if n else 0)
+        offsets = np.concatenate([[0], np.cumsum([len(h) for h in shown])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *shown])))
+        return pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(sizes, pa.int32()), pa.array(own, pa.int32()), *batch.columns[2:]], ["d", "shown", "size", "own", *batch.schema.names[2:]])
+
+    return run
+
+
+def missing_links(classes: DataFrame, texts: DataFrame, roots: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Links ``a, b`` between classes that are alike and that ``roots`` (``id, root``) has in different sets; none is missing.
+
+    Shingles are in order of how common their buckets are, and each text shows its first ones (see :func:`_prefixes`); the
+    order decides on the cost alone. Texts that share a shown shingle, lie in different sets and don't differ too much in
+    size are compared.
+    """
+    ranks = texts.sparkSession.sparkContext.broadcast(shingle_ranks(texts, shingle))
+    wanted = classes.select("id", F.col("d").alias("_d"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    same = F.col("d").eqNullSafe(F.col("_d")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))
+    shown = texts.select("d", "text", "h1", "h2").mapInArrow(per_batch(_prefixes(shingle, similarity, ranks)), "d long, shown array<long>, size int, own int, h1 long, h2 long")
+    # Rows that agree in id and text show the same twice; their pairs are made distinct below.
+    shown = written(shown.join(wanted, same).where("size > 0").select("id", "root", "size", "own", "shown"), "near-prefixes")
+    # Shingles shown within one set only have nothing to join.
+    met = shown.select("root", F.explode("shown").alias("hash")).groupBy("hash").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
+    met = written(met.where("low <> high").select("hash", F.ceil(F.col("n") / GROUP_BOUND).cast("int").alias("slices")), "near-met")
+    rows = shown.select("id", "root", "size", "own", F.posexplode("shown").alias("nth", "hash")).join(met, "hash")
+    rows = written(rows.select("hash", "slices", "id", "root", "size", (F.col("nth") < F.col("own")).alias("own")), "near-shown")
+    left = rows.where("own").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
+    right = rows.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    side = lambda df, n: df.select("hash", "slice", F.col("id").alias(n), F.col("size").alias(f"size_{n}"), F.col("root").alias(f"root_{n}"))
+    pairs = side(left, "a").join(side(right, "b"), ["hash", "slice"]).where(F.col("root_a") != F.col("root_b"))
+    pairs = pairs.where((F.col("size_a") <= F.col("size_b")) & (F.col("size_a") >= F.col("size_b") * similarity - 1e-6))
+    return _verified(written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-prefix-pairs"), classes, texts, shingle, similarity)
+
+
 def keep_one_per_group(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """``docs`` without all but one row of each group of near copies: the row of the smallest ``doc_id``.
 
@@ -135,7 +243,9 @@ def keep_one_per_group(docs: DataFrame, shingle: int = SHINGLE, similarity: floa
     classes = marked.groupBy("mark").agg(first, F.min("fps").alias("fps"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("id"), "fps", "low", F.col("low.doc_id").alias("d"), "low.h1", "low.h2"), "near-classes")
     texts = docs.select(F.col("doc_id").cast("long").alias("d"), h1, h2, "text")
-    roots = connected_components(verified_links(classes, texts, shingle, similarity, radius)).withColumnRenamed("node", "id")
+    near = verified_links(classes, texts, shingle, similarity, radius)
+    roots = connected_components(near).withColumnRenamed("node", "id")
+    roots = connected_components(near.unionByName(missing_links(classes, texts, roots, shingle, similarity))).withColumnRenamed("node", "id")
     lows = classes.join(roots, "id", "left").groupBy(F.coalesce("root", "id").alias("g")).agg(F.min("low").alias("low")).select("low.doc_id", "low.h1", "low.h2")
     # Rows that agree in id and text are in one group; only keepers that have such copies need a second look.
     copies = marked.groupBy("doc_id", "h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").toDF("c_id", "c1", "c2", "n")
