@@ -2,9 +2,11 @@
 
 import random
 
+import pandas as pd
+
 from pyspark.sql import functions as F
 
-from wayfarer.operators import nearby, places as P, recommend as R, similarity, spelling as Y, trips as T
+from wayfarer.operators import nearby, places as P, recommend as R, resolve, similarity, spelling as Y, trips as T
 from wayfarer.plans import details, ingest
 
 
@@ -102,3 +104,34 @@ def test_keys_of_many_scopes_are_compared_once(spark, monkeypatch):
     df = spark.createDataFrame([(s, k) for s in range(10) for k in ("large ring", "large rings", "gear")], "scope int, a string")
     got = similarity.alike(df, df.withColumnRenamed("a", "b"), ["scope"], "a", "b", 0.9)
     assert got.count() == 10 * 5 and kept["alike-pairs"].count() == 5
+
+
+def scanned(rows):
+    """Links of the records of one key by trying every anchor in turn."""
+    anchors, links = [], []
+    for rid, lat, lon in rows:
+        at = None if lat is None else (lat, lon)
+        for anchor in anchors:
+            if at is None or anchor[1] is None or resolve._km(at, anchor[1]) <= resolve.MERGE_KM:
+                links.append((rid, anchor[0]))
+                anchor[1] = anchor[1] or at
+                break
+        else:
+            anchors.append([rid, at])
+    return links
+
+
+def test_records_try_few_anchors():
+    rng = random.Random(9)
+    for n, none_first, box in ((300, True, (10, 10.2, 77, 77.2)), (300, False, (10, 10.2, 77, 77.2)), (200, False, (89.9, 90, -180, 180)), (200, False, (-0.1, 0.1, 179.9, 180.1))):
+        rows = [(i, *((rng.uniform(*box[:2]), rng.uniform(*box[2:])) if rng.random() < 0.9 and not (none_first and i < 2) else (None, None))) for i in range(n)]
+        df = pd.DataFrame(rows, columns=["rid", "latitude", "longitude"]).assign(district="d", key="k")
+        got = pd.concat(resolve._anchored(iter([df[:50], df[50:]])))
+        assert list(got.itertuples(index=False, name=None)) == scanned(rows)
+    tried = []
+    for n in (2000, 8000):
+        anchors = resolve.Anchors()
+        for i in range(n):
+            anchors.meet(i, (rng.uniform(8, 13), rng.uniform(76, 80)))
+        tried.append(anchors.tried / n)
+    assert tried[1] < 10  # all anchors were some 5,000
