@@ -97,3 +97,28 @@ def test_hashes_stand_for_shingles():
     for text in (None, "", " ", "a b", "a b c d e f a b c d e", "long " * 50, "A b\nC d e f G"):
         assert len(N.shingle_hashes((text or "").encode())) == len(N.shingle_set(text))
     assert set(N.shingle_hashes(b"a b c d e f g")) & set(N.shingle_hashes(b"x b c d e f y")) == set(N.shingle_hashes(b"b c d e f"))
+
+
+def test_texts_travel_in_parts_and_only_for_pairs_that_can_be_alike(spark, monkeypatch):
+    """A passage that all have is not enough to compare them; pairs whose texts are many go in parts, and none is lost."""
+    monkeypatch.setattr(N, "PART_SHARE", 0.2, raising=False)
+    monkeypatch.setattr(N, "COMMON", 1 << 30, raising=False)
+    rng = random.Random(9)
+    words = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    passage, texts = words(12), []
+    for _ in range(40):
+        text = passage + words(60)
+        texts += [text, text[:-1] + words(1)]
+    rows, tables = list(enumerate(" ".join(t) for t in texts)), {}
+    plain = N.written
+
+    def seen(df, name):
+        tables.setdefault(name, []).append(plain(df, name))
+        return tables[name][-1]
+
+    monkeypatch.setattr(N, "written", seen)
+    got = {r.doc_id for r in N.keep_one_per_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i for i, g in enumerate(groups(rows)) if g == i}
+    met, compared = tables["near-prefix-pairs"][0].count(), tables["near-enough"][0].count()
+    assert compared <= 80 < met
+    assert len(tables["near-links"]) > 4

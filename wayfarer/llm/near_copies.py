@@ -13,6 +13,7 @@ and meet nobody of their own.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,6 +39,8 @@ BUCKET_BOUND = 1 << 15
 BUCKET_BITS, COMMON = 20, 8
 #: Texts that share a shingle of their prefixes and that one task pairs; larger groups are cut into slices.
 GROUP_BOUND = 2_000
+#: Texts that travel with the pairs compared at one time, as a multiple of the different texts among them.
+PART_SHARE = 2
 
 
 def word_fingerprints(text: bytes, n: int = FINGERPRINTS) -> list[int]:
@@ -122,14 +125,26 @@ def verified_links(classes: DataFrame, texts: DataFrame, shingle: int = SHINGLE,
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` that are alike. Texts are only fetched for classes that have a candidate."""
+    """Those of ``pairs`` that are alike. Texts are only fetched for classes that have a candidate.
+
+    Both texts travel with a pair. Where the pairs' texts are more than the fetched texts themselves, pairs are compared in
+    parts of about that size, one after the other, so the disk in use doesn't grow with the number of pairs.
+    """
     asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = classes.join(asked, "id").select("id", F.col("d").alias("_d"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))
     same = F.col("d").eqNullSafe(F.col("_d")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))
-    fetched = written(wanted.join(texts, same).dropDuplicates(["id"]).select("id", "text"), "near-texts")
+    fetched = written(wanted.join(texts, same).dropDuplicates(["id"]).select("id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")), "near-texts")
+    sizes = lambda n: fetched.select(F.col("id").alias(n), F.col("size").alias(f"size_{n}"))
+    travel = pairs.join(sizes("a"), "a").join(sizes("b"), "b").agg(F.sum(F.col("size_a") + F.col("size_b"))).first()[0] or 0
+    parts = max(1, math.ceil(travel / max(1, PART_SHARE * (fetched.agg(F.sum("size")).first()[0] or 0))))
     side = lambda n: fetched.select(F.col("id").alias(n), F.col("text").alias(f"text_{n}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
-    return written(both.mapInArrow(_alike(shingle, similarity), "a long, b long"), "near-links")
+    found: DataFrame | None = None
+    for part in range(parts):
+        some = pairs.where(F.pmod(F.xxhash64("a"), F.lit(parts)) == part) if parts > 1 else pairs
+        both = some.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
+        links = written(both.mapInArrow(_alike(shingle, similarity), "a long, b long"), "near-links")
+        found = links if found is None else found.unionByName(links)
+    return found
 
 
 def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -180,50 +195,73 @@ def _prefixes(shingle: int, similarity: float, ranks):
     """Of each text the shingles of its prefix; by the first ``own`` of them it is met as the smaller one of a pair.
 
     Two sets of which ``o`` members are common share one of their first ``n - o + 1`` members in any order. With sets of at
-    most its own size a set shares ``similarity`` of itself, with larger ones more.
+    most its own size a set shares ``similarity`` of itself, with larger ones more. ``last`` is where the prefix ends in the
+    order and ``rest`` how many shingles come after it.
     """
     inner = 2 * similarity / (1 + similarity)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        shown, sizes, own = [], [], []
+        shown, sizes, own, last = [], [], [], []
         for text in raw_bytes(batch.column(1)):
             h = shingle_hashes(text, shingle)
             n = len(h)
             keep = n - _least(similarity, n) + 1 if n else 0
-            shown.append(h[np.lexsort((h, ranks.value[_bucket(h)]))[:keep]].view(np.int64))
+            rank, signed = ranks.value[_bucket(h)], h.view(np.int64)
+            first = np.lexsort((signed, rank))[:keep]
+            shown.append(signed[first])
             sizes.append(n)
             own.append(n - _least(inner, n) + 1 if n else 0)
+            last.append({"rank": int(rank[first[-1]]), "hash": int(signed[first[-1]])} if n else None)
         offsets = np.concatenate([[0], np.cumsum([len(h) for h in shown])]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *shown])))
-        return pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(sizes, pa.int32()), pa.array(own, pa.int32()), *batch.columns[2:]], ["d", "shown", "size", "own", *batch.schema.names[2:]])
+        rest = np.array(sizes, np.int64) - np.diff(offsets)
+        ends = pa.array(last, pa.struct([("rank", pa.int64()), ("hash", pa.int64())]))
+        return pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(sizes, pa.int32()), pa.array(own, pa.int32()), ends, pa.array(rest, pa.int32()), *batch.columns[2:]], ["d", "shown", "size", "own", "last", "rest", *batch.schema.names[2:]])
 
     return run
 
 
+def _enough(pairs: DataFrame, ends: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (``a, b``, and ``n``: the shingles that both show) that can be alike, by ``ends`` (``id, size, last, rest``).
+
+    Of two prefixes one ends first. What the sets have in common up to there both show, and after it there is no more in
+    common than that set's rest; so ``n`` and the rest together bound the common shingles.
+    """
+    side = lambda n: ends.select(F.col("id").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in ("size", "last", "rest")))
+    most = F.col("n") + F.when(F.col("last_a") < F.col("last_b"), F.col("rest_a")).when(F.col("last_b") < F.col("last_a"), F.col("rest_b")).otherwise(F.least("rest_a", "rest_b"))
+    least = similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-6
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(most >= least).select("a", "b")
+
+
 def missing_links(classes: DataFrame, texts: DataFrame, roots: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """Links ``a, b`` between classes that are alike and that ``roots`` (``id, root``) has in different sets; none is missing.
 
     Shingles are in order of how common their buckets are, and each text shows its first ones (see :func:`_prefixes`); the
-    order decides on the cost alone. Texts that share a shown shingle, lie in different sets and don't differ too much in
-    size are compared.
+    order decides on the cost alone. Texts that share a shown shingle, lie in different sets, don't differ too much in
+    size and show enough shingles in common (see :func:`_enough`) are compared.
     """
     ranks = texts.sparkSession.sparkContext.broadcast(shingle_ranks(texts, shingle))
     wanted = classes.select("id", F.col("d").alias("_d"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     same = F.col("d").eqNullSafe(F.col("_d")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))
-    shown = texts.select("d", "text", "h1", "h2").mapInArrow(per_batch(_prefixes(shingle, similarity, ranks)), "d long, shown array<long>, size int, own int, h1 long, h2 long")
-    # Rows that agree in id and text show the same twice; their pairs are made distinct below.
-    shown = written(shown.join(wanted, same).where("size > 0").select("id", "root", "size", "own", "shown"), "near-prefixes")
+    columns = "d long, shown array<long>, size int, own int, last struct<rank long, hash long>, rest int, h1 long, h2 long"
+    shown = texts.select("d", "text", "h1", "h2").mapInArrow(per_batch(_prefixes(shingle, similarity, ranks)), columns)
+    # Rows that agree in id and text show the same twice; that only makes more of their pairs look alike before they are compared.
+    shown = written(shown.join(wanted, same).where("size > 0").select("id", "root", "size", "own", "last", "rest", "shown"), "near-prefixes")
     # Shingles shown within one set only have nothing to join.
     met = shown.select("root", F.explode("shown").alias("hash")).groupBy("hash").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
     met = written(met.where("low <> high").select("hash", F.ceil(F.col("n") / GROUP_BOUND).cast("int").alias("slices")), "near-met")
     rows = shown.select("id", "root", "size", "own", F.posexplode("shown").alias("nth", "hash")).join(met, "hash")
     rows = written(rows.select("hash", "slices", "id", "root", "size", (F.col("nth") < F.col("own")).alias("own")), "near-shown")
-    left = rows.where("own").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
+    left = rows.withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
     right = rows.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    side = lambda df, n: df.select("hash", "slice", F.col("id").alias(n), F.col("size").alias(f"size_{n}"), F.col("root").alias(f"root_{n}"))
+    side = lambda df, n: df.select("hash", "slice", F.col("id").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in ("size", "root", "own")))
     pairs = side(left, "a").join(side(right, "b"), ["hash", "slice"]).where(F.col("root_a") != F.col("root_b"))
-    pairs = pairs.where((F.col("size_a") <= F.col("size_b")) & (F.col("size_a") >= F.col("size_b") * similarity - 1e-6))
-    return _verified(written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-prefix-pairs"), classes, texts, shingle, similarity)
+    smaller = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("a") < F.col("b")))
+    pairs = pairs.where(smaller & (F.col("size_a") >= F.col("size_b") * similarity - 1e-6))
+    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("own_a").alias("own")).where("own")
+    ends = shown.select("id", "size", "last", "rest").dropDuplicates(["id"])
+    pairs = _enough(written(pairs.select("a", "b", "n"), "near-prefix-pairs"), ends, similarity)
+    return _verified(written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "near-enough"), classes, texts, shingle, similarity)
 
 
 def keep_one_per_group(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
