@@ -77,3 +77,14 @@ def test_name_parts(spark):
     ).first()
     assert r.latin == "velappaadi" and r.core.startswith("supraman") and (r["where"].head, r["where"].localities) == ("X Temple", ["Velapadi", "Vellore"])
     assert r.a == r.b and r.image.endswith("x.jpg") and r.title == "Old Fort" and (r.f, r.none) == ("Cultural", None)
+
+
+def test_orders_of_a_day_are_tried_within_its_row(spark):
+    """Orders are no rows of their own that are shuffled; empty days have no order, days of many stops keep theirs."""
+    kind = "trip_id long, stops array<struct<stop_no: bigint, place_id: bigint, latitude: double, longitude: double, windows: array<struct<o: double, c: double>>, preferred: array<struct<o: double, c: double>>, minutes: double>>"
+    stop = lambda i: (i, i, 10.0 + (i * 7 % 5) / 50, 77.0, [(0.0, 1440.0)], [(540.0, 1440.0)], 30.0)
+    days = spark.createDataFrame([(1, []), (2, [stop(i) for i in range(1, 4)]), (3, [stop(i) for i in range(1, 6)]), (4, None)], kind)
+    best = L.best_order(days, ["trip_id"], 4)
+    assert "Exchange hashpartitioning" not in best._jdf.queryExecution().executedPlan().toString()
+    got = {r.trip_id: [e.place_id for e in r.entries] for r in best.collect()}
+    assert set(got) == {2, 3} and sorted(got[2]) == [1, 2, 3] and got[3] == [1, 2, 3, 4, 5]

@@ -103,8 +103,8 @@ def _visit(s: Column, x: Column, day_end: float) -> Column:
             (a["lunched"] | waits_lunch).alias("lunched"), (s["n"] + 1).alias("n"), F.concat(s["entries"], F.array(entry)).alias("entries"),
         ).cast(_STATE)
 
-    here = F.struct(travel.alias("travel"), (s["lunched"] | eats).alias("lunched"), (s["now"] + F.when(eats, float(LUNCH)).otherwise(0.0) + travel).alias("arrive"))
-    return _let(here, arrived)
+    here = lambda t: F.struct(t.alias("travel"), (s["lunched"] | eats).alias("lunched"), (s["now"] + F.when(eats, float(LUNCH)).otherwise(0.0) + t).alias("arrive"))
+    return _let(travel, lambda t: _let(here(t), arrived))
 
 
 def timeline(stops: Column, day_start: float = 540.0, day_end: float = 1260.0) -> Column:
@@ -112,29 +112,35 @@ def timeline(stops: Column, day_start: float = 540.0, day_end: float = 1260.0) -
     null = F.lit(None).cast("double")
     start = F.struct(F.lit(True).alias("ok"), F.lit(day_start).alias("now"), null.alias("lat"), null.alias("lon"), F.lit(0.0).alias("cost"), F.lit(False).alias("lunched"), F.lit(0).alias("n"), F.array().cast(f"array<{_ENTRY}>").alias("entries")).cast(_STATE)
     end = F.aggregate(stops, start, lambda s, x: _visit(s, x, day_end))
-    return F.when(end["ok"], F.struct(end["entries"].alias("entries"), end["cost"].alias("cost")))
+    return _let(end, lambda e: F.when(e["ok"], F.struct(e["entries"].alias("entries"), e["cost"].alias("cost"))))
 
 
 def day_stops(stops: DataFrame, keys: list[str]) -> DataFrame:
-    """The profiled stops of each day as one ordered array."""
+    """The profiled stops of each day as one ordered array.
+
+    Days are few bytes and much work, so their partitions are of a fixed number and not merged by size.
+    """
     one = F.struct("stop_no", "place_id", "latitude", "longitude", "windows", "preferred", "minutes")
-    return with_profile(stops).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("stop_no").alias("k"), one.alias("x")))).alias("s")).withColumn("stops", F.transform("s", lambda e: e["x"])).drop("s")
+    spark = stops.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    listed = with_profile(stops.repartition(parts, *keys)).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("stop_no").alias("k"), one.alias("x")))).alias("s"))
+    return listed.withColumn("stops", F.transform("s", lambda e: e["x"])).drop("s")
 
 
 def best_order(days: DataFrame, keys: list[str], max_free: int = MAX_FREE) -> DataFrame:
     """The cheapest feasible order of each day; days of more than ``max_free`` stops keep theirs.
 
-    The orders of n stops come from a table of permutations (5,913 rows for seven), joined by the day's size.
+    The orders of n stops come from a table of permutations, a row for each size (5,040 orders of seven). A day tries them
+    within its own row, each once; nothing is shuffled.
     """
     spark = days.sparkSession
-    orders = [(n, list(p)) for n in range(1, max_free + 1) for p in itertools.permutations(range(1, n + 1))]
-    table = spark.createDataFrame(orders, "n int, positions array<int>")
-    sized = days.withColumn("n", F.size("stops"))
-    tried = sized.where(F.col("n") <= max_free).join(F.broadcast(table), "n").withColumn("tried", F.transform("positions", lambda i: F.element_at("stops", i)))
-    given = sized.where(F.col("n") > max_free).withColumn("tried", F.col("stops")).withColumn("positions", F.sequence(F.lit(1), F.col("n")))
-    both = tried.select(*keys, "positions", "tried").unionByName(given.select(*keys, "positions", "tried"))
-    timed = both.withColumn("t", timeline(F.col("tried"))).where("t IS NOT NULL")
-    return timed.groupBy(*keys).agg(F.min_by(F.struct(F.col("t.cost").alias("cost"), F.col("t.entries").alias("entries")), F.struct("t.cost", "positions")).alias("b")).select(*keys, "b.*")
+    table = spark.createDataFrame([(n, [list(p) for p in itertools.permutations(range(1, n + 1))]) for n in range(1, max_free + 1)], "n int, orders array<array<int>>")
+    sized = days.withColumn("n", F.size("stops")).where("n > 0").join(F.broadcast(table), "n", "left")
+    orders = F.coalesce("orders", F.array(F.sequence(F.lit(1), F.col("n"))))
+    timed = F.transform(orders, lambda p: F.struct(p.alias("p"), timeline(F.transform(p, lambda i: F.element_at("stops", i))).alias("t")))
+    fit = F.transform(timed, lambda x: F.when(x["t"].isNotNull(), F.struct(x["t"]["cost"].alias("cost"), x["p"].alias("positions"), x["t"]["entries"].alias("entries"))))
+    best = F.explode(F.filter(F.array(F.array_min(fit)), lambda b: b.isNotNull())).alias("b")  # a generator: worked out once
+    return sized.select(*keys, best).select(*keys, "b.cost", "b.entries")
 
 
 def never_schedulable(stops: DataFrame, day_start: int, day_end: int) -> DataFrame:
