@@ -122,3 +122,46 @@ def test_texts_travel_in_parts_and_only_for_pairs_that_can_be_alike(spark, monke
     met, compared = tables["near-prefix-pairs"][0].count(), tables["near-enough"][0].count()
     assert compared <= 80 < met
     assert len(tables["near-links"]) > 4
+
+
+def test_copies_that_are_not_near_enough_are_not_compared(spark, monkeypatch):
+    """Copies of one text with too many words changed to be alike share most shingles; only pairs that can be alike meet."""
+    monkeypatch.setattr(N, "MANY", 20, raising=False)
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(4000)}" for _ in range(300)]
+    texts = []
+    for _ in range(60):
+        text = list(words)
+        for at in rng.sample(range(300), 7):
+            text[at] = f"x{rng.randrange(10**9)}"
+        texts.append(text)
+    texts += [[*text[:-1], "last"] for text in texts[:20]]
+    rows, tables, plain = list(enumerate(" ".join(t) for t in texts)), {}, N.written
+    monkeypatch.setattr(N, "written", lambda df, name: tables.setdefault(name, plain(df, name)))
+    classes = spark.createDataFrame([(i, i) for i in range(80)], "id long, d long").withColumns({"h1": N.F.lit(1).cast("long"), "h2": N.F.lit(2).cast("long")})
+    docs = spark.createDataFrame(rows, "d long, text string").withColumns({"h1": N.F.lit(1).cast("long"), "h2": N.F.lit(2).cast("long")})
+    got = {(r.a, r.b) for r in N.missing_links(classes, docs, spark.createDataFrame([], "id long, root long")).collect()}
+    cut = [shingles(t) for _, t in rows]
+    assert got == {(a, b) for a, b in itertools.combinations(range(80), 2) if len(cut[a] & cut[b]) >= 0.8 * len(cut[a] | cut[b])}
+    assert len(got) <= tables["near-enough"].count() <= tables["near-prefix-pairs"].count() <= 2 * len(got) + 80  # 3,160 pairs share a shingle
+
+
+def test_common_shingles_are_counted_one_by_one(spark, monkeypatch):
+    """A shingle that eight texts have is told from rare ones, however many of those there are."""
+    monkeypatch.setattr(N, "COUNTED_BYTES", 1000, raising=False)
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(200)) + (" a passage that some of them have" if i % 5 == 0 else "") for i in range(50)]
+    hashes, counts = N.shingle_ranks(spark.createDataFrame([(t,) for t in [*texts, None, ""]], "text string"))
+    want = set(N.shingle_hashes(b"a passage that some of them have").tolist())
+    assert set(hashes.tolist()) == want and set(counts.tolist()) == {10}
+    assert N._ranked(N.shingle_hashes(texts[0].encode()), (hashes, counts)).sum() == 10 * len(want)
+
+
+def test_parities_bound_the_difference():
+    rng = random.Random(2)
+    draw = lambda n: N.np.array(sorted({rng.getrandbits(64) for _ in range(n)}), N.np.uint64)
+    for common, a, b in ((300, 10, 5), (0, 3, 0), (2000, 200, 400), (0, 0, 0)):
+        both = draw(common)
+        x, y = (N._parities(N.np.concatenate([both, draw(n)])) for n in (a, b))
+        differ = sum((int(i) ^ int(j)).bit_count() for i, j in zip(x.view("uint64"), y.view("uint64")))
+        assert differ <= a + b and (a + b > 20 or differ >= a + b - 4)

@@ -34,11 +34,15 @@ SIMILARITY = 0.8
 FINGERPRINTS = 4
 #: Fingerprints of a bucket that one task links (0.5 MB); larger buckets go the way of shared variants.
 BUCKET_BOUND = 1 << 15
-#: Shingles are counted in 2^20 buckets of their hashes; from this count on, and from twice the mean, those of a bucket are
-#: common and come last in the order of shingles.
-BUCKET_BITS, COMMON = 20, 8
+#: Shingles that so many texts have are common and come last in the order of shingles; of more than ``MOST_COMMON`` such
+#: the rarer ones count as the others (16 bytes each are broadcast).
+COMMON, MOST_COMMON = 8, 1 << 19
+#: Bytes of text whose shingles are counted in one group of hashes.
+COUNTED_BYTES = 4 << 20
 #: Texts that share a shingle of their prefixes and that one task pairs; larger groups are cut into slices.
 GROUP_BOUND = 2_000
+#: 64-bit words of a text's parities, and texts that show a shingle from which on parities travel with it: fewer make few pairs.
+PARITIES, MANY = 8, 100
 #: Texts that travel with the pairs compared at one time, as a multiple of the different texts among them.
 PART_SHARE = 2
 
@@ -160,30 +164,63 @@ def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(mixed)
 
 
-def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+def _counted(shingle: int, bits: int):
+    """Shingles of a batch of texts and how many of its texts have them, by the first ``bits`` of their hashes."""
 
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(shingle_hashes(text, shingle) for text in raw_bytes(batch.column(0)))]), return_counts=True)
+        ends = np.searchsorted(h, (np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, np.uint64))
+        some = [(i, x.tobytes(), y.astype(np.int32).tobytes()) for i, (x, y) in enumerate(zip(np.split(h, ends), np.split(n, ends), strict=True)) if len(x)]
+        group, hashes, counts = zip(*some, strict=True) if some else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], ["group", "hashes", "counts"])
 
-def _counted(shingle: int):
-    """How often shingles of each bucket occur, one row for a bucket of a partition."""
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(1 << BUCKET_BITS, np.int64)
-        for batch in batches:
-            for text in raw_bytes(batch.column(0)):
-                np.add.at(n, _bucket(shingle_hashes(text, shingle)), 1)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["bucket", "n"])
+
+def _common(least: int):
+    """Those hashes of a group that ``least`` texts have."""
+
+    def run(group: pa.Table) -> pa.Table:
+        join = lambda name, kind: np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
+        h, at = np.unique(join("hashes", np.uint64), return_inverse=True)
+        n = np.bincount(at, join("counts", np.int32), len(h)).astype(np.int64)
+        return pa.table({"hash": h[n >= least].view(np.int64), "n": n[n >= least]})
 
     return run
 
 
-def shingle_ranks(texts: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
-    """For each bucket of hashes how common its shingles are; 0 for all that aren't. A table of fixed size (8 MB)."""
-    found = texts.select("text").mapInArrow(_counted(shingle), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    n = np.zeros(1 << BUCKET_BITS, np.int64)
-    n[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
-    return np.where(n >= max(COMMON, 2 * n.mean()), n, 0)
+def shingle_ranks(texts: DataFrame, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the common shingles, ascending, and how many texts have each; ``MOST_COMMON`` of them or few more."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = math.ceil(math.log2(max(1, size / COUNTED_BYTES)))
+    counted = texts.select("text").mapInArrow(per_batch(_counted(shingle, bits)), "group int, hashes binary, counts binary")
+    common = written(counted.groupBy("group").applyInArrow(_common(COMMON), "hash long, n long"), "near-common")
+    total = common.count()
+    if total > MOST_COMMON:
+        bound = common.agg(F.percentile_approx("n", 1 - MOST_COMMON / total, 100_000)).first()[0]
+        common = common.where(F.col("n") > bound)
+    found = common.toArrow()
+    h, n = found.column("hash").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _ranked(h: np.ndarray, ranks: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many texts have each of ``h``; 0 for all that aren't common."""
+    common, n = ranks
+    if not len(common):
+        return np.zeros(len(h), np.int64)
+    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+    return np.where(common[at] == h, n[at], 0)
+
+
+def _parities(h: np.ndarray) -> np.ndarray:
+    """Of each of 64 times ``PARITIES`` classes of hashes whether an odd number of them is in ``h``.
+
+    Two sets have at least as many members that only one of them has as parities that differ.
+    """
+    odd = np.bincount((h % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _least(share: float, n: int) -> int:
@@ -196,19 +233,20 @@ def _prefixes(shingle: int, similarity: float, ranks):
 
     Two sets of which ``o`` members are common share one of their first ``n - o + 1`` members in any order. With sets of at
     most its own size a set shares ``similarity`` of itself, with larger ones more. ``last`` is where the prefix ends in the
-    order and ``rest`` how many shingles come after it.
+    order and ``rest`` how many shingles come after it; ``p0`` and on are its :func:`_parities`.
     """
     inner = 2 * similarity / (1 + similarity)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        shown, sizes, own, last = [], [], [], []
+        shown, sizes, own, last, parities = [], [], [], [], []
         for text in raw_bytes(batch.column(1)):
             h = shingle_hashes(text, shingle)
             n = len(h)
             keep = n - _least(similarity, n) + 1 if n else 0
-            rank, signed = ranks.value[_bucket(h)], h.view(np.int64)
+            rank, signed = _ranked(h, ranks.value), h.view(np.int64)
             first = np.lexsort((signed, rank))[:keep]
             shown.append(signed[first])
+            parities.append(_parities(h))
             sizes.append(n)
             own.append(n - _least(inner, n) + 1 if n else 0)
             last.append({"rank": int(rank[first[-1]]), "hash": int(signed[first[-1]])} if n else None)
@@ -216,50 +254,59 @@ def _prefixes(shingle: int, similarity: float, ranks):
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *shown])))
         rest = np.array(sizes, np.int64) - np.diff(offsets)
         ends = pa.array(last, pa.struct([("rank", pa.int64()), ("hash", pa.int64())]))
-        return pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(sizes, pa.int32()), pa.array(own, pa.int32()), ends, pa.array(rest, pa.int32()), *batch.columns[2:]], ["d", "shown", "size", "own", "last", "rest", *batch.schema.names[2:]])
+        return pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(sizes, pa.int32()), pa.array(own, pa.int32()), ends, pa.array(rest, pa.int32()), *batch.columns[2:], *map(pa.array, np.array(parities).T.copy())], ["d", "shown", "size", "own", "last", "rest", *batch.schema.names[2:], *(f"p{i}" for i in range(PARITIES))])
 
     return run
 
 
+def _near_parities(similarity: float):
+    """A bound on the shingles that only one of two texts ``a`` and ``b`` has: at least as many as parities differ."""
+    differ = sum((F.bit_count(F.col(f"p{i}_a").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(PARITIES)), F.lit(0))
+    return differ <= (1 - similarity) / (1 + similarity) * (F.col("size_a") + F.col("size_b")) + 1e-6
+
+
 def _enough(pairs: DataFrame, ends: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (``a, b``, and ``n``: the shingles that both show) that can be alike, by ``ends`` (``id, size, last, rest``).
+    """Those of ``pairs`` (``a, b``, and ``n``: the shingles that both show) that can be alike, by ``ends`` (``id, size, last, rest`` and parities).
 
     Of two prefixes one ends first. What the sets have in common up to there both show, and after it there is no more in
     common than that set's rest; so ``n`` and the rest together bound the common shingles.
     """
-    side = lambda n: ends.select(F.col("id").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in ("size", "last", "rest")))
+    side = lambda n: ends.select(F.col("id").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in ("size", "last", "rest", *(f"p{i}" for i in range(PARITIES)))))
     most = F.col("n") + F.when(F.col("last_a") < F.col("last_b"), F.col("rest_a")).when(F.col("last_b") < F.col("last_a"), F.col("rest_b")).otherwise(F.least("rest_a", "rest_b"))
     least = similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-6
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(most >= least).select("a", "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where((most >= least) & _near_parities(similarity)).select("a", "b")
 
 
 def missing_links(classes: DataFrame, texts: DataFrame, roots: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """Links ``a, b`` between classes that are alike and that ``roots`` (``id, root``) has in different sets; none is missing.
 
-    Shingles are in order of how common their buckets are, and each text shows its first ones (see :func:`_prefixes`); the
+    Shingles are in order of how common they are, and each text shows its first ones (see :func:`_prefixes`); the
     order decides on the cost alone. Texts that share a shown shingle, lie in different sets, don't differ too much in
-    size and show enough shingles in common (see :func:`_enough`) are compared.
+    size and in parities (see :func:`_near_parities`) and show enough shingles in common (see :func:`_enough`) are compared.
     """
     ranks = texts.sparkSession.sparkContext.broadcast(shingle_ranks(texts, shingle))
     wanted = classes.select("id", F.col("d").alias("_d"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     same = F.col("d").eqNullSafe(F.col("_d")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))
-    columns = "d long, shown array<long>, size int, own int, last struct<rank long, hash long>, rest int, h1 long, h2 long"
+    parities = [f"p{i}" for i in range(PARITIES)]
+    columns = "d long, shown array<long>, size int, own int, last struct<rank long, hash long>, rest int, h1 long, h2 long, " + ", ".join(f"{p} long" for p in parities)
     shown = texts.select("d", "text", "h1", "h2").mapInArrow(per_batch(_prefixes(shingle, similarity, ranks)), columns)
     # Rows that agree in id and text show the same twice; that only makes more of their pairs look alike before they are compared.
-    shown = written(shown.join(wanted, same).where("size > 0").select("id", "root", "size", "own", "last", "rest", "shown"), "near-prefixes")
+    shown = written(shown.join(wanted, same).where("size > 0").select("id", "root", "size", "own", "last", "rest", "shown", *parities), "near-prefixes")
     # Shingles shown within one set only have nothing to join.
     met = shown.select("root", F.explode("shown").alias("hash")).groupBy("hash").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
-    met = written(met.where("low <> high").select("hash", F.ceil(F.col("n") / GROUP_BOUND).cast("int").alias("slices")), "near-met")
-    rows = shown.select("id", "root", "size", "own", F.posexplode("shown").alias("nth", "hash")).join(met, "hash")
-    rows = written(rows.select("hash", "slices", "id", "root", "size", (F.col("nth") < F.col("own")).alias("own")), "near-shown")
+    met = written(met.where("low <> high").select("hash", "n", F.ceil(F.col("n") / GROUP_BOUND).cast("int").alias("slices")), "near-met")
+    rows = shown.select("id", "root", "size", "own", F.posexplode("shown").alias("nth", "hash"), *parities).join(met, "hash")
+    rows = written(rows.select("hash", "slices", "id", "root", "size", "nth", (F.col("nth") < F.col("own")).alias("own"), *(F.when(F.col("n") >= MANY, F.col(p)).alias(p) for p in parities)), "near-shown")
     left = rows.withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
     right = rows.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    side = lambda df, n: df.select("hash", "slice", F.col("id").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in ("size", "root", "own")))
+    side = lambda df, n: df.select("hash", "slice", F.col("id").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in ("size", "root", "own", "nth", *parities)))
     pairs = side(left, "a").join(side(right, "b"), ["hash", "slice"]).where(F.col("root_a") != F.col("root_b"))
     smaller = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("a") < F.col("b")))
-    pairs = pairs.where(smaller & (F.col("size_a") >= F.col("size_b") * similarity - 1e-6))
-    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("own_a").alias("own")).where("own")
-    ends = shown.select("id", "size", "last", "rest").dropDuplicates(["id"])
+    pairs = pairs.where(smaller & (F.col("size_a") >= F.col("size_b") * similarity - 1e-6) & (F.col("p0_a").isNull() | _near_parities(similarity)))
+    # Before the first shingle that two sets share there are ``nth`` in each that the other lacks.
+    first = F.least(F.col("size_a") - F.col("nth_a"), F.col("size_b") - F.col("nth_b")) >= similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-6
+    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("own_a") & first).alias("own")).where("own")
+    ends = shown.select("id", "size", "last", "rest", *parities).dropDuplicates(["id"])
     pairs = _enough(written(pairs.select("a", "b", "n"), "near-prefix-pairs"), ends, similarity)
     return _verified(written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "near-enough"), classes, texts, shingle, similarity)
 
