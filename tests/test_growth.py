@@ -135,3 +135,8 @@ def test_records_try_few_anchors():
             anchors.meet(i, (rng.uniform(8, 13), rng.uniform(76, 80)))
         tried.append(anchors.tried / n)
     assert tried[1] < 10  # all anchors were some 5,000
+
+
+def test_a_clean_name_is_worked_out_few_times(spark, sf):
+    plan = details.er19(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") <= 60  # 273 before
