@@ -19,21 +19,12 @@ from wayfarer.operators import resolve as E
 from wayfarer.operators import spelling as Y
 from wayfarer.operators import upsert as U
 from wayfarer.operators.components import connected_components
+from wayfarer.operators.numbering import numbered_after
 from wayfarer.session import written
 
 # Fields that a record may lack, and fields that an absorbed place lends to its keeper.
 OPTIONAL = ["city_town", "subcategory", "description", "latitude", "longitude", "address", "external_id", "map_id", "source_url"]
 LENT = ["city_town", "subcategory", "address", "external_id", "map_id", "source_url"]
-_BUCKETS = 1024
-
-
-def numbered_after(rows: DataFrame, keys: list[str], start: int, name: str) -> DataFrame:
-    """``rows``, which ``keys`` tell apart, with numbers from ``start + 1`` without gaps, the same in every run."""
-    bucketed = rows.withColumn("_b", F.pmod(F.xxhash64(*keys), F.lit(_BUCKETS)))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = bucketed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))  # a row for each bucket
-    nth = F.row_number().over(Window.partitionBy("_b").orderBy(*keys))
-    return bucketed.withColumn("_r", nth).join(F.broadcast(offsets), "_b").withColumn(name, F.lit(start) + F.col("_o") + F.col("_r")).drop("_b", "_r", "_o")
 
 
 @dataclass
