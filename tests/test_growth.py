@@ -149,7 +149,7 @@ def namesakes(n, seed=7):
     """Places of few names, most of them without a surveyed position, some with a village."""
     rng = random.Random(seed)
     name = lambda: rng.choice(["Velsintora", "Velsintorra", "Felsintora", "Quinmaravelsintora"]) + rng.choice(["", "", " Lake", ", Quinmara", ", Quinmarra", ", Dolspet"])
-    at = lambda: (rng.uniform(10, 10.4), rng.uniform(77, 77.4)) if rng.random() < 0.8 else (None, None)
+    at = lambda: (rng.uniform(10, 10.12), rng.uniform(77, 77.12)) if rng.random() < 0.8 else (None, None)
     return [(i, rng.choice(["D", "E"]), name(), *at(), None, rng.choice([None, None, "locality"]), rng.randrange(4), float(rng.randrange(3))) for i in range(n)]
 
 
@@ -160,3 +160,14 @@ def test_rounds_store_no_more_than_places(spark, monkeypatch):
     _, gone = Y.merge_rounds(spark.createDataFrame(rows, SPELT))
     assert {(r.place_id, r.keeper) for r in gone.collect()} == {(i, 399) for i in range(399)}
     assert max(df.count() for _, df in kept) <= 400  # 79,800 pairs before, and twice that
+
+
+def test_pairs_of_namesakes_are_not_stored(spark, monkeypatch):
+    kept, plain = [], Y.written
+    monkeypatch.setattr(Y, "written", lambda df, name: kept.append(plain(df, name)) or kept[-1])
+    df = spark.createDataFrame([(i, "D", "Velsintora", None, None, None, None, 1, float(i)) for i in range(200)], SPELT)
+    assert Y.spelling_pairs(df).count() == 19_900
+    assert max(k.count() for k in kept) <= 200  # 19,900 before
+    kept.clear()
+    assert Y.spelling_clusters(df).count() == 199
+    assert max(k.count() for k in kept) <= 200
