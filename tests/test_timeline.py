@@ -88,3 +88,21 @@ def test_orders_of_a_day_are_tried_within_its_row(spark):
     assert "Exchange hashpartitioning" not in best._jdf.queryExecution().executedPlan().toString()
     got = {r.trip_id: [e.place_id for e in r.entries] for r in best.collect()}
     assert set(got) == {2, 3} and sorted(got[2]) == [1, 2, 3] and got[3] == [1, 2, 3, 4, 5]
+
+
+def test_orders_are_tried_beside_the_columns(spark):
+    """The search gives what all orders give in columns, ties, half positions and odd windows included; the plan holds no orders."""
+    kind = "day long, stops array<struct<stop_no: bigint, place_id: bigint, latitude: double, longitude: double, windows: array<struct<o: double, c: double>>, preferred: array<struct<o: double, c: double>>, minutes: double>>"
+    rng = random.Random(3)
+    spans = [(0.0, 1440.0), (330.0, 750.0), (960.0, 1260.0), (700.0, 900.0), (None, 1000.0), (600.0, None)]
+    some = lambda: rng.choice([None, [], [rng.choice(spans)], rng.sample(spans[:4], 2), [(0.0, 1440.0)], [(0.0, 1440.0)]])
+    at = lambda: (rng.choice([10.0, 10.1, 10.3, None]), rng.choice([77.0, 77.2, 77.4, None])) if rng.random() < 0.5 else (rng.choice([10.0, 10.2]), 77.0)
+    stop = lambda i: (i, i, *at(), some() if rng.random() < 0.2 else [(0.0, 1440.0)], some(), rng.choice([30.0, 45.0, 90.0, None] if rng.random() < 0.1 else [30.0, 60.0]))
+    days = spark.createDataFrame([(d, [stop(i) for i in range(1, 1 + rng.choice([1, 2, 3, 4, 4, 6]))]) for d in range(90)], kind)
+    best = L.best_order(days, ["day"], 4)
+    got = {r.day: (r.cost, r.entries) for r in best.collect()}
+    orders = spark.createDataFrame([(n, list(p)) for n in range(1, 5) for p in itertools.permutations(range(1, n + 1))] + [(6, list(range(1, 7)))], "n int, p array<int>")
+    timed = days.withColumn("n", F.size("stops")).join(orders, "n").withColumn("t", L.timeline(F.transform("p", lambda i: F.element_at("stops", i)))).where("t IS NOT NULL")
+    want = {r.day: (r.b.cost, r.b.entries) for r in timed.groupBy("day").agg(F.min(F.struct("t.cost", "p", "t.entries")).alias("b")).collect()}
+    assert got == want and 30 < len(want) < 90
+    assert "orders" not in best._jdf.queryExecution().optimizedPlan().toString()  # a table of them before

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayfarer.functions.geo import haversine_km
 from wayfarer.functions.score import drive_minutes
@@ -16,6 +20,8 @@ FIRST_LEG, LEG, WAIT = 240, 150, 270
 LUNCH_FROM, LUNCH_UNTIL, LUNCH = 750, 870, 45
 NOT_PREFERRED = 40
 MAX_FREE = 7
+#: Orders of days that a task tries at once.
+MOST_AT_ONCE = 200_000
 
 # Opening and preferred windows and the length of a visit by kind of place.
 PROFILES = {
@@ -127,20 +133,103 @@ def day_stops(stops: DataFrame, keys: list[str]) -> DataFrame:
     return listed.withColumn("stops", F.transform("s", lambda e: e["x"])).drop("s")
 
 
+def _padded(lists: pa.ListArray, field: str, fill: float, null: float = np.nan) -> np.ndarray:
+    """A field of lists of structs as a matrix, a row for each list; lists that are shorter are filled up."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(int)
+    out = np.full((len(lists), max(1, sizes.max(initial=0))), fill)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = pc.fill_null(pc.struct_field(lists.flatten(), field), null).to_numpy(zero_copy_only=False)
+    return out
+
+
+def _drives(legs: pa.ListArray, n: int) -> np.ndarray:
+    """Minutes of a leg by day, the stops that latitude and longitude of its start are of (``n``: none), and its end."""
+    days, size = len(legs), n * (n - 1) // 2
+    minutes = legs.flatten().to_numpy(zero_copy_only=False).reshape(days, -1)
+    out = np.full((days, n + 1, n + 1, n), 30.0)
+    if minutes.shape[1] == size:
+        i, j = np.tril_indices(n, -1)
+        out[:, i, i, j] = out[:, j, j, i] = minutes
+    else:
+        out[:, :n, :n] = minutes.reshape(days, n, n, n)
+    return out
+
+
+def _best(stops: pa.ListArray, legs: pa.ListArray, n: int, day_start: float, day_end: float) -> tuple[np.ndarray, np.ndarray]:
+    """The cheapest order of each of some days of ``n`` stops, the first of equal ones, and whether there is any.
+
+    All days go through :func:`_visit` at once, in the same arithmetic; orders that begin alike share their beginning.
+    """
+    days, flat = len(stops), stops.flatten()
+    part = lambda name: pc.struct_field(flat, name)
+    opens, closes = (_padded(part("windows"), f, -np.inf, null).reshape(days, n, -1) for f, null in (("o", -np.inf), ("c", np.nan)))
+    likes, until = (_padded(part("preferred"), f, np.nan).reshape(days, n, -1) for f in ("o", "c"))
+    minutes = part("minutes").to_numpy(zero_copy_only=False).astype(float).reshape(days, n)
+    known = tuple(part(f).is_valid().to_numpy(zero_copy_only=False).reshape(days, n) for f in ("latitude", "longitude"))
+    drives, day = _drives(legs, n), np.arange(days)[:, None]
+
+    orders = [()]
+    ok, lunched = np.ones((days, 1), bool), np.zeros((days, 1), bool)
+    now, cost, at = np.full((days, 1), day_start), np.zeros((days, 1)), [np.full((days, 1), n)] * 2
+    for nth in range(n):
+        grown = [(k, order, x) for k, order in enumerate(orders) for x in range(n) if x not in order]
+        before, to, orders = [k for k, _, _ in grown], [x for _, _, x in grown], [(*order, x) for _, order, x in grown]
+        ok, lunched, now, cost, at = ok[:, before], lunched[:, before], now[:, before], cost[:, before], [a[:, before] for a in at]
+        travel = drives[day, at[0], at[1], to] if nth else np.zeros_like(now)
+        eats = ~lunched & (now >= LUNCH_FROM) & (now < LUNCH_UNTIL)
+        lunched, arrive, visit = lunched | eats, now + np.where(eats, float(LUNCH), 0.0) + travel, minutes[:, to]
+        begins = np.maximum(arrive[..., None], opens[:, to])
+        fits = begins + visit[..., None] <= closes[:, to]
+        slot = np.where(fits.any(-1), np.take_along_axis(begins, fits.argmax(-1)[..., None], -1)[..., 0], np.nan)
+        noon = np.maximum(arrive, float(LUNCH_FROM))
+        waits_lunch = ~lunched & (noon < LUNCH_UNTIL) & (noon + LUNCH <= slot)
+        wait = slot - arrive - np.where(waits_lunch, float(LUNCH), 0.0)
+        now = slot + visit
+        liked = ((likes[:, to] <= slot[..., None]) & (now[..., None] <= until[:, to])).any(-1)
+        ok = ok & (travel <= (LEG if nth else FIRST_LEG)) & (slot - arrive <= WAIT) & (now <= day_end)
+        cost = cost + travel + 0.6 * wait + np.where(liked, 0.0, float(NOT_PREFERRED))
+        lunched, at = lunched | waits_lunch, [np.where(k[:, to], to, a) for k, a in zip(known, at, strict=True)]
+    best = np.where(ok, cost, np.inf).argmin(1)
+    return np.array(orders)[best] + 1, ok[np.arange(days), best]
+
+
+def _positions(stops: pa.ListArray, legs: pa.ListArray, max_free: int, day_start: float, day_end: float) -> pa.Array:
+    """The positions of the stops in the best order of each day, null where no order fits."""
+    sizes, told = (pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False) for x in (stops, legs))
+    out: list[np.ndarray | None] = [np.arange(1, n + 1) if n > max_free else None for n in sizes]
+    for n, size in sorted({(n, t) for n, t in zip(sizes.tolist(), told.tolist(), strict=True) if 0 < n <= max_free}):
+        rows, some = np.flatnonzero((sizes == n) & (told == size)), max(1, MOST_AT_ONCE // math.factorial(n))
+        for part in np.split(rows, range(some, len(rows), some)):
+            orders, fits = _best(stops.take(pa.array(part)), legs.take(pa.array(part)), n, day_start, day_end)
+            for row, order in zip(part[fits], orders[fits], strict=True):
+                out[row] = order
+    return pa.array(out, pa.list_(pa.int32()))
+
+
 def best_order(days: DataFrame, keys: list[str], max_free: int = MAX_FREE) -> DataFrame:
     """The cheapest feasible order of each day; days of more than ``max_free`` stops keep theirs.
 
-    The orders of n stops come from a table of permutations, a row for each size (5,040 orders of seven). A day tries them
-    within its own row, each once; nothing is shuffled.
+    All orders of a day are tried, in Arrow batches over the drives between its stops, and the best one's timeline is worked
+    out in columns; nothing is shuffled.
     """
-    spark = days.sparkSession
-    table = spark.createDataFrame([(n, [list(p) for p in itertools.permutations(range(1, n + 1))]) for n in range(1, max_free + 1)], "n int, orders array<array<int>>")
-    sized = days.withColumn("n", F.size("stops")).where("n > 0").join(F.broadcast(table), "n", "left")
-    orders = F.coalesce("orders", F.array(F.sequence(F.lit(1), F.col("n"))))
-    timed = F.transform(orders, lambda p: F.struct(p.alias("p"), timeline(F.transform(p, lambda i: F.element_at("stops", i))).alias("t")))
-    fit = F.transform(timed, lambda x: F.when(x["t"].isNotNull(), F.struct(x["t"]["cost"].alias("cost"), x["p"].alias("positions"), x["t"]["entries"].alias("entries"))))
-    best = F.explode(F.filter(F.array(F.array_min(fit)), lambda b: b.isNotNull())).alias("b")  # a generator: worked out once
-    return sized.select(*keys, best).select(*keys, "b.cost", "b.entries")
+    day_start, day_end = 540.0, 1260.0
+    drive = lambda a, b, c: drive_minutes(haversine_km(a["latitude"], b["longitude"], c["latitude"], c["longitude"]))
+    # The way there is as long as the way back; only where half a position is known does a leg start at that of two stops.
+    half = F.exists("stops", lambda x: x["latitude"].isNull() != x["longitude"].isNull())
+    ways = F.flatten(F.transform("stops", lambda x, i: F.transform(F.slice("stops", F.lit(1), i), lambda y: drive(x, x, y))))
+    mixed = F.flatten(F.flatten(F.transform("stops", lambda x: F.transform("stops", lambda y: F.transform("stops", lambda z: drive(x, y, z))))))
+    legs = F.when(F.size("stops") > max_free, F.array().cast("array<double>")).when(half, mixed).otherwise(ways)
+    told = days.where(F.size("stops") > 0).select(*keys, "stops", legs.alias("legs"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _positions(batch.column("stops"), batch.column("legs"), max_free, day_start, day_end)
+            columns = [*(batch.column(c) for c in (*keys, "stops")), found]
+            yield pa.RecordBatch.from_arrays(columns, [*keys, "stops", "positions"]).filter(found.is_valid())
+
+    schema = T.StructType([*(told.schema[c] for c in (*keys, "stops")), T.StructField("positions", T.ArrayType(T.IntegerType()))])
+    timed = timeline(F.transform("positions", lambda i: F.element_at("stops", i)), day_start, day_end)
+    best = F.explode(F.filter(F.array(timed), lambda b: b.isNotNull())).alias("b")  # a generator: worked out once
+    return told.mapInArrow(search, schema).select(*keys, best).select(*keys, "b.cost", "b.entries")
 
 
 def never_schedulable(stops: DataFrame, day_start: int, day_end: int) -> DataFrame:
