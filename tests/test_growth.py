@@ -171,3 +171,31 @@ def test_pairs_of_namesakes_are_not_stored(spark, monkeypatch):
     kept.clear()
     assert Y.spelling_clusters(df).count() == 199
     assert max(k.count() for k in kept) <= 200
+
+
+def test_survivors_are_aggregated_once(spark, monkeypatch):
+    """A record is shuffled as it is, not as what a dozen aggregates hold of it, and not once for each of its sources."""
+    rows = spark.createDataFrame([(i, f"P{i % 7}", "D", i % 5, None if i % 9 == 0 else i % 4, 10.0 + i % 3, 77.0, f"img{i % 6}", "Q1" if i % 2 else None) for i in range(60)], "rid long, place_name string, district string, source_rank int, source_id int, latitude double, longitude double, image_url string, external_id string")
+    roots = spark.createDataFrame([(i, i % 7) for i in range(60)], "rid long, root long")
+    got = resolve.survivors(rows.withColumn("image_source", F.lit(None).cast("string")), roots, ["place_name"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(root") == 1 and "root#" in plan and plan.count("hashpartitioning(root, ") <= 1 and "distinct" not in plan.lower().replace("array_distinct", "")
+    sources = {k: [i % 4 for i in range(60) if i % 7 == k and i % 9] for k in range(7)}
+    assert {r.root: (r.n_records, r.n_sources) for r in got.collect()} == {k: (len([i for i in range(60) if i % 7 == k]), len(set(v))) for k, v in sources.items()}
+
+
+def test_components_leave_what_they_need(spark):
+    """Stored rounds give what checkpoints give, and only the result's table stays."""
+    import pathlib
+
+    from wayfarer import session
+    from wayfarer.operators import components
+
+    rng = random.Random(2)
+    edges = spark.createDataFrame([(rng.randrange(500), rng.randrange(500)) for _ in range(400)], "a long, b long")
+    folder = pathlib.Path(session.scratch_path(spark, "x")).parent
+    before = set(folder.glob("components-*"))
+    got = components.connected_components(edges, 10, keep=components.stored)
+    want = components.connected_components(edges, 10)
+    assert len(set(folder.glob("components-*")) - before) == 2  # some ten without dropping
+    assert sorted(got.collect()) == sorted(want.collect())
